@@ -25,7 +25,7 @@ class DigestIndex:
 
     def __init__(self, spark, memtables: int = 8, expected_digests: int = 1_000_000):
         self.spark, self.memtables, self.expected = spark, memtables, expected_digests
-        self.levels: list[str] = []
+        self.levels: list[tuple] = []
 
     def _write(self, runs: DataFrame, path: str) -> None:
         (
@@ -35,7 +35,7 @@ class DigestIndex:
             .partitionBy("run")
             .parquet(path)
         )
-        self.levels.append(path)
+        self.levels.append((path, runs.schema))
 
     def flush(self, rows: DataFrame) -> DigestIndex:
         """rows: digest, doc_id, n_chars. The memtables of a batch become runs, a digest's copies within one already merged."""
@@ -45,7 +45,7 @@ class DigestIndex:
         return self
 
     def entries(self) -> DataFrame:
-        frames = [self.spark.read.parquet(p) for p in self.levels]
+        frames = [self.spark.read.schema(schema).parquet(path) for path, schema in self.levels]
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f)
