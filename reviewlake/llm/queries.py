@@ -6,13 +6,19 @@ import public_tokenizers
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .quality import score_quality
+from .secret_scan import scan_secrets
 from .token_store import write_and_digest
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op2_line_dedup(spark, sf_dir):
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_token_store(spark, sf_dir):
     return write_and_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -25,11 +31,15 @@ def op6_quality(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_secret_scan(spark, sf_dir):
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op3_token_store, op5_exact_dedup, op6_quality, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_token_store, op5_exact_dedup, op6_quality, op8_secret_scan, op9_mixing)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
