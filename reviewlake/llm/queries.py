@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .quality import score_quality
+from .repeated_spans import remove_repeats
 from .secret_scan import scan_secrets
 from .token_store import write_and_digest
 
@@ -39,7 +40,11 @@ def op9_mixing(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_token_store, op5_exact_dedup, op6_quality, op8_secret_scan, op9_mixing)}
+def op10_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_token_store, op5_exact_dedup, op6_quality, op8_secret_scan, op9_mixing, op10_suffix_dedup)}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
