@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: Words of the contracts: maximal runs of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
+FILTER_BITS = 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +48,26 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def parted(rows: DataFrame, keep: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id may be among keep's ids, and those whose id surely is not: what a join of keep needs, and what it doesn't.
+
+    The ids' hashes set bits of a map of 2 ** FILTER_BITS bits, in pieces of 4 KB, so at most 8 MB are broadcast whatever the
+    number of ids. With very many ids more rows are taken for possible ones; that costs shuffling, never a result.
+    """
+    bit = F.pmod(F.xxhash64(id_col), F.lit(1 << FILTER_BITS))
+    bits = keep.select(bit.alias("_bit"))
+    pieces = bits.groupBy(F.expr("_bit div 32768").alias("_piece")).agg(F.bitmap_construct_agg(F.col("_bit") % 32768).alias("_map"))
+    joined = rows.withColumn("_bit", bit).withColumn("_piece", F.expr("_bit div 32768")).join(F.broadcast(pieces), "_piece", "left")
+    byte = "cast(conv(hex(substring(_map, cast(_bit % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
+    maybe = F.coalesce(F.expr(f"shiftright({byte}, cast(_bit % 8 as int)) & 1 = 1"), F.lit(False)) & F.col(id_col).isNotNull()
+    return joined.where(maybe).drop("_piece", "_map", "_bit"), joined.where(~maybe).drop("_piece", "_map", "_bit")
+
+
+def narrow(rows: DataFrame, keep: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id is among keep's ids, and perhaps some others: a semi-join without a shuffle of rows."""
+    return parted(rows, keep, id_col)[0]
+
+
 def running_start(df: DataFrame, group: list[str], order_hash: str, ties: list[str], value: str, rows: int, out: str) -> DataFrame:
     """The sum of `value` over the rows of the same group that come before, in the order of a 64-bit hash and then `ties`.
 

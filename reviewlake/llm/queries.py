@@ -8,14 +8,22 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .ngram_join import ngram_jaccard
 from .quality import score_quality
 from .repeated_spans import remove_repeats
 from .secret_scan import scan_secrets
 from .token_store import write_and_digest
+from .topk_search import search
 
 WORD_BPE = "word_bpe_49k.json"
 
 
+def op1_bm25_search(spark, sf_dir):
+    """The ten best documents for every document whose id is divisible by 50, its whole text as the query."""
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, docs.where("doc_id % 50 = 0"), k=10)
+
+
 def op2_line_dedup(spark, sf_dir):
     return line_dedup(table(spark, sf_dir, "documents"))
 
@@ -32,6 +40,10 @@ def op6_quality(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_ngram_jaccard(spark, sf_dir):
+    return ngram_jaccard(table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -44,7 +56,10 @@ def op10_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_token_store, op5_exact_dedup, op6_quality, op8_secret_scan, op9_mixing, op10_suffix_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_bm25_search, op2_line_dedup, op3_token_store, op5_exact_dedup, op6_quality, op7_ngram_jaccard, op8_secret_scan, op9_mixing, op10_suffix_dedup)
+}
 
 ORACLE_SQL = {
     "op5_exact_dedup": r"""
