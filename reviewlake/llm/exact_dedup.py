@@ -23,16 +23,15 @@ def normalised(text: Column) -> Column:
 class DigestIndex:
     """Sorted runs in the shared folder. Level 0 has a run for each memtable; each compaction makes one run of a level."""
 
-    def __init__(self, spark, memtables: int = 8, expected_digests: int = 1_000_000):
-        self.spark, self.memtables, self.expected = spark, memtables, expected_digests
+    def __init__(self, spark, memtables: int = 8):
+        self.spark, self.memtables = spark, memtables
         self.levels: list[tuple] = []
 
     def _write(self, runs: DataFrame, path: str) -> None:
         (
             runs.sortWithinPartitions("run", "digest")
             .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.expected.ndv#digest", str(self.expected))
-            .partitionBy("run")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
             .parquet(path)
         )
         self.levels.append((path, runs.schema))
