@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard
+from .piece_nbest import decoded, encode_nbest
 from .quality import score_quality
 from .repeated_spans import remove_repeats
 from .secret_scan import scan_secrets
@@ -16,6 +18,7 @@ from .token_store import write_and_digest
 from .topk_search import search
 
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op1_bm25_search(spark, sf_dir):
@@ -32,6 +35,13 @@ def op3_token_store(spark, sf_dir):
     return write_and_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op4_piece_nbest(spark, sf_dir):
+    """The four best segmentations of every text: their scores, pieces and the text that they decode to."""
+    model = public_tokenizers.path(PIECE_BPE)
+    rows = decoded(encode_nbest(table(spark, sf_dir, "documents"), model, 4), model)
+    return rows.select("doc_id", "rank", "score", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+
+
 def op5_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -58,7 +68,7 @@ def op10_suffix_dedup(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bm25_search, op2_line_dedup, op3_token_store, op5_exact_dedup, op6_quality, op7_ngram_jaccard, op8_secret_scan, op9_mixing, op10_suffix_dedup)
+    for f in (op1_bm25_search, op2_line_dedup, op3_token_store, op4_piece_nbest, op5_exact_dedup, op6_quality, op7_ngram_jaccard, op8_secret_scan, op9_mixing, op10_suffix_dedup)
 }
 
 ORACLE_SQL = {
