@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,11 @@ class WordCoder:
     of A-Z, as word_bpe_49k.json: there a text's ids are its words' ids, joined. Words are looked up by a 64-bit hash.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.coder, self.most = Tokenizer.from_file(path), most
-        self.forget()
+        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     @classmethod
     def at(cls, path: str) -> WordCoder:
@@ -49,40 +50,55 @@ class WordCoder:
             _memo[path] = cls(path)
         return _memo[path]
 
-    def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        """keys: sorted hashes of words not known yet."""
+        """keys: sorted hashes of words not known yet. Tables of known words (hashes, starts, ids) are merged as they double."""
         got = [e.ids for e in self.coder.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for g in got for i in g), np.uint32, int(size.sum()))
-        all_size = np.concatenate([np.diff(self.start), size])
-        merged = np.concatenate([self.known, keys])
-        order = np.argsort(merged, kind="stable")
-        from_ = np.concatenate([self.start[:-1], len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]])])
-        self.ids = ragged(np.concatenate([self.ids, ids]), from_[order], all_size[order])
-        self.known, self.start = merged[order], np.concatenate([[0], np.cumsum(all_size[order])])
+        new = (keys, np.concatenate([[0], np.cumsum(size)]), np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())))
+        while self.tables and len(self.tables[-1][0]) < 2 * len(new[0]):
+            old = self.tables.pop()
+            merged = np.concatenate([old[0], new[0]])
+            order = np.argsort(merged, kind="stable")
+            sizes = np.concatenate([np.diff(old[1]), np.diff(new[1])])[order]
+            from_ = np.concatenate([old[1][:-1], len(old[2]) + new[1][:-1]])[order]
+            new = (merged[order], np.concatenate([[0], np.cumsum(sizes)]), ragged(np.concatenate([old[2], new[2]]), from_, sizes))
+        self.tables.append(new)
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each hash the table that has it, -1 if none does, and its place there."""
+        table, place = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        for k, (known, _, _) in enumerate(self.tables):
+            left = np.flatnonzero(table < 0)
+            where = np.minimum(np.searchsorted(known, keys[left]), len(known) - 1)
+            hit = known[where] == keys[left]
+            table[left[hit]], place[left[hit]] = k, where[hit]
+        return table, place
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined, and where each text's start; the last entry is the end."""
         starts, ends, doc = word_bounds(data, at)
         keys, first, nth = np.unique(span_hash(prefix_hash(data, LOWER), starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > self.most:
-            self.forget()
-        where = np.searchsorted(self.known, keys)
-        new = np.ones(len(keys), bool)
-        inside = where < len(self.known)
-        new[inside] = self.known[where[inside]] != keys[inside]
+        if sum(len(t[0]) for t in self.tables) > self.most:
+            self.tables = []
+        table, place = self._find(keys)
+        new = table < 0
         if new.any():
             raw = data.tobytes()
             self._learn(keys[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new]])
-            where = np.searchsorted(self.known, keys)
-        at_word = where[nth]
-        size = self.start[at_word + 1] - self.start[at_word]
-        total = np.concatenate([[0], np.cumsum(size)])
-        return ragged(self.ids, self.start[at_word], size), total[np.searchsorted(doc, np.arange(len(at)))]
+            table, place = self._find(keys)
+        # The ids of the batch's distinct words, in the order of their hashes, then of all words.
+        size = np.zeros(len(keys), np.int64)
+        for k, (_, start, _) in enumerate(self.tables):
+            mine = table == k
+            size[mine] = start[place[mine] + 1] - start[place[mine]]
+        begin = np.concatenate([[0], np.cumsum(size)])
+        own = np.zeros(begin[-1], np.uint32)
+        for k, (_, start, ids) in enumerate(self.tables):
+            mine = np.flatnonzero(table == k)
+            spread = np.arange(int(size[mine].sum())) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
+            own[np.repeat(begin[mine], size[mine]) + spread] = ids[np.repeat(start[place[mine]], size[mine]) + spread]
+        total = np.concatenate([[0], np.cumsum(size[nth])])
+        return ragged(own, begin[nth], size[nth]), total[np.searchsorted(doc, np.arange(len(at)))]
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
