@@ -40,6 +40,8 @@ class PieceModel:
         names = [sp.id_to_piece(i).replace("▁", " ").encode() for i in plain]
         if any(b" " in name.lstrip(b" ") for name in names) or sp.normalize(" Aﬁ  ") != "▁▁Aﬁ▁▁":
             raise ValueError("pieces must not go beyond a word, and the model must keep texts as they are and add a leading space")
+        self.names = {i: name.decode() for i, name in zip(plain, names)}
+        self.pieces = {name: (i, round(sp.get_score(i))) for i, name in self.names.items()}
         self.bytes_id = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         size = np.array([len(x) for x in names])
         data, at = np.frombuffer(b"".join(names), np.uint8), np.r_[0, np.cumsum(size)]
@@ -171,24 +173,27 @@ class PieceModel:
         key = segment + n.to_bytes(4, "little")
         if key in self.lists:
             return self.lists[key]
-        data = np.frombuffer(segment, np.uint8)
-        _, node_byte, step, u, v, ids, score = self.lattice(data, np.array([0, len(data)]))
-        into: list[list] = [[] for _ in step]
-        alpha = [0] + [-int(NEVER)] * (len(step) - 1)
-        for a, b, i, s in zip(u.tolist(), v.tolist(), ids.tolist(), score.tolist()):
-            into[b].append((a, i, s))
-            alpha[b] = max(alpha[b], alpha[a] + s)
-        out, heap = [], [(-alpha[-1], (), len(step) - 1, 0)]
+        chars = segment.decode()
+        into: list[list] = [[] for _ in range(len(chars) + 1)]
+        alpha = [0] * (len(chars) + 1)
+        for end in range(1, len(chars) + 1):
+            for start in range(max(0, end - self.width), end):
+                got = self.pieces.get(chars[start:end])
+                if got or start == end - 1:
+                    into[end].append((start, *(got or (-1, self.unknown))))
+            alpha[end] = max(alpha[a] + s for a, _, s in into[end])
+        out, heap = [], [(-alpha[-1], (), len(chars), 0)]
         while heap and len(out) < n:
             f, path, at, g = heappop(heap)
             if at == 0:
-                spelt = []
-                end = len(data)
+                spelt, end = [], len(chars)
                 for i in path:
-                    start = end - (self.spelt_size[i] if i >= 0 else int(np.diff(node_byte[np.searchsorted(node_byte, end) - 1 :][:2])[0]))
-                    spelt += [i] if i >= 0 else self.bytes_id[data[start:end]][::-1].tolist()
-                    end = start
-                out.append((f + alpha[-1], tuple(int(x) for x in reversed(spelt))))
+                    if i < 0:
+                        spelt += self.bytes_id[list(chars[end - 1].encode())][::-1].tolist()
+                    else:
+                        spelt.append(i)
+                    end -= len(self.names[i]) if i >= 0 else 1
+                out.append((f + alpha[-1], tuple(reversed(spelt))))
                 continue
             for a, i, s in into[at]:
                 heappush(heap, (-(alpha[a] + g + s), (*path, i), a, g + s))
