@@ -119,7 +119,7 @@ class PieceModel:
         ids.append(np.full(len(bare), -1))
         scores.append(np.full(len(bare), self.unknown, np.int64))
         u, v, i, s = map(np.concatenate, (froms, tos, ids, scores))
-        order = np.lexsort((i, v, step[v]))
+        order = np.argsort((step[v].astype(np.int64) << 44) | (v << 16) | (i + 1))  # no two edges share a node and an id
         return offset, node_byte, step, u[order], v[order], i[order], s[order]
 
     def viterbi(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -16,10 +16,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, texts
+from .common import narrow, parted, save, texts
 from .kernels import EXACT, INVERSE, flat, powers, prefix_hash, signed, slices, span_hash
 
 POSITION_BITS = 28
@@ -117,8 +117,6 @@ def _inside(rows: DataFrame, kind: str, length: int, share: int) -> DataFrame:
     return rows.mapInArrow(run, "cid long, " + ", ".join(f"{n} long" for n in names))
 
 
-
-
 def _company(rows: DataFrame, keys: list[str], place: str, more: str | None = None) -> DataFrame:
     """The keys that occur at two places at least; with `more`, also whether all rows of a key have the same value of it."""
     seen = F.xxhash64("cid", place)
@@ -135,11 +133,13 @@ def repeated_windows(rows: DataFrame, length: int, share: int) -> DataFrame:
     shared = save(runs.join(_company(runs, ["digit"], "first", "extent"), "digit").select("cid", "digit", "anchor", "first", "last", "same"), "runs")
     long = lambda *names: F.array(*[F.col(n).cast("long") for n in names])
     listed = shared.where("not same").groupBy("cid").agg(F.flatten(F.collect_set(long("digit", "anchor", "first", "last"))).alias("items"))
-    bands = _inside(rows.join(listed, "cid"), "bands", length, share)
+    listed = save(listed, "listed")
+    bands = _inside(narrow(rows, listed, "cid").join(listed, "cid"), "bands", length, share)
     keys = ["digit", "band", "inner"]
     alive = save(bands.join(_company(bands, keys, "anchor", "outer"), keys), "bands")
     unlike = alive.where("not same").groupBy("cid").agg(F.flatten(F.collect_set(long("digit", "low", "high"))).alias("items"))
-    windows = _inside(rows.join(unlike, "cid"), "windows", length, share)
+    unlike = save(unlike, "unlike")
+    windows = save(_inside(narrow(rows, unlike, "cid").join(unlike, "cid"), "windows", length, share), "windows")
     single = windows.join(_company(windows, ["digit", "whole"], "low"), ["digit", "whole"])
     return (
         shared.where("same").select("cid", F.col("first").cast("long").alias("low"), F.col("last").cast("long").alias("high"))
@@ -164,7 +164,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     contents = save(rows.groupBy("cid").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least")), "contents")
     long_rows = rows.where(F.octet_length("text") >= length)
     # A text stands for its copies: the digits of one are those of all.
-    some = long_rows.join(contents, "cid").where(F.col("doc_id").eqNullSafe(F.col("least"))).select("cid", "text")
+    # Copies that come along do no harm, as a cid's places count once.
+    some = narrow(long_rows.where("doc_id is not null"), contents.select(F.col("least").alias("doc_id"))).union(long_rows.where("doc_id is null")).select("cid", "text")
     spans = repeated_windows(some, length, share).groupBy("cid").agg(F.flatten(F.collect_set(F.array("low", "high"))).alias("spans"))
     spans = save(spans, "spans")
 
@@ -188,10 +189,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             )
 
     size = F.octet_length("text").cast("long")
-    joined = rows.join(contents.select("cid", "copies"), "cid").join(spans, "cid", "left")
+
+    def whole_or_not(table: DataFrame, whole: Column) -> DataFrame:
+        kept = F.when(whole, F.lit("")).otherwise(F.col("text")).cast("binary")
+        n_removed, n_spans = F.when(whole, size).otherwise(F.lit(0)), F.when(whole, F.lit(1)).otherwise(F.lit(0))
+        return table.select("doc_id", size.alias("n_bytes"), n_removed.cast("long").alias("n_removed"), n_spans.cast("long").alias("n_spans"), kept.alias("kept"), F.sha2(kept, 256).alias("kept_sha256"))
+
+    touched = contents.where("copies > 1").select("cid").union(spans.select("cid"))
+    maybe, never = parted(rows, touched, "cid")
+    joined = maybe.join(contents.select("cid", "copies"), "cid").join(spans, "cid", "left")
     whole = (F.col("copies") > 1) & (size >= length)
-    plain = joined.where(whole | F.col("spans").isNull())
-    kept = F.when(whole, F.lit("")).otherwise(F.col("text")).cast("binary")
-    plain = plain.select("doc_id", size.alias("n_bytes"), F.when(whole, size).otherwise(0).alias("n_removed"), F.when(whole, 1).otherwise(0).cast("long").alias("n_spans"), kept.alias("kept"), F.sha2(kept, 256).alias("kept_sha256"))
+    plain = whole_or_not(never, F.lit(False)).unionByName(whole_or_not(joined.where(whole | F.col("spans").isNull()), whole))
     parts = joined.where(~whole & F.col("spans").isNotNull()).select("doc_id", "text", "spans")
     return plain.unionByName(parts.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"))
