@@ -8,7 +8,7 @@ capacity, so a set takes the cheapest slots that suffice. Of two sets the one wi
 if they share no signature, they differ in more than H tokens.
 
 Cost also depends on how many sets show a signature. Signatures of more than `hot` sets that are not all linked are given up:
-the sets that show them are allocated anew, without those, and only among themselves. A set that has no slots left is compared
+the sets that show them are allocated anew, without those, and only among themselves; what counts as hot grows with each round. A set that has no slots left is compared
 within its hot groups with every set of another component, so no link is lost.
 """
 
@@ -117,19 +117,31 @@ def _shown(rows: DataFrame, n_words: int, percent: int, least: bool) -> DataFram
 
 
 def _sizes(rows: DataFrame, n_words: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit digest of the set, in two longs."""
+    """doc_id, n_shingles, a 128-bit digest of the set in two longs, and its sketch: the parities of its tokens' buckets."""
 
     def run(batches):
         for part in slices(batches):
             sets = shingle_sets(*flat(part.column("text")), n_words)
             sums = [np.array([int(f(s).sum()) if len(s) else 0 for s in sets], np.uint64) for f in (lambda s: mix(s + _ODD[50]), lambda s: mix(s ^ _ODD[51]))]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(signed(x)) for x in sums)], ["doc_id", "n_shingles", "d1", "d2"])
+            bits = [np.packbits(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).view(np.int64) for s in sets]
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * 16, pa.int32()), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(signed(x)) for x in sums), sketch], ["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>")
 
 
-def _verified(pairs: DataFrame, known: DataFrame, n_words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough; known: id, text of all ids in pairs."""
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their sets' sizes and sketches allow. Each token in one set only changes one parity, so the sketches
+    differ in no more bits than the sets in tokens: no similar pair is lost."""
+    at = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    both = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b")
+    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    sizes = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    return both.where(sizes).where(apart <= F.expr(f"(n_a + n_b) * {100 - percent} div {100 + percent}")).select("a", "b").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n_words: int, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, saved; only texts of possible pairs are shuffled."""
 
     def run(batches):
         for batch in batches:
@@ -137,20 +149,29 @@ def _verified(pairs: DataFrame, known: DataFrame, n_words: int, percent: int) ->
                 left, right = (shingle_sets(*flat(part.column(c)), n_words) for c in ("text_a", "text_b"))
                 ok = []
                 for a, b in zip(left, right):
-                    both = len(np.intersect1d(a, b, assume_unique=True)) if len(a) * 100 >= percent * len(b) and len(b) * 100 >= percent * len(a) else 0
+                    both = len(np.intersect1d(a, b, assume_unique=True))
                     ok.append(bool(len(a)) and 100 * both >= percent * (len(a) + len(b) - both))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(ok))
 
-    at = lambda x: known.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"))
-    joined = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    some = save(_possible(pairs, sets, percent), f"possible_{name}")
+    at = lambda x: narrow(docs, some.select(F.col(x).alias("doc_id"))).select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    joined = some.join(at("a"), "a").join(at("b"), "b")
+    return save(joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), name)
 
 
-def _labelled(pairs: DataFrame, labels: DataFrame, different: bool = True) -> DataFrame:
-    """pairs (a, b) with their labels, by default those in different components only."""
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """a, b, in_a, in_b: the pairs in different components, and these."""
     at = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"in_{x}"))
     out = pairs.join(at("a"), "a", "left").join(at("b"), "b", "left").withColumns({f"in_{x}": F.coalesce(f"in_{x}", x) for x in "ab"})
-    return out.where("in_a <> in_b") if different else out
+    return out.where("in_a <> in_b").select("a", "b", "in_a", "in_b")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels after more links: only the components that these join are worked on."""
+    joined = components(_apart(links, labels).select(F.col("in_a").alias("a"), F.col("in_b").alias("b")))
+    known = labels.union(joined.select("node", F.col("node").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
+    to = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return save(known.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
 
 
 def _across(groups: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -166,56 +187,46 @@ def _across(groups: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def jaccard_links(docs: DataFrame, reps: DataFrame, n_words: int, percent: int, hot: int) -> DataFrame:
-    """Links (a, b) between docs (doc_id, text) that are in reps (id): enough of them for exact components, each verified."""
-    known = links = labels = tried = bans = None
-    active, least = narrow(docs, reps, "doc_id") if reps is not None else docs, True
-    rounds = 0
+def jaccard_links(docs: DataFrame, sets: DataFrame, reps: DataFrame, n_words: int, percent: int, hot: int) -> DataFrame:
+    """Links (a, b) between docs (doc_id, text) with ids in reps (doc_id): enough of them for exact components, each verified."""
+    check = lambda pairs, name: _verified(pairs, docs, sets, n_words, percent, name)
+    links = labels = bans = None
+    active, rounds = narrow(docs, reps), 0
     while True:
         # 1. Who shows what: of a signature the smallest id leads. Groups with the same members are one group.
         by = "partition by sig"
-        shown = _shown(active, n_words, percent, least)
-        seen = shown.select(
+        seen = _shown(active, n_words, percent, not rounds).select(
             "sig", "id", "full", F.expr(f"min(id) over ({by})").alias("lead"), F.expr(f"max(id) over ({by})").alias("last"), F.expr(f"count(*) over ({by})").alias("n"), F.expr(f"bit_xor(xxhash64(id)) over ({by})").alias("mark")
         ).where("lead <> last and (n > 2 or id <> lead)")
         key = F.when(F.col("n") > hot, F.col("sig")).otherwise(F.xxhash64("lead", "last", "n", "mark"))
         groups = save(seen.groupBy(key.alias("g"), "id", "lead", "n").agg(F.count("*").alias("weight"), F.min("full").alias("full")), f"groups{rounds}")
-        # 2. Each id meets the leader with which it shares most, then its other leaders if they are still apart.
+        # 2. Each id meets the leader with which it shares most.
         pairs = save(groups.where("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.sum("weight").alias("weight")), f"pairs{rounds}")
-        ids = groups.select("id").union(groups.select("lead")).distinct()
-        if known is None:
-            known = save(narrow(docs, ids.withColumnRenamed("id", "doc_id")).withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), "known")
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("weight", (-F.col("a")).alias("first"))).alias("a")).select("a", "b")
-        todo = best if tried is None else _labelled(best, labels).select("a", "b")
-        for step in range(3):
-            if step == 1:
-                todo = _labelled(pairs.join(best, ["a", "b"], "left_anti"), labels).select("a", "b")
-            elif step == 2:
-                todo = _across(groups.where(F.col("n").between(3, hot)).select("g", "id").union(groups.where(F.col("n").between(3, hot)).select("g", F.col("lead").alias("id")).distinct()).distinct(), labels, "g").join(pairs, ["a", "b"], "left_anti")
-            new = save(_verified(todo, known, n_words, percent), f"links{rounds}_{step}")
-            links = new if links is None else links.union(new)
-            labels = components(links)
-        tried = True
-        # 3. Hot signatures whose sets are still apart are given up by their sets.
+        new = check(best if labels is None else _apart(best, labels).select("a", "b"), f"best{rounds}")
+        links, labels = (new, components(new)) if labels is None else (links.union(new), _merged(labels, new))
+        # 3. Members of a group that are still apart meet, unless it is a hot one.
+        small = groups.where(F.col("n").between(3, hot))
+        others = _apart(pairs.select("a", "b").exceptAll(best), labels).select("a", "b").union(_across(small, labels, "g"))
+        new = check(others.distinct(), f"others{rounds}")
+        if not new.isEmpty():
+            links, labels = links.union(new), _merged(labels, new)
+        # 4. Hot signatures whose sets are still apart are given up by their sets.
         large = groups.where(F.col("n") > hot).select(F.col("g").alias("sig"), "id", "full")
         at = labels.select(F.col("node").alias("id"), "component")
         large = large.join(at, "id", "left").withColumn("c", F.coalesce("component", "id"))
         apart = large.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
         given = save(large.join(apart, "sig").select("sig", "id", "full"), f"given{rounds}")
-        if given.isEmpty():
-            return links
-        rest = given.where("not full")
+        rest = given.where("not full").select("sig").distinct()
         if not rest.isEmpty():  # no slots left: whoever is in such a group meets all of other components
-            stuck = given.join(rest.select("sig").distinct(), "sig", "left_semi").select("sig", "id")
-            links = links.union(save(_verified(_across(stuck, labels, "sig"), known, n_words, percent), f"rest{rounds}"))
-            labels = components(links)
+            new = check(_across(given.join(rest, "sig", "left_semi").select("sig", "id"), labels, "sig"), f"rest{rounds}")
+            links, labels = links.union(new), _merged(labels, new)
         fresh = given.where("full").select("sig", "id")
-        bans = fresh if bans is None else save(bans.union(fresh).distinct(), f"bans{rounds}")
-        lists = bans.join(fresh.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.collect_set("sig").alias("hot"))
-        active = known.join(lists, "id").select(F.col("id").alias("doc_id"), "text", "hot")
-        least, rounds = False, rounds + 1
         if fresh.isEmpty():
             return links
+        bans = save(fresh if bans is None else bans.union(fresh).distinct(), f"bans{rounds}")
+        lists = save(bans.join(fresh.select("id").distinct(), "id", "left_semi").groupBy(F.col("id").alias("doc_id")).agg(F.collect_set("sig").alias("hot")), f"lists{rounds}")
+        active, rounds, hot = narrow(docs, lists).join(lists, "doc_id"), rounds + 1, 4 * hot
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 75, hot: int = 64) -> DataFrame:
@@ -232,6 +243,6 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     real = sets.where("n_shingles > 0 and doc_id is not null")
     reps = real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     copies = save(real.join(reps, ["n_shingles", "d1", "d2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "copies")
-    links = jaccard_links(rows.where("doc_id is not null"), copies.select(F.col("a").alias("doc_id")), n_words, percent, hot)
+    links = jaccard_links(rows.where("doc_id is not null"), real, copies.select(F.col("a").alias("doc_id")), n_words, percent, hot)
     found = components(links.union(copies.where("a <> b")))
     return sets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
