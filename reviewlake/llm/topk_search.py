@@ -4,10 +4,11 @@ Index: documents are dealt into shards of bounded size. A shard holds its terms
 (document, term frequency) of each, and the lengths of its documents. Document frequencies, the number of documents and their
 mean length are summed over all shards, so a document has the same score wherever it is stored.
 
-Search: a query's terms are put in the order of their greatest possible contribution in the shard. Postings are read from the
-greatest down only while the rest could still bring a document without any of them to the k-th best score so far. The rest is
-bounded by its maxima in each block of documents; documents whose sum of read postings and of block maxima stays below the
-k-th best are never looked at again, and all others are scored in full. So each shard's k best are exact, and so is their merge.
+Search: a query's terms are put in the order of their greatest possible contribution in the shard, and postings are read from
+the greatest down. The k-th best partial sum bounds the k-th best score from below. What the terms not read yet can add is
+bounded by their maxima in each block of documents; documents whose partial sum and block maxima together stay below the k-th
+best drop out. As soon as scoring the others in full costs less than reading on, that is done, and the remaining postings, those
+of the most frequent terms, are never read. So each shard's k best are exact, and so is their merge.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ from .kernels import counts_of, flat, signed, slices, word_hashes
 
 K1, B = 1.2, 0.75
 BLOCK = 128
+SLACK = 1 + 1e-5
 SHARD_DOCS, SHARD_BYTES = 8192, 32 << 20
-QUERY_BLOCK = 256
+QUERY_BLOCK = 1024
 PIECE = 4 << 20
 
 
@@ -98,25 +100,24 @@ class Shard:
     """A shard in memory: postings by term and, for full scores, by document; block maxima of the frequent terms."""
 
     def __init__(self, raw: bytes, mean: float):
-        self.terms, count, doc, tf, length, self.ids = unpacked(raw, np.uint64, np.uint16, np.uint16, np.uint16, np.uint32, np.int64)
+        self.terms, count, self.doc, tf, length, self.ids = unpacked(raw, np.uint64, np.uint16, np.uint16, np.uint16, np.uint32, np.int64)
         self.count = count.astype(np.int64)
         self.start = np.r_[0, np.cumsum(self.count)]
-        self.doc = doc.astype(np.int64)
-        tf = tf.astype(float)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.doc] / mean))
-        self.top = np.maximum.reduceat(self.impact, self.start[:-1]) if len(self.terms) else np.zeros(0)
+        impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / mean))[self.doc])
+        self.top = np.maximum.reduceat(impact, self.start[:-1]) if len(self.terms) else np.zeros(0)
         self.blocks = -(-len(self.ids) // BLOCK)
-        self.often = np.flatnonzero(self.count >= self.blocks)
-        self.nth = np.full(len(self.terms), -1)
-        self.nth[self.often] = np.arange(len(self.often))
-        self.maxima = np.zeros((len(self.often), self.blocks))
-        for k, t in enumerate(self.often):
+        often = np.flatnonzero(self.count >= self.blocks)
+        self.nth = np.full(len(self.terms), -1, np.int32)
+        self.nth[often] = np.arange(len(often))
+        self.maxima = np.zeros((len(often), self.blocks))
+        for k, t in enumerate(often):
             s = slice(self.start[t], self.start[t + 1])
-            np.maximum.at(self.maxima[k], self.doc[s] // BLOCK, self.impact[s])
+            np.maximum.at(self.maxima[k], self.doc[s] // BLOCK, impact[s])
         order = np.argsort(self.doc, kind="stable")  # terms stay in order within a document
         self.by_doc = np.r_[0, np.cumsum(np.bincount(self.doc, minlength=len(self.ids)))]
-        self.doc_term = np.repeat(np.arange(len(self.terms)), self.count)[order]
-        self.doc_impact = self.impact[order]
+        self.doc_term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.count)[order]
+        self.doc_impact = impact[order]
+        self.impact = impact.astype(np.float32)  # for the partial sums; SLACK covers the rounding
         self.dense = np.zeros(len(self.terms))
 
     def places(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -135,29 +136,29 @@ class Shard:
             return np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-weights * self.top[terms], kind="stable")
         terms, weights = terms[order], weights[order]
-        bound = weights * self.top[terms]
+        bound, counts, nth = weights * self.top[terms], self.count[terms], self.nth[terms]
         rest = np.r_[np.cumsum(bound[::-1])[::-1], 0.0]  # rest[i]: what the terms from i on can add at most
         self.dense[terms] = weights
-        read, least, score = 0, 0.0, np.zeros(len(self.ids))
-        n = min(len(terms), 8)
+        n_docs, mean_terms = len(self.ids), len(self.doc) / len(self.ids)
+        read, score = 0, np.zeros(n_docs)
+        n = max(1, int(np.searchsorted(-rest, -0.6 * rest[0])))
         while True:
-            at = self.places(self.start[terms[read:n]], self.count[terms[read:n]])
-            score += np.bincount(self.doc[at], np.repeat(weights[read:n], self.count[terms[read:n]]) * self.impact[at], len(self.ids))
+            at = self.places(self.start[terms[read:n]], counts[read:n])
+            score += np.bincount(self.doc[at], np.repeat(weights[read:n], counts[read:n]) * self.impact[at], n_docs)
             read = n
-            if read < len(terms):
-                some = np.argpartition(-score, k - 1)[:k] if k < len(score) else np.arange(len(score))
-                sums = self.full(some)
-                least = max(least, float(np.partition(sums, -k)[-k]) if len(sums) >= k else 0.0)
-            # Terms to read on: until what remains cannot reach half the k-th best.
-            n = int(np.searchsorted(-rest, -0.5 * least))
-            if n <= read or read == len(terms):
+            # A partial sum is a lower bound of a score, so the k-th best of them is one of the k-th best score.
+            least = float(np.partition(score, -k)[-k]) / SLACK if n_docs >= k else 0.0
+            if read == len(terms):
+                alive = np.flatnonzero(score * SLACK >= max(least, 1e-12))
                 break
-            n = min(n, len(terms))
-        later = terms[read:]
-        often = self.nth[later] >= 0
-        more = weights[read:][often] @ self.maxima[self.nth[later[often]]] if often.any() else np.zeros(self.blocks)
-        more = np.repeat(more + bound[read:][~often].sum(), BLOCK)[: len(score)]
-        alive = np.flatnonzero((score + more) * (1 + 1e-9) >= max(least, 1e-12))
+            often = nth[read:] >= 0
+            more = weights[read:][often] @ self.maxima[nth[read:][often]] if often.any() else np.zeros(self.blocks)
+            more = np.repeat(more + bound[read:][~often].sum(), BLOCK)[:n_docs]
+            alive = np.flatnonzero((score + more) * SLACK >= max(least, 1e-12))
+            # Full scores where they cost less than reading on.
+            if 2 * len(alive) * mean_terms <= counts[read:].sum():
+                break
+            n = min(len(terms), max(read + 1, int(np.searchsorted(-rest, -0.5 * rest[read]))))
         sums = self.full(alive)
         self.dense[terms] = 0
         best = np.lexsort((self.ids[alive], -sums))[:k]
@@ -208,16 +209,16 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     terms = save(_query_terms(asked), "query_terms")
     wanted = terms.select("term").distinct()
     df = narrow(_shard_terms(index), wanted, "term").groupBy("term").agg(F.sum("n").alias("df"))
-    weighed = terms.join(df, "term").select("query_id", "term", (F.col("n") * F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
+    weighed = terms.join(df, "term").select("query_id", "term", "n", F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
 
     def pack(table: pa.Table) -> pa.Table:
-        q, t, w = (np.asarray(table.column(c)) for c in ("query_id", "term", "w"))
+        q, t, n, idf = (np.asarray(table.column(c)) for c in ("query_id", "term", "n", "idf"))
         order = np.lexsort((t.view(np.uint64), q))
-        q, t, w = q[order], t[order].view(np.uint64), w[order]
+        q, t, n, idf = q[order], t[order].view(np.uint64), n[order], idf[order]
         ids, first = np.unique(q, return_index=True)
-        words, nth = np.unique(t, return_inverse=True)
-        raw = packed(ids, np.r_[first, len(q)].astype(np.int64), words, nth.astype(np.uint32), w.astype(float))
+        words, some, nth = np.unique(t, return_index=True, return_inverse=True)
+        raw = packed(ids, np.r_[first, len(q)].astype(np.int64), words, idf[some].astype(float), nth.astype(np.uint32), n.astype(np.uint32))
         return pa.table({"queries": pa.array([raw], pa.binary())})
 
     blocks = weighed.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block")).applyInArrow(pack, "queries binary")
@@ -237,7 +238,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
                     continue
                 if shard is None:
                     shard, raw = Shard(b"".join(raw), mean), []
-                ids, edge, words, nth, w = unpacked(batch.column("bytes")[i].as_py(), np.int64, np.int64, np.uint64, np.uint32, np.float64)
+                ids, edge, words, idf, nth, count = unpacked(batch.column("bytes")[i].as_py(), np.int64, np.int64, np.uint64, np.float64, np.uint32, np.uint32)
                 where = np.searchsorted(shard.terms, words)
                 there = np.zeros(len(words), bool)
                 inside = where < len(shard.terms)
@@ -246,7 +247,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
                 for q, a, b in zip(ids, edge[:-1], edge[1:]):
                     own = nth[a:b]
                     has = there[own]
-                    found, score = shard.search(where[own[has]], w[a:b][has], k)
+                    found, score = shard.search(where[own[has]], idf[own[has]] * count[a:b][has], k)
                     for o, v in zip(out, (np.full(len(found), q), found, score)):
                         o.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "doc_id", "score"])
