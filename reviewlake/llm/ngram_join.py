@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, narrow, save, texts
@@ -116,15 +116,21 @@ def _shown(rows: DataFrame, n_words: int, percent: int, least: bool) -> DataFram
     return rows.mapInArrow(run, "id long, sig long, full boolean")
 
 
+def sketch_of(tokens: np.ndarray) -> np.ndarray:
+    """The parities of a set's buckets, 64 to a word: as many buckets as the next power of two over its size, 1,024 at least."""
+    size = max(1024, 1 << int(len(tokens)).bit_length())
+    return np.packbits(np.bincount((mix(tokens ^ _ODD[52]) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1, bitorder="little").view(np.int64)
+
+
 def _sizes(rows: DataFrame, n_words: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set in two longs, and its sketch: the parities of its tokens' buckets."""
+    """doc_id, n_shingles, a 128-bit digest of the set in two longs, and its sketch."""
 
     def run(batches):
         for part in slices(batches):
             sets = shingle_sets(*flat(part.column("text")), n_words)
             sums = [np.array([int(f(s).sum()) if len(s) else 0 for s in sets], np.uint64) for f in (lambda s: mix(s + _ODD[50]), lambda s: mix(s ^ _ODD[51]))]
-            bits = [np.packbits(np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).view(np.int64) for s in sets]
-            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * 16, pa.int32()), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
+            bits = [sketch_of(s) for s in sets]
+            sketch = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in bits])], pa.int32()), pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(signed(x)) for x in sums), sketch], ["doc_id", "n_shingles", "d1", "d2", "sketch"])
 
     return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>")
@@ -135,7 +141,13 @@ def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     differ in no more bits than the sets in tokens: no similar pair is lost."""
     at = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     both = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b")
-    apart = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+    def folded(x: str, y: str) -> Column:
+        # Sizes of similar sets differ by a factor under 2; a sketch of twice the buckets is the other's kind once its halves meet.
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(x))
+
+    apart = F.aggregate(F.zip_with(folded("s_a", "s_b"), folded("s_b", "s_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     sizes = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     return both.where(sizes).where(apart <= F.expr(f"(n_a + n_b) * {100 - percent} div {100 + percent}")).select("a", "b").distinct()
 

@@ -6,7 +6,7 @@ import pytest
 
 from reviewlake.llm.common import narrow, parted
 from reviewlake.llm.kernels import mix
-from reviewlake.llm.ngram_join import bands_of, ngram_jaccard, signatures
+from reviewlake.llm.ngram_join import bands_of, ngram_jaccard, signatures, sketch_of
 
 
 def shingles(text):
@@ -84,6 +84,19 @@ def test_pigeonhole():
                 assert len(np.intersect1d(x[0], y[0])) and not np.isin(x[0], hot).any()
 
 
+def test_sketches():
+    """Sketches differ in no more bits than the sets in tokens, also of different sizes."""
+    rng = np.random.default_rng(5)
+    for n in (1, 10, 900, 1000, 1020, 1030, 2500, 40_000):
+        a = np.unique(mix(rng.integers(0, 2**63, n).astype(np.uint64)))
+        b = np.unique(np.concatenate([a[: int(0.9 * n)], mix(rng.integers(0, 2**63, n // 5).astype(np.uint64))]))
+        x, y = sorted((sketch_of(a), sketch_of(b)), key=len)
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        apart = np.unpackbits((x ^ y).view(np.uint8)).sum()
+        assert apart <= len(np.setxor1d(a, b)) and (n < 1000 or apart > 0.6 * len(np.setxor1d(a, b)))
+
+
 def test_narrow(spark):
     rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
     some = rows.where("doc_id % 7 = 0")
