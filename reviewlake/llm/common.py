@@ -42,9 +42,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads that, so a lost executor costs no recomputation."""
+    """Cuts the lineage: writes df as a table in the shared folder and reads that, so a lost executor costs no recomputation.
+
+    The shuffle files behind the table are of no more use. Spark deletes them when the driver's garbage is collected, which
+    a driver with little to do puts off for long, so that is asked for here.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
