@@ -16,7 +16,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import narrow, parted, save, texts
@@ -92,12 +92,12 @@ def _inside(rows: DataFrame, kind: str, length: int, share: int) -> DataFrame:
         return [digit[r], j.astype(np.int64), inner, pa.array(outer, mask=~whole), anchor[r], low, high]
 
     def windows(h, size, x):
-        digit, low, high = x
+        _, low, high = x
         n = high - low + 1
         i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-        return [np.repeat(digit, n), signed(span_hash(h, i, i + length)), i]
+        return [signed(span_hash(h, i, i + length)), i]
 
-    make, names = (bands, ["digit", "band", "inner", "outer", "anchor", "low", "high"]) if kind == "bands" else (windows, ["digit", "whole", "low"])
+    make, names = (bands, ["digit", "band", "inner", "outer", "anchor", "low", "high"]) if kind == "bands" else (windows, ["whole", "low"])
     width = 4 if kind == "bands" else 3
 
     def run(batches):
@@ -139,8 +139,10 @@ def repeated_windows(rows: DataFrame, length: int, share: int) -> DataFrame:
     alive = save(bands.join(_company(bands, keys, "anchor", "outer"), keys), "bands")
     unlike = alive.where("not same").groupBy("cid").agg(F.flatten(F.collect_set(long("digit", "low", "high"))).alias("items"))
     unlike = save(unlike, "unlike")
-    windows = save(_inside(narrow(rows, unlike, "cid").join(unlike, "cid"), "windows", length, share), "windows")
-    single = windows.join(_company(windows, ["digit", "whole"], "low"), ["digit", "whole"])
+    windows = _inside(narrow(rows, unlike, "cid").join(unlike, "cid"), "windows", length, share)
+    # Rows are many and small here, so they are shuffled once: a window's rows meet, and stay if they show two places.
+    seen, places = F.xxhash64("cid", "low"), Window.partitionBy("whole")
+    single = windows.select("cid", "low", (F.min(seen).over(places) != F.max(seen).over(places)).alias("again")).where("again")
     return (
         shared.where("same").select("cid", F.col("first").cast("long").alias("low"), F.col("last").cast("long").alias("high"))
         .union(alive.where("same").select("cid", "low", "high"))
