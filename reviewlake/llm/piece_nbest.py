@@ -119,6 +119,7 @@ class PieceModel:
         ids.append(np.full(len(bare), -1))
         scores.append(np.full(len(bare), self.unknown, np.int64))
         u, v, i, s = map(np.concatenate, (froms, tos, ids, scores))
+        del froms, tos, ids, scores
         order = np.argsort((step[v].astype(np.int64) << 44) | (v << 16) | (i + 1))  # no two edges share a node and an id
         return offset, node_byte, step, u[order], v[order], i[order], s[order]
 
@@ -197,7 +198,7 @@ class PieceModel:
                 continue
             for a, i, s in into[at]:
                 heappush(heap, (-(alpha[a] + g + s), (*path, i), a, g + s))
-        if len(self.lists) > 50_000:
+        if len(self.lists) > 10_000:
             self.lists.clear()
         self.lists[key] = out
         return out
@@ -283,7 +284,7 @@ def encode_nbest(docs: DataFrame, model: str, n: int = 4, id_col: str = "doc_id"
 
     def run(batches):
         coder = PieceModel.at(model)
-        for part in slices(batches, limit=1 << 20):
+        for part in slices(batches, limit=1 << 19):
             rows = [[], [], [], [], []]
             for i, found in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist(), n)):
                 for rank, (score, ids) in enumerate(found, 1):
