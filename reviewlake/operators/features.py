@@ -12,22 +12,25 @@ from pyspark.sql import functions as F
 from ..functions.columns import by, category_tokens, clamp, jaccard, name_tokens, sigmoid, zscore
 from .ranking import top_k
 
-POOL = by("user_id")
 # How the channels are weighted, for the plain mix and for the residual on top of the sequence score.
 PHI_WEIGHTS = {"text": 0.45, "co": 0.25, "hist": 0.20, "seq": 0.10}
 RESIDUAL_WEIGHTS = {"text": 0.25, "co": 0.15, "hist": 0.15, "last_co": 0.25, "cat": 0.20}
 CHANNELS = ("seq", "text", "co", "hist", "last_co", "cat", "pop", "markov", "brand")
 
 
+def pool_window():
+    return by("user_id")
+
+
 def with_zscores(pool: DataFrame, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
     """Adds z_<channel> within each user's pool; a channel that does not vary, or is missing, is 0."""
     have = {c: F.coalesce(F.col(c), F.lit(0.0)) if c in pool.columns else F.lit(0.0) for c in channels}
-    return pool.withColumns({f"z_{c}": zscore(x, POOL) for c, x in have.items()})
+    return pool.withColumns({f"z_{c}": zscore(x, pool_window()) for c, x in have.items()})
 
 
 def mix_channels(z: DataFrame, weights: dict[str, float] = PHI_WEIGHTS) -> DataFrame:
     """Adds phi: the weighted z-scores, weights renormalised over the channels that vary in the user's pool."""
-    live = {c: F.max(F.abs(f"z_{c}")).over(POOL) > 0 for c in weights}
+    live = {c: F.max(F.abs(f"z_{c}")).over(pool_window()) > 0 for c in weights}
     total = sum((F.when(live[c], w).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
     mixed = sum((F.when(live[c], F.lit(w) * F.col(f"z_{c}")).otherwise(0.0) for c, w in weights.items()), F.lit(0.0))
     return z.withColumn("phi", F.when(total > 0, mixed / total).otherwise(0.0))
@@ -42,7 +45,7 @@ def mix_residual(z: DataFrame, alpha: float = 0.15, weights: dict[str, float] =
 def ltr_features(z: DataFrame, tail_rank: int = 20) -> DataFrame:
     """Adds the 21 features of the listwise model; z has rank and z-scores of all channels."""
     tail = F.when(F.col("rank") > tail_rank, 1.0).otherwise(0.0)
-    tenth = F.max(F.when(F.col("rank") == 10, F.col("z_seq"))).over(POOL)
+    tenth = F.max(F.when(F.col("rank") == 10, F.col("z_seq"))).over(pool_window())
     unpop = F.col("z_cat") * -F.col("z_pop")
     out = {
         "neg_log_rank": -F.log(F.col("rank").cast("double")), "inv_rank": 1.0 / F.col("rank"), **{f"z_{c}": F.col(f"z_{c}") for c in CHANNELS},
@@ -126,7 +129,7 @@ def rank_penalty(rank: Column, head_n: int = 20) -> Column:
 
 
 def rank_residual(rows: DataFrame, beta: float) -> DataFrame:
-    return rows.withColumn("score", -F.log(F.col("rank").cast("double")) + beta * zscore(F.col("residual"), POOL))
+    return rows.withColumn("score", -F.log(F.col("rank").cast("double")) + beta * zscore(F.col("residual"), pool_window()))
 
 
 def greedy_swaps(pool: DataFrame, head_n: int = 20, focus_k: int = 50, tau: float = 0.25, gamma: float = 0.0, most: int = 10) -> DataFrame:
@@ -135,7 +138,7 @@ def greedy_swaps(pool: DataFrame, head_n: int = 20, focus_k: int = 50, tau: floa
     over gamma. A user's pool is a short list, and each swap depends on the one before."""
     kept = pool.where(F.col("rank") <= focus_k)
 
-    def swap(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def swap(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", ignore_index=True)
         phi, order = pdf["phi"].to_numpy(), np.arange(len(pdf))
         h = min(head_n, len(pdf))
@@ -201,14 +204,14 @@ def boosted(pool: DataFrame, boosts: DataFrame, scale: float = 0.05) -> DataFram
 
 def weighted_window(pool: DataFrame, weights: dict[str, float], cap: int) -> DataFrame:
     """The first `cap` items by the weighted z-scores of some columns, ties by phi, then item."""
-    score = sum((F.lit(w) * zscore(F.coalesce(F.col(c), F.lit(0.0)), POOL) for c, w in weights.items()), F.lit(0.0))
+    score = sum((F.lit(w) * zscore(F.coalesce(F.col(c), F.lit(0.0)), pool_window()) for c, w in weights.items()), F.lit(0.0))
     return top_k(pool.drop("rank").withColumn("score", score), cap, ["user_id"], [F.desc(F.round("score", 9)), F.desc("phi"), "item"])
 
 
 def lexical_picks(pool: DataFrame, k: int, displaced_from: int, delta_in: int = 1, delta_out: int = 2, band: tuple[int, int] = (11, 40), min_hits: int = 0) -> DataFrame:
     """Items beyond the head (places over displaced_from) whose hits exceed the best of the k places that picks displace by
     delta_in within the band of places, by delta_out outside; the k best by hits, then place, then item."""
-    shown = F.max(F.when((F.col("rank") <= displaced_from) & (F.col("rank") > displaced_from - k), F.col("hits"))).over(POOL)
+    shown = F.max(F.when((F.col("rank") <= displaced_from) & (F.col("rank") > displaced_from - k), F.col("hits"))).over(pool_window())
     delta = F.when(F.col("rank").between(*band), delta_in).otherwise(delta_out)
     need = F.when(shown.isNull(), F.greatest(F.lit(1), delta, F.lit(min_hits))).otherwise(F.greatest(F.lit(min_hits), shown + delta))
     rows = pool.withColumn("_need", need).where((F.col("rank") > displaced_from) & (F.col("hits") >= F.col("_need"))).withColumnRenamed("rank", "old")
@@ -218,7 +221,7 @@ def lexical_picks(pool: DataFrame, k: int, displaced_from: int, delta_in: int =
 def block_report(rows: DataFrame, head_n: int = 20, focus_k: int = 50) -> DataFrame:
     """rows: user_id, item, rank, score, label. A row per user: recall at focus_k by score, the best gold place, and gold items
     of the tail (beyond head_n) that the score brings into focus."""
-    placed = rows.withColumn("place", F.row_number().over(POOL.orderBy(F.desc("score"), "rank")))
+    placed = rows.withColumn("place", F.row_number().over(pool_window().orderBy(F.desc("score"), "rank")))
     gold = F.col("label") == 1
     return placed.groupBy("user_id").agg(
         F.count_if(gold).alias("n_gold"), (F.count_if(gold & (F.col("place") <= focus_k)) / F.nullif(F.count_if(gold), F.lit(0))).alias("recall"), F.min(F.when(gold, F.col("place"))).alias("best_place"),
