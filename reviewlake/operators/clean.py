@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import shared_dir
+
 
 def in_period(rows: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
     """Rows with ts in the closed interval; None leaves a side open."""
@@ -23,12 +25,14 @@ def dedup_earliest(rows: DataFrame, keys: tuple[str, ...] = ("user_id", "item"))
 def k_core(rows: DataFrame, k: int, save=None, max_rounds: int = 100) -> DataFrame:
     """Drops rows of users or items with fewer than k rows, both counted on the same state, until none is left to drop.
 
-    save: cuts the lineage of a round (a function DataFrame -> DataFrame); by default a reliable checkpoint where the session
-    has a folder for it, else the plan simply grows.
+    save: cuts the lineage of a round (a function DataFrame -> DataFrame); by default a reliable checkpoint in the folder that
+    the cluster shares.
     """
     if k <= 1:
         return rows
-    keep = save or (lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache())
+    if save is None:
+        rows.sparkSession.sparkContext.setCheckpointDir(shared_dir(rows.sparkSession))
+    keep = save or (lambda df: df.checkpoint())
     n = rows.count()
     for _ in range(max_rounds):
         users = rows.groupBy("user_id").count().where(F.col("count") >= k).select("user_id")

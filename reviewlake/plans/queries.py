@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.session import shared_dir
 from ..operators import clean, covisit, features, graph, metrics, quality, ranking, sequence, signals, text
 from . import recommend
 from . import tables as T
@@ -738,3 +739,80 @@ def batches(spark, d):
     from ..operators.inference import form_batches
 
     return form_batches(T.signals(spark, d).select("user_id", "ts", F.col("helpful").alias("cost")), 8, 400).groupBy("batch").agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ the second stage and streams
+@query()
+def second_stage(spark, d):
+    from .rerank import second_stage as plan
+
+    g = T.signals(spark, d)
+    stage1 = signal_pool(spark, d).select("user_id", "item", "rank", (F.col("n") / 10.0).alias("score"))
+    texts = text.category_profile(g, T.items(spark, d)).groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("category")), " ").alias("text"))
+    boosts = covisit.coitem_scores(g.where("length(item) = 1"), g, covisit.covisit_edges(g))
+    return plan(stage1, boosts, texts, T.items(spark, d)).select("user_id", "item", "rank")
+
+
+@query(f"WITH {G}, {POOL} SELECT count(*) AS near_misses, count(*) FILTER (WHERE r2 > 30) AS shortlist_miss, count(*) FILTER (WHERE r2 <= 30 AND r2 > 15) AS pick_miss, count(*) FILTER (WHERE r2 <= 15 AND r2 > 10) AS placement_miss, count(*) FILTER (WHERE r2 <= 10) AS rescued FROM pool WHERE item IN ('7', '23', '42') AND rank BETWEEN 11 AND 100")
+def funnel_audit(spark, d):
+    from ..operators.rerank import funnel_audit as audit
+
+    p = signal_pool(spark, d)
+    other = _other(p)
+    return audit(p.where(F.col("item").isin("7", "23", "42")).select("user_id", "item"), p, other.where("rank <= 30"), other.where("rank <= 15"), other)
+
+
+@query(f"WITH {G}, {POOL} SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN rank BETWEEN 11 AND 20 THEN 0 ELSE 1 END, CASE WHEN rank BETWEEN 11 AND 20 THEN rank END, r2 DESC, rank) AS rank FROM pool QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN rank BETWEEN 11 AND 20 THEN 0 ELSE 1 END, CASE WHEN rank BETWEEN 11 AND 20 THEN rank END, r2 DESC, rank) <= 15")
+def focus_list(spark, d):
+    from ..operators.rerank import focus
+
+    return ranked(focus(signal_pool(spark, d).select("user_id", "item", "rank", F.col("r2").alias("hits")), 15))
+
+
+@query(f"WITH {G}, {POOL} SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN r2 <= 5 THEN r2 END NULLS LAST, n DESC, item) AS rank FROM pool WHERE length(item) = 2")
+def repaired_list(spark, d):
+    from ..operators.rerank import repaired
+
+    p = signal_pool(spark, d)
+    return ranked(repaired(_other(p).where("rank <= 5"), p.select("user_id", "item", F.col("n").alias("total")), p.where("length(item) = 2")))
+
+
+@query(f"WITH {G}, {SENT} SELECT item, CAST(count(*) AS INT) AS n_aspects, round(max(e_hat) FILTER (WHERE aspect = 'a1'), 6) AS a1 FROM eh GROUP BY 1")
+def aspect_maps(spark, d):
+    from ..operators.rerank import aspect_maps as maps
+
+    m = maps(signals.item_sentiment(T.signals(spark, d)))
+    return m.select("item", F.size("scores").alias("n_aspects"), F.round(F.try_element_at("e_hats", F.lit("a1")), 6).alias("a1"))
+
+
+@query(f"""WITH {INTEREST}, vv AS (SELECT CAST(vec_id AS VARCHAR) AS key, embedding AS e FROM embeddings), mv AS (SELECT user_id, i AS dim, sum(x) AS x FROM (SELECT user_id, i, gamma * e[i] AS x FROM it JOIN vv ON vv.key = substr(aspect, 2), range(1, 65) t(i) UNION ALL SELECT key, i, e[i]::DOUBLE FROM vv, range(1, 65) t(i)) GROUP BY 1, 2),
+  cc AS (SELECT u.user_id, v.item FROM (SELECT DISTINCT user_id FROM g) u, (SELECT DISTINCT item FROM g WHERE length(item) = 1) v), sc AS (SELECT user_id, item, coalesce((SELECT sum(x * e[dim]) FROM mv, vv WHERE mv.user_id = cc.user_id AND vv.key = cc.item AND cc.user_id IN (SELECT key FROM vv)), 0) AS s FROM cc)
+  SELECT user_id, item, round(CASE WHEN max(s) OVER w - min(s) OVER w < 1e-12 THEN 0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END, 5) AS score FROM sc WINDOW w AS (PARTITION BY user_id)""")
+def adjusted_scores(spark, d):
+    from ..operators.rerank import adjusted_scores as adjusted
+
+    g, v = T.signals(spark, d), T.vectors(spark, d).select(F.col("item").alias("key"), "vector")
+    aspects = v.where("cast(key as int) < 8").select(F.concat(F.lit("a"), "key").alias("key"), "vector")
+    gammas = signals.interest_scores(g, T.queries_at(g)).select("user_id", "aspect", "gamma")
+    return adjusted(_crossed(g), v, v, aspects, gammas).select("user_id", "item", F.round("score", 5).alias("score"))
+
+
+@query(f"""WITH {G}, l AS (SELECT user_id, aspect, max(ts) AS last FROM g GROUP BY 1, 2) SELECT g.user_id, g.aspect, round(sum(abs(polarity) * exp(-0.01 * (last - ts) / 86400000000.0::DOUBLE)), 6) AS interest, last AS ts FROM g JOIN l USING (user_id, aspect) GROUP BY g.user_id, g.aspect, last""")
+def streamed_interest(spark, d):
+    """The events as a stream, to its end: each (user, aspect)'s interest as of its last event, from the state's last update."""
+    import uuid
+
+    from ..streaming.decay import decayed_interest
+
+    home = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    events = spark.readStream.schema(T.table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    signal = T.as_signals(events).select("user_id", "aspect", "polarity", "ts")
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{home}/updates/batch={n}")
+
+    q = decayed_interest(signal).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    schema = "user_id string, aspect string, interest double, gamma double, ts long, batch int"
+    last = spark.read.schema(schema).parquet(f"{home}/updates").groupBy("user_id", "aspect").agg(F.max_by(F.struct("interest", "ts"), "batch").alias("s"))
+    return last.select("user_id", "aspect", F.round("s.interest", 6).alias("interest"), F.col("s.ts").alias("ts"))

@@ -22,15 +22,19 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as aspect signals of users about items."""
+def as_signals(events: DataFrame) -> DataFrame:
+    """Events, of a table or a stream, as aspect signals of users about items."""
     polarity = F.when(F.col("event_type") == "purchase", 1.0).when(F.col("event_type") == "click", 0.5).when(F.col("event_type") == "signup", 0.25).when(F.col("event_type") == "error", -1.0).otherwise(0.0)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").cast("string").alias("user_id"), F.get_json_object("props", "$.k").alias("item"), F.concat(F.lit("a"), (F.col("event_id") % 8).cast("string")).alias("aspect"), polarity.alias("polarity"),
         F.floor("value").cast("int").alias("helpful"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.col("event_id").alias("row_id"),
     )
 
 
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_signals(table(spark, sf_dir, "events"))
+
+
 def queries_at(signal: DataFrame, ts: int = QUERY_TS) -> DataFrame:
     return signal.select("user_id").distinct().withColumn("query_ts", F.lit(ts).cast("long"))
 

@@ -286,6 +286,25 @@ def test_models(spark):
     assert in_order(repair_rounds(pool(spark, *"abc"), lambda r: r.where("item = 'b'"))) == ["a", "c"]
 
 
+def test_second_stage(spark):
+    from reviewlake.operators import rerank as R
+    from reviewlake.plans.rerank import second_stage
+
+    stage1 = spark.createDataFrame([(u, f"i{n}", n, 1.0 / n) for u in "uv" for n in range(1, 16)], "user_id string, item string, rank int, score double")
+    meta = spark.createDataFrame([(f"i{n}", "gentle night serum" if n == 12 else "plain thing", "x") for n in range(1, 16)], "item string, name string, categories string")
+    texts = spark.createDataFrame([("u", "a gentle serum for the night"), ("v", " ")], "user_id string, text string")
+    got = second_stage(stage1, stage1.limit(0).select("user_id", "item", "score"), texts, meta, pool_k=15)
+    lists = {u: [r.item for r in got.where(F.col("user_id") == u).orderBy("rank").collect()] for u in "uv"}
+    plain = [f"i{n}" for n in range(1, 16)]
+    assert lists["v"] == plain and lists["u"] == [*plain[:9], "i12", "i10", "i11", "i13", "i14", "i15"]
+    cards = spark.createDataFrame([("u", "a", 1, 9, 6, True, "x"), ("u", "b", 2, 7, 6, True, "x"), ("u", "c", 3, 9, 1, False, "x"), ("u", "d", 4, 9, 1, True, " "), ("u", "e", 5, 8, 6, True, "y")], "user_id string, item string, place int, fit int, displacee_fit int, beats_displacee boolean, evidence string")
+    assert in_order(R.scorecard_picks(cards, 2)) == ["a", "e"]
+    cases = spark.createDataFrame([("u", 1), ("v", 1), ("w", 1)], "user_id string, query_ts long")
+    kept = spark.createDataFrame([("u", 1, "text", True), ("v", 1, " ", True), ("w", 1, "text", False)], "user_id string, ts long, text string, has_reviews boolean")
+    assert listed(R.eligible(cases, kept), "user_id") == [("u",)] and R.eligible(cases, kept, True).count() == 3
+    assert one(spark, R.token_budget(F.array(F.lit(10), F.lit(20))).alias("x")).x == 604
+
+
 def test_plans(spark):
     data = rows(spark, *((f"u{u}", f"i{(u * 7 + i * (u % 3 + 1)) % 12}", i * DAY + u, 1.0) for u in range(12) for i in range(12)))
     split = recommend.build_dataset(data, k=2, min_history=1)
