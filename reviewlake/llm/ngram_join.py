@@ -7,9 +7,10 @@ one-deletion neighbourhoods of segments (1 more), then single tokens (the rest).
 capacity, so a set takes the cheapest slots that suffice. Of two sets the one with the shorter list of slots proves the pair:
 if they share no signature, they differ in more than H tokens.
 
-Cost also depends on how many sets show a signature. Signatures of more than `hot` sets that are not all linked are given up:
-the sets that show them are allocated anew, without those, and only among themselves; what counts as hot grows with each round. A set that has no slots left is compared
-within its hot groups with every set of another component, so no link is lost.
+Cost also depends on how many sets show a signature. Signatures of more than `hot` sets that are not all linked prove nothing
+that can be checked cheaply, so the sets that show them are allocated anew among themselves: such a signature is still shown, but
+counts as no capacity, and further slots make up for it. What counts as hot grows with each round. A set that has no slots left
+is compared, within its hot groups, with every set of another component, so no link is lost.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def bands_of(n: int, percent: int) -> list[int]:
 
 
 def signatures(tokens: np.ndarray, band: int, percent: int, hot: np.ndarray | None = None) -> tuple[np.ndarray, bool]:
-    """The signatures that a set shows in a band, and whether its capacity suffices. hot: sorted signatures to do without."""
+    """The signatures that a set shows in a band, and whether its capacity suffices. hot: signatures that count as no capacity."""
     n, top = len(tokens), int(np.ceil(BAND ** (band + 1))) - 1
     partner = max(n, min(n * 100 // percent, top))
     need = (100 - percent) * (n + partner) // (100 + percent) + 1
@@ -66,31 +67,27 @@ def signatures(tokens: np.ndarray, band: int, percent: int, hot: np.ndarray | No
     total = np.add.reduceat(value, first)
     name = lambda sums, places: mix(mix(sums) + places * _ODD[40] + salt)
     whole = name(total, place[first])
-    if hot is None:
-        if len(whole) >= need:
-            return whole[:need], True
-        cold = np.ones(len(whole), bool)
-    else:
-        cold = ~np.isin(whole, hot)
-        taken = np.searchsorted(np.cumsum(cold), need) + 1
-        if cold.sum() >= need:
-            return whole[:taken][cold[:taken]], True
-    have, out = int(cold.sum()), [whole[cold]]
+    cold = np.ones(len(whole), bool) if hot is None else ~np.isin(whole, hot)
+    have = int(cold.sum())
+    if have >= need:
+        return whole[: int(np.searchsorted(np.cumsum(cold), need)) + 1], True
+    out = [whole]
     nth = np.repeat(np.arange(len(first)), size)
     less = name(total[nth] - value, place)
     single = name(value, place)
     fit = np.ones(n, bool) if hot is None else ~np.isin(less, hot)
     alone = np.ones(n, bool) if hot is None else ~np.isin(single, hot)
     # A segment's capacity grows to 2 by deletions, if none of them is hot, and to its number of cold tokens by single tokens.
-    second = cold & (size >= 2) & (np.minimum.reduceat(fit, first))
     capacity = cold.astype(int)
-    for rows, mask, reach in ((less, fit & (size[nth] >= 2), np.where(second, 2, capacity)), (single, alone, np.maximum(np.where(second, 2, capacity), np.add.reduceat(alone.astype(int), first)))):
+    pairs = np.where(cold & (size >= 2) & np.minimum.reduceat(fit, first), 2, capacity)
+    tokens_ = np.maximum(pairs, np.add.reduceat(alone.astype(int), first))
+    for rows, shown, reach in ((less, size[nth] >= 2, pairs), (single, np.ones(n, bool), tokens_)):
         more = np.cumsum(reach - capacity)
-        last = int(np.searchsorted(more, need - have)) if len(more) else 0
-        out.append(rows[(nth <= last) & mask])
-        if len(more) and more[-1] >= need - have:
+        last = int(np.searchsorted(more, need - have))
+        out.append(rows[(nth <= last) & shown])
+        if more[-1] >= need - have:
             return np.concatenate(out), True
-        have, capacity = have + (int(more[-1]) if len(more) else 0), reach
+        have, capacity = have + int(more[-1]), reach
     return np.concatenate(out), False
 
 
@@ -223,7 +220,7 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, reps: DataFrame, n_words: in
         new = check(others.distinct(), f"others{rounds}")
         if not new.isEmpty():
             links, labels = links.union(new), _merged(labels, new)
-        # 4. Hot signatures whose sets are still apart are given up by their sets.
+        # 4. Hot signatures whose sets are still apart.
         large = groups.where(F.col("n") > hot).select(F.col("g").alias("sig"), "id", "full")
         at = labels.select(F.col("node").alias("id"), "component")
         large = large.join(at, "id", "left").withColumn("c", F.coalesce("component", "id"))
@@ -233,11 +230,14 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, reps: DataFrame, n_words: in
         if not rest.isEmpty():  # no slots left: whoever is in such a group meets all of other components
             new = check(_across(given.join(rest, "sig", "left_semi").select("sig", "id"), labels, "sig"), f"rest{rounds}")
             links, labels = links.union(new), _merged(labels, new)
-        fresh = given.where("full").select("sig", "id")
+        known = given.select("sig", "id").distinct()
+        fresh = known if bans is None else save(known.join(bans, ["sig", "id"], "left_anti"), f"fresh{rounds}")
         if fresh.isEmpty():
             return links
-        bans = save(fresh if bans is None else bans.union(fresh).distinct(), f"bans{rounds}")
-        lists = save(bans.join(fresh.select("id").distinct(), "id", "left_semi").groupBy(F.col("id").alias("doc_id")).agg(F.collect_set("sig").alias("hot")), f"lists{rounds}")
+        bans = save(known if bans is None else bans.union(fresh), f"bans{rounds}")
+        # All sets of a signature that is new to one of them go on, each with all that it has shown in vain.
+        ids = known.join(fresh.select("sig").distinct(), "sig", "left_semi").select("id").distinct()
+        lists = save(bans.join(ids, "id", "left_semi").groupBy(F.col("id").alias("doc_id")).agg(F.collect_set("sig").alias("hot")), f"lists{rounds}")
         active, rounds, hot = narrow(docs, lists).join(lists, "doc_id"), rounds + 1, 4 * hot
 
 
