@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, narrow, save, texts
@@ -183,24 +183,89 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return save(known.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
 
 
-def _across(groups: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """groups: key, id. The pairs of a group's members in different components: only groups of several components are looked
-    at, and there members outside the component of the most members meet the others."""
+def _apart_groups(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """groups (g, id) with their components c, of the groups that have members in several."""
     at = labels.select(F.col("node").alias("id"), "component")
-    rows = groups.select(key, "id").join(at, "id", "left").select(key, "id", F.coalesce("component", "id").alias("c"))
-    split = rows.groupBy(key).agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low <> _high").select(key)
-    rows = save(rows.join(split, key), "several")
-    main = rows.groupBy(key, "c").count().groupBy(key).agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-    out = rows.join(main, key).where("c <> main").select(key, F.col("id").alias("x"), F.col("c").alias("cx"), "main")
-    met = out.join(rows.select(key, F.col("id").alias("y"), F.col("c").alias("cy")), key).where("cx <> cy and (cy = main or x < y)")
+    whole = Window.partitionBy("g")
+    rows = groups.join(at, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+    return rows.withColumn("_apart", F.min("c").over(whole) != F.max("c").over(whole)).where("_apart").drop("_apart")
+
+
+def close_pairs(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a group's members in different components that sizes and sketches allow, see _possible()."""
+    order = np.argsort(sizes, kind="stable")
+    ids, labels, sizes = ids[order], labels[order], sizes[order]
+    sketches = [sketches[i].view(np.uint64) for i in order]
+    width = np.array([len(x) for x in sketches])
+    found = [[], []]
+    for w in np.unique(width):
+        same = np.flatnonzero(width == w)
+        for mine, step in ((same, 1), (np.flatnonzero(width == 2 * w), 2)):
+            if not len(mine):
+                continue
+            left = np.stack([sketches[i] for i in same])
+            right = np.stack([sketches[i] for i in mine])
+            right = right if step == 1 else right[:, :w] ^ right[:, w:]
+            for at in range(0, len(same), max(1, (1 << 20) // (len(mine) * w))):  # blocks of 8 MB
+                block = same[at : at + max(1, (1 << 20) // (len(mine) * w))]
+                apart = np.bitwise_count(left[at : at + len(block), None, :] ^ right[None, :, :]).sum(-1, dtype=np.int64)
+                x, y = sizes[block][:, None], sizes[mine][None, :]
+                ok = (apart <= (100 - percent) * (x + y) // (100 + percent)) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (labels[block][:, None] != labels[mine][None, :])
+                i, j = np.nonzero(ok)
+                i, j = ids[block[i]], ids[mine[j]]
+                keep = (i < j) if step == 1 else np.ones(len(i), bool)
+                found[0].append(np.minimum(i, j)[keep])
+                found[1].append(np.maximum(i, j)[keep])
+    return tuple(np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
+
+
+def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """groups: g, id, of bounded size. The pairs (a, b) of members in different components that may be similar, group by group."""
+
+    def run(batches):
+        held: list = []
+
+        def close():
+            a, b = close_pairs(*(np.array(x) for x in list(zip(*held))[1:4]), [h[4] for h in held], percent)
+            pairs = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+        for batch in batches:
+            sketch = batch.column("sketch")
+            edge, bits = np.asarray(sketch.offsets), np.asarray(sketch.values)
+            for k, row in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "id", "c", "n_shingles")))):
+                if held and held[0][0] != row[0]:
+                    yield close()
+                    held = []
+                held.append((*row, bits[edge[k] : edge[k + 1]]))
+        if held:
+            yield close()
+
+    rows = _apart_groups(groups.select("g", "id"), labels).join(sets.select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "id")
+    return rows.repartition("g").sortWithinPartitions("g").select("g", "id", "c", "n_shingles", "sketch").mapInArrow(run, "a long, b long").distinct()
+
+
+def _all_across(groups: DataFrame) -> DataFrame:
+    """groups: g, id, c. The pairs of a group's members outside the component of the most members with the others, of any size."""
+    main = groups.groupBy("g", "c").count().groupBy("g").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
+    out = groups.join(main, "g").where("c <> main").select("g", F.col("id").alias("x"), F.col("c").alias("cx"), "main")
+    met = out.join(groups.select("g", F.col("id").alias("y"), F.col("c").alias("cy")), "g").where("cx <> cy and (cy = main or x < y)")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def jaccard_links(docs: DataFrame, sets: DataFrame, reps: DataFrame, n_words: int, percent: int, hot: int) -> DataFrame:
-    """Links (a, b) between docs (doc_id, text) with ids in reps (doc_id): enough of them for exact components, each verified."""
-    check = lambda pairs, name: _verified(pairs, docs, sets, n_words, percent, name)
-    links = labels = bans = None
+    """Labels (node, component) of docs (doc_id, text) with ids in reps (doc_id), by verified links; without links no label."""
+    labels = bans = None
     active, rounds = narrow(docs, reps), 0
+
+    def link(pairs: DataFrame, name: str) -> None:
+        nonlocal labels
+        new = _verified(pairs, docs, sets, n_words, percent, f"{name}{rounds}")
+        if labels is None:
+            labels = components(new)
+        elif not new.isEmpty():
+            labels = _merged(labels, new)
+
     while True:
         # 1. Who shows what: of a signature the smallest id leads. Groups with the same members are one group.
         by = "partition by sig"
@@ -209,39 +274,33 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, reps: DataFrame, n_words: in
         ).where("lead <> last and (n > 2 or id <> lead)")
         key = F.when(F.col("n") > hot, F.col("sig")).otherwise(F.xxhash64("lead", "last", "n", "mark"))
         groups = save(seen.groupBy(key.alias("g"), "id", "lead", "n").agg(F.count("*").alias("weight"), F.min("full").alias("full")), f"groups{rounds}")
-        # 2. Each id meets the leader with which it shares most.
-        pairs = save(groups.where("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.sum("weight").alias("weight")), f"pairs{rounds}")
-        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("weight", (-F.col("a")).alias("first"))).alias("a")).select("a", "b")
-        new = check(best if labels is None else _apart(best, labels).select("a", "b"), f"best{rounds}")
-        links, labels = (new, components(new)) if labels is None else (links.union(new), _merged(labels, new))
+        # 2. Each id meets the leader with which it shares most, then its other leaders if they are still apart.
+        pairs = groups.where("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.sum("weight").alias("weight"))
+        if labels is None:
+            link(pairs.groupBy("b").agg(F.max_by("a", F.struct("weight", (-F.col("a")).alias("first"))).alias("a")).select("a", "b"), "best")
         # 3. Members of a group that are still apart meet, unless it is a hot one.
-        small = groups.where(F.col("n").between(3, hot))
-        others = _apart(pairs.select("a", "b").exceptAll(best), labels).select("a", "b").union(_across(small, labels, "g"))
-        new = check(others.distinct(), f"others{rounds}")
-        if not new.isEmpty():
-            links, labels = links.union(new), _merged(labels, new)
+        link(_apart(pairs, labels).select("a", "b").union(_across(groups.where(F.col("n").between(3, hot)), labels, sets, percent)).distinct(), "others")
         # 4. Hot signatures whose sets are still apart.
-        large = groups.where(F.col("n") > hot).select(F.col("g").alias("sig"), "id", "full")
-        at = labels.select(F.col("node").alias("id"), "component")
-        large = large.join(at, "id", "left").withColumn("c", F.coalesce("component", "id"))
-        apart = large.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
-        given = save(large.join(apart, "sig").select("sig", "id", "full"), f"given{rounds}")
-        rest = given.where("not full").select("sig").distinct()
-        if not rest.isEmpty():  # no slots left: whoever is in such a group meets all of other components
-            new = check(_across(given.join(rest, "sig", "left_semi").select("sig", "id"), labels, "sig"), f"rest{rounds}")
-            links, labels = links.union(new), _merged(labels, new)
-        known = given.select("sig", "id").distinct()
-        fresh = known if bans is None else save(known.join(bans, ["sig", "id"], "left_anti"), f"fresh{rounds}")
+        given = save(_apart_groups(groups.where(F.col("n") > hot).select("g", "id", "full"), labels), f"given{rounds}")
+        stuck = given.where("not full").select("g").distinct()
+        if not stuck.isEmpty():  # no slots left: whoever is in such a group meets all of other components
+            link(_all_across(given.join(stuck, "g", "left_semi")), "rest")
+        known = given.select(F.col("g").alias("sig"), "id").distinct()
+        if bans is None:
+            fresh, ids = known, None
+        else:
+            # All sets of a signature that is new to one of them go on, each with all that it has shown in vain.
+            fresh = save(known.join(bans, ["sig", "id"], "left_anti"), f"fresh{rounds}")
+            ids = known.join(fresh.select("sig").distinct(), "sig", "left_semi").select("id").distinct()
         if fresh.isEmpty():
-            return links
-        bans = save(known if bans is None else bans.union(fresh), f"bans{rounds}")
-        # All sets of a signature that is new to one of them go on, each with all that it has shown in vain.
-        ids = known.join(fresh.select("sig").distinct(), "sig", "left_semi").select("id").distinct()
-        lists = save(bans.join(ids, "id", "left_semi").groupBy(F.col("id").alias("doc_id")).agg(F.collect_set("sig").alias("hot")), f"lists{rounds}")
+            return labels
+        bans = fresh if bans is None else save(bans.union(fresh), f"bans{rounds}")
+        going = bans if ids is None else bans.join(ids, "id", "left_semi")
+        lists = save(going.groupBy(F.col("id").alias("doc_id")).agg(F.collect_set("sig").alias("hot")), f"lists{rounds}")
         active, rounds, hot = narrow(docs, lists).join(lists, "doc_id"), rounds + 1, 4 * hot
 
 
-def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 75, hot: int = 64) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 75, hot: int = 1024) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
     Words are runs of bytes other than ASCII white space, A-Z in lower case. A document's set holds its distinct shingles of
@@ -255,6 +314,10 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     real = sets.where("n_shingles > 0 and doc_id is not null")
     reps = real.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     copies = save(real.join(reps, ["n_shingles", "d1", "d2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b")), "copies")
-    links = jaccard_links(rows.where("doc_id is not null"), real, copies.select(F.col("a").alias("doc_id")), n_words, percent, hot)
-    found = components(links.union(copies.where("a <> b")))
-    return sets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    labels = jaccard_links(rows.where("doc_id is not null"), real, copies.select(F.col("a").alias("doc_id")), n_words, percent, hot)
+    if copies.groupBy("b").count().where("count > 1").isEmpty():
+        found = copies.join(labels, copies.a == labels.node, "left").select(F.col("b").alias("doc_id"), F.coalesce("component", "a").alias("component"))
+    else:  # an id with several texts joins their components
+        all_links = copies.where("a <> b").union(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).where("a <> b"))
+        found = components(all_links).withColumnRenamed("node", "doc_id")
+    return sets.join(found.distinct(), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -6,7 +6,7 @@ import pytest
 
 from reviewlake.llm.common import narrow, parted
 from reviewlake.llm.kernels import mix
-from reviewlake.llm.ngram_join import bands_of, ngram_jaccard, signatures, sketch_of
+from reviewlake.llm.ngram_join import bands_of, close_pairs, ngram_jaccard, signatures, sketch_of
 
 
 def shingles(text):
@@ -53,7 +53,7 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "n", "hot"), [(1, 250, 64), (2, 250, 4)])
+@pytest.mark.parametrize(("seed", "n", "hot"), [(1, 250, 1024), (2, 250, 4), (3, 250, 24)])
 def test_against_brute_force(spark, seed, n, hot):
     rows = corpus(seed, n)
     df = spark.createDataFrame([(i, t, 7, "s") for i, t in rows], "doc_id long, text string, id long, sig string")
@@ -97,6 +97,23 @@ def test_sketches():
         assert apart <= len(np.setxor1d(a, b)) and (n < 1000 or apart > 0.6 * len(np.setxor1d(a, b)))
 
 
+def test_close_pairs():
+    rng = np.random.default_rng(7)
+    base = mix(rng.integers(0, 2**63, 2000).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[: rng.integers(900, 1500)], mix(rng.integers(0, 2**63, rng.integers(0, 300)).astype(np.uint64))])) for _ in range(40)]
+    ids, labels = np.arange(40)[::-1].copy(), np.arange(40) % 3
+    a, b = close_pairs(ids, labels, np.array([len(x) for x in sets]), [sketch_of(x) for x in sets], 75)
+    got = set(zip(a.tolist(), b.tolist()))
+    assert len(got) == len(a)
+    for i in range(40):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if labels[i] != labels[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                assert (min(ids[i], ids[j]), max(ids[i], ids[j])) in got
+            elif labels[i] == labels[j]:
+                assert (min(ids[i], ids[j]), max(ids[i], ids[j])) not in got
+
+
 def test_narrow(spark):
     rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
     some = rows.where("doc_id % 7 = 0")
