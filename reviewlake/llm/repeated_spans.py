@@ -168,16 +168,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # A text stands for its copies: the digits of one are those of all.
     # Copies that come along do no harm, as a cid's places count once.
     some = narrow(long_rows.where("doc_id is not null"), contents.select(F.col("least").alias("doc_id"))).union(long_rows.where("doc_id is null")).select("cid", "text")
-    spans = repeated_windows(some, length, share).groupBy("cid").agg(F.flatten(F.collect_set(F.array("low", "high"))).alias("spans"))
+    found = repeated_windows(some, length, share)
+    ranges = F.flatten(F.collect_set(F.when(F.col("low") < F.col("high"), F.array(F.col("low").cast("int"), F.col("high").cast("int")))))
+    spans = found.groupBy("cid").agg(ranges.alias("spans"), F.collect_set(F.when(F.col("low") == F.col("high"), F.col("low").cast("int"))).alias("singles"))
     spans = save(spans, "spans")
 
     def cut(batches):
         for part in slices(batches):
             out = [[], [], [], []]
-            lists = part.column("spans")
+            ranges, singles = part.column("spans"), part.column("singles")
             for k in range(part.num_rows):
                 raw = np.frombuffer(part.column("text")[k].as_py().encode(), np.uint8)
-                x = np.asarray(lists[k].values).reshape(-1, 2)
+                x = np.concatenate([np.asarray(ranges[k].values).reshape(-1, 2), np.repeat(np.asarray(singles[k].values)[:, None], 2, 1)]).astype(np.int64)
                 cover = np.zeros(len(raw) + 1, np.int64)
                 np.add.at(cover, x[:, 0], 1)
                 np.add.at(cover, x[:, 1] + length, -1)
@@ -202,5 +204,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     joined = maybe.join(contents.select("cid", "copies"), "cid").join(spans, "cid", "left")
     whole = (F.col("copies") > 1) & (size >= length)
     plain = whole_or_not(never, F.lit(False)).unionByName(whole_or_not(joined.where(whole | F.col("spans").isNull()), whole))
-    parts = joined.where(~whole & F.col("spans").isNotNull()).select("doc_id", "text", "spans")
+    parts = joined.where(~whole & F.col("spans").isNotNull()).select("doc_id", "text", "spans", "singles")
     return plain.unionByName(parts.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"))
