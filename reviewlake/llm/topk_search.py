@@ -61,18 +61,11 @@ def build_index(rows: DataFrame, name: str) -> DataFrame:
         held, docs, size = [], 0, 0
 
         def close():
-            term, doc, tf, length, ids = [], [], [], [], []
-            for i, (t, d, c, n, k) in enumerate(held):
-                term.append(t)
-                doc.append(d + sum(len(x) for x in ids))
-                tf.append(c)
-                length.append(n)
-                ids.append(k)
-            term, doc, tf, length, ids = map(np.concatenate, (term, doc, tf, length, ids))
+            term, doc, tf, length, ids = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(term, kind="stable")
-            term, doc, tf = term[order], doc[order], tf[order]
+            term = term[order]
             first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-            raw = packed(term[first], np.diff(np.r_[first, len(term)]).astype(np.uint16), doc.astype(np.uint16), np.minimum(tf, 65535).astype(np.uint16), length.astype(np.uint32), ids)
+            raw = packed(term[first], np.diff(np.r_[first, len(term)]).astype(np.uint16), doc[order], tf[order], length, ids)
             starts = range(0, len(raw), PIECE)
             n = len(starts)
             return pa.RecordBatch.from_arrays(
@@ -88,7 +81,8 @@ def build_index(rows: DataFrame, name: str) -> DataFrame:
                     yield close()
                     shard += 1
                     held, docs, size = [], 0, 0
-                held.append((*term_counts(data[at[i] : at[j]], at[i : j + 1] - at[i]), np.asarray(part.column("doc_id"))[i:j]))
+                term, doc, tf, length = term_counts(data[at[i] : at[j]], at[i : j + 1] - at[i])
+                held.append((term, (doc + docs).astype(np.uint16), tf.astype(np.uint32), length.astype(np.uint32), np.asarray(part.column("doc_id"))[i:j]))
                 docs, size = docs + j - i, size + int(at[j] - at[i])
         if held:
             yield close()
@@ -100,7 +94,7 @@ class Shard:
     """A shard in memory: postings by term and, for full scores, by document; block maxima of the frequent terms."""
 
     def __init__(self, raw: bytes, mean: float):
-        self.terms, count, self.doc, tf, length, self.ids = unpacked(raw, np.uint64, np.uint16, np.uint16, np.uint16, np.uint32, np.int64)
+        self.terms, count, self.doc, tf, length, self.ids = unpacked(raw, np.uint64, np.uint16, np.uint16, np.uint32, np.uint32, np.int64)
         self.count = count.astype(np.int64)
         self.start = np.r_[0, np.cumsum(self.count)]
         impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / mean))[self.doc])

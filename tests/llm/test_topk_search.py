@@ -38,7 +38,7 @@ def test_against_brute_force(spark, seed, monkeypatch):
     rng = random.Random(seed)
     vocabulary = [f"w{int(1000 * rng.random() ** 3)}" for _ in range(3000)]
     docs = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 20, 60, 300])))) for i in range(700)]
-    docs += [(701, None), (702, ""), (703, docs[0][1]), (None, "w1 w2"), (50, "W1 w1 w1"), (704, " \t"), (705, "w1 " * 20_000), (706, "É é")]
+    docs += [(701, None), (702, ""), (703, docs[0][1]), (None, "w1 w2"), (50, "W1 w1 w1"), (704, " \t"), (705, "w1 " * 70_000), (706, "É é")]
     queries = [d for d in docs if d[0] is None or d[0] % 25 == 0] + [(9000, ""), (9001, "nowhere"), (9002, "w0 w1"), (9003, "É"), (9004, None)]
     make = lambda rows: spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, rank int, term string")
     got = [tuple(r) for r in search(make(docs).repartition(3), make(queries), k=7).collect()]
