@@ -24,7 +24,8 @@ PIECE_BPE = "piece_bpe_32k.model"
 def op1_bm25_search(spark, sf_dir):
     """The ten best documents for every document whose id is divisible by 50, its whole text as the query."""
     docs = table(spark, sf_dir, "documents")
-    return search(docs, docs.where("doc_id % 50 = 0"), k=10)
+    found = search(docs, docs.where("doc_id % 50 = 0"), k=10)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 6).alias("score"))
 
 
 def op2_line_dedup(spark, sf_dir):
@@ -72,6 +73,15 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_bm25_search": r"""
+        WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents WHERE doc_id IS NOT NULL),
+             w AS (SELECT doc_id, unnest(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS term FROM d),
+             f AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), l AS (SELECT doc_id, count(*) AS len FROM w GROUP BY 1), df AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
+             st AS (SELECT (SELECT count(*) FROM d)::DOUBLE AS n, (SELECT count(*) FROM w)::DOUBLE / (SELECT count(*) FROM d) AS mean),
+             s AS (SELECT q.doc_id AS query_id, f.doc_id, sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5)) * f.tf * 2.2::DOUBLE / (f.tf + 1.2::DOUBLE * (0.25 + 0.75::DOUBLE * len / mean))) AS score
+                   FROM f q JOIN df ON df.term = q.term JOIN f ON f.term = q.term JOIN l ON l.doc_id = f.doc_id, st WHERE q.doc_id % 50 = 0 GROUP BY 1, 2)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM s
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 10""",
     "op5_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
              w AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n_chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, sha256(norm) AS text_sha256 FROM n)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from reviewlake.llm import queries as Q
 from reviewlake.llm import topk_search
 from reviewlake.llm.topk_search import search
 
@@ -51,3 +52,10 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert search(none, some).count() == 0 and search(some, none).count() == 0
+
+
+def test_same_rows_as_sql(spark):
+    from tests.compare import connect, difference
+
+    sf = "/root/testdata/sf0.001"
+    assert difference(spark, connect(sf), sf, Q.op1_bm25_search, Q.ORACLE_SQL["op1_bm25_search"]) is None
