@@ -95,7 +95,7 @@ def _shown(rows: DataFrame, n_words: int, percent: int, least: bool) -> DataFram
     """rows: doc_id, text and, unless least, hot (array of long). Rows id, sig, full (the set's capacity suffices)."""
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=1 << 19):
             ids, sigs, full = [], [], []
             hots = None if least else part.column("hot").to_pylist()
             for k, (i, tokens) in enumerate(zip(part.column("doc_id").to_pylist(), shingle_sets(*flat(part.column("text")), n_words))):
@@ -123,7 +123,7 @@ def _sizes(rows: DataFrame, n_words: int) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set in two longs, and its sketch."""
 
     def run(batches):
-        for part in slices(batches):
+        for part in slices(batches, limit=1 << 19):
             sets = shingle_sets(*flat(part.column("text")), n_words)
             sums = [np.array([int(f(s).sum()) if len(s) else 0 for s in sets], np.uint64) for f in (lambda s: mix(s + _ODD[50]), lambda s: mix(s ^ _ODD[51]))]
             bits = [sketch_of(s) for s in sets]
@@ -154,7 +154,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n_words: int,
 
     def run(batches):
         for batch in batches:
-            for part in slices([batch], "text_a", 1 << 20):
+            for part in slices([batch], "text_a", 1 << 19):
                 left, right = (shingle_sets(*flat(part.column(c)), n_words) for c in ("text_a", "text_b"))
                 ok = []
                 for a, b in zip(left, right):
