@@ -73,7 +73,7 @@ def build_index(rows: DataFrame, name: str) -> DataFrame:
                 ["shard", "docs", "words", "piece", "bytes"],
             )
 
-        for part in slices(batches):
+        for part in slices(batches, limit=1 << 20):
             data, at = flat(part.column("text"))
             for i in range(0, part.num_rows, 1024):
                 j = min(part.num_rows, i + 1024)
@@ -97,7 +97,9 @@ class Shard:
         self.terms, count, self.doc, tf, length, self.ids = unpacked(raw, np.uint64, np.uint16, np.uint16, np.uint32, np.uint32, np.int64)
         self.count = count.astype(np.int64)
         self.start = np.r_[0, np.cumsum(self.count)]
-        impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * length / mean))[self.doc])
+        impact = tf / (tf + (K1 * (1 - B + B * length / mean))[self.doc])
+        impact *= K1 + 1
+        del tf
         self.top = np.maximum.reduceat(impact, self.start[:-1]) if len(self.terms) else np.zeros(0)
         self.blocks = -(-len(self.ids) // BLOCK)
         often = np.flatnonzero(self.count >= self.blocks)
@@ -246,6 +248,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
                         o.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "doc_id", "score"])
 
-    found = work.repartition("shard").sortWithinPartitions("shard", "piece").mapInArrow(run, "query_id long, doc_id long, score double")
+    n_shards = index.select("shard").distinct().count()
+    found = work.repartition(max(1, 2 * n_shards), "shard").sortWithinPartitions("shard", "piece").mapInArrow(run, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
