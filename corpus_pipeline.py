@@ -49,7 +49,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; those that it doesn't take go."""
     copies = save(mix_sources(docs).where("copies <> 1 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies")), "copies")
     maybe, never = parted(docs, copies, "doc_id")
-    times = maybe.join(copies, "doc_id", "left").withColumn("_nth", F.explode(F.expr("if(copies = 0, array(), sequence(1, coalesce(copies, 1)))")))
+    # The same plan at every size: texts are always dealt by id here, as the table of copies grows with the corpus.
+    times = maybe.join(copies.hint("merge"), "doc_id", "left").withColumn("_nth", F.explode(F.expr("if(copies = 0, array(), sequence(1, coalesce(copies, 1)))")))
     return never.unionByName(times.select(*docs.columns))
 
 

@@ -274,12 +274,13 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, reps: DataFrame, n_words: in
         ).where("lead <> last and (n > 2 or id <> lead)")
         key = F.when(F.col("n") > hot, F.col("sig")).otherwise(F.xxhash64("lead", "last", "n", "mark"))
         groups = save(seen.groupBy(key.alias("g"), "id", "lead", "n").agg(F.count("*").alias("weight"), F.min("full").alias("full")), f"groups{rounds}")
-        # 2. Each id meets the leader with which it shares most, then its other leaders if they are still apart.
-        pairs = groups.where("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.sum("weight").alias("weight"))
+        # 2. Each id meets the leader with which it shares most.
         if labels is None:
+            pairs = groups.where("id <> lead").groupBy(F.col("lead").alias("a"), F.col("id").alias("b")).agg(F.sum("weight").alias("weight"))
             link(pairs.groupBy("b").agg(F.max_by("a", F.struct("weight", (-F.col("a")).alias("first"))).alias("a")).select("a", "b"), "best")
         # 3. Members of a group that are still apart meet, unless it is a hot one.
-        link(_apart(pairs, labels).select("a", "b").union(_across(groups.where(F.col("n").between(3, hot)), labels, sets, percent)).distinct(), "others")
+        couples = groups.where("n = 2").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+        link(_apart(couples, labels).select("a", "b").union(_across(groups.where(F.col("n").between(3, hot)), labels, sets, percent)).distinct(), "others")
         # 4. Hot signatures whose sets are still apart.
         given = save(_apart_groups(groups.where(F.col("n") > hot).select("g", "id", "full"), labels), f"given{rounds}")
         stuck = given.where("not full").select("g").distinct()
