@@ -24,9 +24,9 @@ from .kernels import counts_of, flat, signed, slices, word_hashes
 K1, B = 1.2, 0.75
 BLOCK = 128
 SLACK = 1 + 1e-5
-SHARD_DOCS, SHARD_BYTES = 8192, 32 << 20
+SHARD_DOCS, SHARD_BYTES = 4096, 16 << 20
 QUERY_BLOCK = 1024
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def term_counts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
