@@ -21,26 +21,22 @@ def _masked(tokens: Column) -> Column:
 
 
 def parsed_lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """content, pos, line, context, leaf: the lines of at least min_tokens tokens.
+    """content, pos, line, leaf: the lines of at least min_tokens tokens.
 
-    content is the MD5 of the whole text: equal texts are one content. context stands for the lines before and after.
+    content is the MD5 of the whole text: equal texts are one content, and so one document where documents are counted.
     """
-    lines = docs.select(F.md5(F.col("text").cast("binary")).alias("content"), F.split("text", "\n").alias("lines"))
-    hashed = lines.select("content", "lines", F.transform("lines", lambda x: F.xxhash64(x)).alias("h"), F.size("lines").alias("n"))
-    before = F.concat(F.array(F.lit(-1).cast("long")), F.slice("h", F.lit(1), F.col("n") - 1))
-    after = F.concat(F.slice("h", F.lit(2), F.col("n")), F.array(F.lit(-2).cast("long")))
-    rows = hashed.select("content", F.posexplode(F.arrays_zip(F.col("lines").alias("line"), before.alias("before"), after.alias("after"))).alias("pos", "z"))
-    rows = rows.select("content", "pos", F.btrim("z.line", F.lit(SPACES)).alias("line"), F.xxhash64("z.before", "z.after").alias("context")).where("line <> ''")
+    lines = docs.select(F.md5(F.col("text").cast("binary")).alias("content"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = lines.withColumn("line", F.btrim("line", F.lit(SPACES))).where("line <> ''")
     rows = rows.withColumn("n", F.regexp_count("line", F.lit(TOKEN_GAP)) + 1).where(F.col("n") >= min_tokens)
     # The leading tokens are all of the line before the gap after the last of them.
     head = F.regexp_extract("line", rf"^[^\x20\x09-\x0D]+(?:{TOKEN_GAP}[^\x20\x09-\x0D]+){{0,{depth - 1}}}", 0)
     leaf = F.xxhash64("n", F.array_join(_masked(F.split(head, TOKEN_GAP)), " "))
-    return rows.select("content", "pos", "line", "context", leaf.alias("leaf"))
+    return rows.select("content", "pos", "line", leaf.alias("leaf"))
 
 
 def recurring_lines(lines: DataFrame, min_docs: int, fixed_share: float) -> DataFrame:
-    """leaf, line, template of the distinct lines whose template has at least min_docs contexts."""
-    distinct = lines.groupBy("leaf", "line").agg(F.countDistinct("context").alias("n"))
+    """leaf, line, template of the distinct lines whose template stands in at least min_docs contents."""
+    distinct = lines.groupBy("leaf", "line").agg(F.countDistinct("content").alias("n"))
     tokens = distinct.select("leaf", "line", "n", F.posexplode(_masked(F.split("line", TOKEN_GAP))).alias("at", "token"))
     support = F.sum("n").over(Window.partitionBy("leaf", "at", "token"))
     joined = tokens.withColumn("fixed", (support >= min_docs) & (F.col("token") != FIELD))
@@ -52,7 +48,8 @@ def recurring_lines(lines: DataFrame, min_docs: int, fixed_share: float) -> Data
     )
     template = F.array_join(F.when(F.col("share") >= fixed_share, F.col("t.general")).otherwise(F.col("t.token")), " ")
     made = made.select("leaf", "line", template.alias("template"))
-    enough = lines.join(made, ["leaf", "line"]).select("leaf", "template", "context").distinct().groupBy("leaf", "template").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_docs)
+    # Distinct first, dealt by content too, so that a hot template's contents are not gathered in one task.
+    enough = lines.join(made, ["leaf", "line"]).select("leaf", "template", "content").distinct().groupBy("leaf", "template").agg(F.count("*").alias("contents")).where(F.col("contents") >= min_docs)
     return made.join(enough, ["leaf", "template"])
 
 
@@ -60,17 +57,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per row of docs: doc_id, text, n_lines, n_dropped; text is the original text without its dropped lines.
 
     Lines end at line feeds and are compared without white space at their ends. A line is dropped, wherever it stands, if its
-    template has at least min_docs contexts, a context being the pair of the lines before and after it. So a line counts once
-    for whole copies of a document, however many, and repetition inside one place of one document counts little: what counts is
-    the same line in different surroundings. Lines with fewer than min_tokens tokens stay. A template may have variable fields
+    template stands in at least min_docs documents, whatever lines are around it. Equal texts count as one document, however
+    many they are, and so does a template that one document repeats. Lines with fewer than min_tokens tokens stay. A template may have variable fields
     in a share of 1 - fixed_share of its tokens, besides tokens with digits; a line that would need more is its own template.
     Null texts count as empty and stay empty, with one empty line; texts that lose all their lines become empty. Rows
     repeated with the same id are treated alike. Columns named in carry come along as they are; others are left out.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("_carry"))
     parsed = save(parsed_lines(rows, depth, min_tokens), "parsed")  # parsing is most of the work
-    # Few leaves have min_docs contexts at all; only their lines are shuffled and parsed further.
-    busy = save(parsed.select("leaf", "context").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "busy")
+    # Few leaves stand in min_docs documents at all; only their lines are shuffled and parsed further.
+    busy = save(parsed.select("leaf", "content").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "busy")
     lines = save(narrow(parsed, busy, "leaf").join(busy, "leaf", "left_semi"), "lines")
     found = recurring_lines(lines, min_docs, fixed_share)
     drops = save(lines.join(found, ["leaf", "line"], "left_semi").groupBy("content").agg(F.collect_set("pos").alias("drops")), "drops")

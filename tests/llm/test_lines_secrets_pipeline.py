@@ -67,6 +67,18 @@ def test_line_dedup(spark):
     assert line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_counts_documents(spark):
+    footer = ["All rights reserved by us", "Terms of use apply here", "Contact the editors by mail"]
+    apart = ["Menu of this fine site", "", "Archive of the older posts", "", "Imprint and other legal notes"]
+    texts = ["\n".join([f"{chr(97 + i)} text of its own", *apart, *footer]) for i in range(12)]
+    texts += ["\n".join(x for k in range(40) for x in ("this line comes again", f"{chr(97 + k % 26)}{k // 26} is between"))]
+    texts += ["only in copies of one"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup(df, min_docs=10).collect()}
+    assert all(got[i].text == f"{chr(97 + i)} text of its own\n\n" and got[i].n_dropped == 6 for i in range(12))
+    assert all(got[i].text == t and got[i].n_dropped == 0 for i, t in enumerate(texts) if i >= 12)
+
+
 def test_secret_scan(spark):
     held = labelled_findings(spark, 6000).where("doc_id >= 4000")
     found = scan_secrets(held.drop("label"))
