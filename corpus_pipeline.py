@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.llm.common import parted, save, table
-from reviewlake.llm.line_dedup import line_dedup
+from reviewlake.llm.line_dedup import WHOLE, line_dedup
 from reviewlake.llm.mixing import mix_sources
 from reviewlake.llm.ngram_join import ngram_jaccard
 from reviewlake.llm.piece_nbest import encode_nbest
@@ -35,7 +35,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines whose template recurs; n_chars follows the text."""
-    cut = line_dedup(docs, carry=("lang", "source"))
+    cut = line_dedup(docs, carry=("lang", "source"), **WHOLE)
     return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 

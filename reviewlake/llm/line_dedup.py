@@ -14,6 +14,10 @@ from .common import SPACES, narrow, parted, save
 
 FIELD = "<*>"
 TOKEN_GAP = r"[\x20\x09-\x0D]+"
+#: The parameters of the registered query and of the pipeline: lines of every length, and fields in up to half of a template.
+WHOLE = {"min_tokens": 1, "fixed_share": 0.5}
+#: Templates without any fixed token need so large a share of fields that digits mark.
+BARE_SHARE = 0.8
 
 
 def _masked(tokens: Column) -> Column:
@@ -46,7 +50,10 @@ def recurring_lines(lines: DataFrame, min_docs: int, fixed_share: float) -> Data
         F.array_sort(F.collect_list(F.struct("at", own.alias("general"), F.col("token").alias("token")))).alias("t"),
         F.avg((F.col("fixed") | (F.col("token") == FIELD)).cast("int")).alias("share"),
     )
-    template = F.array_join(F.when(F.col("share") >= fixed_share, F.col("t.general")).otherwise(F.col("t.token")), " ")
+    # One or two tokens with digits, and nothing fixed beside them, have no form in common: such lines stand for themselves.
+    said = F.exists("t.general", lambda x: x != FIELD)
+    general = (F.col("share") >= fixed_share) & (said | (F.col("share") >= BARE_SHARE))
+    template = F.array_join(F.when((F.size("t") < 3) & ~said, F.split("line", TOKEN_GAP)).when(general, F.col("t.general")).otherwise(F.col("t.token")), " ")
     made = made.select("leaf", "line", template.alias("template"))
     # Distinct first, dealt by content too, so that a hot template's contents are not gathered in one task.
     enough = lines.join(made, ["leaf", "line"]).select("leaf", "template", "content").distinct().groupBy("leaf", "template").agg(F.count("*").alias("contents")).where(F.col("contents") >= min_docs)
@@ -59,7 +66,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Lines end at line feeds and are compared without white space at their ends. A line is dropped, wherever it stands, if its
     template stands in at least min_docs documents, whatever lines are around it. Equal texts count as one document, however
     many they are, and so does a template that one document repeats. Lines with fewer than min_tokens tokens stay. A template may have variable fields
-    in a share of 1 - fixed_share of its tokens, besides tokens with digits; a line that would need more is its own template.
+    in a share of 1 - fixed_share of its tokens, besides tokens with digits; a line that would need more is its own template. So
+    is one of one or two tokens that all have digits, and one whose words would all be fields, unless digits mark most of it.
     Null texts count as empty and stay empty, with one empty line; texts that lose all their lines become empty. Rows
     repeated with the same id are treated alike. Columns named in carry come along as they are; others are left out.
     """

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
-from .line_dedup import line_dedup
+from .line_dedup import WHOLE, line_dedup
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard
 from .piece_nbest import decoded, encode_nbest
@@ -29,7 +29,7 @@ def op1_bm25_search(spark, sf_dir):
 
 
 def op2_line_dedup(spark, sf_dir):
-    return line_dedup(table(spark, sf_dir, "documents"))
+    return line_dedup(table(spark, sf_dir, "documents"), **WHOLE)
 
 
 def op3_token_store(spark, sf_dir):

@@ -79,6 +79,16 @@ def test_line_dedup_counts_documents(spark):
     assert all(got[i].text == t and got[i].n_dropped == 0 for i, t in enumerate(texts) if i >= 12)
 
 
+def test_lines_of_every_length_and_words_that_vary(spark, tmp_path):
+    w = [chr(97 + i % 26) + chr(97 + i // 26) for i in range(40)]
+    own = [f"{w[i]} is only here\n{i}7\n{i} {i} {i} {w[i]}b {w[i]}c {w[i]}d" for i in range(32)]
+    texts = [f"{own[i]}\nRead more\nLogin\nThe file was {w[i]} by {w[i + 1]}\nPage {i}" for i in range(32)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for cut in (corpus_pipeline.lines(spark, docs, str(tmp_path)), Q.op2_line_dedup(spark, str(tmp_path))):
+        assert {r.doc_id: r.text for r in cut.collect()} == dict(enumerate(own))
+
+
 def test_secret_scan(spark):
     held = labelled_findings(spark, 6000).where("doc_id >= 4000")
     found = scan_secrets(held.drop("label"))
