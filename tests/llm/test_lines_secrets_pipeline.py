@@ -102,6 +102,18 @@ def test_secret_scan(spark):
     assert Q.op8_secret_scan(spark, SF).columns[:3] == ["doc_id", "kind", "start"]
 
 
+def test_bare_secrets_and_longer_names(spark):
+    bare = "wJb7rXUt3FEM1K8MDENGbPxRfiCYq2zKLmN0pQsT"
+    true = ["Authorization: Bearer " + bare, f"aws_secret_access_key = {bare}", f'client_secret_key: "{bare[:30]}"', "pwd=x9Kq2mB7vRt4", "DB_PASS=x9Kq2mB7vRt4", "my_DB_PASSWORD=x9Kq2mB7vRt4Lw8Z", "Bearer " + "qWjKvZxGfBtRmPLsDhYcNaUe" * 2]
+    false = ["commit 3f786850e387550fdab836ed7e6dc881de23001b", "-" * 60, "the internationalizationhandwerkskammer of"]
+    df = spark.createDataFrame(list(enumerate([*true, *false, f"é Bearer {bare} or Bearer {bare}"])), "doc_id long, text string")
+    got = {r.doc_id: r for r in scan_secrets(df).collect()}
+    n = len(true)
+    assert [got[i].is_secret for i in range(n + len(false))] == [True] * n + [False] * len(false)
+    assert [got[i].start for i in range(n)] == [22, 24, 20, 4, 8, 15, 7] and {got[i].kind for i in range(1, 6)} == {"assigned"}
+    assert got[n + 3].starts == [9, 9 + 40 + 11] and got[n + 3].start == 9
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
