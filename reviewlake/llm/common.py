@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 #: Words of the contracts: maximal runs of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
-FILTER_BITS = 26
+#: Bit maps have 16 bits for each id at least, within these bounds; the greatest is 32 MB.
+LEAST_BITS, MOST_BITS = 20, 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,11 +27,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Where it is unset, as in tests on one machine, a temporary folder is set, once.
+    Where it is unset, as in tests on one machine, a temporary folder is set, once; on a cluster that is an error, as no local
+    folder is seen by all.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         root = tempfile.mkdtemp(prefix="reviewlake-")
         sc.setCheckpointDir(root)
     return root
@@ -41,25 +45,40 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/reviewlake/{uuid.uuid4().hex}/{name}"
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and reads that, so a lost executor costs no recomputation.
 
     The shuffle files behind the table are of no more use. Spark deletes them when the driver's garbage is collected, which
-    a driver with little to do puts off for long, so that is asked for here.
+    a driver with little to do puts off for long, so that is asked for here where the driver runs in this process's JVM.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    df.write.options(**(options or {})).parquet(path)
+    jvm = getattr(df.sparkSession.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(saved: DataFrame) -> None:
+    """Deletes the files of a table that save() made and that nothing reads any more, by writing an empty one over it."""
+    path = saved.inputFiles()
+    if path:
+        saved.sparkSession.createDataFrame([], saved.schema).write.mode("overwrite").parquet(path[0].rsplit("/", 1)[0])
+
+
 def parted(rows: DataFrame, keep: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
     """The rows whose id may be among keep's ids, and those whose id surely is not: what a join of keep needs, and what it doesn't.
 
-    The ids' hashes set bits of a map of 2 ** FILTER_BITS bits, in pieces of 4 KB, so at most 8 MB are broadcast whatever the
-    number of ids. With very many ids more rows are taken for possible ones; that costs shuffling, never a result.
+    keep should be a saved table, as its rows are counted first. The ids' hashes set bits of a map of 16 bits for each id (so one
+    row in 16 or fewer is taken for a possible one without need), in pieces of 4 KB, and the map is broadcast: 32 MB at most.
+    With more ids than 2 ** MOST_BITS / 4 a map would hold back too little; then all rows are possible ones, and the join that
+    follows shuffles them all. Either way only costs differ, never a result.
     """
-    bit = F.pmod(F.xxhash64(id_col), F.lit(1 << FILTER_BITS))
+    n = keep.count()
+    size = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    if n > 1 << (MOST_BITS - 2):
+        return rows.where(F.col(id_col).isNotNull()), rows.where(F.col(id_col).isNull())
+    bit = F.pmod(F.xxhash64(id_col), F.lit(1 << size))
     bits = keep.select(bit.alias("_bit"))
     pieces = bits.groupBy(F.expr("_bit div 32768").alias("_piece")).agg(F.bitmap_construct_agg(F.col("_bit") % 32768).alias("_map"))
     joined = rows.withColumn("_bit", bit).withColumn("_piece", F.expr("_bit div 32768")).join(F.broadcast(pieces), "_piece", "left")

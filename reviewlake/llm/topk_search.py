@@ -1,14 +1,16 @@
-"""Exact top-k search by BM25: an inverted index in shards with block maxima, dynamic pruning per shard, an exact merge.
-
-Index: documents are dealt into shards of bounded size. A shard holds its terms in the order of their hashes, the postings
-(document, term frequency) of each, and the lengths of its documents. Document frequencies, the number of documents and their
-mean length are summed over all shards, so a document has the same score wherever it is stored.
-
-Search: a query's terms are put in the order of their greatest possible contribution in the shard, and postings are read from
-the greatest down. The k-th best partial sum bounds the k-th best score from below. What the terms not read yet can add is
-bounded by their maxima in each block of documents; documents whose partial sum and block maxima together stay below the k-th
-best drop out. As soon as scoring the others in full costs less than reading on, that is done, and the remaining postings, those
-of the most frequent terms, are never read. So each shard's k best are exact, and so is their merge.
+"""Exact top-k search by BM25: an inverted index in shards, block-max WAND in each of them, an exact merge.
+
+Index: documents are dealt into shards of bounded size, a row each: the shard's terms with their document frequencies, and the
+postings (document, term frequency) of each term in the order of documents. A task reads a shard where it lies; no part of the
+index is ever shuffled. Document frequencies, the number of documents and their mean length are summed over all shards, so a
+document has the same score wherever it is stored.
+
+Search: a term's postings lie in blocks of BLOCK neighbouring documents, each with its greatest contribution. The cursors of a
+query's terms move through a shard in the order of documents, a block at a time: the pivot is the next block where the greatest
+contributions of the terms that have postings there add up to the k-th best score so far. The blocks before the pivot are
+skipped and their postings are never read; the pivot's documents are scored in full. The k-th best score is carried from shard
+to shard of a task, and each shard starts with the block that promises most, so that it is high from the start. What a task
+returns are the exact k best of its shards, and so their merge is exact.
 """
 
 from __future__ import annotations
@@ -18,15 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import narrow, save, texts
+from .common import narrow, running_start, save, texts
 from .kernels import counts_of, flat, signed, slices, word_hashes
 
 K1, B = 1.2, 0.75
-BLOCK = 128
-SLACK = 1 + 1e-5
+BLOCK = 64
+#: Scores are rounded to 9 places, so sums that differ by their rounding only are ties; bounds have that much to spare.
+SLACK, ROUND = 1 + 1e-9, 1e-9
 SHARD_DOCS, SHARD_BYTES = 4096, 16 << 20
-QUERY_BLOCK = 1024
-PIECE = 1 << 20
+#: Queries are sent to the executors in blocks of so many bytes, a longer query being a block of its own.
+QUERY_BYTES = 16 << 20
+#: A shard is a row of some MB, so row groups are cut by size and not only looked at every 100 rows.
+_FILES = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "4"}
 
 
 def term_counts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -51,26 +56,26 @@ def unpacked(raw: bytes, *types: type) -> list[np.ndarray]:
     return out
 
 
+def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """s, s + 1, ..., s + n - 1 of each (s, n), joined."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
 def build_index(rows: DataFrame, name: str) -> DataFrame:
-    """rows: doc_id, text. A saved table of shards: shard, docs, words (its totals), and the pieces of its bytes."""
+    """rows: doc_id, text. A saved table of shards, a row each: docs, words (totals), terms and postings (packed arrays)."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        shard = TaskContext.get().partitionId() << 24
         held, docs, size = [], 0, 0
 
         def close():
             term, doc, tf, length, ids = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(term, kind="stable")
+            order = np.argsort(term, kind="stable")  # documents stay in order within a term
             term = term[order]
             first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-            raw = packed(term[first], np.diff(np.r_[first, len(term)]).astype(np.uint16), doc[order], tf[order], length, ids)
-            starts = range(0, len(raw), PIECE)
-            n = len(starts)
+            terms = packed(term[first], np.diff(np.r_[first, len(term)]).astype(np.uint16))
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard] * n), pa.array([len(ids)] + [0] * (n - 1)), pa.array([int(length.sum())] + [0] * (n - 1)), pa.array(list(range(n)), pa.int32()), pa.array([raw[s : s + PIECE] for s in starts], pa.binary())],
-                ["shard", "docs", "words", "piece", "bytes"],
+                [pa.array([len(ids)]), pa.array([int(length.sum())]), pa.array([terms], pa.binary()), pa.array([packed(doc[order], tf[order], length, ids)], pa.binary())], ["docs", "words", "terms", "postings"]
             )
 
         for part in slices(batches, limit=1 << 20):
@@ -79,7 +84,6 @@ def build_index(rows: DataFrame, name: str) -> DataFrame:
                 j = min(part.num_rows, i + 1024)
                 if held and (docs + j - i > SHARD_DOCS or size + at[j] - at[i] > SHARD_BYTES):
                     yield close()
-                    shard += 1
                     held, docs, size = [], 0, 0
                 term, doc, tf, length = term_counts(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 held.append((term, (doc + docs).astype(np.uint16), tf.astype(np.uint32), length.astype(np.uint32), np.asarray(part.column("doc_id"))[i:j]))
@@ -87,79 +91,73 @@ def build_index(rows: DataFrame, name: str) -> DataFrame:
         if held:
             yield close()
 
-    return save(rows.mapInArrow(run, "shard long, docs long, words long, piece int, bytes binary"), name)
+    return save(rows.mapInArrow(run, "docs long, words long, terms binary, postings binary"), name, _FILES)
 
 
 class Shard:
-    """A shard in memory: postings by term and, for full scores, by document; block maxima of the frequent terms."""
-
-    def __init__(self, raw: bytes, mean: float):
-        self.terms, count, self.doc, tf, length, self.ids = unpacked(raw, np.uint64, np.uint16, np.uint16, np.uint32, np.uint32, np.int64)
-        self.count = count.astype(np.int64)
-        self.start = np.r_[0, np.cumsum(self.count)]
-        impact = tf / (tf + (K1 * (1 - B + B * length / mean))[self.doc])
-        impact *= K1 + 1
-        del tf
-        self.top = np.maximum.reduceat(impact, self.start[:-1]) if len(self.terms) else np.zeros(0)
-        self.blocks = -(-len(self.ids) // BLOCK)
-        often = np.flatnonzero(self.count >= self.blocks)
-        self.nth = np.full(len(self.terms), -1, np.int32)
-        self.nth[often] = np.arange(len(often))
-        self.maxima = np.zeros((len(often), self.blocks))
-        for k, t in enumerate(often):
-            s = slice(self.start[t], self.start[t + 1])
-            np.maximum.at(self.maxima[k], self.doc[s] // BLOCK, impact[s])
-        order = np.argsort(self.doc, kind="stable")  # terms stay in order within a document
-        self.by_doc = np.r_[0, np.cumsum(np.bincount(self.doc, minlength=len(self.ids)))]
-        self.doc_term = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.count)[order]
-        self.doc_impact = impact[order]
-        self.impact = impact.astype(np.float32)  # for the partial sums; SLACK covers the rounding
-        self.dense = np.zeros(len(self.terms))
-
-    def places(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        ends = np.cumsum(sizes)
-        return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-
-    def full(self, docs: np.ndarray) -> np.ndarray:
-        """The scores of some documents, each the sum over its terms in their order; self.dense holds the query's weights."""
-        sizes = self.by_doc[docs + 1] - self.by_doc[docs]
-        at = self.places(self.by_doc[docs], sizes)
-        return np.bincount(np.repeat(np.arange(len(docs)), sizes), self.dense[self.doc_term[at]] * self.doc_impact[at], len(docs))
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """terms: indexes into self.terms. The k best documents (with a score over 0) by score, then id."""
-        if not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(-weights * self.top[terms], kind="stable")
-        terms, weights = terms[order], weights[order]
-        bound, counts, nth = weights * self.top[terms], self.count[terms], self.nth[terms]
-        rest = np.r_[np.cumsum(bound[::-1])[::-1], 0.0]  # rest[i]: what the terms from i on can add at most
-        self.dense[terms] = weights
-        n_docs, mean_terms = len(self.ids), len(self.doc) / len(self.ids)
-        read, score = 0, np.zeros(n_docs)
-        n = max(1, int(np.searchsorted(-rest, -0.6 * rest[0])))
+    """A shard in memory: postings in blocks of neighbouring documents, a term's blocks in the order of documents."""
+
+    def __init__(self, terms: bytes, postings: bytes, mean: float):
+        self.terms, count = unpacked(terms, np.uint64, np.uint16)
+        self.doc, tf, length, self.ids = unpacked(postings, np.uint16, np.uint32, np.uint32, np.int64)
+        start = np.r_[0, np.cumsum(count, dtype=np.int64)]
+        self.impact = tf / (tf + (K1 * (1 - B + B * length / mean))[self.doc])
+        self.impact *= K1 + 1
+        block = self.doc // np.uint16(BLOCK)
+        new = np.ones(len(block), bool)
+        new[1:] = block[1:] != block[:-1]
+        new[start[:-1]] = True
+        at = np.flatnonzero(new)
+        self.at = np.r_[at, len(block)]  # where each block of postings starts
+        self.block = block[at]  # the documents it is about
+        self.top = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
+        self.of = np.searchsorted(at, start)  # a term's blocks of postings
+        self.n_blocks = -(-len(self.ids) // BLOCK)
+        self.skipped = self.read = 0  # blocks of postings
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """terms: indexes into self.terms. best: the ids and scores of the k best documents of other shards, best first.
+
+        Returns the k best of these and of this shard's, by score, then id; only scores over 0 count.
+        """
+        sizes = self.of[terms + 1] - self.of[terms]
+        at, weight = places(self.of[terms], sizes), np.repeat(weights, sizes)
+        block = self.block[at]
+        order = np.argsort(block, kind="stable")  # terms stay in order within a block, so equal texts have equal sums
+        at, weight, block = at[order], weight[order], block[order]
+        edge = np.searchsorted(block, np.arange(self.n_blocks + 1))
+        bound = np.bincount(block, weight * self.top[at], self.n_blocks) * SLACK + ROUND
+        left = bound > ROUND
+
+        def score(blocks: np.ndarray) -> None:
+            nonlocal best
+            some = places(edge[blocks], edge[blocks + 1] - edge[blocks])
+            self.read += len(some)
+            left[blocks] = False
+            b = at[some]
+            n = self.at[b + 1] - self.at[b]
+            postings = places(self.at[b], n)
+            sums = np.bincount(self.doc[postings], np.repeat(weight[some], n) * self.impact[postings], len(self.ids)).round(9)
+            hit = np.flatnonzero(sums >= max(least(), 1e-12))
+            ids, scores = np.r_[best[0], self.ids[hit]], np.r_[best[1], sums[hit]]
+            first = np.lexsort((ids, -scores))[:k]
+            best = ids[first], scores[first]
+
+        def least() -> float:
+            return best[1][k - 1] if len(best[1]) >= k else 0.0
+
+        if left.any():
+            score(np.argmax(bound)[None])
+        cursor, step = 0, 2
         while True:
-            at = self.places(self.start[terms[read:n]], counts[read:n])
-            score += np.bincount(self.doc[at], np.repeat(weights[read:n], counts[read:n]) * self.impact[at], n_docs)
-            read = n
-            # A partial sum is a lower bound of a score, so the k-th best of them is one of the k-th best score.
-            least = float(np.partition(score, -k)[-k]) / SLACK if n_docs >= k else 0.0
-            if read == len(terms):
-                alive = np.flatnonzero(score * SLACK >= max(least, 1e-12))
-                break
-            often = nth[read:] >= 0
-            more = weights[read:][often] @ self.maxima[nth[read:][often]] if often.any() else np.zeros(self.blocks)
-            more = np.repeat(more + bound[read:][~often].sum(), BLOCK)[:n_docs]
-            alive = np.flatnonzero((score + more) * SLACK >= max(least, 1e-12))
-            # Full scores where they cost less than reading on.
-            if 2 * len(alive) * mean_terms <= counts[read:].sum():
+            pivots = cursor + np.flatnonzero(left[cursor:] & (bound[cursor:] >= least()))[:step]
+            if not len(pivots):
                 break
-            n = min(len(terms), max(read + 1, int(np.searchsorted(-rest, -0.5 * rest[read]))))
-        sums = self.full(alive)
-        self.dense[terms] = 0
-        best = np.lexsort((self.ids[alive], -sums))[:k]
-        best = best[sums[best] > 0]
-        return self.ids[alive[best]], sums[best]
+            score(pivots)
+            # The cursors go on behind the pivots; a few pivots are taken at once, as the k-th best rises ever more slowly.
+            cursor, step = int(pivots[-1]) + 1, min(16, 2 * step)
+        self.skipped += int(np.diff(edge)[left].sum())
+        return best
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
@@ -172,41 +170,23 @@ def _query_terms(queries: DataFrame) -> DataFrame:
 
 
 def _shard_terms(index: DataFrame) -> DataFrame:
-    """term, n: each shard's document frequencies, from its first pieces."""
+    """term, n: each shard's document frequencies."""
 
     def run(batches):
-        raw = b""
         for batch in batches:
-            for r in batch.to_pylist():
-                raw = r["bytes"] if r["piece"] == 0 else raw + r["bytes"]
-                if r["last"]:
-                    term, count = unpacked(raw, np.uint64, np.uint16)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(term)), pa.array(count.astype(np.int64))], ["term", "n"])
-                    raw = b""
+            for raw in batch.column("terms"):
+                term, count = unpacked(raw.as_py(), np.uint64, np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(term)), pa.array(count.astype(np.int64))], ["term", "n"])
 
-    last = F.lead("piece").over(Window.partitionBy("shard").orderBy("piece")).isNull().alias("last")
-    return index.select("shard", "piece", "bytes", last).mapInArrow(run, "term long, n long")
+    return index.select("terms").mapInArrow(run, "term long, n long")
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each query its k best documents by BM25: query_id, rank (from 1), doc_id, score.
-
-    docs and queries have an id and a text. Words are runs of bytes other than ASCII white space, A-Z in lower case; a query's
-    words count as often as it has them. Scores are the sums over its words of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * 2.2 /
-    (tf + 1.2 * (0.25 + 0.75 * length / mean length)), over all docs. Ties go to the smaller id. Documents without a word of
-    the query are no results, so an empty query has none. Null texts count as empty. Rows with a null id are left out, of
-    docs and of queries. Documents that share an id are results each. Of queries that share one, the least text asks.
-    """
-    rows = texts(docs, id_col, text_col).where("doc_id is not null")
-    asked = texts(queries, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
-    index = build_index(rows, "shards")
-    n_docs, n_words = (x or 0 for x in index.agg(F.sum("docs"), F.sum("words")).first())
-    mean = max(n_words, 1) / max(n_docs, 1)
-    terms = save(_query_terms(asked), "query_terms")
-    wanted = terms.select("term").distinct()
-    df = narrow(_shard_terms(index), wanted, "term").groupBy("term").agg(F.sum("n").alias("df"))
-    weighed = terms.join(df, "term").select("query_id", "term", "n", F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+def _query_blocks(weighed: DataFrame) -> tuple[DataFrame, int]:
+    """weighed: query_id, term, n, idf. A saved table (block, queries): queries packed, about QUERY_BYTES a block; and their number."""
+    sizes = weighed.groupBy("query_id").agg((F.count("*") * 24).alias("size")).withColumn("all", F.lit(0)).withColumn("order", F.xxhash64("query_id"))
+    sizes = save(sizes, "query_sizes")
+    dealt = running_start(sizes, ["all"], "order", ["query_id"], "size", sizes.count(), "start").select("query_id", F.floor(F.col("start") / QUERY_BYTES).alias("block"))
+    last = dealt.agg(F.max("block")).first()[0]
 
     def pack(table: pa.Table) -> pa.Table:
         q, t, n, idf = (np.asarray(table.column(c)) for c in ("query_id", "term", "n", "idf"))
@@ -215,40 +195,65 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
         ids, first = np.unique(q, return_index=True)
         words, some, nth = np.unique(t, return_index=True, return_inverse=True)
         raw = packed(ids, np.r_[first, len(q)].astype(np.int64), words, idf[some].astype(float), nth.astype(np.uint32), n.astype(np.uint32))
-        return pa.table({"queries": pa.array([raw], pa.binary())})
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "queries": pa.array([raw], pa.binary())})
+
+    blocks = weighed.join(dealt, "query_id").groupBy("block").applyInArrow(pack, "block long, queries binary")
+    return save(blocks, "query_blocks", _FILES), 0 if last is None else last + 1
 
-    blocks = weighed.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block")).applyInArrow(pack, "queries binary")
-    # The query set meets all shards in blocks of queries: each task has one shard in memory while the blocks pass by.
-    asks = save(blocks, "query_blocks").crossJoin(index.select("shard").distinct())
-    work = index.select("shard", "piece", "bytes").unionByName(asks.select("shard", F.lit(1 << 30).alias("piece"), F.col("queries").alias("bytes")))
+
+def _searched(index: DataFrame, queries: bytes, k: int, mean: float) -> DataFrame:
+    """query_id, doc_id, score: for each query of a block the k best documents of each task's shards."""
+    block = index.sparkSession.sparkContext.broadcast(queries)
 
     def run(batches):
-        at, raw, shard = None, [], None
+        ids, edge, words, idf, nth, count = unpacked(block.value, np.int64, np.int64, np.uint64, np.float64, np.uint32, np.uint32)
+        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
         for batch in batches:
-            for i in range(batch.num_rows):
-                key, piece = batch.column("shard")[i].as_py(), batch.column("piece")[i].as_py()
-                if key != at:
-                    at, raw, shard = key, [], None
-                if piece < 1 << 30:
-                    raw.append(batch.column("bytes")[i].as_py())
-                    continue
-                if shard is None:
-                    shard, raw = Shard(b"".join(raw), mean), []
-                ids, edge, words, idf, nth, count = unpacked(batch.column("bytes")[i].as_py(), np.int64, np.int64, np.uint64, np.float64, np.uint32, np.uint32)
+            for terms, postings in zip(batch.column("terms"), batch.column("postings")):
+                shard = Shard(terms.as_py(), postings.as_py(), mean)
                 where = np.searchsorted(shard.terms, words)
                 there = np.zeros(len(words), bool)
                 inside = where < len(shard.terms)
                 there[inside] = shard.terms[where[inside]] == words[inside]
-                out = [[], [], []]
-                for q, a, b in zip(ids, edge[:-1], edge[1:]):
-                    own = nth[a:b]
+                for q in range(len(ids)):
+                    own = nth[edge[q] : edge[q + 1]]
                     has = there[own]
-                    found, score = shard.search(where[own[has]], idf[own[has]] * count[a:b][has], k)
-                    for o, v in zip(out, (np.full(len(found), q), found, score)):
-                        o.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["query_id", "doc_id", "score"])
-
-    n_shards = index.select("shard").distinct().count()
-    found = work.repartition(max(1, 2 * n_shards), "shard").sortWithinPartitions("shard", "piece").mapInArrow(run, "query_id long, doc_id long, score double")
+                    own = own[has]
+                    if len(own):
+                        best[q] = shard.search(where[own], idf[own] * count[edge[q] : edge[q + 1]][has], k, best[q])
+        sizes = [len(b[0]) for b in best]
+        if sum(sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], ["query_id", "doc_id", "score"])
+
+    found = index.select("terms", "postings").mapInArrow(run, "query_id long, doc_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each query its k best documents by BM25: query_id, rank (from 1), doc_id, score.
+
+    docs and queries have an id and a text. Words are runs of bytes other than ASCII white space, A-Z in lower case; a query's
+    words count as often as it has them. Scores are the sums over its words of ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * 2.2 /
+    (tf + 1.2 * (0.25 + 0.75 * length / mean length)), over all docs, to 9 places. Ties go to the smaller id. Documents without a word of
+    the query are no results, so an empty query has none. Null texts count as empty. Rows with a null id are left out, of
+    docs and of queries. Documents that share an id are results each. Of queries that share one, the least text asks. A text of
+    any length is indexed and asked with whole; a long one is a shard, or a block of queries, of its own.
+
+    Queries meet the index in blocks of QUERY_BYTES: a block is broadcast, and the index is read once for each.
+    """
+    rows = texts(docs, id_col, text_col).where("doc_id is not null")
+    asked = texts(queries, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+    index = build_index(rows, "shards")
+    n_docs, n_words = (x or 0 for x in index.agg(F.sum("docs"), F.sum("words")).first())
+    mean = max(n_words, 1) / max(n_docs, 1)
+    terms = save(_query_terms(asked), "query_terms")
+    wanted = save(terms.select("term").distinct(), "wanted")
+    df = narrow(_shard_terms(index), wanted, "term").groupBy("term").agg(F.sum("n").alias("df"))
+    weighed = save(terms.join(df, "term").select("query_id", "term", "n", F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "weighed")
+    blocks, n_blocks = _query_blocks(weighed)
+    out = docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
+    for b in range(n_blocks):
+        found = _searched(index, bytes(blocks.where(F.col("block") == b).first()["queries"]), k, mean)
+        out = out.unionByName(save(found, f"found{b}") if n_blocks > 1 else found)
+    return out

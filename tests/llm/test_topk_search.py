@@ -3,10 +3,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from reviewlake.llm import queries as Q
 from reviewlake.llm import topk_search
+from reviewlake.llm.kernels import flat, word_hashes
 from reviewlake.llm.topk_search import search
 
 
@@ -48,6 +51,44 @@ def test_against_brute_force(spark, seed, monkeypatch):
     assert max(abs(a[3] - b[3]) for a, b in zip(sorted(got), want)) < 1e-8
 
 
+def test_blocks_are_skipped():
+    rng = np.random.default_rng(3)
+    n, k = 4096, 5
+    texts = [" ".join(f"c{x}" for x in rng.integers(0, 40, 30)) + (f" r{i // 512} r{i // 512}" if i % 512 < 20 else "") for i in range(n)]
+    data, at = flat(pa.array(texts))
+    term, doc, tf, length = topk_search.term_counts(data, at)
+    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+    df = np.diff(np.r_[first, len(term)])
+    ids = np.arange(n)[::-1].copy()
+    mean = length.mean()
+    shard = topk_search.Shard(topk_search.packed(term[first], df.astype(np.uint16)), topk_search.packed(doc.astype(np.uint16), tf.astype(np.uint32), length.astype(np.uint32), ids), mean)
+    asked = np.unique(word_hashes(*flat(pa.array(["r3 r5 c1 c2"])))[0])
+    own = np.searchsorted(shard.terms, asked)
+    weights = np.log(1 + (n - df[own] + 0.5) / (df[own] + 0.5))
+    got = shard.search(own, weights, k, (np.zeros(0, np.int64), np.zeros(0)))
+    dense = np.zeros(n)
+    for t, w in zip(own, weights):
+        s = slice(first[t], first[t] + df[t])
+        dense[doc[s]] += w * tf[s] * 2.2 / (tf[s] + 1.2 * (0.25 + 0.75 * length[doc[s]] / mean))
+    want = np.lexsort((ids, -dense.round(9)))[:k]
+    assert got[0].tolist() == ids[want].tolist() and np.allclose(got[1], dense[want])
+    assert shard.skipped > 4 * shard.read > 0
+    # What another shard has found raises the bar, down to reading nothing.
+    shard.read = shard.skipped = 0
+    high = (np.arange(k), np.full(k, 1e9))
+    assert shard.search(own, weights, k, high)[1].tolist() == [1e9] * k and shard.read <= len(own)
+
+
+def test_queries_in_several_blocks(spark, monkeypatch):
+    rng = random.Random(7)
+    docs = [(i, " ".join(f"w{int(200 * rng.random() ** 2)}" for _ in range(40))) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(topk_search, "QUERY_BYTES", 3000)
+    got = [tuple(r) for r in search(df, df.where("doc_id % 10 = 0"), k=4).collect()]
+    want = brute(docs, [d for d in docs if d[0] % 10 == 0], 4)
+    assert sorted((q, r, i) for q, r, i, _ in got) == [(q, r, i) for q, r, i, _ in want]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
