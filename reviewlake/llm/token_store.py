@@ -24,24 +24,28 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import save, scratch, texts
-from .kernels import LOWER, flat, mix, prefix_hash, slices, span_hash, word_bounds
+from .kernels import flat, slices, word_bounds
 
 END_ID = 2
+#: Documents of more characters are not among those that the dictionary is trained on; all are encoded with it.
+MOST_SAMPLED = 20_000
 _memo: dict[str, WordCoder] = {}
 
 
 class WordCoder:
     """Encodes texts word by word, each distinct word once.
 
-    Right for tokenizers whose pre-tokenizer drops white space and whose normaliser treats words one by one and ignores the case
-    of A-Z, as word_bpe_49k.json: there a text's ids are its words' ids, joined. Words are looked up by a 64-bit hash.
+    Right for tokenizers whose pre-tokenizer drops white space and whose normaliser treats words one by one, as
+    word_bpe_49k.json: there a text's ids are its words' ids, joined. Words are told apart by their exact bytes. Texts that hold
+    the text of an added token, in any case, are not treated so but given to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.coder, self.most = Tokenizer.from_file(path), most
-        self.tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.added = sorted({t.content.encode().lower() for t in self.coder.get_added_tokens_decoder().values()} - {b""})
+        self.forget()
 
     @classmethod
     def at(cls, path: str) -> WordCoder:
@@ -50,55 +54,58 @@ class WordCoder:
             _memo[path] = cls(path)
         return _memo[path]
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        """keys: sorted hashes of words not known yet. Tables of known words (hashes, starts, ids) are merged as they double."""
-        got = [e.ids for e in self.coder.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        new = (keys, np.concatenate([[0], np.cumsum(size)]), np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum())))
-        while self.tables and len(self.tables[-1][0]) < 2 * len(new[0]):
-            old = self.tables.pop()
-            merged = np.concatenate([old[0], new[0]])
-            order = np.argsort(merged, kind="stable")
-            sizes = np.concatenate([np.diff(old[1]), np.diff(new[1])])[order]
-            from_ = np.concatenate([old[1][:-1], len(old[2]) + new[1][:-1]])[order]
-            new = (merged[order], np.concatenate([[0], np.cumsum(sizes)]), ragged(np.concatenate([old[2], new[2]]), from_, sizes))
-        self.tables.append(new)
-
-    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each hash the table that has it, -1 if none does, and its place there."""
-        table, place = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
-        for k, (known, _, _) in enumerate(self.tables):
-            left = np.flatnonzero(table < 0)
-            where = np.minimum(np.searchsorted(known, keys[left]), len(known) - 1)
-            hit = known[where] == keys[left]
-            table[left[hit]], place[left[hit]] = k, where[hit]
-        return table, place
+    def forget(self) -> None:
+        """Known words: their numbers, where their ids start, and the ids; there is room for as many again."""
+        self.number: dict[bytes, int] = {}
+        self.start, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.uint32)
+
+    def _learn(self, words: list[bytes]) -> None:
+        got = [e.ids for e in self.coder.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        n, size = len(self.number), np.fromiter(map(len, got), np.int64, len(got))
+        ends = self.start[n] + np.cumsum(size)
+        if n + len(words) >= len(self.start):
+            self.start = np.concatenate([self.start, np.zeros(n + len(words), np.int64)])
+        if ends[-1] > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(ends[-1], np.uint32)])
+        self.ids[self.start[n] : ends[-1]] = np.fromiter(chain.from_iterable(got), np.uint32, int(size.sum()))
+        self.start[n + 1 : n + 1 + len(words)] = ends
+        self.number.update(zip(words, range(n, n + len(words))))
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined, and where each text's start; the last entry is the end."""
         starts, ends, doc = word_bounds(data, at)
-        keys, first, nth = np.unique(span_hash(prefix_hash(data, LOWER), starts, ends), return_index=True, return_inverse=True)
-        if sum(len(t[0]) for t in self.tables) > self.most:
-            self.tables = []
-        table, place = self._find(keys)
-        new = table < 0
-        if new.any():
-            raw = data.tobytes()
-            self._learn(keys[new], [raw[starts[i] : ends[i]].decode("utf-8", "replace") for i in first[new]])
-            table, place = self._find(keys)
-        # The ids of the batch's distinct words, in the order of their hashes, then of all words.
-        size = np.zeros(len(keys), np.int64)
-        for k, (_, start, _) in enumerate(self.tables):
-            mine = table == k
-            size[mine] = start[place[mine] + 1] - start[place[mine]]
-        begin = np.concatenate([[0], np.cumsum(size)])
-        own = np.zeros(begin[-1], np.uint32)
-        for k, (_, start, ids) in enumerate(self.tables):
-            mine = np.flatnonzero(table == k)
-            spread = np.arange(int(size[mine].sum())) - np.repeat(np.cumsum(size[mine]) - size[mine], size[mine])
-            own[np.repeat(begin[mine], size[mine]) + spread] = ids[np.repeat(start[place[mine]], size[mine]) + spread]
-        total = np.concatenate([[0], np.cumsum(size[nth])])
-        return ragged(own, begin[nth], size[nth]), total[np.searchsorted(doc, np.arange(len(at)))]
+        size = ends - starts
+        words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(ragged(data, starts, size))]).dictionary_encode()
+        distinct, nth = words.dictionary.to_pylist(), np.asarray(words.indices)
+        if len(self.number) + len(distinct) > self.most:
+            self.forget()
+        get = self.number.get
+        new = [w for w in distinct if get(w) is None]
+        if new:
+            self._learn(new)
+        word = np.fromiter(map(self.number.__getitem__, distinct), np.int64, len(distinct))[nth] if distinct else np.zeros(0, np.int64)
+        size = self.start[word + 1] - self.start[word]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return ragged(self.ids, self.start[word], size), total[np.searchsorted(doc, np.arange(len(at)))]
+
+    def holding_added(self, data: np.ndarray, at: np.ndarray) -> list[int]:
+        """The texts that hold the text of an added token, in any case of A-Z."""
+        raw, found = data.tobytes().lower(), set()
+        for token in self.added:
+            k = raw.find(token)
+            while k >= 0:
+                found.add(int(np.searchsorted(at, k, "right")) - 1)
+                k = raw.find(token, k + 1)
+        return sorted(found)
+
+    def encode_each(self, data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Each text's ids. A token's text that two neighbouring texts make together only costs time."""
+        ids, edge = self.encode(data, at)
+        out = [ids[i:j] for i, j in zip(edge[:-1], edge[1:])]
+        for k in self.holding_added(data, at):
+            text = data[at[k] : at[k + 1]].tobytes().decode()
+            out[k] = np.array(self.coder.encode(text, add_special_tokens=False).ids, np.uint32)
+        return out
 
 
 def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -109,18 +116,18 @@ def ragged(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 def encode_each(part: pa.RecordBatch, path: str, end_id: int) -> list[np.ndarray]:
     """Each text's ids with the end id."""
-    ids, at = WordCoder.at(path).encode(*flat(part.column("text")))
     end = np.array([end_id], np.uint32)
-    return [np.concatenate([ids[i:j], end]).astype("<u4") for i, j in zip(at[:-1], at[1:])]
+    return [np.concatenate([ids, end]).astype("<u4") for ids in WordCoder.at(path).encode_each(*flat(part.column("text")))]
 
 
 def train_dictionary(rows: DataFrame, path: str, end_id: int, samples: int, size: int) -> bytes:
-    """A dictionary of at most `size` bytes from the `samples` documents with the smallest hash of their id and text.
+    """A dictionary of at most `size` bytes from whole documents: of those of at most MOST_SAMPLED characters the `samples` with
+    the smallest hash of their id and text.
 
     zstandard's trainer takes a sample by its nature; it only moves the compression rate, never a result. A table too small
     to train on gets a dictionary of raw bytes, the sample's own.
     """
-    some = rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(samples).select("doc_id", F.substring("text", 1, 20_000).alias("text"))
+    some = rows.where(F.char_length("text") <= MOST_SAMPLED).orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(samples).select("doc_id", "text")
     arrays = [a.tobytes() for part in slices(some.toArrow().to_batches()) for a in encode_each(part, path, end_id)]
     try:
         return zstandard.train_dictionary(size, arrays, dict_id=zlib.crc32(b"".join(arrays)) % (2**31 - 32768) + 32768).as_bytes()

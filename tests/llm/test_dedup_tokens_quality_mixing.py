@@ -7,6 +7,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,8 @@ from reviewlake.llm.common import components, scratch
 from reviewlake.llm.exact_dedup import exact_dedup
 from reviewlake.llm.mixing import MAX_REPEATS, mix_sources
 from reviewlake.llm.quality import BradleyTerry, features_of, score_quality
-from reviewlake.llm.token_store import read_tokens, token_digests, write_tokens
+from reviewlake.llm.kernels import flat
+from reviewlake.llm.token_store import WordCoder, read_tokens, token_digests, write_tokens
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, source string, n_chars long, digest string, kept string"
@@ -80,6 +82,21 @@ def test_token_store(spark):
     assert token_digests(spark, empty).count() == 0
 
 
+ADDED = ["<|startoftext|> <|STARTOFTEXT|>", "<|STARTOFTEXT|> <|startoftext|>", "a<|EndOfText|>b <|endoftext|>c", "H\u0331 h\u0331", "plain Words WORDS words", "x" * 40_000, "tail <|endof", "text|> head"]
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_word_coder_is_the_library(order):
+    from tokenizers import Tokenizer
+
+    model = public_tokenizers.path(Q.WORD_BPE)
+    coder, own = Tokenizer.from_file(model), WordCoder(model, most=300)
+    for batch in ([ADDED[:4][::order], ADDED[4:][::order], ADDED[::order]], [[t] for t in ADDED[::order]], [[" ".join(f"w{i}" for i in range(k, k + 250))] for k in range(0, 1000, 125)]):
+        for texts in batch:
+            got = own.encode_each(*flat(pa.array(texts)))
+            assert [x.tolist() for x in got] == [coder.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_quality(spark):
     q = score_quality(docs(spark, CASES), spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, None, 0)], "doc_id long, quality int, toxic int"))
     rows = q.collect()
