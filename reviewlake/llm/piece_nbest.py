@@ -7,8 +7,8 @@ how much a segment's second best loses. Only in the segments that lose least can
 there A-star searches backward from the end, the forward scores being exact heuristics, so the n best come out one by one.
 
 Scores are the model's own, whole numbers here, so sums are exact. A character that no piece holds is its bytes' pieces, with a
-score of 10 below the least. Of equal scores the segmentation comes first that has the smaller ids, read from the end of the
-segment; among texts that differ in several segments, see best_sums().
+score of 10 below the least. The first segmentation is the one with the greatest sum of scores, which need not be the one that
+the library's own greedy merging gives. Of equal scores the order is fixed, see a_star() and best_sums().
 """
 
 from __future__ import annotations
@@ -120,7 +120,9 @@ class PieceModel:
         scores.append(np.full(len(bare), self.unknown, np.int64))
         u, v, i, s = map(np.concatenate, (froms, tos, ids, scores))
         del froms, tos, ids, scores
-        order = np.argsort((step[v].astype(np.int64) << 44) | (v << 16) | (i + 1))  # no two edges share a node and an id
+        # No two edges share a node and an id. One key for all three is faster to sort by, where it holds them.
+        key = (step[v].astype(np.int64) << 44) | (v << 16) | (i + 1)
+        order = np.argsort(key) if step.max(initial=0) < 1 << 19 and len(step) < 1 << 28 else np.lexsort((i, v, step[v]))
         return offset, node_byte, step, u[order], v[order], i[order], s[order]
 
     def viterbi(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -169,38 +171,72 @@ class PieceModel:
         counts = np.bincount(seg[path], wide, len(best)).astype(np.int64)
         return best, loss, out.astype(np.uint32), np.r_[0, np.cumsum(counts)]
 
-    def a_star(self, segment: bytes, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """The n best segmentations of one segment: loss and ids, the best first."""
+    def a_star(self, segment: bytes, n: int) -> list[tuple[int, np.ndarray]]:
+        """The n best segmentations of one segment: loss and ids, the best first.
+
+        A state is a path from the end to a node; it is kept as its last edge and the number of the state before, so memory grows
+        with the states and not with their lengths. As the forward scores are exact, each state that is opened is part of one of
+        the n best. Of equal losses the one found last is opened first, so a path is followed to its start before its siblings, the
+        smallest ids first: the first segmentation is viterbi()'s.
+        """
         key = segment + n.to_bytes(4, "little")
         if key in self.lists:
             return self.lists[key]
         chars = segment.decode()
-        into: list[list] = [[] for _ in range(len(chars) + 1)]
-        alpha = [0] * (len(chars) + 1)
+        # The edges into each node, those of the best paths first: where they come from, their ids, and what they lose.
+        first, froms, ids, lost = [0, 0], [], [], []
+        alpha = [0]
+        get, width = self.pieces.get, self.width
         for end in range(1, len(chars) + 1):
-            for start in range(max(0, end - self.width), end):
-                got = self.pieces.get(chars[start:end])
+            edges = []
+            for start in range(max(0, end - width), end):
+                got = get(chars[start:end])
                 if got or start == end - 1:
-                    into[end].append((start, *(got or (-1, self.unknown))))
-            alpha[end] = max(alpha[a] + s for a, _, s in into[end])
-        out, heap = [], [(-alpha[-1], (), len(chars), 0)]
+                    i, score = got or (-1, self.unknown)
+                    edges.append((-alpha[start] - score, i, start))
+            edges.sort()
+            best = edges[0][0]
+            alpha.append(-best)
+            for loss, i, start in edges:
+                froms.append(start)
+                ids.append(i)
+                lost.append(loss - best)
+            first.append(len(froms))
+        # Heap: loss, minus the number, edge, node behind it, state before it. An edge's next best sibling waits until it is opened.
+        before, edge_of, out = [-1], [-1], []
+        heap, number = [], 0
+
+        def push(loss: int, edge: int, node: int, state: int) -> None:
+            nonlocal number
+            number += 1
+            heappush(heap, (loss + lost[edge], -number, edge, node, state))
+
+        push(0, first[len(chars)], len(chars), 0)
         while heap and len(out) < n:
-            f, path, at, g = heappop(heap)
-            if at == 0:
-                spelt, end = [], len(chars)
-                for i in path:
-                    if i < 0:
-                        spelt += self.bytes_id[list(chars[end - 1].encode())][::-1].tolist()
-                    else:
-                        spelt.append(i)
-                    end -= len(self.names[i]) if i >= 0 else 1
-                out.append((f + alpha[-1], tuple(reversed(spelt))))
+            loss, _, edge, node, state = heappop(heap)
+            at = froms[edge]
+            if edge + 1 < first[node + 1]:
+                push(loss - lost[edge], edge + 1, node, state)
+            before.append(state)
+            edge_of.append(edge)
+            if at:
+                push(loss, first[at], at, len(before) - 1)
                 continue
-            for a, i, s in into[at]:
-                heappush(heap, (-(alpha[a] + g + s), (*path, i), a, g + s))
+            spelt, s, start = [], len(before) - 1, 0
+            while s:
+                i = ids[edge_of[s]]
+                if i >= 0:
+                    spelt.append(i)
+                    start += len(self.names[i])
+                else:
+                    spelt += self.bytes_id[list(chars[start].encode())].tolist()
+                    start += 1
+                s = before[s]
+            out.append((loss, np.array(spelt, np.uint32)))
         if len(self.lists) > 10_000:
             self.lists.clear()
-        self.lists[key] = out
+        if len(segment) <= 1 << 12:
+            self.lists[key] = out
         return out
 
     def encode(self, strings: list[str], n: int) -> list[list[tuple[int, np.ndarray]]]:
@@ -244,11 +280,11 @@ class PieceModel:
                     limit = np.partition(loss[a:b], n - 2)[n - 2]
                     some = some[loss[a:b] <= limit]
                     some = some[np.argsort(loss[some], kind="stable")][: n - 1]
-                items = sorted((lost, int(p), j, x) for p in some if loss[p] < NEVER for j, (lost, x) in enumerate(self.a_star(joined[starts[p] : ends[p]], n)) if j)
+                items = sorted(((lost, int(p), j, x) for p in some if loss[p] < NEVER for j, (lost, x) in enumerate(self.a_star(joined[starts[p] : ends[p]], n)) if j), key=lambda item: item[:3])
                 for lost, chosen in best_sums([(lost, p) for lost, p, _, _ in items[: n - 1]], n)[1:]:
                     parts, last = [], id_at[a]
                     for _, p, _, x in sorted((items[c] for c in chosen), key=lambda item: item[1]):
-                        parts += [ids[last : id_at[p]], np.array(x, np.uint32)]
+                        parts += [ids[last : id_at[p]], x]
                         last = id_at[p + 1]
                     found.append((score - lost, np.concatenate([*parts, ids[last : id_at[b]]])))
             out.append(found)

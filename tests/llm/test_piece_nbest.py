@@ -1,5 +1,9 @@
+import os
 import random
+import subprocess
+import sys
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -59,6 +63,27 @@ def test_best_sums():
         assert best_sums(items, 6) == want[:6]
 
 
+LONG = """
+import random, resource, sys
+import numpy as np
+from reviewlake.llm.piece_nbest import PieceModel
+model = PieceModel(sys.argv[1])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+rng = random.Random(5)
+for text in ("".join(rng.choice("thenrsaé日") for _ in range(200_000)), "x" * 200_000):
+    found = model.encode([text], 4)[0]
+    assert len(found) == 4 and found == sorted(found, key=lambda f: -f[0]) and len({ids.tobytes() for _, ids in found}) == 4
+    assert all(model.decode(ids.astype(np.int64)) == text for _, ids in found)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+def test_long_texts_without_a_space():
+    out = subprocess.run([sys.executable, "-c", LONG, PATH], capture_output=True, text=True, cwd=os.path.dirname(corpus_pipeline.__file__))
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) < 500
+
+
 def test_round_trip(spark):
     rows = [(1, "Hello  world\n\tagain "), (2, None), (3, ""), (4, "x" * 3000 + " y"), (5, "a b " * 9000), (None, "é͸"), (1, "again"), (1, "again")]
     df = spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, rank int, ids string")
