@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -66,25 +67,42 @@ def release(saved: DataFrame) -> None:
         saved.sparkSession.createDataFrame([], saved.schema).write.mode("overwrite").parquet(path[0].rsplit("/", 1)[0])
 
 
-def parted(rows: DataFrame, keep: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows whose id may be among keep's ids, and those whose id surely is not: what a join of keep needs, and what it doesn't.
+class BitMap(NamedTuple):
+    """A filter of ids: their hashes modulo 2 ** bits as set bits, in pieces of 4 KB: _rl_piece, _rl_map."""
 
-    keep should be a saved table, as its rows are counted first. The ids' hashes set bits of a map of 16 bits for each id (so one
-    row in 16 or fewer is taken for a possible one without need), in pieces of 4 KB, and the map is broadcast: 32 MB at most.
-    With more ids than 2 ** MOST_BITS / 4 a map would hold back too little; then all rows are possible ones, and the join that
-    follows shuffles them all. Either way only costs differ, never a result.
-    """
+    bits: int
+    pieces: DataFrame
+
+
+def bit_map(keep: DataFrame, id_col: str) -> BitMap | None:
+    """The filter of a saved table's ids, whose rows are counted first: 16 bits for each id at least, 32 MB at most, so about one
+    other id in 16 or fewer passes it. None for more ids than 2 ** MOST_BITS / 4: a map would hold back too little."""
     n = keep.count()
-    size = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
     if n > 1 << (MOST_BITS - 2):
+        return None
+    size = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    bits = keep.select(F.pmod(F.xxhash64(id_col), F.lit(1 << size)).alias("_rl_bit"))
+    return BitMap(size, bits.groupBy(F.expr("_rl_bit div 32768").alias("_rl_piece")).agg(F.bitmap_construct_agg(F.col("_rl_bit") % 32768).alias("_rl_map")))
+
+
+def probed(rows: DataFrame, bits: BitMap | None, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id may be in the filter, and those whose id surely is not; the map, of 32 MB at most, is broadcast.
+
+    Without a filter all rows with an id are possible ones, and the join that follows shuffles them all: only costs differ.
+    """
+    if bits is None:
         return rows.where(F.col(id_col).isNotNull()), rows.where(F.col(id_col).isNull())
-    bit = F.pmod(F.xxhash64(id_col), F.lit(1 << size))
-    bits = keep.select(bit.alias("_bit"))
-    pieces = bits.groupBy(F.expr("_bit div 32768").alias("_piece")).agg(F.bitmap_construct_agg(F.col("_bit") % 32768).alias("_map"))
-    joined = rows.withColumn("_bit", bit).withColumn("_piece", F.expr("_bit div 32768")).join(F.broadcast(pieces), "_piece", "left")
-    byte = "cast(conv(hex(substring(_map, cast(_bit % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
-    maybe = F.coalesce(F.expr(f"shiftright({byte}, cast(_bit % 8 as int)) & 1 = 1"), F.lit(False)) & F.col(id_col).isNotNull()
-    return joined.where(maybe).drop("_piece", "_map", "_bit"), joined.where(~maybe).drop("_piece", "_map", "_bit")
+    bit = F.pmod(F.xxhash64(id_col), F.lit(1 << bits.bits))
+    joined = rows.withColumn("_rl_bit", bit).withColumn("_rl_piece", F.expr("_rl_bit div 32768")).join(F.broadcast(bits.pieces), "_rl_piece", "left")
+    byte = "cast(conv(hex(substring(_rl_map, cast(_rl_bit % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
+    maybe = F.coalesce(F.expr(f"shiftright({byte}, cast(_rl_bit % 8 as int)) & 1 = 1"), F.lit(False)) & F.col(id_col).isNotNull()
+    return tuple(joined.where(c).drop("_rl_piece", "_rl_map", "_rl_bit") for c in (maybe, ~maybe))
+
+
+def parted(rows: DataFrame, keep: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id may be among keep's ids, and those whose id surely is not: what a join of keep needs, and what it doesn't.
+    keep should be a saved table, see bit_map()."""
+    return probed(rows, bit_map(keep, id_col), id_col)
 
 
 def narrow(rows: DataFrame, keep: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,18 +1,26 @@
 """Exact dedup: a log-structured merge index of content digests, in DataFrame operations only.
 
-Memtables (the scan's own partitions) are flushed as runs of (digest, smallest identifier, count), sorted by digest and written
-with Parquet Bloom filters on the digest. Compaction merges the runs of a level into one and keeps the smallest identifier.
-Documents whose digest has more than one entry are hits; their normalised bytes are compared with those of the row that stays.
+Memtables, the partitions of a batch as they are scanned, are flushed as runs of (digest, identifier, length) sorted by digest,
+without a shuffle. Each run has filters: bit maps of its digests' hashes. FANOUT runs of a level are compacted into one of the
+next, which keeps the smallest identifier of each digest and the number of its copies. A look-up asks each run's filter first and
+joins only the digests that may be in it. Hits receive byte verification: their normalised texts are compared with the one
+that stays. All copies of a hot text are compared in parts, each beside its own copy of the text that stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, save, scratch, texts
+from .common import SPACES, BitMap, bit_map, narrow, parted, probed, save, texts
+
+FANOUT = 4
+#: So many copies of one text, or a share of 1 / MOST_PARTS of all rows if that is more, are compared in one task. So there are
+#: at most MOST_PARTS texts with several parts; these are broadcast, some 8 MB.
+PART, MOST_PARTS = 2048, 100_000
 
 
 def normalised(text: Column) -> Column:
@@ -20,66 +28,108 @@ def normalised(text: Column) -> Column:
     return F.translate(text, SPACES, "")
 
 
+class Run(NamedTuple):
+    """A run of the index: entries (digest, best, n), sorted by digest, and the filter of its digests (see common.bit_map)."""
+
+    entries: DataFrame
+    filter: BitMap | None
+
+
 class DigestIndex:
-    """Sorted runs in the shared folder. Level 0 has a run for each memtable; each compaction makes one run of a level."""
+    """levels[0] has the runs of flushed batches, levels[i + 1] those that compactions of level i have made."""
 
-    def __init__(self, spark, memtables: int = 8):
-        self.spark, self.memtables = spark, memtables
-        self.levels: list[tuple] = []
+    def __init__(self, fanout: int = FANOUT):
+        self.fanout = fanout
+        self.levels: list[list[Run]] = [[]]
 
-    def _write(self, runs: DataFrame, path: str) -> None:
-        (
-            runs.sortWithinPartitions("run", "digest")
-            .write.option("parquet.bloom.filter.enabled#digest", "true")
-            .option("parquet.bloom.filter.adaptive.enabled", "true")
-            .parquet(path)
-        )
-        self.levels.append((path, runs.schema))
+    def _run(self, entries: DataFrame, name: str) -> Run:
+        """Partitions are sorted where they are; their files have the least and greatest digest of each page."""
+        saved = save(entries.sortWithinPartitions("digest"), name)
+        bits = bit_map(saved.select("digest"), "digest")
+        return Run(saved, bits and BitMap(bits.bits, save(bits.pieces, f"{name}_filter")))
 
     def flush(self, rows: DataFrame) -> DigestIndex:
-        """rows: digest, doc_id, n_chars. The memtables of a batch become runs, a digest's copies within one already merged."""
+        """rows: digest, doc_id, n_chars. A batch's memtables become a run; full levels are compacted."""
         best = F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id"))
-        runs = rows.withColumn("run", F.pmod(F.spark_partition_id(), F.lit(self.memtables))).groupBy("run", "digest").agg(F.min(best).alias("best"), F.count("*").alias("n"))
-        self._write(runs, scratch(self.spark, "runs"))
+        self.levels[0].append(self._run(rows.select("digest", best.alias("best"), F.lit(1).cast("long").alias("n")), "run"))
+        level = 0
+        while len(self.levels[level]) >= self.fanout:
+            self.compact(level)
+            level += 1
         return self
 
-    def entries(self) -> DataFrame:
-        frames = [self.spark.read.schema(schema).parquet(path) for path, schema in self.levels]
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-
-    def compact(self) -> DigestIndex:
-        """Merges all runs into one; of the identifiers of a digest the smallest entry stays."""
-        merged = self.entries().groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n")).withColumn("run", F.lit(0))
-        self.levels = []
-        self._write(merged, scratch(self.spark, "compacted"))
+    def compact(self, level: int = 0) -> DigestIndex:
+        """Merges the runs of a level into one of the next; copies within a task are merged before anything is shuffled."""
+        if level + 1 == len(self.levels):
+            self.levels.append([])
+        merged = _union([r.entries for r in self.levels[level]]).groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        self.levels[level + 1].append(self._run(merged, "compacted"))
+        self.levels[level] = []
         return self
 
-    def lookup(self) -> DataFrame:
-        """digest, keep_id, n: after compact()."""
-        return self.entries().select("digest", F.col("best.doc_id").alias("keep_id"), "best.shorter", "n")
+    def runs(self) -> list[Run]:
+        return [r for level in self.levels for r in level]
+
+    def lookup(self, digests: DataFrame) -> DataFrame:
+        """digests: saved rows with a digest. digest, best, n of those that the index has, over all its runs."""
+        wanted = digests.select("digest")
+        found = []
+        for run in self.runs():
+            asked = probed(wanted, run.filter, "digest")[0].distinct()
+            found.append(run.entries.join(asked, "digest", "left_semi"))
+        return _union(found).groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+
+    def repeated(self) -> DataFrame:
+        """digest, best, n of the digests with more than one entry."""
+        entries = _union([r.entries for r in self.runs()])
+        if len(self.runs()) > 1 or self.levels[0]:
+            entries = entries.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+        return entries.where("n > 1")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] | None = None, memtables: int = 8) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Equal are texts with the same bytes after ASCII white space is deleted; null counts as empty. Of equal texts the row with
     the most code points in its original text stays, then the smallest id; a null id sorts first. Rows repeated with the same
     id and text are one group, and each of them is kept if their id is. Other columns are ignored. digest: the index's key of
     a normalised text, SHA-256 if none is given. If byte verification finds two texts under one digest, the index is built
-    again with the normalised bytes themselves as its key, which is right by construction.
+    again with the normalised bytes themselves as its key, which is right by construction. Texts of any length are compared
+    whole; only those that have copies are shuffled.
     """
     rows = texts(docs, id_col, text_col).withColumn("norm", normalised(F.col("text")))
-    key = digest or (lambda c: F.sha2(c.cast("binary"), 256))
-    prints = save(rows.select("doc_id", F.char_length("text").alias("n_chars"), key(F.col("norm")).alias("digest"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")), "digests")
-    index = DigestIndex(docs.sparkSession, memtables).flush(prints).compact()
-    groups = index.lookup()
-    hits = save(rows.select("doc_id", F.char_length("text").alias("n_chars"), "norm", key(F.col("norm")).alias("digest")).join(groups.where("n > 1"), "digest"), "hits")
-    stays = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == -F.col("shorter"))).groupBy("digest").agg(F.min("norm").alias("stay"))
-    if not hits.join(stays, "digest").where("norm <> stay").isEmpty():
-        return exact_dedup(docs, id_col, text_col, lambda c: c, memtables)
-    return prints.join(groups, "digest").select(
-        "doc_id", "keep_id", F.col("n").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == -F.col("shorter"))).alias("kept"), "text_sha256"
-    )
+    sha = F.sha2(F.col("norm").cast("binary"), 256)
+    key = sha if digest is None else digest(F.col("norm"))
+    prints = save(rows.select("doc_id", F.char_length("text").alias("n_chars"), key.alias("digest"), *([sha.alias("text_sha256")] if digest else [])), "digests")
+    index = DigestIndex().flush(prints.select("digest", "doc_id", "n_chars")).compact()
+    repeated = save(index.repeated().select("digest", F.col("best.doc_id").alias("keep_id"), "best.shorter", "n"), "repeated")
+    # A group of n copies is dealt into parts, by a hash of the row; each part has the group's entry for itself.
+    part = max(PART, prints.count() // MOST_PARTS)
+    parts = F.ceil(F.col("n") / part)
+    split = repeated.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    several = F.broadcast(repeated.where(parts > 1).select("digest", parts.alias("parts")))
+
+    def with_part(table: DataFrame) -> DataFrame:
+        return table.join(several, "digest", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "n_chars"), F.coalesce("parts", F.lit(1)))).drop("parts")
+
+    stays_here = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == -F.col("shorter"))
+    hits = with_part(narrow(rows.select("doc_id", F.char_length("text").alias("n_chars"), "norm", key.alias("digest")), repeated, "digest"))
+    hits = save(hits, "hits")
+    stay = hits.join(repeated, "digest").where(stays_here).groupBy("digest").agg(F.min("norm").alias("stay"))
+    stays = split.select("digest", "part").join(stay, "digest")
+    if not hits.join(stays, ["digest", "part"]).where("norm <> stay").isEmpty():
+        return exact_dedup(docs, id_col, text_col, lambda c: c)
+    maybe, never = parted(prints, repeated, "digest")
+    out = with_part(maybe).join(split, ["digest", "part"], "left").unionByName(never.select("*", F.lit(None).cast("long").alias("part")), allowMissingColumns=True)
+    alone = F.col("n").isNull()
+    return out.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), (alone | stays_here).alias("kept"),
+        F.col("text_sha256" if digest else "digest").alias("text_sha256"),
+    )

@@ -12,7 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlake.llm import queries as Q
-from reviewlake.llm.common import components, scratch
+from reviewlake.llm import exact_dedup as exact
+from reviewlake.llm.common import components, save, scratch
 from reviewlake.llm.exact_dedup import exact_dedup
 from reviewlake.llm.mixing import MAX_REPEATS, mix_sources
 from reviewlake.llm.quality import BradleyTerry, features_of, score_quality
@@ -51,6 +52,32 @@ def test_exact_dedup(spark, digest):
     assert exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_hot_texts_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(exact, "PART", 3)
+    rows = [(i, " " * (i % 4) + "hot text", None) for i in range(50)] + [(100 + i, f"text {i % 7}", None) for i in range(20)] + [(200, "alone", None), (None, "hot text", None)]
+    for digest in (None, lambda c: F.substring(F.sha2(c.cast("binary"), 256), 1, 1)):
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup(docs(spark, rows), digest=digest).collect()}
+        want = brute_keep(rows)
+        assert got == {i: (*want[re.sub(" ", "", t)], i == want[re.sub(" ", "", t)][0]) for i, t, _ in rows}
+
+
+def test_index_of_several_batches(spark):
+    rows = lambda *batch: scratch_table(spark, [(d, i, n) for d, i, n in batch], "digest string, doc_id long, n_chars long")
+    index = exact.DigestIndex(fanout=2).flush(rows(("a", 5, 3), ("a", 2, 3), ("b", 1, 9))).flush(rows(("b", 7, 10), ("c", 8, 1))).flush(rows(("a", 1, 3), ("d", 3, 1)))
+    assert [len(level) for level in index.levels] == [1, 1] and all(r.filter for r in index.runs())
+    new = rows(("a", 0, 3), ("d", 9, 1), ("e", 9, 1))
+    got = {r.digest: (r.best.doc_id, r.n) for r in index.lookup(new).collect()}
+    assert got == {"a": (1, 3), "d": (3, 1)}
+    assert {r.digest: (r.best.doc_id, r.n) for r in index.repeated().collect()} == {"a": (1, 3), "b": (7, 2)}
+    # The filter of a run holds back digests that it does not have.
+    asked = scratch_table(spark, [(f"x{i}",) for i in range(1000)], "digest string")
+    assert exact.probed(asked, index.runs()[0].filter, "digest")[0].count() < 10
+
+
+def scratch_table(spark, rows, schema):
+    return save(spark.createDataFrame(rows, schema), "t")
+
+
 def test_exact_dedup_sql(spark):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
