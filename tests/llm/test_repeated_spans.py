@@ -2,8 +2,12 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from reviewlake.llm import repeated_spans
+from reviewlake.llm.kernels import flat
 from reviewlake.llm.repeated_spans import remove_repeats
 
 
@@ -52,5 +56,22 @@ def test_against_brute_force(spark, seed, length, share):
     assert got == brute(rows, length)
 
 
+def test_long_texts_in_stretches(spark, monkeypatch):
+    # A stretch cuts runs and passages; nothing depends on where. Executors in this test's process read the module's value.
+    long = " ".join(f"w{i * i % 977}x{i}" for i in range(2500))
+    rows = [(1, long), (2, "head " + long[5000:9000] + " tail"), (3, "x" * 700), (4, long[:300][::-1])]
+    monkeypatch.setattr(repeated_spans, "STRETCH", 1000)
+    data, at = flat(pa.array([t for _, t in rows]))
+    got = []
+    for begin in range(0, len(data), 1000):
+        end = min(len(data), begin + 1000 + 39)
+        doc, first, last, anchor, _ = repeated_spans.minimizer_runs(data[begin:end], np.clip(at, begin, end) - begin, 40, 13)
+        got += [(d, w + begin, a + begin) for d, f, x, a in zip(doc, first, last, anchor) for w in range(f, x + 1)]
+    doc, first, last, anchor, _ = repeated_spans.minimizer_runs(data, at, 40, 13)
+    assert got == [(d, w, a) for d, f, x, a in zip(doc, first, last, anchor) for w in range(f, x + 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in remove_repeats(df).drop("kept").collect()), key=str) == brute(rows, 200)
+
+
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
