@@ -10,7 +10,7 @@ if they share no signature, they differ in more than H tokens.
 Cost also depends on how many sets show a signature. Signatures of more than `hot` sets that are not all linked prove nothing
 that can be checked cheaply, so the sets that show them are allocated anew among themselves: such a signature is still shown, but
 counts as no capacity, and further slots make up for it. What counts as hot grows with each round. A set that has no slots left
-is compared, within its hot groups, with every set of another component, so no link is lost.
+is compared by sketches, within its hot groups and block by block, with the sets of other components, so no link is lost.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .kernels import counts_of, flat, mix, signed, slices, word_hashes
 
 BAND = 2.0
 SEGMENTS = 0.31
+#: So many sets are compared with each other in one task.
+TOGETHER = 1024
 _ODD = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -219,8 +221,39 @@ def close_pairs(ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, sketches
     return tuple(np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
 
 
-def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """groups: g, id, of bounded size. The pairs (a, b) of members in different components that may be similar, group by group."""
+def _dealt(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members: g, id, c (its component); sets: id, n_shingles, sketch. The members with these, and with g such that pairs that
+    may be similar meet under one g, and under no g many more than TOGETHER.
+
+    Members of a great group are dealt into cells by a band of sizes, as similar sets are in the same or in neighbouring bands,
+    and by whether they are in the component of most members, as those need not meet each other. Cells are cut into blocks by a
+    hash of the id, and a block goes to as many places as there are blocks it must meet.
+    """
+    at = save(members.distinct(), "members")
+    sizes = at.groupBy("g", "c").count().groupBy("g").agg(F.sum("count").alias("m"), F.max_by("c", F.struct("count", "c")).alias("main"))
+    sizes = save(sizes, "group_sizes")
+    small = at.join(sizes.where(F.col("m") <= TOGETHER).select("g"), "g", "left_semi").join(sets, "id").select("g", "id", "c", "n_shingles", "sketch")
+    great = sizes.where(F.col("m") > TOGETHER)
+    if great.isEmpty():
+        return small
+    rows = at.join(great, "g").join(sets, "id").withColumn("cell", F.floor(F.log("n_shingles") / float(np.log(100 / percent)) + 1e-9) * 2 + (F.col("c") == F.col("main")).cast("long"))
+    rows = save(rows.select("g", "id", "c", "n_shingles", "sketch", "cell"), "cells")
+    cells = save(rows.groupBy("g", "cell").agg(F.ceil(F.count("*") / (TOGETHER // 2)).alias("blocks")), "blocks")
+    other = cells.select("g", F.col("cell").alias("other"), F.col("blocks").alias("their"))
+    band = lambda c: F.floor(F.col(c) / 2)
+    both_main = (F.col("cell") % 2 == 1) & (F.col("other") % 2 == 1)
+    meet = cells.join(other, "g").where((F.abs(band("cell") - band("other")) <= 1) & ~both_main)  # six at most for a cell
+    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    spread = rows.join(meet, ["g", "cell"]).withColumn("mine", block).withColumn("theirs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("their") - 1)))
+    ends = F.array_sort(F.array(F.struct(F.col("cell").alias("cell"), F.col("mine").alias("block")), F.struct(F.col("other").alias("cell"), F.col("theirs").alias("block"))))
+    return small.unionByName(spread.select(F.xxhash64("g", ends).alias("g"), "id", "c", "n_shingles", "sketch"))
+
+
+def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, most: int | None = None) -> DataFrame:
+    """groups: g, id, of any size, or of at most `most` members. The pairs (a, b) of members in different components that may be
+    similar, group by group.
+
+    A group of up to TOGETHER members is compared in one task, a greater one block by block, see _dealt()."""
 
     def run(batches):
         held: list = []
@@ -241,18 +274,11 @@ def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
         if held:
             yield close()
 
-    rows = _apart_groups(groups.select("g", "id"), labels).join(sets.select(F.col("doc_id").alias("id"), "n_shingles", "sketch"), "id")
+    members, own = _apart_groups(groups.select("g", "id"), labels), sets.select(F.col("doc_id").alias("id"), "n_shingles", "sketch")
+    rows = members.join(own, "id") if most and most <= TOGETHER else _dealt(members, own, percent)
     return rows.repartition("g").sortWithinPartitions("g").select("g", "id", "c", "n_shingles", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
-def _all_across(groups: DataFrame) -> DataFrame:
-    """groups: g, id, c. The pairs of a group's members outside the component of the most members with the others, of any size."""
-    main = groups.groupBy("g", "c").count().groupBy("g").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-    out = groups.join(main, "g").where("c <> main").select("g", F.col("id").alias("x"), F.col("c").alias("cx"), "main")
-    met = out.join(groups.select("g", F.col("id").alias("y"), F.col("c").alias("cy")), "g").where("cx <> cy and (cy = main or x < y)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
 def jaccard_links(docs: DataFrame, sets: DataFrame, reps: DataFrame, n_words: int, percent: int, hot: int) -> DataFrame:
     """Labels (node, component) of docs (doc_id, text) with ids in reps (doc_id), by verified links; without links no label."""
     labels = bans = None
@@ -280,12 +306,12 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, reps: DataFrame, n_words: in
             link(pairs.groupBy("b").agg(F.max_by("a", F.struct("weight", (-F.col("a")).alias("first"))).alias("a")).select("a", "b"), "best")
         # 3. Members of a group that are still apart meet, unless it is a hot one.
         couples = groups.where("n = 2").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-        link(_apart(couples, labels).select("a", "b").union(_across(groups.where(F.col("n").between(3, hot)), labels, sets, percent)).distinct(), "others")
+        link(_apart(couples, labels).select("a", "b").union(_across(groups.where(F.col("n").between(3, hot)), labels, sets, percent, hot)).distinct(), "others")
         # 4. Hot signatures whose sets are still apart.
         given = save(_apart_groups(groups.where(F.col("n") > hot).select("g", "id", "full"), labels), f"given{rounds}")
         stuck = given.where("not full").select("g").distinct()
         if not stuck.isEmpty():  # no slots left: whoever is in such a group meets all of other components
-            link(_all_across(given.join(stuck, "g", "left_semi")), "rest")
+            link(_across(given.join(stuck, "g", "left_semi"), labels, sets, percent), "rest")
         known = given.select(F.col("g").alias("sig"), "id").distinct()
         if bans is None:
             fresh, ids = known, None
@@ -298,7 +324,7 @@ def jaccard_links(docs: DataFrame, sets: DataFrame, reps: DataFrame, n_words: in
         bans = fresh if bans is None else save(bans.union(fresh), f"bans{rounds}")
         going = bans if ids is None else bans.join(ids, "id", "left_semi")
         lists = save(going.groupBy(F.col("id").alias("doc_id")).agg(F.collect_set("sig").alias("hot")), f"lists{rounds}")
-        active, rounds, hot = narrow(docs, lists).join(lists, "doc_id"), rounds + 1, 4 * hot
+        active, rounds, hot = narrow(docs, lists).join(lists, "doc_id"), rounds + 1, min(4 * hot, 1 << 14)
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 75, hot: int = 1024) -> DataFrame:

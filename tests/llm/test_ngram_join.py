@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from reviewlake.llm import ngram_join
 from reviewlake.llm.common import narrow, parted
 from reviewlake.llm.kernels import mix
 from reviewlake.llm.ngram_join import bands_of, close_pairs, ngram_jaccard, signatures, sketch_of
@@ -114,6 +115,29 @@ def test_close_pairs():
                 assert (min(ids[i], ids[j]), max(ids[i], ids[j])) not in got
 
 
+def test_great_groups_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TOGETHER", 16)
+    rng = np.random.default_rng(11)
+    base = mix(rng.integers(0, 2**63, 3000).astype(np.uint64))
+    sizes = rng.integers(300, 2900, 150)
+    sets = [np.unique(np.concatenate([base[:n], mix(rng.integers(0, 2**63, n // 20).astype(np.uint64))])) for n in sizes]
+    label = {i: (0 if i % 3 else i) for i in range(150)}
+    rows = spark.createDataFrame([(i, len(x), sketch_of(x).tolist()) for i, x in enumerate(sets)], "doc_id long, n_shingles long, sketch array<long>")
+    groups = spark.createDataFrame([(7, i) for i in range(150)] + [(8, i) for i in range(0, 30, 3)] + [(9, 1), (9, 2)], "g long, id long")
+    labels = spark.createDataFrame([(i, c) for i, c in label.items() if i % 2], "node long, component long")
+    got = {(r.a, r.b) for r in ngram_join._across(groups, labels, rows, 75).collect()}
+    at = {i: c if i % 2 else i for i, c in label.items()}
+    for i in range(150):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if at[i] != at[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                assert (j, i) in got
+    assert all(at[a] != at[b] for a, b in got)
+    own = rows.select(rows.doc_id.alias("id"), "n_shingles", "sketch")
+    dealt = ngram_join._dealt(ngram_join._apart_groups(groups, labels), own, 75)
+    assert max(r["count"] for r in dealt.groupBy("g").count().collect()) <= 40
+
+
 def test_narrow(spark):
     rows = spark.range(20_000).withColumnRenamed("id", "doc_id")
     some = rows.where("doc_id % 7 = 0")
