@@ -1,7 +1,13 @@
-"""Secret scans: candidates by patterns, false positives removed by a random forest; DataFrame and Spark ML operations only."""
+"""Secret scans: candidates by patterns, false positives removed by a random forest; DataFrame and Spark ML operations only.
+
+The forest sees a candidate's length and kinds of characters, how usual its character transitions are among the labelled
+findings of either label, how much of it are words of a dictionary, paths, and the words next to it. The dictionary is the corpus
+itself: a word counts if it stands in MIN_DOCS different texts; only the words of candidates are counted, over all texts.
+"""
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -10,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import narrow, save, texts
 
 # The forms of common credentials, and words around them or around what merely looks like them.
 KINDS = {
@@ -31,8 +37,10 @@ WORDS = (
 ).split()
 KEY_WORDS = "password passwd pwd secret token key credential auth bearer access login aws".split()
 OTHER_WORDS = "example sample test dummy fake placeholder commit sha sha1 sha256 md5 hash checksum digest uuid guid etag revision integrity image base64 version path file".split()
-FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "changes", "pairs", "distinct", "coverage", "slashes", "path_near", "key_near", "other_near", *(f"is_{k}" for k in KINDS))
-PAIRS = "th he in er an re nd on en at ou ed ha to or it is hi es ng".split()
+FEATURES = ("length", "digits", "uppers", "lowers", "symbols", "changes", "transitions", "distinct", "coverage", "slashes", "path_near", "key_near", "other_near", *(f"is_{k}" for k in KINDS))
+MIN_DOCS = 20
+#: Letter runs of a value, parted where a capital follows, that a dictionary may have.
+PARTS = "[a-z]{4,}"
 
 
 def candidates(docs: DataFrame, near: int = 48) -> DataFrame:
@@ -63,7 +71,36 @@ def _share(pattern: str) -> Column:
     return F.regexp_count("value", F.lit(pattern)) / F.greatest(F.length("value"), F.lit(1))
 
 
-def with_features(found: DataFrame) -> DataFrame:
+def _parts() -> Column:
+    return F.regexp_extract_all(F.lower(F.regexp_replace("value", "([a-z])([A-Z])", "$1 $2")), F.lit(PARTS), F.lit(0))
+
+
+def _steps() -> Column:
+    """The value's neighbouring characters, digits as 0 and other signs as a dot."""
+    plain = F.translate(F.regexp_replace(F.lower("value"), "[^a-z0-9]", "."), "123456789", "000000000")
+    return F.when(F.length("value") > 1, F.transform(F.sequence(F.lit(1), F.length("value") - 1), lambda i: F.substring(plain, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+
+
+def dictionary(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """word: of the parts of found's values those that stand as words in at least MIN_DOCS different texts of docs."""
+    wanted = save(found.select(F.explode(_parts()).alias("word")).distinct(), "wanted")
+    words = docs.select(F.xxhash64("text").alias("content"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"\b{PARTS}\b"), F.lit(0)))).alias("word"))
+    counted = narrow(words, wanted, "word").distinct().groupBy("word").count().where(F.col("count") >= MIN_DOCS)
+    return save(counted.join(wanted, "word", "left_semi").select("word"), "dictionary")
+
+
+def transitions(found: DataFrame) -> dict[str, float]:
+    """found: value, label. For each pair of neighbouring characters (784 at most) the log of how much more often label 1 has it."""
+    rows = found.select("label", F.explode(_steps()).alias("step")).groupBy("step").agg(F.count_if(F.col("label") == 1).alias("yes"), F.count_if(F.col("label") == 0).alias("no"))
+    total = rows.agg(F.sum("yes"), F.sum("no")).first()
+    return {r.step: math.log((r.yes + 1) / ((total[0] or 0) + 784)) - math.log((r.no + 1) / ((total[1] or 0) + 784)) for r in rows.collect()}
+
+
+def with_features(found: DataFrame, steps: dict[str, float], words: DataFrame) -> DataFrame:
+    """found with FEATURES. steps: see transitions(); words: see dictionary()."""
+    odds = F.create_map(*[F.lit(x) for pair in (steps or {"": 0.0}).items() for x in pair])
+    known = found.select("doc_id", "start", "value", F.explode(_parts()).alias("word")).join(words, "word").groupBy("doc_id", "start", "value").agg(F.sum(F.length("word")).alias("_known"))
+    found = found.join(known.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "start", "value")], "_known"), F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("start") == F.col("_start")) & (F.col("value") == F.col("_value")), "left").drop("_doc_id", "_start", "_value")
     near = F.lower(F.concat_ws(" ", "left", "right"))
     bare = F.regexp_replace(F.lower("value"), "|".join(WORDS), "")
     columns = {
@@ -73,16 +110,16 @@ def with_features(found: DataFrame) -> DataFrame:
         "lowers": _share("[a-z]"),
         "symbols": _share("[^A-Za-z0-9]"),
         "changes": _share("[a-z](?=[A-Z0-9])|[A-Z](?=[a-z0-9])|[0-9](?=[A-Za-z])"),
-        "pairs": F.regexp_count(F.lower("value"), F.lit("|".join(f"{p[0]}(?={p[1]})" for p in PAIRS))) / F.greatest(F.length("value"), F.lit(1)),
+        "transitions": F.aggregate(_steps(), F.lit(0.0), lambda t, x: t + F.coalesce(odds[x], F.lit(0.0))) / F.greatest(F.length("value"), F.lit(1)),
         "distinct": F.size(F.array_distinct(F.split("value", ""))) / F.greatest(F.length("value"), F.lit(1)),
-        "coverage": 1 - F.length(bare) / F.greatest(F.length("value"), F.lit(1)),
+        "coverage": F.least(F.lit(1.0), F.greatest(1 - F.length(bare) / F.greatest(F.length("value"), F.lit(1)), F.coalesce("_known", F.lit(0)) / F.greatest(F.length("value"), F.lit(1)))),
         "slashes": F.regexp_count("value", F.lit("[/.]")).cast("double"),
         "path_near": F.concat(F.substring_index("left", " ", -1), F.substring_index("right", " ", 1)).rlike(r"[/\\]|\.[a-z]{2,4}\b|://").cast("double"),
         "key_near": near.rlike(rf"(?<![a-z])(?:{'|'.join(KEY_WORDS)})").cast("double"),
         "other_near": near.rlike(rf"(?<![a-z])(?:{'|'.join(OTHER_WORDS)})(?![a-z])").cast("double"),
     }
     columns |= {f"is_{k}": (F.col("kind") == k).cast("double") for k in KINDS}
-    return found.withColumns(columns)
+    return found.withColumns(columns).drop("_known")
 
 
 def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
@@ -122,10 +159,9 @@ def labelled_findings(spark: SparkSession, n: int = 4000) -> DataFrame:
     return rows.select("doc_id", F.concat_ws(" ", word, F.reverse(word), body, word).alias("text"), (form < 16).cast("int").alias("label"))
 
 
-def train(labelled: DataFrame, trees: int = 24, depth: int = 8, seed: int = 11) -> RandomForestClassificationModel:
-    """labelled: doc_id, text, label; each candidate found in a text carries its label."""
-    found = with_features(candidates(labelled.select("doc_id", "text"))).join(labelled.select("doc_id", F.col("label").cast("double").alias("label")), "doc_id")
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(found).select("x", "label")
+def train(found: DataFrame, steps: dict[str, float], words: DataFrame, trees: int = 24, depth: int = 8, seed: int = 11) -> RandomForestClassificationModel:
+    """found: candidates with the label of their text."""
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(with_features(found, steps, words)).select("x", F.col("label").cast("double").alias("label"))
     return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
 
 
@@ -135,10 +171,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Every text is scanned whole, null as empty. A value that a document repeats is one finding, judged at its first place; starts
     has all its places. Candidates
     that the forest takes for false positives stay in the result with is_secret false. labelled: doc_id, text, label (1 for a
-    credential); labelled_findings() if none are given. A document id that occurs in several rows has findings for each.
+    credential); labelled_findings() if none are given. A document id that occurs in several rows has findings for each. Texts of
+    any length are scanned whole; other columns are left out.
     """
-    model = train(labelled if labelled is not None else labelled_findings(docs.sparkSession))
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(with_features(candidates(texts(docs, id_col, text_col))))
+    labelled = labelled if labelled is not None else labelled_findings(docs.sparkSession)
+    rows = texts(docs, id_col, text_col)
+    found = save(candidates(rows), "candidates")
+    known = save(candidates(labelled.select("doc_id", "text")).join(labelled.select("doc_id", "label"), "doc_id"), "labelled")
+    words, steps = dictionary(rows, found.select("value").union(known.select("value"))), transitions(known)
+    model = train(known, steps, words)
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(with_features(found, steps, words))
     p = vector_to_array(F.col("probability")).getItem(1)
     return model.transform(rows).select(
         "doc_id", "kind", "start", F.length("value").alias("length"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"), p.alias("probability"), (p >= threshold).alias("is_secret"), "starts"

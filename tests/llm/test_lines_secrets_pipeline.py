@@ -10,7 +10,7 @@ from reviewlake.llm import queries as Q
 from reviewlake.llm.line_dedup import line_dedup
 from reviewlake.llm.mixing import mix_sources
 from reviewlake.llm.quality import score_quality
-from reviewlake.llm.secret_scan import labelled_findings, scan_secrets
+from reviewlake.llm.secret_scan import KINDS, candidates, dictionary, labelled_findings, scan_secrets
 
 SF = "/root/testdata/sf0.001"
 GAP = re.compile("[\x20\x09-\x0d]+")
@@ -22,29 +22,28 @@ def masked(tokens):
 
 
 def brute_lines(texts, min_docs, depth=3, min_tokens=3, fixed_share=0.8):
-    seen = []
-    for text in set(texts):
-        lines = text.split("\n")
-        for k, line in enumerate(lines):
-            tokens = GAP.split(line.strip("\x20\t\n\x0b\x0c\r"))
-            if len(tokens) >= min_tokens and tokens != [""]:
-                seen.append(((len(tokens), *masked(tokens[:depth])), tuple(tokens), (lines[k - 1] if k else -1, lines[k + 1] if k + 1 < len(lines) else -2)))
-    contexts = defaultdict(set)
-    for leaf, tokens, context in seen:
-        contexts[leaf, tokens].add(context)
+    """By distinct documents; parses as line_dedup says."""
+    holders = defaultdict(set)
+    for d, text in enumerate(sorted(set(texts))):
+        for line in text.split("\n"):
+            tokens = tuple(GAP.split(line.strip("\x20\t\n\x0b\x0c\r")))
+            if len(tokens) >= min_tokens and tokens != ("",):
+                holders[(len(tokens), *masked(tokens[:depth])), tokens].add(d)
     support = Counter()
-    for (leaf, tokens), c in contexts.items():
+    for (leaf, tokens), d in holders.items():
         for at, t in enumerate(masked(tokens)):
-            support[leaf, at, t] += len(c)
-    template = {}
-    for leaf, tokens in contexts:
+            support[leaf, at, t] += len(d)
+    met, template = defaultdict(set), {}
+    for (leaf, tokens), d in holders.items():
         m = masked(tokens)
         fixed = [t != FIELD and support[leaf, at, t] >= min_docs for at, t in enumerate(m)]
         share = sum(f or t == FIELD for f, t in zip(fixed, m)) / len(m)
-        template[leaf, tokens] = (leaf, *[t if f or share < fixed_share else FIELD for f, t in zip(fixed, m)])
-    met = defaultdict(set)
-    for (leaf, tokens), c in contexts.items():
-        met[template[leaf, tokens]] |= c
+        if len(m) < 3 and not any(fixed):
+            own = tokens
+        else:
+            own = [t if f else FIELD for f, t in zip(fixed, m)] if share >= fixed_share and (any(fixed) or share >= 0.8) else m
+        template[leaf, tokens] = (leaf, *own)
+        met[template[leaf, tokens]] |= d
     gone = {tokens for (leaf, tokens), t in template.items() if len(met[t]) >= min_docs}
     return ["\n".join(x for x in text.split("\n") if tuple(GAP.split(x.strip("\x20\t\n\x0b\x0c\r"))) not in gone) for text in texts]
 
@@ -102,6 +101,36 @@ def test_secret_scan(spark):
     assert Q.op8_secret_scan(spark, SF).columns[:3] == ["doc_id", "kind", "start"]
 
 
+def brute_candidates(text):
+    pattern = re.compile("|".join(f"(?:{p})" for p in KINDS.values()))
+    out = {}
+    for m in pattern.finditer(text):
+        kind = next(k for k, p in KINDS.items() if k == "long_run" or re.match(p, m[0]))
+        value = re.search(r"[:=]\x20{0,4}[\x22']?(.*)$", m[0])[1] if kind == "assigned" else m[0]
+        out.setdefault((m[0], kind, value), []).append(m.end() - len(value))
+    return sorted((kind, value, starts) for (_, kind, value), starts in out.items())
+
+
+def test_candidates_against_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    extra = spark.createDataFrame([(-1, "a" * 30 + " pwd='" + "Zz9" * 4 + "' x" + "b" * 30 + " " + "a" * 30), (-2, "api_key=" + "q" * 100_000 + " token: " + "é" * 9)], "doc_id long, text string")
+    rows = docs.union(extra)
+    got = {}
+    for r in candidates(rows).collect():
+        got.setdefault(r.doc_id, []).append((r.kind, r.value, list(r.starts)))
+    assert {i: sorted(x) for i, x in got.items()} == {r.doc_id: brute_candidates(r.text) for r in rows.collect() if brute_candidates(r.text)}
+
+
+def test_words_of_the_corpus_are_no_secrets(spark):
+    word = "handelsregisterauszugsverwaltungsbeamter"
+    texts = [f"text {i} of the {word} und so weiter" for i in range(25)] + [f"der {word[:20]}{word[20:]} kam", "Bearer wJb7rXUt3FEM1K8MDENGbPxRfiCYq2zKLmN0pQsT"] + ["copy qzvkwjxhqzvkwjxhqzvkwjxhqz here"] * 40
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = candidates(df)
+    assert {r.word for r in dictionary(df, found).collect()} == {word}  # exact copies are one text
+    got = {r.doc_id: r.is_secret for r in scan_secrets(df).collect()}
+    assert got[26] and not got[25] and not any(got[i] for i in range(25))
+
+
 def test_bare_secrets_and_longer_names(spark):
     bare = "wJb7rXUt3FEM1K8MDENGbPxRfiCYq2zKLmN0pQsT"
     true = ["Authorization: Bearer " + bare, f"aws_secret_access_key = {bare}", f'client_secret_key: "{bare[:30]}"', "pwd=x9Kq2mB7vRt4", "DB_PASS=x9Kq2mB7vRt4", "my_DB_PASSWORD=x9Kq2mB7vRt4Lw8Z", "Bearer " + "qWjKvZxGfBtRmPLsDhYcNaUe" * 2]
@@ -131,7 +160,7 @@ def test_pipeline(spark, stages):
     kept = {r.doc_id for r in score_quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).where("predicted = 1").collect()}
     assert set(rows[1]) == kept and all(rows[1][i] == rows[0][i] for i in kept)
     ids = sorted(kept)
-    assert [rows[2][i].text for i in ids] == brute_lines([rows[1][i].text for i in ids], 30)
+    assert [rows[2][i].text for i in ids] == brute_lines([rows[1][i].text for i in ids], 30, min_tokens=1, fixed_share=0.5)
     assert all(r.n_chars == len(r.text) for r in rows[2].values())
     from tests.llm.test_ngram_join import brute
 
