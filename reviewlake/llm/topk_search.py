@@ -5,18 +5,20 @@ postings (document, term frequency) of each term in the order of documents. A ta
 index is ever shuffled. Document frequencies, the number of documents and their mean length are summed over all shards, so a
 document has the same score wherever it is stored.
 
-Search: a term's postings lie in blocks of BLOCK neighbouring documents, each with its greatest contribution. The cursors of a
-query's terms move through a shard in the order of documents, a block at a time: the pivot is the next block where the greatest
-contributions of the terms that have postings there add up to the k-th best score so far. The blocks before the pivot are
-skipped and their postings are never read; the pivot's documents are scored in full. The k-th best score is carried from shard
-to shard of a task, and each shard starts with the block that promises most, so that it is high from the start. What a task
-returns are the exact k best of its shards, and so their merge is exact.
+Search: postings lie in blocks of few neighbouring documents, a long one being alone, each with its greatest contribution. A
+block of documents can reach at most the sum of these maxima over a query's terms. The cursor of a query moves through a shard in the order of
+documents to the next pivot, a block whose bound reaches the k-th best score so far; the blocks before it are skipped and none of
+their documents is scored. Bounds are made for many queries at once: the maxima of frequent terms are a matrix, so their part is
+a product of matrices, and rarer terms add theirs block by block. The k-th best score is carried from shard to shard of a task,
+and each shard starts with the blocks that promise most, so it is high from the start; one shard in LEADS is searched before the
+others, whose search starts from the k-th best score there. What tasks return has the exact k best, and so their merge is exact.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +26,18 @@ from .common import narrow, running_start, save, texts
 from .kernels import counts_of, flat, signed, slices, word_hashes
 
 K1, B = 1.2, 0.75
-BLOCK = 64
+#: A block has neighbouring documents of so many postings in all, a longer one being a block of its own. Block maxima say little
+#: about long queries unless blocks are small: of blocks of 64 documents nine in ten can reach the ten best, of this size one in 1,000.
+BLOCK = 512
+#: Terms in a share of 1 / FREQUENT of a shard's documents have their maxima in the matrix; so many queries share a product.
+FREQUENT, TOGETHER = 32, 128
 #: Scores are rounded to 9 places, so sums that differ by their rounding only are ties; bounds have that much to spare.
-SLACK, ROUND = 1 + 1e-9, 1e-9
+ROUND = 1e-9
 SHARD_DOCS, SHARD_BYTES = 4096, 16 << 20
+#: One shard in so many is searched first; what it has raises the bar for all others.
+LEADS = 8
 #: Queries are sent to the executors in blocks of so many bytes, a longer query being a block of its own.
-QUERY_BYTES = 16 << 20
+QUERY_BYTES = 8 << 20
 #: A shard is a row of some MB, so row groups are cut by size and not only looked at every 100 rows.
 _FILES = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "4"}
 
@@ -44,10 +52,11 @@ def term_counts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def packed(*arrays: np.ndarray) -> bytes:
-    return b"".join(x for a in arrays for x in (len(a).to_bytes(8, "little"), np.ascontiguousarray(a).tobytes()))
+    return zstandard.compress(b"".join(x for a in arrays for x in (len(a).to_bytes(8, "little"), np.ascontiguousarray(a).tobytes())), 1)
 
 
 def unpacked(raw: bytes, *types: type) -> list[np.ndarray]:
+    raw = zstandard.decompress(raw)
     out, at = [], 0
     for t in types:
         n = int.from_bytes(raw[at : at + 8], "little")
@@ -63,10 +72,12 @@ def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def build_index(rows: DataFrame, name: str) -> DataFrame:
-    """rows: doc_id, text. A saved table of shards, a row each: docs, words (totals), terms and postings (packed arrays)."""
+    """rows: doc_id, text. A saved table of shards, a row each: lead, docs, words (totals), terms and postings (packed arrays)."""
 
     def run(batches):
-        held, docs, size = [], 0, 0
+        from pyspark import TaskContext
+
+        nth, held, docs, size = TaskContext.get().partitionId(), [], 0, 0
 
         def close():
             term, doc, tf, length, ids = (np.concatenate(x) for x in zip(*held))
@@ -75,7 +86,8 @@ def build_index(rows: DataFrame, name: str) -> DataFrame:
             first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
             terms = packed(term[first], np.diff(np.r_[first, len(term)]).astype(np.uint16))
             return pa.RecordBatch.from_arrays(
-                [pa.array([len(ids)]), pa.array([int(length.sum())]), pa.array([terms], pa.binary()), pa.array([packed(doc[order], tf[order], length, ids)], pa.binary())], ["docs", "words", "terms", "postings"]
+                [pa.array([nth % LEADS == 0]), pa.array([len(ids)]), pa.array([int(length.sum())]), pa.array([terms], pa.binary()), pa.array([packed(doc[order], tf[order], length, ids)], pa.binary())],
+                ["lead", "docs", "words", "terms", "postings"],
             )
 
         for part in slices(batches, limit=1 << 20):
@@ -84,79 +96,105 @@ def build_index(rows: DataFrame, name: str) -> DataFrame:
                 j = min(part.num_rows, i + 1024)
                 if held and (docs + j - i > SHARD_DOCS or size + at[j] - at[i] > SHARD_BYTES):
                     yield close()
-                    held, docs, size = [], 0, 0
+                    nth, held, docs, size = nth + 3, [], 0, 0
                 term, doc, tf, length = term_counts(data[at[i] : at[j]], at[i : j + 1] - at[i])
                 held.append((term, (doc + docs).astype(np.uint16), tf.astype(np.uint32), length.astype(np.uint32), np.asarray(part.column("doc_id"))[i:j]))
                 docs, size = docs + j - i, size + int(at[j] - at[i])
         if held:
             yield close()
 
-    return save(rows.mapInArrow(run, "docs long, words long, terms binary, postings binary"), name, _FILES)
+    return save(rows.mapInArrow(run, "lead boolean, docs long, words long, terms binary, postings binary"), name, _FILES)
 
 
 class Shard:
-    """A shard in memory: postings in blocks of neighbouring documents, a term's blocks in the order of documents."""
+    """A shard in memory: block maxima of the frequent terms as a matrix and of the others in lists, and the terms of each document."""
 
     def __init__(self, terms: bytes, postings: bytes, mean: float):
         self.terms, count = unpacked(terms, np.uint64, np.uint16)
-        self.doc, tf, length, self.ids = unpacked(postings, np.uint16, np.uint32, np.uint32, np.int64)
+        doc, tf, length, self.ids = unpacked(postings, np.uint16, np.uint32, np.uint32, np.int64)
         start = np.r_[0, np.cumsum(count, dtype=np.int64)]
-        self.impact = tf / (tf + (K1 * (1 - B + B * length / mean))[self.doc])
-        self.impact *= K1 + 1
-        block = self.doc // np.uint16(BLOCK)
+        impact = tf / (tf + (K1 * (1 - B + B * length / mean))[doc])
+        impact *= K1 + 1
+        size = np.bincount(doc, minlength=len(self.ids))
+        self.by_doc = np.r_[0, np.cumsum(size)]
+        shut = self.by_doc[:-1] // BLOCK
+        shut = np.r_[True, (shut[1:] != shut[:-1]) | (size[1:] > BLOCK // 2)]
+        self.edge = np.r_[np.flatnonzero(shut), len(size)]  # where each block of documents starts
+        self.n_blocks = len(self.edge) - 1
+        block = (np.cumsum(shut) - 1).astype(np.uint16)[doc]
         new = np.ones(len(block), bool)
         new[1:] = block[1:] != block[:-1]
         new[start[:-1]] = True
         at = np.flatnonzero(new)
-        self.at = np.r_[at, len(block)]  # where each block of postings starts
-        self.block = block[at]  # the documents it is about
-        self.top = np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
+        self.block = block[at]  # of each block of postings the documents it is about
+        self.top = (np.maximum.reduceat(impact, at) if len(at) else np.zeros(0)).astype(np.float32)
         self.of = np.searchsorted(at, start)  # a term's blocks of postings
-        self.n_blocks = -(-len(self.ids) // BLOCK)
-        self.skipped = self.read = 0  # blocks of postings
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """terms: indexes into self.terms. best: the ids and scores of the k best documents of other shards, best first.
-
-        Returns the k best of these and of this shard's, by score, then id; only scores over 0 count.
-        """
-        sizes = self.of[terms + 1] - self.of[terms]
-        at, weight = places(self.of[terms], sizes), np.repeat(weights, sizes)
-        block = self.block[at]
-        order = np.argsort(block, kind="stable")  # terms stay in order within a block, so equal texts have equal sums
-        at, weight, block = at[order], weight[order], block[order]
-        edge = np.searchsorted(block, np.arange(self.n_blocks + 1))
-        bound = np.bincount(block, weight * self.top[at], self.n_blocks) * SLACK + ROUND
-        left = bound > ROUND
+        often = np.flatnonzero(count.astype(np.int64) * FREQUENT >= len(self.ids))
+        self.row = np.full(len(self.terms), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        sizes = self.of[often + 1] - self.of[often]
+        some = places(self.of[often], sizes)
+        self.maxima = np.zeros((len(often), self.n_blocks), np.float32)
+        self.maxima[np.repeat(np.arange(len(often)), sizes), self.block[some]] = self.top[some]
+        # Sums of so many positive numbers of 24 bits are right up to this factor.
+        self.slack = 1 + (len(often) + 4096) * 2.0**-23
+        order = np.argsort(doc, kind="stable")  # terms stay in order within a document, so equal texts have equal sums
+        self.doc_term = np.repeat(np.arange(len(self.terms), dtype=np.int32), count)[order]
+        self.doc_impact = impact[order]
+        self.weight = np.zeros(len(self.terms))
+        self.skipped = self.scored = 0  # blocks of documents
+
+    def bounds(self, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        """query, terms, weights: the terms (indexes into self.terms) of n queries. What each block can reach, a row per query."""
+        row = self.row[terms]
+        often = row >= 0
+        w = np.zeros((n, len(self.maxima)), np.float32)
+        w[query[often], row[often]] = weights[often]
+        rare = ~often
+        sizes = self.of[terms[rare] + 1] - self.of[terms[rare]]
+        at = places(self.of[terms[rare]], sizes)
+        cell = np.repeat(query[rare] * self.n_blocks, sizes) + self.block[at]
+        listed = np.bincount(cell, np.repeat(weights[rare], sizes) * self.top[at], n * self.n_blocks).reshape(n, self.n_blocks)
+        return (w @ self.maxima + listed) * self.slack + ROUND
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, bound: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray], floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """One query: its terms and their weights, and what its blocks can reach. best: the ids and scores of the k best documents
+        of other shards, best first; floor: a score that k documents elsewhere reach. The k best of best and of this shard's
+        documents that reach the floor, by score, then id; only scores over 0 count."""
+
+        def least() -> float:
+            return max(1e-12, floor, best[1][k - 1] if len(best[1]) >= k else 0.0)
 
         def score(blocks: np.ndarray) -> None:
             nonlocal best
-            some = places(edge[blocks], edge[blocks + 1] - edge[blocks])
-            self.read += len(some)
-            left[blocks] = False
-            b = at[some]
-            n = self.at[b + 1] - self.at[b]
-            postings = places(self.at[b], n)
-            sums = np.bincount(self.doc[postings], np.repeat(weight[some], n) * self.impact[postings], len(self.ids)).round(9)
-            hit = np.flatnonzero(sums >= max(least(), 1e-12))
-            ids, scores = np.r_[best[0], self.ids[hit]], np.r_[best[1], sums[hit]]
-            first = np.lexsort((ids, -scores))[:k]
-            best = ids[first], scores[first]
-
-        def least() -> float:
-            return best[1][k - 1] if len(best[1]) >= k else 0.0
-
-        if left.any():
-            score(np.argmax(bound)[None])
-        cursor, step = 0, 2
-        while True:
-            pivots = cursor + np.flatnonzero(left[cursor:] & (bound[cursor:] >= least()))[:step]
-            if not len(pivots):
-                break
-            score(pivots)
-            # The cursors go on behind the pivots; a few pivots are taken at once, as the k-th best rises ever more slowly.
-            cursor, step = int(pivots[-1]) + 1, min(16, 2 * step)
-        self.skipped += int(np.diff(edge)[left].sum())
+            docs = places(self.edge[blocks], self.edge[blocks + 1] - self.edge[blocks])
+            sizes = self.by_doc[docs + 1] - self.by_doc[docs]
+            at = places(self.by_doc[docs], sizes)
+            sums = np.bincount(np.repeat(np.arange(len(docs)), sizes), self.weight[self.doc_term[at]] * self.doc_impact[at], len(docs)).round(9)
+            hit = np.flatnonzero(sums >= least())
+            if len(hit):
+                ids, scores = np.r_[best[0], self.ids[docs[hit]]], np.r_[best[1], sums[hit]]
+                first = np.lexsort((ids, -scores))[:k]
+                best = ids[first], scores[first]
+            self.scored += len(blocks)
+
+        left = np.flatnonzero(bound >= max(least(), 2 * ROUND))
+        self.skipped += self.n_blocks - len(left)
+        if not len(left):
+            return best
+        self.weight[terms] = weights
+        if len(left) > 2 * k:
+            first = np.argpartition(-bound[left], k)[:k]
+            score(left[first])
+            left = np.delete(left, first)
+        step = 32
+        while len(left):
+            pivots = left[bound[left] >= least()]
+            self.skipped += len(left) - len(pivots)
+            score(pivots[:step])
+            # A few pivots are taken at once, and more and more, as the k-th best rises ever more slowly.
+            left, step = pivots[step:], 2 * step
+        self.weight[terms] = 0
         return best
 
 
@@ -201,12 +239,14 @@ def _query_blocks(weighed: DataFrame) -> tuple[DataFrame, int]:
     return save(blocks, "query_blocks", _FILES), 0 if last is None else last + 1
 
 
-def _searched(index: DataFrame, queries: bytes, k: int, mean: float) -> DataFrame:
-    """query_id, doc_id, score: for each query of a block the k best documents of each task's shards."""
-    block = index.sparkSession.sparkContext.broadcast(queries)
+def _searched(index: DataFrame, queries: bytes, k: int, mean: float, floors: dict[int, float]) -> DataFrame:
+    """query_id, doc_id, score: for each query of a block the k best documents of each task's shards that reach its floor."""
+    block = index.sparkSession.sparkContext.broadcast((queries, floors))
 
     def run(batches):
-        ids, edge, words, idf, nth, count = unpacked(block.value, np.int64, np.int64, np.uint64, np.float64, np.uint32, np.uint32)
+        queries, floors = block.value
+        ids, edge, words, idf, nth, count = unpacked(queries, np.int64, np.int64, np.uint64, np.float64, np.uint32, np.uint32)
+        floor = [floors.get(q, 0.0) for q in ids.tolist()]
         best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
         for batch in batches:
             for terms, postings in zip(batch.column("terms"), batch.column("postings")):
@@ -215,17 +255,26 @@ def _searched(index: DataFrame, queries: bytes, k: int, mean: float) -> DataFram
                 there = np.zeros(len(words), bool)
                 inside = where < len(shard.terms)
                 there[inside] = shard.terms[where[inside]] == words[inside]
-                for q in range(len(ids)):
-                    own = nth[edge[q] : edge[q + 1]]
-                    has = there[own]
-                    own = own[has]
-                    if len(own):
-                        best[q] = shard.search(where[own], idf[own] * count[edge[q] : edge[q + 1]][has], k, best[q])
+                for q0 in range(0, len(ids), TOGETHER):
+                    q1 = min(len(ids), q0 + TOGETHER)
+                    span = slice(edge[q0], edge[q1])
+                    has = there[nth[span]]
+                    own = nth[span][has]
+                    query = np.repeat(np.arange(q1 - q0), np.diff(edge[q0 : q1 + 1]))[has]
+                    at, weights = where[own], idf[own] * count[span][has]
+                    bound = shard.bounds(query, at, weights, q1 - q0)
+                    ends = np.searchsorted(query, np.arange(q1 - q0 + 1))
+                    for q, i, j in zip(range(q0, q1), ends[:-1], ends[1:]):
+                        if i < j:
+                            best[q] = shard.search(at[i:j], weights[i:j], bound[q - q0], k, best[q], floor[q])
         sizes = [len(b[0]) for b in best]
         if sum(sizes):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], ["query_id", "doc_id", "score"])
 
-    found = index.select("terms", "postings").mapInArrow(run, "query_id long, doc_id long, score double")
+    return index.select("terms", "postings").mapInArrow(run, "query_id long, doc_id long, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
@@ -240,7 +289,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     docs and of queries. Documents that share an id are results each. Of queries that share one, the least text asks. A text of
     any length is indexed and asked with whole; a long one is a shard, or a block of queries, of its own.
 
-    Queries meet the index in blocks of QUERY_BYTES: a block is broadcast, and the index is read once for each.
+    Queries meet the index in blocks of QUERY_BYTES: a block is broadcast, with a number per query, and the index is read once for each.
     """
     rows = texts(docs, id_col, text_col).where("doc_id is not null")
     asked = texts(queries, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
@@ -254,6 +303,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     blocks, n_blocks = _query_blocks(weighed)
     out = docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     for b in range(n_blocks):
-        found = _searched(index, bytes(blocks.where(F.col("block") == b).first()["queries"]), k, mean)
-        out = out.unionByName(save(found, f"found{b}") if n_blocks > 1 else found)
+        queries = bytes(blocks.where(F.col("block") == b).first()["queries"])
+        leads = save(_best(_searched(index.where("lead"), queries, k, mean, {}), k), f"leads{b}")
+        floors = dict(map(tuple, leads.where(F.col("rank") == k).select("query_id", "score").toPandas().itertuples(index=False)))
+        found = leads.select("query_id", "doc_id", "score").unionByName(_searched(index.where("not lead"), queries, k, mean, floors))
+        out = out.unionByName(save(_best(found, k), f"found{b}") if n_blocks > 1 else _best(found, k))
     return out

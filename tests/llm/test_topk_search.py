@@ -65,18 +65,20 @@ def test_blocks_are_skipped():
     asked = np.unique(word_hashes(*flat(pa.array(["r3 r5 c1 c2"])))[0])
     own = np.searchsorted(shard.terms, asked)
     weights = np.log(1 + (n - df[own] + 0.5) / (df[own] + 0.5))
-    got = shard.search(own, weights, k, (np.zeros(0, np.int64), np.zeros(0)))
+    bound = shard.bounds(np.zeros(len(own), np.int64), own, weights, 1)[0]
+    got = shard.search(own, weights, bound, k, (np.zeros(0, np.int64), np.zeros(0)))
     dense = np.zeros(n)
     for t, w in zip(own, weights):
         s = slice(first[t], first[t] + df[t])
         dense[doc[s]] += w * tf[s] * 2.2 / (tf[s] + 1.2 * (0.25 + 0.75 * length[doc[s]] / mean))
     want = np.lexsort((ids, -dense.round(9)))[:k]
     assert got[0].tolist() == ids[want].tolist() and np.allclose(got[1], dense[want])
-    assert shard.skipped > 4 * shard.read > 0
-    # What another shard has found raises the bar, down to reading nothing.
-    shard.read = shard.skipped = 0
+    assert (bound.repeat(np.diff(shard.edge)) >= dense).all() and shard.n_blocks < n / 4
+    assert shard.skipped > 4 * shard.scored > 0
+    # What another shard has found raises the bar, down to scoring nothing.
+    shard.scored = shard.skipped = 0
     high = (np.arange(k), np.full(k, 1e9))
-    assert shard.search(own, weights, k, high)[1].tolist() == [1e9] * k and shard.read <= len(own)
+    assert shard.search(own, weights, bound, k, high)[1].tolist() == [1e9] * k and shard.scored == 0 and shard.skipped == shard.n_blocks
 
 
 def test_queries_in_several_blocks(spark, monkeypatch):
