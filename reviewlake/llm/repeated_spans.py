@@ -20,17 +20,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import narrow, parted, release, save, texts
-from .kernels import BASE, EXACT, INVERSE, flat, powers, prefix_hash, signed, slices, span_hash
+from .kernels import EXACT, INVERSE, flat, powers, prefix_hash, signed, slices, span_hash
 
 POSITION_BITS = 28
 #: Texts are taken in stretches of so many windows; a run that a stretch cuts is two runs, which costs only work.
 STRETCH = 1 << 26
 _POSITION = np.uint64((1 << POSITION_BITS) - 1)
 BANDS = 4
-# A second hash of windows, by other random values for bytes and another base.
-SECOND = np.random.Generator(np.random.PCG64(7)).integers(0, 2**64, 256, dtype=np.uint64)
-BASE_2 = np.uint64(0xD1342543DE82EF95)
-INVERSE_2 = np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
 
 
 def minimizer_runs(data: np.ndarray, at: np.ndarray, length: int, share: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,8 +78,7 @@ def _runs(rows: DataFrame, length: int, share: int) -> DataFrame:
 
 
 def _inside(rows: DataFrame, kind: str, length: int, share: int) -> DataFrame:
-    """rows: cid, text and lists of longs. kind "bands": a row per band of the runs; "windows": a row per window of the bands;
-    "twice": a row per given window, with a second hash that knows nothing of the first."""
+    """rows: cid, text and lists of longs. kind "bands": a row per band of the runs; "windows": a row per window of the bands."""
     step = (length - share + 1) // BANDS
 
     def bands(h, size, x):
@@ -106,25 +101,20 @@ def _inside(rows: DataFrame, kind: str, length: int, share: int) -> DataFrame:
         i = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
         return [signed(span_hash(h, i, i + length)), i]
 
-    def twice(h, size, x, other):
-        return [signed(span_hash(h, x[0], x[0] + length)), signed(span_hash(other, x[0], x[0] + length, INVERSE_2)), x[0]]
-
-    make, names, width = {
-        "bands": (bands, ["digit", "band", "inner", "outer", "anchor", "low", "high"], 4), "windows": (windows, ["whole", "low"], 3), "twice": (twice, ["whole", "second", "low"], 1),
-    }[kind]
-    hashes = [(EXACT, BASE, INVERSE), (SECOND, BASE_2, INVERSE_2)][: 2 if kind == "twice" else 1]
+    make, names = (bands, ["digit", "band", "inner", "outer", "anchor", "low", "high"]) if kind == "bands" else (windows, ["whole", "low"])
+    width = 4 if kind == "bands" else 3
 
     def run(batches):
         for part in slices(batches, limit=1 << 20):
             data, at = flat(part.column("text"))
-            running = [(prefix_hash(data, values, base), powers(inverse, len(data) + 1)) for values, base, inverse in hashes]
+            h = prefix_hash(data, EXACT)
             lists = part.column("items")
             edges, values = np.asarray(lists.offsets) - lists.offsets[0].as_py(), np.asarray(lists.flatten())
             for k in range(part.num_rows):
                 x = values[edges[k] : edges[k + 1]].reshape(-1, width).T
-                # Hashes of one text: its own running hashes, so that positions count from its start.
-                own, *more = [(h[at[k] : at[k + 1] + 1] - h[at[k]]) * back[at[k]] for h, back in running]
-                columns = make(own, at[k + 1] - at[k], x, *more)
+                # Hashes of one text: its own running hash, so that positions count from its start.
+                own = (h[at[k] : at[k + 1] + 1] - h[at[k]]) * powers(INVERSE, len(h))[at[k]]
+                columns = make(own, at[k + 1] - at[k], x)
                 cid = np.full(len(columns[0]), part.column("cid")[k].as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(cid), *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns)], ["cid", *names])
 
@@ -157,11 +147,7 @@ def repeated_windows(rows: DataFrame, length: int, share: int) -> DataFrame:
     windows = _inside(narrow(rows, unlike, "cid").join(unlike, "cid"), "windows", length, share)
     # Rows are many and small here, so they are shuffled once: a window's rows meet, and stay if they show two places.
     seen, places = F.xxhash64("cid", "low"), Window.partitionBy("whole")
-    single = save(windows.select("cid", "low", (F.min(seen).over(places) != F.max(seen).over(places)).alias("again")).where("again").drop("again"), "single")
-    # Among so many windows two may share a hash by chance: those that seem to come again show a second one, too.
-    asked = save(single.groupBy("cid").agg(F.collect_list("low").alias("items")), "asked")
-    again = _inside(narrow(rows, asked, "cid").join(asked, "cid"), "twice", length, share)
-    single = save(again.join(_company(again, ["whole", "second"], "low"), ["whole", "second"]).select("cid", "low"), "proven")
+    single = windows.select("cid", "low", (F.min(seen).over(places) != F.max(seen).over(places)).alias("again")).where("again")
     return (
         shared.where("same").select("cid", F.col("first").cast("long").alias("low"), F.col("last").cast("long").alias("high"))
         .union(alive.where("same").select("cid", "low", "high"))
@@ -193,8 +179,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     another place, in any document or the same one; overlapping places count, and all strings are judged on the input. kept:
     the remaining bytes, joined (binary: a cut may fall within a character). n_spans: maximal removed runs. Of equal texts,
     all are removed whole if they have `length` bytes. Texts shorter than that stay as they are. Texts of any length are read
-    whole; a worker needs some twenty times the bytes of its longest text. Strings count as equal where two hashes of 64 bits
-    agree, at most 2 ** -128 of the pairs of unlike ones. Other columns are left out, and rows repeated count as copies.
+    whole; a worker needs some twenty times the bytes of its longest text. Runs and bands count as equal where two hashes of 64
+    bits agree, single windows, those of the last pass, where one does: a few of n such windows, n ** 2 / 2 ** 65, may be taken
+    for repeats. Other columns are left out, and rows repeated count as copies.
     """
     share = share or length // 3 - 1 + (length - (length // 3 - 1) + 1) % BANDS  # so that bands are equal
     step = (length - share + 1) // BANDS
