@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.session import shared_dir
+from ..functions.session import save, shared_dir
 
 
 def in_period(rows: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -33,6 +33,7 @@ def k_core(rows: DataFrame, k: int, save=None, max_rounds: int = 100) -> DataFra
     if save is None:
         rows.sparkSession.sparkContext.setCheckpointDir(shared_dir(rows.sparkSession))
     keep = save or (lambda df: df.checkpoint())
+    rows = keep(rows)
     n = rows.count()
     for _ in range(max_rounds):
         users = rows.groupBy("user_id").count().where(F.col("count") >= k).select("user_id")
@@ -153,7 +154,8 @@ def id_maps(*frames: DataFrame, column: str = "item") -> DataFrame:
     ids = frames[0].select(F.col(column).alias("id"))
     for f in frames[1:]:
         ids = ids.union(f.select(F.col(column).alias("id")))
-    ranged = ids.where("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id").withColumn("_range", F.spark_partition_id()).cache()  # one set of ranges for both uses
+    ranged = ids.where("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id").withColumn("_range", F.spark_partition_id())
+    ranged = save(ranged, "ranged")  # a lost executor must not deal other ranges for the second use
     ranged = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy("id")))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

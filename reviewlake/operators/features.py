@@ -133,28 +133,40 @@ def rank_residual(rows: DataFrame, beta: float) -> DataFrame:
 
 
 def greedy_swaps(pool: DataFrame, head_n: int = 20, focus_k: int = 50, tau: float = 0.25, gamma: float = 0.0, most: int = 10) -> DataFrame:
-    """pool: user_id, item, rank, phi. The list after up to `most` swaps of an item at places head_n + 1 .. focus_k with one of the
-    head: each time the pair with the greatest gain phi(challenger) - phi(head item) - tau * penalty(head place), while it is
-    over gamma. A user's pool is a short list, and each swap depends on the one before."""
-    kept = pool.where(F.col("rank") <= focus_k)
+    """pool: user_id, item, rank, phi. The list after up to `most` swaps of an item outside the head with one of the head: each time
+    the pair with the greatest gain phi(challenger) - phi(head item) - tau * penalty(head place), while it is over gamma.
+
+    Challengers are the focus_k items of the whole pool with the greatest phi (ties by rank) that are not in the head. A list
+    shorter than head_n is all head. Only the head and the focus, a short list per user, are gathered; each swap depends on the one
+    before. Null phi counts as 0.
+    """
+    size, order = F.count("*").over(pool_window()), pool_window().orderBy(F.desc("phi"), "rank")
+    rows = pool.select("user_id", "item", F.col("rank").cast("int").alias("rank"), F.coalesce("phi", F.lit(0.0)).alias("phi")).withColumn("_size", size)
+    rows = rows.withColumn("_nth", F.row_number().over(order))
+    concerned = (F.col("rank") <= head_n) | (F.col("_nth") <= focus_k)
 
     def swap(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", ignore_index=True)
-        phi, order = pdf["phi"].to_numpy(), np.arange(len(pdf))
-        h = min(head_n, len(pdf))
-        cost = tau * np.clip((head_n + 1 - np.arange(1, h + 1)) / head_n, 0, 1)
+        phi, place = pdf["phi"].to_numpy(), pdf["rank"].to_numpy().copy()
+        n = min(head_n, int(pdf["_size"].iloc[0]))
+        focus = np.flatnonzero(pdf["_nth"].to_numpy() <= focus_k)
+        focus = focus[np.argsort(pdf["_nth"].to_numpy()[focus])]
         for _ in range(most):
-            if h == len(order):
+            head = np.flatnonzero(place <= n)
+            head = head[np.argsort(place[head])]
+            rivals = focus[place[focus] > n]
+            if not len(rivals) or not len(head):
                 break
-            gain = phi[order[h:]][:, None] - phi[order[:h]][None, :] - cost[None, :]
-            c, d = np.unravel_index(np.argmax(gain), gain.shape)
+            gain = phi[rivals][:, None] - phi[head][None, :] - tau * np.clip((n + 1 - place[head]) / n, 0, 1)[None, :]
+            c, d = np.unravel_index(np.argmax(gain), gain.shape)  # the first of equals: by phi of the challenger, then head place
             if gain[c, d] <= gamma:
                 break
-            order[[h + c, d]] = order[[d, h + c]]
-        return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "item": pdf["item"].to_numpy()[order], "rank": np.arange(1, len(order) + 1)})
+            c, d = rivals[c], head[d]
+            place[c], place[d] = place[d], place[c]
+        return pd.DataFrame({"user_id": pdf["user_id"], "item": pdf["item"], "rank": place})
 
-    head = kept.select("user_id", "item", "rank", "phi").groupBy("user_id").applyInPandas(swap, "user_id string, item string, rank int")
-    return head.unionByName(pool.where(F.col("rank") > focus_k).select("user_id", "item", F.col("rank").cast("int")))
+    swapped = rows.where(concerned).groupBy("user_id").applyInPandas(swap, "user_id string, item string, rank int")
+    return swapped.unionByName(rows.where(~concerned).select("user_id", "item", "rank"))
 
 
 def lexical_scores(pool: DataFrame, query: str = "query_tokens", doc: str = "item_tokens") -> DataFrame:
@@ -218,6 +230,46 @@ def lexical_picks(pool: DataFrame, k: int, displaced_from: int, delta_in: int =
     return top_k(rows, k, ["user_id"], [F.desc("hits"), "old", "item"]).select("user_id", "item", "rank")
 
 
+def listwise_window(pool: DataFrame, cap: int, inject: int = 0) -> DataFrame:
+    """pool: user_id, item, rank (by phi), stage1_rank, hits. The list that a listwise model sees, cap items: the first cap - inject
+    by phi, then up to `inject` items of the rest with the most hits (one at least; ties by stage1_rank, null last, then item), then
+    the rest by phi. inject is cut to cap - 1, cap to the pool's size."""
+    cap = max(1, cap)
+    n = F.least(F.lit(cap), F.count("*").over(pool_window()))
+    rows = pool.select("user_id", "item", "rank", "stage1_rank", "hits").withColumn("_n", n)
+    rows = rows.withColumn("_head", F.col("_n") - F.greatest(F.lit(0), F.least(F.lit(inject), F.col("_n") - 1)))
+    rival = (F.col("rank") > F.col("_head")) & (F.coalesce("hits", F.lit(0)) >= 1)
+    nth = F.row_number().over(pool_window().orderBy((~rival).cast("int"), F.desc("hits"), F.asc_nulls_last("stage1_rank"), "item"))
+    rows = rows.withColumn("_nth", F.when(rival, nth))
+    part = F.when(F.col("rank") <= F.col("_head"), 0).when(F.col("_nth") <= F.col("_n") - F.col("_head"), 1).otherwise(2)
+    place = F.row_number().over(pool_window().orderBy(part, F.when(part == 1, F.col("_nth")).otherwise(F.col("rank"))))
+    return rows.withColumn("_place", place).where(F.col("_place") <= F.col("_n")).select("user_id", "item", F.col("_place").alias("rank"))
+
+
+def blend_window(window: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """window: user_id, item, rank, phi, text, co and model_rank (the model's order; items it left out, null, come last by rank).
+    Order by the weighted z-scores of phi, model, text and co, ties by phi, then item. The model's score is (n + 1 - place) / n."""
+    weights = {"phi": 1.0, "model": 0.0, "text": 0.0, "co": 0.0} | (weights or {})
+    n = F.count("*").over(pool_window())
+    place = F.row_number().over(pool_window().orderBy(F.asc_nulls_last("model_rank"), "rank"))
+    rows = window.drop("model").withColumn("model", (n + 1 - place) / n)
+    score = sum((F.lit(w) * zscore(F.coalesce(F.col(c), F.lit(0.0)), pool_window()) for c, w in weights.items()), F.lit(0.0))
+    rows = rows.drop("rank").withColumn("_score", F.round(score, 9))
+    return top_k(rows, None, ["user_id"], [F.desc("_score"), F.desc("phi"), "item"]).select("user_id", "item", "rank")
+
+
+def save_listwise(spark, path: str, w: np.ndarray, mu: np.ndarray, sd: np.ndarray, features: tuple[str, ...] = LTR_FEATURES) -> None:
+    """Writes a fitted listwise model, a row per feature: nth, feature, weight, mean, sd."""
+    rows = [(i, f, float(a), float(b), float(c)) for i, (f, a, b, c) in enumerate(zip(features, w, mu, sd, strict=True))]
+    spark.createDataFrame(rows, "nth int, feature string, weight double, mean double, sd double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_listwise(spark, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[str, ...]]:
+    """(w, mean, sd, features) of save_listwise()."""
+    rows = spark.read.parquet(path).orderBy("nth").collect()
+    return (*(np.array([r[c] for r in rows], float) for c in ("weight", "mean", "sd")), tuple(r["feature"] for r in rows))
+
+
 def block_report(rows: DataFrame, head_n: int = 20, focus_k: int = 50) -> DataFrame:
     """rows: user_id, item, rank, score, label. A row per user: recall at focus_k by score, the best gold place, and gold items
     of the tail (beyond head_n) that the score brings into focus."""

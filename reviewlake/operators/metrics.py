@@ -93,10 +93,22 @@ def bootstrap_ci(values: DataFrame, n_bootstrap: int = 1000, seed: int = 42, ci:
     return point.join(ends.select(F.get("m", F.lit(low)).alias("low"), F.get("m", F.least(F.size("m") - 1, F.lit(high))).alias("high")))
 
 
+def _differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """unit, d: the differences of two runs, which must have the same units, two at least, each once and with a value."""
+    both = a.select("unit", F.col("value").alias("_a")).join(b.select("unit", F.col("value").alias("_b")), "unit", "full")
+    d = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.raise_error(F.lit("paired runs must have the same units, with values"))).otherwise(F.col("_a") - F.col("_b"))
+    return both.select("unit", d.cast("double").alias("d"))
+
+
+def _enough(n: Column, out: Column) -> Column:
+    return F.when(n < 2, F.raise_error(F.lit("a paired test takes two observations at least"))).otherwise(out)
+
+
 def paired_bootstrap(a: DataFrame, b: DataFrame, n_bootstrap: int = 1000, seed: int = 42) -> DataFrame:
-    """a, b: unit, value. One row: delta (mean of a - b), low, high, p_value: twice the share of resamples on the other side of 0."""
-    d = a.join(b.withColumnRenamed("value", "_b"), "unit").select("unit", (F.col("value") - F.col("_b")).alias("value"))
-    point = d.agg(F.avg("value").alias("delta"))
+    """a, b: unit, value, the same units in both. One row: delta (mean of a - b), low, high, p_value: twice the share of resamples on
+    the other side of 0."""
+    d = _differences(a, b).withColumnRenamed("d", "value")
+    point = d.agg(_enough(F.count("*"), F.avg("value")).alias("delta"))
     m = _picked_means(d, n_bootstrap, seed).join(F.broadcast(point))
     crossed = F.count_if(F.when(F.col("delta") > 0, F.col("mean") <= 0).when(F.col("delta") < 0, F.col("mean") >= 0).otherwise(F.lit(True)))
     out = m.agg(F.first("delta").alias("delta"), F.least(F.lit(1.0), 2 * crossed / F.count("*")).alias("p_value"), F.sort_array(F.collect_list("mean")).alias("m"))
@@ -104,24 +116,29 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, n_bootstrap: int = 1000, seed:
     return out.select("delta", F.get("m", F.lit(low)).alias("low"), F.get("m", F.least(F.size("m") - 1, F.lit(high))).alias("high"), "p_value")
 
 
-def paired_ttest(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: n, delta, sd, t, low, high: the paired t statistic and delta -+ 1.96 standard errors."""
-    d = a.join(b.withColumnRenamed("value", "_b"), "unit").select((F.col("value") - F.col("_b")).alias("d"))
-    s = d.agg(F.count("*").alias("n"), F.avg("d").alias("delta"), F.stddev_samp("d").alias("sd"))
-    se = F.col("sd") / F.sqrt("n")
-    return s.select("n", "delta", "sd", F.when(se > 0, F.col("delta") / se).otherwise(0.0).alias("t"), (F.col("delta") - 1.96 * se).alias("low"), (F.col("delta") + 1.96 * se).alias("high"))
+def t_tail(t: Column, n: Column) -> Column:
+    """Two-sided p-value of a t statistic with n - 1 degrees of freedom: the density in an angle, cos(x) ** (n - 2), integrated by
+    Simpson's rule beyond the statistic's angle and over all of it."""
+    steps, df = 2000, (n - 1).cast("double")
+    full = F.least(F.lit(math.pi / 2), 40 / F.sqrt(df))  # beyond, nothing is left
+    end = F.least(full, F.atan2(F.abs(t), F.sqrt(df)))
 
+    def area(upto: Column) -> Column:
+        h = upto / steps
+        weight = lambda i: F.when((i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), lambda s, i: s + weight(i) * F.pow(F.greatest(F.lit(0.0), F.cos(i * h)), df - 1)) * h / 3
 
-def t_p_value(t: float, n: int) -> float:
-    """Two-sided p-value of a t statistic with n - 1 degrees of freedom, by Simpson's rule over the density's tail in an angle."""
-    df, steps = n - 1, 4000
-    if df < 1:
-        return 1.0
-    end = math.atan2(abs(t), math.sqrt(df))
-    step = end / steps
-    area = sum((1 if i in (0, steps) else 4 if i % 2 else 2) * math.cos(i * step) ** (df - 1) for i in range(steps + 1)) * step / 3
-    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
-    return max(0.0, min(1.0, 1 - 2 * scale * area))
+    return F.greatest(F.lit(0.0), 1 - area(end) / area(full))
+
+
+def paired_ttest(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a, b: unit, value, the same units in both. One row: n, delta, sd, t, p_value, low, high: the paired t statistic, its two-sided
+    p-value and delta -+ 1.96 standard errors. A constant difference other than 0 has an infinite t and a p-value of 0."""
+    s = _differences(a, b).agg(F.count("*").alias("n"), _enough(F.count("*"), F.avg("d")).alias("delta"), F.stddev_samp("d").alias("sd"))
+    se = F.col("sd") / F.sqrt("n")
+    t = F.when(se > 0, F.col("delta") / se).when(F.col("delta") == 0, 0.0).otherwise(F.signum("delta") * F.lit(float("inf")))
+    s = s.withColumn("t", t).withColumn("p_value", F.when(F.abs("t") == float("inf"), 0.0).otherwise(t_tail(F.col("t"), F.col("n"))))
+    return s.select("n", "delta", "sd", "t", "p_value", (F.col("delta") - 1.96 * se).alias("low"), (F.col("delta") + 1.96 * se).alias("high"))
 
 
 def auroc(rows: DataFrame, key: str = "user_id") -> DataFrame:
@@ -140,9 +157,18 @@ def spearman(rows: DataFrame, key: str, x: str, y: str, tie: str) -> DataFrame:
     return g.groupBy(key).agg(F.when(F.count("*") >= 3, F.corr(F.col("_x").cast("double"), F.col("_y").cast("double"))).alias("rho"))
 
 
-def upper_median(x: str) -> Column:
-    """The middle value, of two the upper."""
-    return F.element_at(F.sort_array(F.collect_list(x)), (F.floor(F.count(x) / 2) + 1).cast("int"))
+def upper_median(rows: DataFrame, column: str) -> DataFrame:
+    """One row, median: the middle value, of two the upper; null without values. Values are counted first, so no column is gathered:
+    only the distinct values, with how many rows have each."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).count()
+    upto = F.sum("count").over(Window.orderBy("value"))
+    half = counts.agg(F.sum("count").alias("n")).select(F.floor(F.col("n") / 2).alias("half"))
+    return counts.withColumn("upto", upto).join(F.broadcast(half)).where("upto > half").agg(F.min("value").alias("median"))
+
+
+def effective_ks(ks: tuple[int, ...], sampled_ks: tuple[int, ...] | None = None, n_negatives: int | None = None) -> tuple[int, ...]:
+    """The places at which a pass is measured: with sampled negatives those of the sampled pass too."""
+    return tuple(ks) if n_negatives is None or not sampled_ks else tuple(sorted({*ks, *sampled_ks}))
 
 
 def oracle_cohorts(base: DataFrame, fused: DataFrame) -> DataFrame:

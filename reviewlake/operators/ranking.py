@@ -54,8 +54,10 @@ def candidates(users: DataFrame, catalogue: DataFrame, seen: DataFrame, relevant
 def sampled_negatives(tests: DataFrame, catalogue: DataFrame, seen: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
     """tests: row_id, user_id, item. row_id, user_id, item, relevant: the row's own item and n others not seen by the user.
 
-    Draws are made by hashing (seed, row, number) into the numbered catalogue, so no row meets the whole catalogue: twice n
-    plus 20 draws a row leave n distinct unseen ones for all but hopeless cases, where the list is shorter.
+    Each row gets min(n, unseen items). Draws are made by hashing (seed, row, number) into the numbered catalogue, so no row meets
+    the whole of it: twice n plus 20 draws leave n distinct unseen ones unless the user has seen about half of the catalogue or
+    that is little longer than n. Only the rows still short then rank all items by such hashes, which is in proportion to what
+    their users have seen, and n.
     """
     ids = catalogue.select("item").distinct()
     numbered = ids.withColumn("_i", F.row_number().over(Window.orderBy("item")) - 1)
@@ -64,6 +66,11 @@ def sampled_negatives(tests: DataFrame, catalogue: DataFrame, seen: DataFrame, n
     draws = draws.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "row_id", "_d"), F.col("_size")))
     drawn = draws.join(numbered, "_i").where("item <> _own").join(seen.select("user_id", "item").distinct(), ["user_id", "item"], "left_anti")
     first = drawn.groupBy("row_id", "user_id", "item").agg(F.min("_d").alias("_d"))
+    enough = first.groupBy("row_id").count().where(F.col("count") >= n).select("row_id")
+    short = tests.join(enough, "row_id", "left_anti").select("row_id", "user_id", F.col("item").alias("_own")).join(F.broadcast(size))
+    every = short.withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_size") - 1))).join(numbered, "_i").where("item <> _own")
+    every = every.join(seen.select("user_id", "item").distinct(), ["user_id", "item"], "left_anti").select("row_id", "user_id", "item", F.xxhash64(F.lit(seed), "row_id", "item").alias("_d"))
+    first = first.join(enough, "row_id", "left_semi").select("row_id", "user_id", "item", F.col("_d").cast("long").alias("_d")).unionByName(every)
     kept = top_k(first, n, ["row_id"], ["_d"]).select("row_id", "user_id", "item", F.lit(False).alias("relevant"))
     return kept.unionByName(tests.select("row_id", "user_id", "item", F.lit(True).alias("relevant")))
 

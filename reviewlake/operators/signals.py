@@ -149,3 +149,19 @@ def reflection(recommended: DataFrame, complaints: DataFrame, sentiment: DataFra
     met = recommended.select("user_id", "item").join(complaints.select("user_id", "aspect"), "user_id").join(sentiment.select("item", "aspect", "e_hat"), ["item", "aspect"], "left")
     weak = met.where(F.coalesce("e_hat", F.lit(0.5)) < min_e_hat).select("user_id", "item", F.concat(F.lit("complaint_aspect:"), "aspect").alias("violation"))
     return money.unionByName(weak)
+
+
+def constraints_of(violations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """violations: user_id, item, violation, as reflection() gives them. (excluded, minima): the items over a user's budget, user_id
+    and item; and what the user complained about, user_id, aspect and the least score of 0.5 that items must reach there."""
+    excluded = violations.where("violation = 'budget'").select("user_id", "item").distinct()
+    aspect = F.regexp_extract("violation", "^complaint_aspect:(.*)$", 1)
+    minima = violations.where("violation like 'complaint_aspect:%'").select("user_id", aspect.alias("aspect")).distinct().withColumn("least", F.lit(0.5))
+    return excluded, minima
+
+
+def reach_minima(pool: DataFrame, sentiment: DataFrame, minima: DataFrame) -> DataFrame:
+    """Rows of pool (user_id, item) that reach all minima (user_id, aspect, least) of their user; an aspect that the item lacks
+    counts as 0."""
+    asked = pool.select("user_id", "item").join(minima, "user_id").join(sentiment.select("item", "aspect", "e_hat"), ["item", "aspect"], "left")
+    return pool.join(asked.where(F.coalesce("e_hat", F.lit(0.0)) < F.col("least")).select("user_id", "item").distinct(), ["user_id", "item"], "left_anti")

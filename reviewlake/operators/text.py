@@ -218,3 +218,12 @@ def nested_categories(raw: Column) -> Column:
 
 def first_n_reviews(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy("item").orderBy("row_id"))).where(F.col("_n") <= n).drop("_n")
+
+
+def with_overlap(cards: DataFrame, displaced: DataFrame) -> DataFrame:
+    """cards: user_id, item, card, hits; displaced: user_id, item, hits, the items that a promotion would push down. The cards with
+    " | ov=own/displaced" at their end: the item's hits and the most that a displaced one has, 0 if there are none. Users without
+    query tokens, all hits being null, keep their cards as they are."""
+    most = displaced.groupBy("user_id").agg(F.max("hits").alias("_most"))
+    note = F.concat(F.col("card"), F.lit(" | ov="), F.col("hits").cast("string"), F.lit("/"), F.coalesce("_most", F.lit(0)).cast("string"))
+    return cards.join(most, "user_id", "left").withColumn("card", F.coalesce(note, F.col("card"))).drop("_most")

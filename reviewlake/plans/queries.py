@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.session import shared_dir
+from ..functions.session import save, shared_dir
 from ..operators import clean, covisit, features, graph, metrics, quality, ranking, sequence, signals, text
 from . import recommend
 from . import tables as T
@@ -140,10 +140,10 @@ def history_scope(spark, d):
     return clean.history_scope(split_of(spark, d), "train_valid").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
 
 
-@query(f"""WITH {S} SELECT row_id, user_id, item FROM i WHERE user_id IN (SELECT user_id FROM tr WHERE item < '3') AND item IN (SELECT item FROM tr WHERE item < '3')
-  AND ts <= (SELECT max(ts) FROM tr WHERE item < '3')""")
+@query(f"""WITH {S} SELECT row_id, user_id, item FROM i WHERE user_id IN (SELECT user_id FROM tr) AND item IN (SELECT item FROM tr)
+  AND ts <= (SELECT max(ts) FROM tr)""")
 def train_scope_semijoin(spark, d):
-    train = clean.part(split_of(spark, d), "train").where("item < '3'")
+    train = clean.part(split_of(spark, d), "train")
     return clean.in_train_scope(T.interactions(spark, d), train).select("row_id", "user_id", "item")
 
 
@@ -192,7 +192,7 @@ def item_sentiment(spark, d):
 def strong_items(spark, d):
     g = T.signals(spark, d)
     wanted = signals.decayed_weights(g, T.queries_at(g))
-    found = signals.strong_items(signals.item_sentiment(g), wanted, None or 100)
+    found = signals.strong_items(signals.item_sentiment(g), wanted, 100)
     again = ranking.top_k(found.drop("rank").withColumn("s", F.round("score", 9)), 10, ["user_id"], [F.desc("s"), "item"])
     return r6(again, "score").select("user_id", "item", "score")
 
@@ -281,11 +281,12 @@ def markov_probabilities(spark, d):
     return r6(sequence.markov_probabilities(T.signals(spark, d)), "p")
 
 
-_HALF = "c AS (SELECT u.user_id, v.item FROM (SELECT DISTINCT user_id FROM g) u, (SELECT DISTINCT item FROM g WHERE length(item) = 1) v)"
+_HALF = "c AS (SELECT u.user_id, v.item FROM (SELECT DISTINCT user_id FROM g) u, (SELECT DISTINCT item FROM g) v)"
 
 
 def _crossed(g: DataFrame) -> DataFrame:
-    return g.select("user_id").distinct().crossJoin(g.where("length(item) = 1").select("item").distinct())
+    """All users by the whole catalogue, for models that score everything."""
+    return g.select("user_id").distinct().crossJoin(g.select("item").distinct())
 
 
 @query(f"""WITH {G}, {NEXT}, t AS (SELECT prev, next AS item, count(*) AS n FROM nx WHERE next IS NOT NULL GROUP BY 1, 2), l AS (SELECT user_id, item AS prev FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item DESC, row_id DESC) = 1), {_HALF}
@@ -350,11 +351,11 @@ def covisit_reviewed(spark, d):
     return covisit.covisit_edges(g, g.select("user_id", "item", F.when(F.col("polarity") > 0, "x").otherwise(" ").alias("text")))
 
 
-@query(f"""WITH {G}, {COV}, an AS (SELECT user_id, item FROM g WHERE length(item) = 1), t AS (SELECT an.user_id, cv.co AS item, sum(n) AS n FROM an JOIN cv ON cv.anchor = an.item JOIN u ON u.user_id = an.user_id AND u.item = cv.co GROUP BY 1, 2)
+@query(f"""WITH {G}, {COV}, an AS (SELECT user_id, item FROM g), t AS (SELECT an.user_id, cv.co AS item, sum(n) AS n FROM an JOIN cv ON cv.anchor = an.item JOIN u ON u.user_id = an.user_id AND u.item = cv.co GROUP BY 1, 2)
   SELECT user_id, item, round(n / (max(n) OVER (PARTITION BY user_id))::DOUBLE, 6) AS score FROM t""")
 def coitem_scores(spark, d):
     g = T.signals(spark, d)
-    return r6(covisit.coitem_scores(g.where("length(item) = 1"), g, covisit.covisit_edges(g)), "score")
+    return r6(covisit.coitem_scores(g, g, covisit.covisit_edges(g)), "score")
 
 
 KNN = f"{COV}, sz AS (SELECT item, count(*) AS c FROM u GROUP BY 1), sim AS (SELECT anchor, co, n / sqrt(a.c * b.c::DOUBLE) AS s FROM cv JOIN sz a ON a.item = anchor JOIN sz b ON b.item = co UNION ALL SELECT item, item, 1.0 FROM sz)"
@@ -381,7 +382,7 @@ def als_scores(spark, d):
 @query(f"""WITH {S}, pop AS (SELECT item, count(*) AS c FROM tr GROUP BY 1), top AS (SELECT item, c FROM pop ORDER BY c DESC, item LIMIT 200), cand AS (SELECT u.user_id, top.item, c FROM (SELECT DISTINCT user_id FROM te) u, top WHERE (u.user_id, top.item) NOT IN (SELECT (user_id, item) FROM tr))
   SELECT user_id, item, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY c DESC, item) AS rank FROM cand) WHERE rank <= 10""")
 def popularity_topk(spark, d):
-    s = split_of(spark, d)
+    s = save(split_of(spark, d), "split")
     return ranked(ranking.popular_unseen(clean.part(s, "train"), clean.part(s, "test"), 10))
 
 
@@ -393,7 +394,7 @@ _POPM = f"""{S}, pop AS (SELECT item, count(*) AS c FROM tr GROUP BY 1), goal AS
 
 
 def _popular_metrics(spark, d):
-    s = split_of(spark, d)
+    s = save(split_of(spark, d), "split")  # read many times below
     train, goal = clean.part(s, "train"), clean.part(s, "test").select("user_id", "item").distinct()
     return metrics.rank_metrics(ranking.popular_unseen(train, goal.select("user_id").distinct(), 20, goal), goal, (10,))
 
@@ -479,10 +480,10 @@ def guardrail(spark, d):
     return ranking.guardrail(p, _other(p), 3, 40)
 
 
-@query(f"WITH {G}, {POOL}, z AS (SELECT user_id, item, min(struct_pack(part := part, place := place)) AS o FROM (SELECT user_id, item, 0 AS part, r2 AS place FROM pool WHERE r2 <= 3 UNION ALL SELECT user_id, item, 1, rank FROM pool) GROUP BY 1, 2) SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY o) AS rank FROM z WHERE length(item) = 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY o) <= 12")
+@query(f"WITH {G}, {POOL}, z AS (SELECT user_id, item, min(struct_pack(part := part, place := place)) AS o FROM (SELECT user_id, item, 0 AS part, r2 AS place FROM pool WHERE r2 <= 3 UNION ALL SELECT user_id, item, 1, rank FROM pool) GROUP BY 1, 2) SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY o) AS rank FROM z WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.user_id = z.user_id AND p.item = z.item AND p.r2 = 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY o) <= 12")
 def union_by_priority(spark, d):
     p = signal_pool(spark, d)
-    gone = p.where("length(item) <> 2").select("user_id", "item")
+    gone = p.where("r2 = 2").select("user_id", "item")
     return ranked(ranking.union_by_priority([_other(p).where("rank <= 3"), p], 12, gone))
 
 
@@ -579,9 +580,9 @@ def spearman(spark, d):
     return r6(metrics.spearman(signal_pool(spark, d), "user_id", "n", "r2", "item"), "rho")
 
 
-@query(f"WITH {G}, {POOL}, a AS (SELECT user_id, min(rank) AS r, min(r2) AS f FROM pool WHERE item IN ('7', '23') GROUP BY 1) SELECT count(*) AS n_users, count(*) FILTER (WHERE r <= 10) AS already, count(*) FILTER (WHERE r BETWEEN 11 AND 20) AS r11_20, count(*) FILTER (WHERE f <= 10 AND NOT r <= 10) AS helped, count(*) FILTER (WHERE r <= 10 AND NOT f <= 10) AS hurt, round(avg(CASE WHEN r <= 20 THEN 1.0::DOUBLE ELSE 0 END), 6) AS ceiling_20 FROM a")
+@query(f"WITH {G}, {POOL}, a AS (SELECT rank AS r, r2 AS f FROM pool) SELECT count(*) AS n_users, count(*) FILTER (WHERE r <= 10) AS already, count(*) FILTER (WHERE r BETWEEN 11 AND 20) AS r11_20, count(*) FILTER (WHERE f <= 10 AND NOT r <= 10) AS helped, count(*) FILTER (WHERE r <= 10 AND NOT f <= 10) AS hurt, round(avg(CASE WHEN r <= 20 THEN 1.0::DOUBLE ELSE 0 END), 6) AS ceiling_20 FROM a")
 def oracle_cohorts(spark, d):
-    p = signal_pool(spark, d).where(F.col("item").isin("7", "23")).groupBy("user_id").agg(F.min("rank").alias("rank"), F.min("r2").alias("r2"))
+    p = signal_pool(spark, d).select(F.concat_ws("/", "user_id", "item").alias("user_id"), "rank", "r2")  # each item of a user is a case
     out = metrics.oracle_cohorts(p.select("user_id", "rank"), p.select("user_id", F.col("r2").alias("rank")))
     return r6(out, "ceiling_20").select("n_users", "already", "r11_20", "helped", "hurt", "ceiling_20")
 
@@ -596,7 +597,7 @@ def _two_runs(spark, d):
 
 @query(f"WITH {TT} SELECT count(*) AS n, round(avg(x), 6) AS delta, round(stddev_samp(x), 6) AS sd, round(avg(x) / (stddev_samp(x) / sqrt(count(*))), 6) AS t, round(avg(x) - 1.96::DOUBLE * stddev_samp(x) / sqrt(count(*)), 6) AS low, round(avg(x) + 1.96::DOUBLE * stddev_samp(x) / sqrt(count(*)), 6) AS high FROM df")
 def paired_ttest(spark, d):
-    return r6(metrics.paired_ttest(*_two_runs(spark, d)), "delta", "sd", "t", "low", "high")
+    return r6(metrics.paired_ttest(*_two_runs(spark, d)).drop("p_value"), "delta", "sd", "t", "low", "high")
 
 
 @query()
@@ -651,9 +652,9 @@ def quality_errors(spark, d):
     return quality.error_summary(_matches(spark, d))
 
 
-@query(f"WITH {TG}, n AS (SELECT o_orderkey AS review_id, (SELECT count(*) FROM tp WHERE review_id = o_orderkey AND aspect = 'scent') AS n FROM orders) SELECT count(*) AS n_reviews, count(*) FILTER (WHERE n > 0) AS with_triples, count(*) FILTER (WHERE n = 0) AS empty, CAST(sum(n) AS BIGINT) AS n_triples, round(avg(n), 6) AS mean_triples FROM n")
+@query(f"WITH {TG}, n AS (SELECT o_orderkey AS review_id, (SELECT count(*) FROM tp WHERE review_id = o_orderkey) AS n FROM orders) SELECT count(*) AS n_reviews, count(*) FILTER (WHERE n > 0) AS with_triples, count(*) FILTER (WHERE n = 0) AS empty, CAST(sum(n) AS BIGINT) AS n_triples, round(avg(n), 6) AS mean_triples FROM n")
 def triple_summary(spark, d):
-    t = T.triples(spark, d).where(C.normalize_aspect(F.col("aspect")) == "scent")
+    t = T.triples(spark, d)
     return r6(quality.summary(T.table(spark, d, "orders").select(F.col("o_orderkey").alias("review_id")), t), "mean_triples")
 
 
@@ -749,17 +750,17 @@ def second_stage(spark, d):
     g = T.signals(spark, d)
     stage1 = signal_pool(spark, d).select("user_id", "item", "rank", (F.col("n") / 10.0).alias("score"))
     texts = text.category_profile(g, T.items(spark, d)).groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("category")), " ").alias("text"))
-    boosts = covisit.coitem_scores(g.where("length(item) = 1"), g, covisit.covisit_edges(g))
+    boosts = covisit.coitem_scores(g, g, covisit.covisit_edges(g))
     return plan(stage1, boosts, texts, T.items(spark, d)).select("user_id", "item", "rank")
 
 
-@query(f"WITH {G}, {POOL} SELECT count(*) AS near_misses, count(*) FILTER (WHERE r2 > 30) AS shortlist_miss, count(*) FILTER (WHERE r2 <= 30 AND r2 > 15) AS pick_miss, count(*) FILTER (WHERE r2 <= 15 AND r2 > 10) AS placement_miss, count(*) FILTER (WHERE r2 <= 10) AS rescued FROM pool WHERE item IN ('7', '23', '42') AND rank BETWEEN 11 AND 100")
+@query(f"WITH {G}, {POOL} SELECT count(*) AS near_misses, count(*) FILTER (WHERE r2 > 30) AS shortlist_miss, count(*) FILTER (WHERE r2 <= 30 AND r2 > 15) AS pick_miss, count(*) FILTER (WHERE r2 <= 15 AND r2 > 10) AS placement_miss, count(*) FILTER (WHERE r2 <= 10) AS rescued FROM pool WHERE rank BETWEEN 11 AND 100")
 def funnel_audit(spark, d):
     from ..operators.rerank import funnel_audit as audit
 
     p = signal_pool(spark, d)
     other = _other(p)
-    return audit(p.where(F.col("item").isin("7", "23", "42")).select("user_id", "item"), p, other.where("rank <= 30"), other.where("rank <= 15"), other)
+    return audit(p.select("user_id", "item"), p, other.where("rank <= 30"), other.where("rank <= 15"), other)
 
 
 @query(f"WITH {G}, {POOL} SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN rank BETWEEN 11 AND 20 THEN 0 ELSE 1 END, CASE WHEN rank BETWEEN 11 AND 20 THEN rank END, r2 DESC, rank) AS rank FROM pool QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN rank BETWEEN 11 AND 20 THEN 0 ELSE 1 END, CASE WHEN rank BETWEEN 11 AND 20 THEN rank END, r2 DESC, rank) <= 15")
@@ -769,12 +770,12 @@ def focus_list(spark, d):
     return ranked(focus(signal_pool(spark, d).select("user_id", "item", "rank", F.col("r2").alias("hits")), 15))
 
 
-@query(f"WITH {G}, {POOL} SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN r2 <= 5 THEN r2 END NULLS LAST, n DESC, item) AS rank FROM pool WHERE length(item) = 2")
+@query(f"WITH {G}, {POOL} SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN r2 <= 5 THEN r2 END NULLS LAST, n DESC, item) AS rank FROM pool")
 def repaired_list(spark, d):
     from ..operators.rerank import repaired
 
     p = signal_pool(spark, d)
-    return ranked(repaired(_other(p).where("rank <= 5"), p.select("user_id", "item", F.col("n").alias("total")), p.where("length(item) = 2")))
+    return ranked(repaired(_other(p).where("rank <= 5"), p.select("user_id", "item", F.col("n").alias("total")), p))
 
 
 @query(f"WITH {G}, {SENT} SELECT item, CAST(count(*) AS INT) AS n_aspects, round(max(e_hat) FILTER (WHERE aspect = 'a1'), 6) AS a1 FROM eh GROUP BY 1")
@@ -786,7 +787,7 @@ def aspect_maps(spark, d):
 
 
 @query(f"""WITH {INTEREST}, vv AS (SELECT CAST(vec_id AS VARCHAR) AS key, embedding AS e FROM embeddings), mv AS (SELECT user_id, i AS dim, sum(x) AS x FROM (SELECT user_id, i, gamma * e[i] AS x FROM it JOIN vv ON vv.key = substr(aspect, 2), range(1, 65) t(i) UNION ALL SELECT key, i, e[i]::DOUBLE FROM vv, range(1, 65) t(i)) GROUP BY 1, 2),
-  cc AS (SELECT u.user_id, v.item FROM (SELECT DISTINCT user_id FROM g) u, (SELECT DISTINCT item FROM g WHERE length(item) = 1) v), sc AS (SELECT user_id, item, coalesce((SELECT sum(x * e[dim]) FROM mv, vv WHERE mv.user_id = cc.user_id AND vv.key = cc.item AND cc.user_id IN (SELECT key FROM vv)), 0) AS s FROM cc)
+  cc AS (SELECT u.user_id, v.item FROM (SELECT DISTINCT user_id FROM g) u, (SELECT DISTINCT item FROM g) v), sc AS (SELECT user_id, item, coalesce((SELECT sum(x * e[dim]) FROM mv, vv WHERE mv.user_id = cc.user_id AND vv.key = cc.item AND cc.user_id IN (SELECT key FROM vv)), 0) AS s FROM cc)
   SELECT user_id, item, round(CASE WHEN max(s) OVER w - min(s) OVER w < 1e-12 THEN 0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END, 5) AS score FROM sc WINDOW w AS (PARTITION BY user_id)""")
 def adjusted_scores(spark, d):
     from ..operators.rerank import adjusted_scores as adjusted
@@ -816,3 +817,35 @@ def streamed_interest(spark, d):
     schema = "user_id string, aspect string, interest double, gamma double, ts long, batch int"
     last = spark.read.schema(schema).parquet(f"{home}/updates").groupBy("user_id", "aspect").agg(F.max_by(F.struct("interest", "ts"), "batch").alias("s"))
     return last.select("user_id", "aspect", F.round("s.interest", 6).alias("interest"), F.col("s.ts").alias("ts"))
+
+
+_WIN = "w0 AS (SELECT user_id, item, r2 AS rank, rank AS stage1_rank, n % 4 AS hits, 1.0::DOUBLE / r2 AS phi, count(*) OVER (PARTITION BY user_id) AS size FROM pool), w1 AS (SELECT *, least(8, size) AS n, least(8, size) - greatest(0, least(3, least(8, size) - 1)) AS head FROM w0)"
+
+
+@query(f"""WITH {G}, {POOL}, {_WIN}, w2 AS (SELECT *, CASE WHEN rank > head AND hits >= 1 THEN row_number() OVER (PARTITION BY user_id, rank > head AND hits >= 1 ORDER BY hits DESC, stage1_rank, item) END AS nth FROM w1),
+  w3 AS (SELECT *, CASE WHEN rank <= head THEN 0 WHEN nth <= n - head THEN 1 ELSE 2 END AS part FROM w2)
+  SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY part, CASE WHEN part = 1 THEN nth ELSE rank END) AS rank FROM w3 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY part, CASE WHEN part = 1 THEN nth ELSE rank END) <= n""")
+def listwise_window(spark, d):
+    p = signal_pool(spark, d).select("user_id", "item", F.col("r2").alias("rank"), F.col("rank").alias("stage1_rank"), (F.col("n") % 4).alias("hits"))
+    return ranked(features.listwise_window(p, 8, 3))
+
+
+@query(f"""WITH {G}, {POOL}, b0 AS (SELECT user_id, item, r2 AS rank, 1.0::DOUBLE / r2 AS phi, n::DOUBLE AS text, (n * r2)::DOUBLE AS co, CASE WHEN rank <= 5 THEN rank END AS model_rank FROM pool),
+  b1 AS (SELECT *, (count(*) OVER u + 1 - row_number() OVER (PARTITION BY user_id ORDER BY model_rank NULLS LAST, rank)) / (count(*) OVER u)::DOUBLE AS model FROM b0 WINDOW u AS (PARTITION BY user_id)),
+  b2 AS (SELECT user_id, item, phi, """ + " + ".join(f"{w} * CASE WHEN stddev_pop({c}) OVER u > 1e-12 THEN ({c} - avg({c}) OVER u) / stddev_pop({c}) OVER u ELSE 0 END" for c, w in (("phi", "1.0::DOUBLE"), ("model", "0.5::DOUBLE"), ("text", "0.25::DOUBLE"), ("co", "0.1::DOUBLE"))) + """ AS score FROM b1 WINDOW u AS (PARTITION BY user_id))
+  SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, phi DESC, item) AS rank FROM b2""")
+def blend_window(spark, d):
+    p = signal_pool(spark, d).select("user_id", "item", F.col("r2").alias("rank"), (1.0 / F.col("r2")).alias("phi"), F.col("n").cast("double").alias("text"), (F.col("n") * F.col("r2")).cast("double").alias("co"), F.when(F.col("rank") <= 5, F.col("rank")).alias("model_rank"))
+    return ranked(features.blend_window(p, {"model": 0.5, "text": 0.25, "co": 0.1}))
+
+
+@query(f"""WITH {G}, {POOL}, {SENT}, v AS (SELECT user_id, item, CASE WHEN n > 2 THEN 'budget' WHEN r2 % 2 = 0 THEN 'complaint_aspect:a1' ELSE 'price_unknown' END AS violation FROM pool), ex AS (SELECT DISTINCT user_id, item FROM v WHERE violation = 'budget'),
+  mi AS (SELECT DISTINCT user_id FROM v WHERE violation = 'complaint_aspect:a1'), ok AS (SELECT p.* FROM pool p LEFT JOIN mi USING (user_id) LEFT JOIN (SELECT item, e_hat FROM eh WHERE aspect = 'a1') e USING (item) WHERE (mi.user_id IS NULL OR coalesce(e_hat, 0) >= 0.5) AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.user_id = p.user_id AND ex.item = p.item))
+  SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, item) AS rank FROM ok QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, item) <= 5""")
+def constrained_recommendation(spark, d):
+    """Verdicts to constraints, the pool filtered by them, ranked by score, the first five."""
+    p = signal_pool(spark, d)
+    verdicts = p.select("user_id", "item", F.when(F.col("n") > 2, "budget").when(F.col("r2") % 2 == 0, "complaint_aspect:a1").otherwise("price_unknown").alias("violation"))
+    excluded, minima = signals.constraints_of(verdicts)
+    pool = p.select("user_id", "item", F.col("n").cast("double").alias("score")).join(excluded, ["user_id", "item"], "left_anti")
+    return ranked(ranking.rank_by_score(signals.reach_minima(pool, signals.item_sentiment(T.signals(spark, d)), minima), 5))

@@ -1,5 +1,7 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -211,7 +213,8 @@ def test_significance(spark):
     assert r.delta == 1.0 and r.p_value < 0.05 and same.p_value == 1.0
     ci = metrics.bootstrap_ci(a.withColumn("value", F.col("unit") / 10), 300).first()
     assert ci.low < ci.mean < ci.high
-    assert abs(metrics.t_p_value(2.0, 11) - 0.0734) < 2e-4 and metrics.t_p_value(0.0, 5) == 1.0
+    p = spark.range(1).select(metrics.t_tail(F.lit(2.0), F.lit(11)).alias("a"), metrics.t_tail(F.lit(0.0), F.lit(5)).alias("b"), metrics.t_tail(F.lit(1.96), F.lit(10**7)).alias("c"), metrics.t_tail(F.lit(12.706), F.lit(2)).alias("d")).first()
+    assert abs(p.a - 0.0734) < 2e-4 and p.b == 1.0 and abs(p.c - 0.05) < 1e-4 and abs(p.d - 0.05) < 1e-4
 
 
 def test_potential(spark):
@@ -314,3 +317,61 @@ def test_plans(spark):
             m = recommend.evaluate(scorer, train, test, (5,))
             assert m.count() == test.select("user_id").distinct().count()
     assert recommend.evaluate_sampled(recommend.scorers(train)["popularity"], train, test, 3, (1, 3)).count() == test.count()
+
+
+def plain_swaps(order, phi, head_n, focus_k, tau, gamma, most):
+    order, n = list(order), min(head_n, len(order))
+    focus = sorted(order, key=lambda x: (-phi[x], order.index(x)))[:focus_k]
+    for _ in range(most):
+        gains = [(phi[c] - phi[d] - tau * (n + 1 - (order.index(d) + 1)) / n, c, d) for c in focus if c not in order[:n] for d in order[:n]]
+        best = max(gains, key=lambda g: g[0], default=None)
+        if best is None or best[0] <= gamma:
+            break
+        i, j = order.index(best[1]), order.index(best[2])
+        order[i], order[j] = order[j], order[i]
+    return order
+
+
+@pytest.mark.parametrize(("size", "head_n", "focus_k", "most"), [(60, 20, 50, 10), (60, 5, 8, 10), (12, 20, 50, 10), (30, 10, 40, 2)])
+def test_swaps_take_their_focus_by_phi(spark, size, head_n, focus_k, most):
+    rng = random.Random(size + head_n)
+    pools = {u: [f"i{k}" for k in range(size)] for u in ("a", "b")}
+    phi = {u: {x: round(rng.random() * 2, 2) for x in items} for u, items in pools.items()}
+    phi["a"][f"i{size - 1}"] = 9.0  # the best comes last
+    df = spark.createDataFrame([(u, x, k + 1, phi[u][x]) for u, items in pools.items() for k, x in enumerate(items)], "user_id string, item string, rank int, phi double")
+    got = {u: [r.item for r in features.greedy_swaps(df, head_n, focus_k, 0.25, 0.0, most).where(F.col("user_id") == u).orderBy("rank").collect()] for u in pools}
+    assert got == {u: plain_swaps(items, phi[u], head_n, focus_k, 0.25, 0.0, most) for u, items in pools.items()}
+    assert size <= head_n or got["a"].index(f"i{size - 1}") < head_n
+
+
+def test_paired_tests_take_the_same_units(spark):
+    make = lambda *v: spark.createDataFrame([(f"u{i}", float(x)) for i, x in enumerate(v)], "unit string, value double")
+    for test in (metrics.paired_ttest, metrics.paired_bootstrap):
+        for a, b in ((make(1, 2, 3), make(1, 2)), (make(1, 2), make(1, 2, 3)), (make(1), make(2))):
+            with pytest.raises(Exception, match="paired"):
+                test(a, b).collect()
+    r = metrics.paired_ttest(make(1, 2, 3, 5), make(0, 2, 2, 3)).first()
+    assert r.n == 4 and abs(r.t - 1.0 / (r.sd / 2)) < 1e-9 and abs(r.p_value - 0.0917) < 1e-3
+    assert metrics.paired_ttest(make(2, 3, 4), make(1, 2, 3)).first().p_value == 0.0
+
+
+def test_negatives_are_complete(spark):
+    items = spark.createDataFrame([(f"i{k}",) for k in range(40)], "item string")
+    seen = spark.createDataFrame([("u", f"i{k}") for k in range(30)], "user_id string, item string")
+    tests = spark.createDataFrame([(1, "u", "i39"), (2, "v", "i0")], "row_id long, user_id string, item string")
+    got = ranking.sampled_negatives(tests, items, seen, 25).collect()
+    assert sorted(r.item for r in got if r.row_id == 1 and not r.relevant) == sorted(f"i{k}" for k in range(30, 39))
+    assert len({r.item for r in got if r.row_id == 2 and not r.relevant} - {"i0"}) == 25
+
+
+def test_small_helpers(spark, tmp_path):
+    assert metrics.effective_ks((5, 10), (1, 5), 100) == (1, 5, 10) and metrics.effective_ks((5, 10), (1,)) == (5, 10)
+    rows = spark.createDataFrame([(x,) for x in (5, 1, 9, 3, None)], "x int")
+    assert metrics.upper_median(rows, "x").first().median == 5
+    cards = spark.createDataFrame([("u", "a", "A", 3), ("v", "b", "B", None)], "user_id string, item string, card string, hits int")
+    low = spark.createDataFrame([("u", "x", 1), ("u", "y", 2)], "user_id string, item string, hits int")
+    assert {r.card for r in text.with_overlap(cards, low).collect()} == {"A | ov=3/2", "B"}
+    w = np.arange(21.0)
+    features.save_listwise(spark, str(tmp_path / "m"), w, w + 1, w + 2)
+    got = features.load_listwise(spark, str(tmp_path / "m"))
+    assert got[3] == features.LTR_FEATURES and all((a == b).all() for a, b in zip(got[:3], (w, w + 1, w + 2)))
