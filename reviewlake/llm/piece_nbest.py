@@ -194,7 +194,8 @@ class PieceModel:
                 if got or start == end - 1:
                     i, score = got or (-1, self.unknown)
                     edges.append((-alpha[start] - score, i, start))
-            edges.sort()
+            if len(edges) > 1:
+                edges.sort()
             best = edges[0][0]
             alpha.append(-best)
             for loss, i, start in edges:
@@ -204,23 +205,19 @@ class PieceModel:
             first.append(len(froms))
         # Heap: loss, minus the number, edge, node behind it, state before it. An edge's next best sibling waits until it is opened.
         before, edge_of, out = [-1], [-1], []
-        heap, number = [], 0
-
-        def push(loss: int, edge: int, node: int, state: int) -> None:
-            nonlocal number
-            number += 1
-            heappush(heap, (loss + lost[edge], -number, edge, node, state))
-
-        push(0, first[len(chars)], len(chars), 0)
+        edge = first[len(chars)]
+        heap, number = [(lost[edge], 0, edge, len(chars), 0)], 0
         while heap and len(out) < n:
             loss, _, edge, node, state = heappop(heap)
             at = froms[edge]
             if edge + 1 < first[node + 1]:
-                push(loss - lost[edge], edge + 1, node, state)
+                number -= 1
+                heappush(heap, (loss - lost[edge] + lost[edge + 1], number, edge + 1, node, state))
             before.append(state)
             edge_of.append(edge)
             if at:
-                push(loss, first[at], at, len(before) - 1)
+                number -= 1
+                heappush(heap, (loss, number, first[at], at, len(before) - 1))  # a node's first edge loses nothing
                 continue
             spelt, s, start = [], len(before) - 1, 0
             while s:
@@ -254,12 +251,15 @@ class PieceModel:
         keys, first, nth = np.unique(span_hash(prefix_hash(data, EXACT), starts, ends), return_index=True, return_inverse=True)
         if len(self.known) > self.most:
             self.forget()
-        fresh = ~np.isin(keys, self.known, assume_unique=True)
+        at_known = np.searchsorted(self.known, keys)
+        fresh = np.ones(len(keys), bool)
+        inside = np.flatnonzero(at_known < len(self.known))
+        fresh[inside] = self.known[at_known[inside]] != keys[inside]
         if fresh.any():
             s, e = starts[first[fresh]], ends[first[fresh]]
             best, loss, ids, edge = self.viterbi(ragged(data, s, e - s), np.r_[0, np.cumsum(e - s)])
             merged = np.concatenate([self.known, keys[fresh]])
-            order = np.argsort(merged)
+            order = np.argsort(merged, kind="stable")  # two sorted runs
             from_ = np.concatenate([self.start[:-1], len(self.best_ids) + edge[:-1]])[order]
             size = np.concatenate([np.diff(self.start), np.diff(edge)])[order]
             self.best_ids = ragged(np.concatenate([self.best_ids, ids]), from_, size)
