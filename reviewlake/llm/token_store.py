@@ -36,11 +36,12 @@ class WordCoder:
     """Encodes texts word by word, each distinct word once.
 
     Right for tokenizers whose pre-tokenizer drops white space and whose normaliser treats words one by one, as
-    word_bpe_49k.json: there a text's ids are its words' ids, joined. Words are told apart by their exact bytes. Texts that hold
-    the text of an added token, in any case, are not treated so but given to the library whole.
+    word_bpe_49k.json: there a text's ids are its words' ids, joined. Words are told apart by their exact bytes, those of ASCII
+    only by these in lower case, as the normaliser lower-cases them first or last with the same result. Texts that hold the text
+    of an added token, in any case, are not treated so but given to the library whole.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.coder, self.most = Tokenizer.from_file(path), most
@@ -74,8 +75,11 @@ class WordCoder:
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined, and where each text's start; the last entry is the end."""
         starts, ends, doc = word_bounds(data, at)
-        size = ends - starts
-        words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(ragged(data, starts, size))]).dictionary_encode()
+        size, wide = ends - starts, np.zeros(len(data) + 1, np.int32)
+        np.cumsum(data >= 128, out=wide[1:])
+        letters = ragged(data, starts, size)
+        letters[((letters - np.uint8(65)) < 26) & np.repeat(wide[ends] == wide[starts], size)] += np.uint8(32)
+        words = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(letters)]).dictionary_encode()
         distinct, nth = words.dictionary.to_pylist(), np.asarray(words.indices)
         if len(self.number) + len(distinct) > self.most:
             self.forget()
