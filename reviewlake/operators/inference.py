@@ -84,24 +84,28 @@ def rerank(pool: DataFrame, ranker: Callable[[str, list[str]], list[str]] | None
     return pool.select("user_id", "item", "rank", "query").groupBy("user_id").applyInPandas(order, "user_id string, item string, rank int")
 
 
-def form_batches(jobs: DataFrame, size: int, budget: int) -> DataFrame:
-    """jobs: user_id, ts, cost. Adds batch: jobs of one user and time stay together, and a batch has at most `size` jobs and,
-    unless a single job is dearer, costs at most `budget`. Greedy packing depends on what came before, so jobs are dealt into
-    1,024 lanes by user, each packed in one pass in order."""
+def form_batches(jobs: DataFrame, size: int, budget: int, lanes: int = 1024) -> DataFrame:
+    """jobs: user_id, ts, cost. Adds batch: at most `size` jobs that, unless a single job is dearer, cost at most `budget`.
+
+    Jobs of one user and time stay together unless they are over these bounds by themselves; then they start a batch of their own.
+    Greedy packing depends on what came before, so jobs are dealt into lanes by user, each packed in one pass in order."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lane, n, left, batch = None, 0, budget, 0
+        lane, group, n, left, batch = None, None, 0, budget, 0
         for pdf in frames:
             out = []
-            for k, cost in zip(pdf["lane"], pdf["cost"]):
-                if k != lane or n >= size or (n and left < cost):
+            for k, user, ts, cost, jobs_there, cost_there in zip(pdf["_lane"], pdf["user_id"], pdf["ts"], pdf["cost"], pdf["_jobs"], pdf["_costs"]):
+                new = (user, ts) != group and (n + jobs_there > size or left < cost_there)
+                if k != lane or n and (new or n >= size or left < cost):
                     lane, batch, n, left = k, (0 if k != lane else batch + 1), 0, budget
+                group = (user, ts)
                 out.append(f"{k}-{batch}")
                 n, left = n + 1, left - cost
-            yield pdf.assign(batch=out).drop(columns="lane")
+            yield pdf.assign(batch=out).drop(columns=["_lane", "_jobs", "_costs"])
 
-    lanes = jobs.withColumn("lane", F.pmod(F.xxhash64("user_id"), F.lit(1024)))
-    ordered = lanes.repartition("lane").sortWithinPartitions("lane", "user_id", "ts", "cost")
+    dealt = jobs.withColumn("_lane", F.pmod(F.xxhash64("user_id"), F.lit(lanes))).repartition("_lane")
+    there = Window.partitionBy("_lane", "user_id", "ts")  # within the lanes, so nothing is shuffled again
+    ordered = dealt.withColumns({"_jobs": F.count("*").over(there), "_costs": F.sum("cost").over(there)}).sortWithinPartitions("_lane", "user_id", "ts", "cost")
     return ordered.mapInPandas(pack, ", ".join(f"{n} {t}" for n, t in jobs.dtypes) + ", batch string")
 
 

@@ -375,3 +375,19 @@ def test_small_helpers(spark, tmp_path):
     features.save_listwise(spark, str(tmp_path / "m"), w, w + 1, w + 2)
     got = features.load_listwise(spark, str(tmp_path / "m"))
     assert got[3] == features.LTR_FEATURES and all((a == b).all() for a, b in zip(got[:3], (w, w + 1, w + 2)))
+
+
+def test_batches_keep_a_users_moment_together(spark):
+    rng = random.Random(2)
+    made = [(f"u{rng.randint(0, 5)}", rng.randint(0, 9), rng.randint(1, 60)) for _ in range(200)]
+    df = spark.createDataFrame(made, "user_id string, ts long, cost long")
+    got = form_batches(df, 6, 150, lanes=2).collect()
+    assert sorted((r.user_id, r.ts, r.cost) for r in got) == sorted(made)
+    groups, batches = {}, {}
+    for r in got:
+        groups.setdefault((r.user_id, r.ts), []).append(r)
+        batches.setdefault(r.batch, []).append(r.cost)
+    assert all(len(b) <= 6 and (sum(b) <= 150 or len(b) == 1) for b in batches.values())
+    for g in groups.values():
+        if len(g) <= 6 and sum(r.cost for r in g) <= 150:
+            assert len({r.batch for r in g}) == 1
