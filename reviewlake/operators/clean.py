@@ -145,21 +145,26 @@ def export_targets(reviews: DataFrame, train: DataFrame) -> tuple[DataFrame, Dat
     return targets, counters
 
 
-def id_maps(*frames: DataFrame, column: str = "item") -> DataFrame:
-    """id, local: all ids of the frames in order, numbered from 1 without gaps (0 is for padding).
+def numbered(rows: DataFrame, order: list[Column | str], name: str = "local") -> DataFrame:
+    """rows with their place in an order, from 1 without gaps.
 
-    The numbering is global but no task sorts all ids: they are dealt into ranges, and a range's numbers start after the
-    number of ids in the ranges before it.
+    The numbering is global but no task sorts all rows: they are dealt into ranges, and a range's numbers start after the
+    number of rows in the ranges before it.
     """
-    ids = frames[0].select(F.col(column).alias("id"))
-    for f in frames[1:]:
-        ids = ids.union(f.select(F.col(column).alias("id")))
-    ranged = ids.where("id is not null").distinct().repartitionByRange("id").sortWithinPartitions("id").withColumn("_range", F.spark_partition_id())
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_range", F.spark_partition_id())
     ranged = save(ranged, "ranged")  # a lost executor must not deal other ranges for the second use
-    ranged = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy("id")))
+    ranged = ranged.withColumn("_nth", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return ranged.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range").select("id", (F.col("_before") + F.col("_nth")).alias("local"))
+    return ranged.join(F.broadcast(sizes.select("_range", before.alias("_before"))), "_range").select(*rows.columns, (F.col("_before") + F.col("_nth")).alias(name))
+
+
+def id_maps(*frames: DataFrame, column: str = "item") -> DataFrame:
+    """id, local: all ids of the frames in order, numbered from 1 without gaps (0 is for padding)."""
+    ids = frames[0].select(F.col(column).alias("id"))
+    for f in frames[1:]:
+        ids = ids.union(f.select(F.col(column).alias("id")))
+    return numbered(ids.where("id is not null").distinct(), ["id"])
 
 
 def cases_by_user(test: DataFrame, verified_only: bool = False) -> DataFrame:

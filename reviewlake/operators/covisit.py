@@ -6,12 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+#: Items of one user that meet in one task.
+BLOCK = 2000
+
+
+def _pairs(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
     """anchor, co, n: users that have anchor on the left and co on the right. A user's items meet only each other, and partial
-    counts are made before the shuffle by edge."""
+    counts are made before the shuffle by edge. Users with many items are dealt into blocks, each pair of which is a task's key,
+    so that no task has more than some block * block pairs of a user; no pair is left out."""
     a = left.select("user_id", F.col("item").alias("anchor")).distinct()
     b = right.select("user_id", F.col("item").alias("co")).distinct()
-    return a.join(b, "user_id").where("anchor <> co").groupBy("anchor", "co").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.greatest(F.count("*"), F.lit(1)) / block).cast("int")
+    many = a.select("user_id").unionAll(b.select("user_id")).groupBy("user_id").agg(blocks.alias("_blocks")).where("_blocks > 1")
+    own = lambda item: F.pmod(F.xxhash64(item), F.coalesce("_blocks", F.lit(1))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1))
+    a = a.join(many, "user_id", "left").select("user_id", "anchor", own("anchor").alias("_a"), every.alias("_b"))
+    b = b.join(many, "user_id", "left").select("user_id", "co", own("co").alias("_b"), every.alias("_a"))
+    return a.join(b, ["user_id", "_a", "_b"]).where("anchor <> co").groupBy("anchor", "co").agg(F.count("*").alias("n"))
 
 
 def covisit_edges(rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,13 +179,50 @@ def narrow_shortlist(pool: DataFrame, protect_n: int, cap: int, hits: str = "hit
     return kept
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """queries: user_id, query (array); vectors: item, vector. The k items with the greatest cosine or dot product, ties by item.
+def _packed(rows: DataFrame, key: str, vector: str, unit: bool, size: int) -> DataFrame:
+    """A row for each `size` rows of a task: keys, dim and values (the vectors one after the other; a missing one is all 0), scaled
+    to length 1 with unit."""
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                part = batch.slice(start, size)
+                lists = part.column(1)
+                ok = np.flatnonzero(np.asarray(lists.is_valid()))
+                got = np.asarray(lists.flatten().fill_null(0.0), float).reshape(len(ok), -1) if len(ok) else np.zeros((0, 0))
+                x = np.zeros((part.num_rows, got.shape[1]))
+                x[ok] = got
+                if unit:
+                    length = np.sqrt((x * x).sum(1, keepdims=True))
+                    x = np.divide(x, length, out=np.zeros_like(x), where=length >= 1e-12)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([x.shape[1]], pa.int32()), pa.array([x.ravel()])], ["keys", "dim", "values"])
+
+    made = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    return made.mapInArrow(run, f"keys array<{made.schema['key'].dataType.simpleString()}>, dim int, values array<double>")
 
-    Each task keeps its own k best of its vectors per query before anything is shuffled. Queries are a stated, small set; they
-    are dealt in blocks by the caller where they are many.
-    """
-    from ..functions.columns import cosine, dot
 
-    score = (cosine if metric == "cosine" else dot)(F.col("query"), F.col("vector"))
-    return top_k(queries.crossJoin(vectors).select("user_id", "item", score.alias("score")), k, ["user_id"], [F.desc("score"), "item"])
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", block: int = 2048) -> DataFrame:
+    """queries: user_id, query (array); vectors: item, vector, all of one dimension. The k items with the greatest cosine or dot
+    product, ties (at 12 decimals) by item; missing vectors score 0.
+
+    Both sides are packed into blocks; a pair of blocks is one product of matrices in a task, which keeps its k best per query
+    before anything is shuffled.
+    """
+    unit = metric == "cosine"
+    q = _packed(queries, "user_id", "query", unit, block).select(F.col("keys").alias("users"), F.col("dim").alias("qdim"), F.col("values").alias("q"))
+    v = _packed(vectors, "item", "vector", unit, block)
+
+    def best(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                users, items = (np.array(batch.column(c)[i].as_py(), object) for c in ("users", "keys"))
+                d = min(batch.column(c)[i].as_py() for c in ("qdim", "dim"))
+                matrix = lambda c, n: np.asarray(batch.column(c)[i].values).reshape(n, -1)[:, :d]  # noqa: E731, B023
+                scores = np.round(matrix("q", len(users)) @ matrix("values", len(items)).T, 12) if d else np.zeros((len(users), len(items)))
+                least = np.partition(scores, -k, axis=1)[:, -k] if len(items) > k else np.full(len(users), -np.inf)
+                row, col = np.nonzero(scores >= least[:, None])  # ties of the last place stay; places are given below
+                yield pa.RecordBatch.from_arrays([pa.array(users[row].tolist(), batch.schema.field("users").type.value_type), pa.array(items[col].tolist(), batch.schema.field("keys").type.value_type), pa.array(scores[row, col])], ["user_id", "item", "score"])
+
+    types = [df.schema[c].dataType.simpleString() for df, c in ((queries, "user_id"), (vectors, "item"))]
+    met = q.crossJoin(v).mapInArrow(best, f"user_id {types[0]}, item {types[1]}, score double")
+    return top_k(met, k, ["user_id"], [F.desc("score"), "item"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.session import save, shared_dir
-from ..operators import clean, covisit, features, graph, metrics, quality, ranking, sequence, signals, text
+from ..operators import clean, covisit, explain, features, graph, metrics, protocol, quality, ranking, sequence, signals, text
 from . import recommend
 from . import tables as T
 
@@ -244,7 +244,12 @@ def faithfulness(spark, d):
     return r6(out, "comprehensiveness", "sufficiency_gap").select("user_id", "item", "comprehensiveness", "sufficiency_gap")
 
 
-@query()
+@query(f"""WITH {_SUI}, g2 AS (SELECT user_id, aspect, polarity, ts FROM g UNION ALL SELECT DISTINCT user_id, 'a3', -0.9::DOUBLE, {Q} - 1 FROM g),
+  it2 AS (SELECT user_id, aspect, sum(abs(polarity) * exp(-0.01 * ({Q} - ts) / 86400000000.0::DOUBLE)) AS interest FROM g2 WHERE ts < {Q} GROUP BY 1, 2), w2 AS (SELECT user_id, aspect, interest / total AS weight FROM (SELECT *, sum(interest) OVER (PARTITION BY user_id) AS total FROM it2) WHERE total > 0),
+  su2 AS (SELECT b.user_id, b.item, 0.5 * s_base + 0.5 * coalesce(sum(weight * e_hat), 0) AS total FROM b LEFT JOIN w2 ON b.user_id = w2.user_id LEFT JOIN eh ON eh.item = b.item AND eh.aspect = w2.aspect GROUP BY b.user_id, b.item, s_base),
+  tg AS (SELECT b.user_id, b.item FROM b LEFT JOIN eh ON eh.item = b.item AND eh.aspect = 'a3' QUALIFY row_number() OVER (PARTITION BY b.user_id ORDER BY coalesce(e_hat, 0) DESC, b.item DESC) = 1),
+  r1 AS (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY round(base_part + affective, 9) DESC, item) AS rank_before FROM su), r2 AS (SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY round(total, 9) DESC, item) AS rank_after FROM su2)
+  SELECT user_id, item, CAST(rank_before AS INT) AS rank_before, CAST(rank_after AS INT) AS rank_after, rank_after < rank_before AS moved_up FROM tg JOIN r1 USING (user_id, item) JOIN r2 USING (user_id, item)""")
 def counterfactual_probe(spark, d):
     g, base, _, e, _ = _sui(spark, d)
     return signals.counterfactual_probe(g, T.queries_at(g), base, e, base.select("user_id").distinct().withColumn("aspect", F.lit("a3")))
@@ -715,7 +720,7 @@ def category_profile(spark, d):
     return text.category_profile(T.signals(spark, d), T.items(spark, d)).select("user_id", "category", "n")
 
 
-@query()
+@query("SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN 'a' END AS first FROM conversations")
 def tolerant_json(spark, d):
     rows = T.table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit('```json\n{"ranked_item_ids": ["a", "'), F.substring("text", 1, 5), F.lit('"')).alias("raw"))
     return text.tolerant_json(rows, "raw").select("conv_id", "turn", F.get_json_object("json", "$.ranked_item_ids[0]").alias("first"))
@@ -849,3 +854,121 @@ def constrained_recommendation(spark, d):
     excluded, minima = signals.constraints_of(verdicts)
     pool = p.select("user_id", "item", F.col("n").cast("double").alias("score")).join(excluded, ["user_id", "item"], "left_anti")
     return ranked(ranking.rank_by_score(signals.reach_minima(pool, signals.item_sentiment(T.signals(spark, d)), minima), 5))
+
+
+# ------------------------------------------------------------------ evaluation per row, explanations, window mode
+@query(f"""WITH {S}, m0 AS (SELECT row_id, user_id, item, ts, split = 'valid' AS is_case, list(item) OVER (PARTITION BY user_id ORDER BY ts, item, row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM s WHERE split IN ('train', 'valid'))
+  SELECT row_id, user_id, item, len(h) AS n_history, h[-1] AS last_item FROM m0 WHERE is_case AND len(h) > 0""")
+def event_cases(spark, d):
+    s = save(split_of(spark, d), "split")
+    out = protocol.event_cases(clean.part(s, "train"), clean.part(s, "valid"))
+    return out.select("row_id", "user_id", "item", F.size("history").cast("long").alias("n_history"), F.element_at("history", -1).alias("last_item"))
+
+
+_ROWS = f"""{S}, pop AS (SELECT item, count(*) AS c FROM tr GROUP BY 1), ord AS (SELECT item, row_number() OVER (ORDER BY c DESC, item) AS place FROM pop),
+  rw AS (SELECT row_id, user_id, te.item, ts, coalesce(place, (SELECT count(*) + 1 FROM pop)) AS place FROM te LEFT JOIN ord USING (item)),
+  sn AS (SELECT rw.row_id, x.item FROM rw JOIN tr x ON x.user_id = rw.user_id UNION SELECT rw.row_id, x.item FROM rw JOIN te x ON x.user_id = rw.user_id AND x.ts < rw.ts),
+  rr AS (SELECT row_id, user_id, rw.item, place - (SELECT count(*) FROM sn JOIN ord USING (item) WHERE sn.row_id = rw.row_id AND ord.place < rw.place) AS rank FROM rw)"""
+
+
+@query(f"WITH {_ROWS} SELECT row_id, user_id, item, rank FROM rr")
+def cumulative_places(spark, d):
+    """Test rows judged one by one, a user's earlier test items counting as seen: the place of each by popularity."""
+    s = save(split_of(spark, d), "split")
+    train = clean.part(s, "train")
+    return protocol.unseen_places(clean.part(s, "test"), ranking.popularity(train), train, cumulative=True)
+
+
+@query(f"""WITH {_ROWS}, k AS (SELECT unnest([10, 20]) AS k) SELECT 'full' AS pass, m AS metric, CAST(k AS INT) AS k, round(avg(CASE WHEN rank > k THEN 0.0::DOUBLE WHEN m = 'hr' THEN 1.0::DOUBLE WHEN m = 'ndcg' THEN 1 / log2(rank + 1) ELSE 1.0::DOUBLE / rank END), 6) AS value
+  FROM rr, k, (SELECT unnest(['hr', 'ndcg', 'mrr']) AS m) GROUP BY 2, 3""")
+def row_metrics(spark, d):
+    s = save(split_of(spark, d), "split")
+    train = clean.part(s, "train")
+    return r6(protocol.row_metrics(protocol.unseen_places(clean.part(s, "test"), ranking.popularity(train), train, True), (10, 20), "full"), "value")
+
+
+@query()
+def dual_pass(spark, d):
+    s = save(split_of(spark, d), "split")
+    train = clean.part(s, "train")
+    return recommend.evaluate_rows(train, clean.part(s, "test"), ranking.popularity(train), [10, 20], [1, 3, 5], 20)
+
+
+_TAIL = f"""{G}, {POOL}, t0 AS (SELECT user_id, item, rank, CAST(n > 1 AND r2 % 5 = 0 AS INT) AS label, n::DOUBLE AS cat, 1.0::DOUBLE / r2 AS pop FROM pool),
+  t1 AS (SELECT user_id, min(rank) FILTER (WHERE label = 1) AS best_gold, avg(cat) FILTER (WHERE rank <= 10) AS head_cat, avg(pop) FILTER (WHERE rank <= 10) AS head_pop FROM t0 GROUP BY 1),
+  t2 AS (SELECT t1.*, CASE WHEN best_gold <= 10 THEN 'head' WHEN best_gold <= 300 THEN 'tail' ELSE 'beyond' END AS part, cat AS gold_cat, pop AS gold_pop FROM t1 JOIN t0 ON t0.user_id = t1.user_id AND t0.rank = best_gold)"""
+
+
+def _tail(spark, d) -> DataFrame:
+    p = signal_pool(spark, d)
+    rows = p.select("user_id", "item", "rank", ((F.col("n") > 1) & (F.col("r2") % 5 == 0)).cast("int").alias("label"), F.col("n").cast("double").alias("cat"), (1.0 / F.col("r2")).alias("pop"))
+    return protocol.tail_gold(rows, ("cat", "pop"))
+
+
+@query(f"WITH {_TAIL} SELECT user_id, best_gold, part, round(gold_cat, 6) AS gold_cat, round(head_cat, 6) AS head_cat, round(gold_pop, 6) AS gold_pop, round(head_pop, 6) AS head_pop FROM t2")
+def tail_gold(spark, d):
+    return r6(_tail(spark, d), "gold_cat", "head_cat", "gold_pop", "head_pop")
+
+
+@query(f"WITH {_TAIL} SELECT count(*) FILTER (WHERE part = 'head') AS n_head, count(*) FILTER (WHERE part = 'tail') AS n_tail, " + ", ".join(f"round(avg(gold_{c}) FILTER (WHERE part = 'tail'), 6) AS gold_{c}, round(avg(head_{c}) FILTER (WHERE part = 'tail'), 6) AS head_{c}, count(*) FILTER (WHERE part = 'tail' AND gold_{c} > head_{c}) AS above_{c}" for c in ("cat", "pop")) + " FROM t2")
+def tail_report(spark, d):
+    return r6(protocol.tail_report(_tail(spark, d), ("cat", "pop")), "gold_cat", "head_cat", "gold_pop", "head_pop")
+
+
+@query("SELECT count(*) AS reviews, CAST(sum(turn % 3) AS BIGINT) AS model_calls, count(*) FILTER (WHERE turn % 2 = 1) AS repairs, count(*) FILTER (WHERE turn = 0) AS fast_path, round(count(*) FILTER (WHERE turn % 2 = 1) / count(*)::DOUBLE, 6) AS repair_rate, round(count(*) FILTER (WHERE turn % 2 <> 1) / count(*)::DOUBLE, 6) AS validate_only_rate, round(sum(turn % 3) / count(*)::DOUBLE, 6) AS calls_mean FROM conversations")
+def call_rates(spark, d):
+    rows = T.table(spark, d, "conversations").select((F.col("turn") % 3).cast("long").alias("calls"), (F.col("turn") % 2 == 1).alias("repaired"), (F.col("turn") == 0).alias("fast"))
+    return r6(protocol.call_rates(rows), "repair_rate", "validate_only_rate", "calls_mean")
+
+
+@query(f"""WITH {_SUI}, pt AS (SELECT user_id, item, aspect, 0.5 * weight * e_hat AS part, e_hat, n_support, weight FROM ({GI}) JOIN w USING (user_id) JOIN eh USING (item, aspect)),
+  p3 AS (SELECT *, row_number() OVER (PARTITION BY user_id, item ORDER BY part DESC, aspect) AS nth FROM pt QUALIFY row_number() OVER (PARTITION BY user_id, item ORDER BY part DESC, aspect) <= 3),
+  lo AS (SELECT user_id, aspect, CASE WHEN polarity > 0 THEN 'positive' WHEN polarity < 0 THEN 'negative' ELSE 'neutral' END AS said FROM g QUALIFY row_number() OVER (PARTITION BY user_id, aspect ORDER BY ts DESC, row_id) = 1)
+  SELECT user_id, item, count(*) AS n, string_agg(aspect, ',' ORDER BY nth) AS aspects, round(sum(part), 6) AS total, CAST(sum(n_support) AS BIGINT) AS support, string_agg('you previously expressed ' || said || ' sentiment about ' || aspect || '; This item rates ' || CASE WHEN e_hat >= 0.5 THEN 'positively' ELSE 'negatively' END || ' on ' || aspect, '|' ORDER BY nth) AS claims
+  FROM p3 JOIN lo USING (user_id, aspect) GROUP BY 1, 2""")
+def explanations(spark, d):
+    g, base, w, e, _ = _sui(spark, d)
+    out = explain.explanations(signals.contributions(base, w, e), w, e, g)
+    total = lambda c: F.aggregate(f"evidence.{c}", F.lit(0.0), lambda s, x: s + x)
+    claims = F.array_join(F.transform("claims", lambda c: F.regexp_replace(c, r" \(Ê=.*$", "")), "|")
+    return out.select("user_id", "item", F.size("evidence").cast("long").alias("n"), F.array_join("evidence.aspect", ",").alias("aspects"), F.round(total("contribution"), 6).alias("total"), total("n_support").cast("long").alias("support"), claims.alias("claims"))
+
+
+@query("""WITH v AS (SELECT CAST(vec_id AS VARCHAR) AS item, vec_id, embedding AS e FROM embeddings), q AS (SELECT a.item AS user_id, list_transform(list_zip(a.e, coalesce(b.e, a.e)), lambda z: 0.7::DOUBLE * z[1] + 0.3::DOUBLE * z[2]) AS x FROM v a LEFT JOIN v b ON b.vec_id = a.vec_id + 1 AND a.vec_id % 100 = 0 WHERE a.vec_id % 50 = 0),
+  sc AS (SELECT user_id, item, list_sum(list_transform(list_zip(x, e), lambda z: z[1] * z[2])) AS s FROM q, v) SELECT user_id, item, round(s, 5) AS score FROM sc QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(s, 12) DESC, item) <= 10""")
+def aligned_full_rank(spark, d):
+    """Every item for the users whose id is divisible by 50; half of them have a vector of their text."""
+    from .rerank import aligned_full_rank as plan
+
+    v = T.vectors(spark, d)
+    users = v.where(F.col("item").cast("int") % 50 == 0).select(F.col("item").alias("user_id"), "vector")
+    texts = v.select((F.col("item").cast("int") - 1).alias("n"), "vector").where("n % 100 = 0").select(F.col("n").cast("string").alias("user_id"), "vector")
+    return plan(users, texts, v.select("item", "vector"), 10).select("user_id", "item", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH {G}, {POOL} SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, item) AS rank FROM pool QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, item) <= 30")
+def select_pool(spark, d):
+    from .rerank import select_pool as plan
+
+    p = signal_pool(spark, d)
+    return ranked(plan(p, p.select("user_id", "item", F.col("n").cast("double").alias("score")), 30))
+
+
+@query(f"WITH {S} SELECT row_id, user_id, item FROM s WHERE split = 'valid' AND user_id IN (SELECT user_id FROM tr) AND item IN (SELECT item FROM tr)")
+def known_pairs(spark, d):
+    """The validation pairs that a graph of the training rows can hold."""
+    s = save(split_of(spark, d), "split")
+    return graph.known_pairs(clean.part(s, "valid"), clean.part(s, "train")).select("row_id", "user_id", "item")
+
+
+@query()
+def context_stage(spark, d):
+    """The window mode of the second stage, on counts of signals as the first."""
+    from .rerank import context_stage as plan
+
+    g = T.signals(spark, d)
+    p = signal_pool(spark, d)
+    stage1 = p.select("user_id", "item", "rank", (F.col("n") / 10.0).alias("score"))
+    texts = text.category_profile(g, T.items(spark, d)).groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("category")), " ").alias("text"))
+    boosts = covisit.coitem_scores(g, g, covisit.covisit_edges(g))
+    return plan(stage1, boosts, p.select("user_id", "item", (1.0 / F.col("r2")).alias("phi")), texts, T.items(spark, d), {"phi": 1.0, "text": 0.25, "co": 0.1}).select("user_id", "item", "rank")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import by, minmax
-from ..operators import clean, covisit, metrics, ranking, sequence, signals
+from ..operators import clean, covisit, metrics, protocol, ranking, sequence, signals
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -61,3 +61,11 @@ def evaluate_sampled(scorer: Scorer, train: DataFrame, test: DataFrame, n: int =
     pool = ranking.sampled_negatives(test.select("row_id", "user_id", "item"), train, train, n)
     ranked = ranking.top_k(scorer(pool.select("row_id", "user_id", "item").distinct()), max(ks), ["row_id"], [F.desc("score"), "item"])
     return metrics.rank_metrics(ranked, pool.where("relevant").select("row_id", "item"), ks, unit="row_id")
+
+
+def evaluate_rows(train: DataFrame, test: DataFrame, scores: DataFrame, ks: list[int], sampled_ks: list[int] | None = None, n: int = 100, cumulative: bool = True) -> DataFrame:
+    """The dual pass, per test row: pass, metric, k, value. "full" ranks among all unseen items, "sampled" against n negatives and
+    at sampled_ks too; scores: item, score, the same for all users."""
+    full = protocol.row_metrics(protocol.unseen_places(test, scores, train, cumulative), tuple(protocol.effective_ks(ks)), "full")
+    pool = ranking.sampled_negatives(test.select("row_id", "user_id", "item"), train, train, n)
+    return full.unionByName(protocol.row_metrics(protocol.sampled_places(pool, scores), tuple(protocol.effective_ks(ks, sampled_ks, True)), "sampled"))

@@ -391,3 +391,104 @@ def test_batches_keep_a_users_moment_together(spark):
     for g in groups.values():
         if len(g) <= 6 and sum(r.cost for r in g) <= 150:
             assert len({r.batch for r in g}) == 1
+
+
+def test_users_with_many_items_meet_in_blocks(spark, monkeypatch):
+    rows = [("hot", f"i{n:02}") for n in range(40)] + [("a", "i01"), ("a", "i02"), ("b", "i02"), ("b", "i02"), ("c", None)]
+    df = spark.createDataFrame(rows, "user_id string, item string")
+    want = {}
+    for u in {u for u, _ in rows}:
+        own = {i for v, i in rows if v == u and i}
+        for x in own:
+            for y in own - {x}:
+                want[x, y] = want.get((x, y), 0) + 1
+    for block in (3, 7, 2000):
+        got = {(r["anchor"], r["co"]): r["n"] for r in covisit._pairs(df, df, block).collect()}
+        assert got == want
+
+
+def test_vector_topk_in_blocks_equals_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    vec = lambda: [r.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(4)]
+    items = [(f"i{n:02}", vec()) for n in range(50)] + [("none", None), ("zero", [0.0] * 4)]
+    users = [(n, vec()) for n in range(9)] + [(9, None)]
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b)) if a and b else 0.0
+    v, q = spark.createDataFrame(items, "item string, vector array<double>").repartition(3), spark.createDataFrame(users, "user_id int, query array<double>")
+    for metric in ("dot", "cosine"):
+        def score(a, b, metric=metric):
+            scale = (dot(a, a) * dot(b, b)) ** 0.5 if metric == "cosine" else 1.0
+            return round(dot(a, b) / scale, 9) if scale else 0.0
+        want = {(u, i) for u, x in users for i, _ in sorted(items, key=lambda t: (-score(x, t[1]), t[0]))[:6]}
+        got = ranking.vector_topk(q, v, 6, metric, block=7).collect()
+        assert {(x["user_id"], x["item"]) for x in got} == want
+    assert ranking.vector_topk(q.limit(0), v, 3).count() == 0 and ranking.vector_topk(q, v.limit(0), 3).count() == 0
+
+
+def test_places_among_unseen_items(spark):
+    import random
+
+    from reviewlake.operators import protocol
+
+    r = random.Random(3)
+    train = [(n, f"u{r.randrange(6)}", f"i{r.randrange(20)}", r.randrange(50)) for n in range(60)]
+    tests = [(100 + n, f"u{r.randrange(7)}", f"i{r.randrange(24)}", 60 + r.randrange(5)) for n in range(30)]
+    scores = {f"i{n}": float(n % 4) for n in range(20)}
+    schema = "row_id long, user_id string, item string, ts long"
+    tr, te, sc = spark.createDataFrame(train, schema), spark.createDataFrame(tests, schema), spark.createDataFrame(list(scores.items()), "item string, score double")
+    for cumulative in (False, True):
+        want = {}
+        for row, u, i, ts in tests:
+            seen = {x[2] for x in train if x[1] == u} | ({x[2] for x in tests if x[1] == u and x[3] < ts} if cumulative else set())
+            order = sorted((x for x in scores if x not in seen or x == i), key=lambda x: (-scores[x], x))
+            want[row] = order.index(i) + 1 if i in scores else len(order) + 1
+        assert {x["row_id"]: x["rank"] for x in protocol.unseen_places(te, sc, tr, cumulative).collect()} == want
+
+
+def test_protocol_helpers(spark):
+    from reviewlake.operators import protocol
+
+    assert protocol.effective_ks([10, 5], [1, 10], True) == [1, 5, 10] and protocol.effective_ks([10, 5], [1]) == [10, 5]
+    schema = "row_id long, user_id string, item string, ts long"
+    a = spark.createDataFrame([(1, "u", "x", 1), (2, "u", "y", 5)], schema)
+    b = spark.createDataFrame([(3, "u", "z", 3), (4, "u", "z", 7), (5, "v", "x", 1)], schema)
+    assert {(r["row_id"], *r["history"]) for r in protocol.event_cases(a, b).collect()} == {(3, "x"), (4, "x", "z", "y")}
+    assert {(r["row_id"], *r["history"]) for r in protocol.event_cases(a, b, 1).collect()} == {(3, "x"), (4, "y")}
+    some = [r["row_id"] for r in protocol.sampled_cases(b, 2).collect()]
+    assert len(some) == 2 and some == [r["row_id"] for r in protocol.sampled_cases(b.repartition(3), 2).collect()]
+    assert protocol.sampled_cases(b, None).count() == 3
+    none = spark.createDataFrame([], "calls long, repaired boolean, fast boolean")
+    assert tuple(protocol.call_rates(none).first()) == (0, 0, 0, 0, 0.0, 0.0, 0.0)
+    empty = protocol.row_metrics(spark.createDataFrame([], "row_id long, rank long"), (5,), "full").collect()
+    assert {(r["metric"], r["k"], r["value"]) for r in empty} == {("hr", 5, 0.0), ("ndcg", 5, 0.0), ("mrr", 5, 0.0)}
+
+
+def test_explanations_cite_drivers_and_known_facts_only(spark):
+    from reviewlake.operators import explain
+
+    parts = spark.createDataFrame([("u", "i", a, p) for a, p in (("a", 0.1), ("b", 0.3), ("c", 0.2), ("d", 0.05))], "user_id string, item string, aspect string, part double")
+    weights = spark.createDataFrame([("u", "b", 0.6)], "user_id string, aspect string, weight double")
+    sentiment = spark.createDataFrame([("i", "b", 0.9, 4), ("i", "c", 0.2, 1)], "item string, aspect string, e_hat double, n_support long")
+    said = spark.createDataFrame([("u", "b", 1.0, 1, 1), ("u", "b", -1.0, 2, 2)], "user_id string, aspect string, polarity double, ts long, row_id long")
+    specs = spark.createDataFrame([("i", "weight", None), ("i", "price", "9.5")], "item string, key string, value string")
+    r = explain.explanations(parts, weights, sentiment, said, 3, specs).first()
+    assert [e["aspect"] for e in r["evidence"]] == ["b", "c", "a"] and r["evidence"][2]["n_support"] == 0
+    assert r["claims"][0] == "you previously expressed negative sentiment about b; This item rates positively on b (Ê=0.90, 4 supporting reviews, contribution 0.300)"
+    assert r["claims"][-1] == "price: 9.5" and len(r["claims"]) == 4
+    assert r["summary"] == "Recommended i because it aligns with your priorities on b, c, a (top driver contribution: 0.300)."
+
+
+def test_window_mode_moves_the_window_and_keeps_lists_without_text(spark):
+    from reviewlake.plans import rerank
+
+    stage1 = spark.createDataFrame([(u, f"i{n}", n, 1.0 - n / 100) for u in ("u", "w") for n in range(1, 9)], "user_id string, item string, rank int, score double")
+    boosts = spark.createDataFrame([], "user_id string, item string, score double")
+    phi = spark.createDataFrame([("u", f"i{n}", float(n)) for n in range(1, 9)], "user_id string, item string, phi double")
+    texts = spark.createDataFrame([("u", "anything at all"), ("w", " ")], "user_id string, text string")
+    meta = spark.createDataFrame([("i1", "lamp", "home", 1.0)], "item string, name string, categories string, price double")
+    lists = lambda df: {u: [r["item"] for r in sorted(df.where(f"user_id = '{u}'").collect(), key=lambda r: r["rank"])] for u in ("u", "w")}
+    out = lists(rerank.context_stage(stage1, boosts, phi, texts, meta, {"phi": 1.0}, pool_k=6, cap=2))
+    assert out == {"u": ["i6", "i5", "i1", "i2", "i3", "i4", "i7", "i8"], "w": [f"i{n}" for n in range(1, 9)]}
+    strict = lists(rerank.context_stage(stage1, boosts, phi, texts, meta, {"phi": 1.0}, pool_k=6, cap=2, max_drop=3))
+    assert strict["u"] == [f"i{n}" for n in range(1, 9)]
