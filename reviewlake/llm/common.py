@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from typing import NamedTuple
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,6 +133,31 @@ def running_start(df: DataFrame, group: list[str], order_hash: str, ties: list[s
     )
 
 
+def cell_bounds(values: DataFrame, rows: int, most: int = 1 << 16) -> list[float]:
+    """Numbers that cut the values (one column, v, of doubles) into cells of about `rows` rows, `most` cells at most.
+
+    They are quantiles of the distinct values whose hash is small, eight or so for each cell, so what comes to the driver has a
+    bound. They only deal the work: every value has its cell, and equal values share one.
+    """
+    n = values.count()
+    cells = min(most, n // max(rows, 1))
+    if cells < 2:
+        return []
+    rate = min(1 << 32, 8 * cells * (1 << 32) // n + 1)
+    found = values.where("v is not null").where(F.pmod(F.xxhash64("v", F.lit(7)), F.lit(1 << 32)) < rate).distinct().toPandas()["v"].sort_values()
+    step = max(1, len(found) // cells)
+    return [float(v) for v in found.iloc[step::step][: most - 1]]
+
+
+def with_cell(rows: DataFrame, value: Column, bounds: list[float]) -> DataFrame:
+    """rows with `cell`, the number of bounds that are not above the value; a null value's cell is the last one, of its own."""
+    if not bounds:
+        return rows.withColumn("cell", F.when(value.isNull(), 1).otherwise(0))
+    cut = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="_rl_value", outputCol="_rl_cell", handleInvalid="keep")
+    cells = cut.transform(rows.withColumn("_rl_value", F.coalesce(value, F.lit(float("nan")))))
+    return cells.withColumn("cell", F.col("_rl_cell").cast("int")).drop("_rl_value", "_rl_cell")
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected links (a, b): rows (node, component), the component being its smallest node.
 

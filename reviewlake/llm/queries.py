@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .fingerprints import document_fingerprints
 from .line_dedup import WHOLE, line_dedup
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard
@@ -67,9 +68,16 @@ def op10_suffix_dedup(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_document_fingerprints(spark, sf_dir):
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_bm25_search, op2_line_dedup, op3_token_store, op4_piece_nbest, op5_exact_dedup, op6_quality, op7_ngram_jaccard, op8_secret_scan, op9_mixing, op10_suffix_dedup)
+    for f in (
+        op1_bm25_search, op2_line_dedup, op3_token_store, op4_piece_nbest, op5_exact_dedup, op6_quality, op7_ngram_jaccard, op8_secret_scan, op9_mixing, op10_suffix_dedup,
+        op11_document_fingerprints,
+    )
 }
 
 ORACLE_SQL = {
