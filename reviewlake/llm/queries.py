@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .exact_dedup import exact_dedup
 from .fingerprints import document_fingerprints
+from .importance import resample
 from .line_dedup import WHOLE, line_dedup
 from .mixing import mix_sources
 from .ngram_join import ngram_jaccard
@@ -17,6 +18,7 @@ from .repeated_spans import remove_repeats
 from .secret_scan import scan_secrets
 from .token_store import write_and_digest
 from .topk_search import search
+from .whitening import whiten
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -72,11 +74,23 @@ def op11_document_fingerprints(spark, sf_dir):
     return document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark, sf_dir):
+    """A tenth of the documents of 20 words or more, drawn by how much their words are like those of benchmark."""
+    found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), longest=1, buckets=10_000, least_words=20, percent=10, seed=2024)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_embedding_whitening(spark, sf_dir):
+    """The eight first whitened components of every usable vector; a deviation that is no 64-bit integer any more is null."""
+    found = whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024.0, offset=100_000)
+    return found.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_bm25_search, op2_line_dedup, op3_token_store, op4_piece_nbest, op5_exact_dedup, op6_quality, op7_ngram_jaccard, op8_secret_scan, op9_mixing, op10_suffix_dedup,
-        op11_document_fingerprints,
+        op11_document_fingerprints, op12_importance_resampling, op13_embedding_whitening,
     )
 }
 
@@ -94,4 +108,19 @@ ORACLE_SQL = {
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
              w AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n_chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, sha256(norm) AS text_sha256 FROM n)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM w""",
+    # crc32 by its table of the polynomial 0xEDB88320, a byte at a time; only distinct words are hashed.
+    "op12_importance_resampling": r"""
+        WITH RECURSIVE bits(b, step, v) AS (SELECT range, 0, range::BIGINT FROM range(256) UNION ALL SELECT b, step + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE step < 8),
+             tab AS (SELECT list(v ORDER BY b) AS t FROM bits WHERE step = 8),
+             w AS MATERIALIZED (SELECT 'd' AS side, doc_id AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents
+                   UNION ALL SELECT 'b', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+             u AS (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM w)),
+             k AS MATERIALIZED (SELECT word, xor(list_reduce([4294967295::BIGINT] || list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)])), 4294967295) % 10000 AS bucket FROM u, tab),
+             c AS (SELECT bucket, count(*) FILTER (side = 'd')::DOUBLE AS s, count(*) FILTER (side = 'b')::DOUBLE AS t FROM w JOIN k USING (word) GROUP BY 1),
+             g AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM c) + 10000) / ((s + 1) * ((SELECT sum(t) FROM c) + 10000))))::BIGINT AS gain FROM c),
+             f AS (SELECT id, count(*) AS n, sum(gain) AS weight FROM w JOIN k USING (word) JOIN g USING (bucket) WHERE side = 'd' GROUP BY 1),
+             r AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM documents LEFT JOIN f ON id = doc_id),
+             e AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM r),
+             p AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS many FROM e)
+        SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= many * 10 // 100 THEN place END AS rank FROM p""",
 }
