@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 BLOCK = 2000
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by keys into all shuffle partitions: a join that makes many rows of few would else run in the few tasks that its
+    input's size suggests."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _pairs(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
     """anchor, co, n: users that have anchor on the left and co on the right. A user's items meet only each other, and partial
     counts are made before the shuffle by edge. Users with many items are dealt into blocks, each pair of which is a task's key,
@@ -20,8 +26,8 @@ def _pairs(left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
     many = a.select("user_id").unionAll(b.select("user_id")).groupBy("user_id").agg(blocks.alias("_blocks")).where("_blocks > 1")
     own = lambda item: F.pmod(F.xxhash64(item), F.coalesce("_blocks", F.lit(1))).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.coalesce("_blocks", F.lit(1)) - 1))
-    a = a.join(many, "user_id", "left").select("user_id", "anchor", own("anchor").alias("_a"), every.alias("_b"))
-    b = b.join(many, "user_id", "left").select("user_id", "co", own("co").alias("_b"), every.alias("_a"))
+    a = _spread(a.join(many, "user_id", "left").select("user_id", "anchor", own("anchor").alias("_a"), every.alias("_b")), "user_id", "_a", "_b")
+    b = _spread(b.join(many, "user_id", "left").select("user_id", "co", own("co").alias("_b"), every.alias("_a")), "user_id", "_a", "_b")
     return a.join(b, ["user_id", "_a", "_b"]).where("anchor <> co").groupBy("anchor", "co").agg(F.count("*").alias("n"))
 
 
@@ -49,10 +55,19 @@ def item_similarity(rows: DataFrame) -> DataFrame:
     return other.unionByName(size.select(F.col("item").alias("anchor"), F.col("item").alias("co"), F.lit(1.0).alias("similarity")))
 
 
+def _met_items(rows: DataFrame) -> DataFrame:
+    d = rows.select("user_id", F.col("item").alias("anchor")).distinct()
+    return d.join(item_similarity(rows), "anchor").select("user_id", F.col("co").alias("item"), "similarity")
+
+
+def itemknn_hits(rows: DataFrame) -> DataFrame:
+    """user_id, item, score: the summed similarity to the user's items, wherever it is not 0."""
+    return _met_items(rows).groupBy("user_id", "item").agg(F.sum("similarity").alias("score"))
+
+
 def itemknn_scores(candidates: DataFrame, rows: DataFrame) -> DataFrame:
     """candidates: user_id, item. Adds score: the summed similarity to the user's items; 0 for unknown users and items."""
-    d = rows.select("user_id", F.col("item").alias("anchor")).distinct()
-    met = d.join(item_similarity(rows), "anchor").select("user_id", F.col("co").alias("item"), "similarity")
+    met = _met_items(rows)
     summed = met.join(candidates.select("user_id", "item").distinct(), ["user_id", "item"], "left_semi").groupBy("user_id", "item").agg(F.sum("similarity").alias("score"))
     return candidates.join(summed, ["user_id", "item"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 

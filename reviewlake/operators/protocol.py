@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .catalogue import PLAIN, SparseScores, defaults_ahead, gold_places, score_pairs
 from .clean import numbered
 from .metrics import single_rank_metrics
 from .sequence import prefix_history
@@ -54,6 +55,29 @@ def unseen_places(tests: DataFrame, scores: DataFrame, train: DataFrame, cumulat
     return met.groupBy("row_id", "user_id", "item").agg((F.first("place") - ahead).cast("long").alias("rank"))
 
 
+def model_places(tests: DataFrame, model: SparseScores, train: DataFrame, cumulative: bool = False) -> DataFrame:
+    """As unseen_places(), for a model whose scores are not the same for all users; items that it doesn't know come after all.
+
+    Without cumulative history all users' places are running sums (gold_places). With it what counts as seen changes from row to
+    row, and each row meets its user's own and seen items, no others.
+    """
+    last = float("-inf")
+    if not cumulative:
+        places = gold_places(model, tests, train, missing=last, together=False).select("user_id", "item", "rank")
+        return tests.select("row_id", "user_id", "item").join(places, ["user_id", "item"])
+    asked = score_pairs(model, tests.select("user_id", "item").distinct(), last)
+    asked = asked.withColumn("base", F.lit(PLAIN)) if model.bases is None else asked.join(model.bases, "user_id", "left").withColumn("base", F.coalesce("base", F.lit(PLAIN)))
+    asked = defaults_ahead(model, asked).withColumnRenamed("item", "gold").withColumnRenamed("score", "gold_score")
+    rows = tests.select("row_id", "user_id", F.col("item").alias("gold"), "ts").join(asked, ["user_id", "gold"])
+    first = train.select("user_id", "item", F.lit(-(2**63)).alias("ts")).union(tests.select("user_id", "item", "ts")).groupBy("user_id", "item").agg(F.min("ts").alias("seen_ts"))
+    own = first.join(model.hits.select("user_id", "item", F.col("score").alias("hit")), ["user_id", "item"], "full")
+    met = rows.join(own, "user_id", "left").join(model.orders.select("base", "item", F.col("score").alias("plain")), ["base", "item"], "left")
+    ahead = lambda c: F.coalesce((F.col(c) > F.col("gold_score")) | ((F.col(c) == F.col("gold_score")) & (F.col("item") < F.col("gold"))), F.lit(False))
+    seen, hit = F.coalesce(F.col("seen_ts") < F.col("ts"), F.lit(False)), F.col("hit").isNotNull()
+    moved = F.count_if(hit & ~seen & ahead("hit")) - F.count_if((hit | seen) & ahead("plain"))
+    return met.groupBy("row_id", "user_id", F.col("gold").alias("item")).agg((F.first("ahead") + 1 + moved).cast("long").alias("rank"))
+
+
 def row_metrics(places: DataFrame, ks: tuple[int, ...], name: str) -> DataFrame:
     """places: row_id, rank. pass, metric, k, value: the means over rows of hr, ndcg and mrr at each k; a null rank is no hit."""
     values = places.select(*single_rank_metrics(F.col("rank"), ks))
@@ -62,9 +86,12 @@ def row_metrics(places: DataFrame, ks: tuple[int, ...], name: str) -> DataFrame:
     return long.select(F.lit(name).alias("pass"), F.split_part("metric", F.lit("_"), F.lit(1)).alias("metric"), F.split_part("metric", F.lit("_"), F.lit(2)).cast("int").alias("k"), "value")
 
 
-def sampled_places(pool: DataFrame, scores: DataFrame) -> DataFrame:
+def sampled_places(pool: DataFrame, scores: DataFrame | SparseScores) -> DataFrame:
     """pool: row_id, user_id, item, relevant, as sampled_negatives() gives it. row_id, rank: the relevant item's place by score."""
-    scored = pool.join(scores.select("item", "score"), "item", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    if isinstance(scores, SparseScores):
+        scored = score_pairs(scores, pool.select("row_id", "user_id", "item", "relevant"))
+    else:
+        scored = pool.join(scores.select("item", "score"), "item", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     placed = scored.withColumn("rank", F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc("score"), "item")))
     return placed.where("relevant").select("row_id", F.col("rank").cast("long").alias("rank"))
 

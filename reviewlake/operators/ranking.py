@@ -26,24 +26,19 @@ def popular_unseen(rows: DataFrame, users: DataFrame, k: int, relevant: DataFram
     """user_id, item, score, rank: each user's k most popular items (ties by item) among those not in rows, and those in
     relevant (user_id, item) even if seen.
 
-    No user meets the whole catalogue: a user's best k lie within the first k + (items seen) places of the popularity list, so
-    users are joined by place with just so many. Rows made: k per user and one per seen item.
+    No user meets the whole catalogue, and no task orders it: see catalogue.best().
     """
-    users = users.select("user_id").distinct()
-    seen = rows.join(users, "user_id", "left_semi").select("user_id", "item").distinct()
-    if relevant is not None:
-        seen = seen.join(relevant, ["user_id", "item"], "left_anti")
-    counts = seen.groupBy("user_id").agg(F.count("*").alias("_seen"))
-    most = counts.agg(F.coalesce(F.max("_seen"), F.lit(0))).first()[0]
-    head = popularity(rows).orderBy(F.desc("score"), "item").limit(k + int(most))
-    head = head.withColumn("_place", F.row_number().over(Window.orderBy(F.desc("score"), "item")))
-    places = users.join(counts, "user_id", "left").select("user_id", F.explode(F.sequence(F.lit(1), (F.lit(k) + F.coalesce("_seen", F.lit(0))).cast("int"))).alias("_place"))
-    met = places.join(head, "_place").drop("_place")
-    rest = met.join(seen, ["user_id", "item"], "left_anti")
-    if relevant is not None:
-        extra = relevant.join(popularity(rows), "item", "left").select("user_id", "item", F.coalesce("score", F.lit(0.0)).alias("score"))
-        rest = rest.select("user_id", "item", "score").unionByName(extra).distinct()
-    return top_k(rest, k, ["user_id"], [F.desc("score"), "item"])
+    from .catalogue import PLAIN, SparseScores, best
+
+    popular = popularity(rows)
+    seen = rows.select("user_id", "item")
+    if relevant is None:
+        own = seen.select("user_id", "item", F.lit(0.0).alias("score")).limit(0)
+    else:
+        goal = relevant.select("user_id", "item").distinct()
+        seen = seen.join(goal, ["user_id", "item"], "left_anti")
+        own = goal.join(popular, "item", "left").select("user_id", "item", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return best(SparseScores(own, popular.select(F.lit(PLAIN).alias("base"), "item", "score")), users, k, seen)
 
 
 def candidates(users: DataFrame, catalogue: DataFrame, seen: DataFrame, relevant: DataFrame | None = None) -> DataFrame:

@@ -43,15 +43,34 @@ def next_item_scores(candidates: DataFrame, train: DataFrame) -> DataFrame:
     return rows.select(*candidates.columns, score.alias("score"))
 
 
-def markov_scores(candidates: DataFrame, rows: DataFrame, last_k: int = 3, decay: float = 0.6) -> DataFrame:
-    """candidates: user_id, item. Adds score: next-item probabilities from the user's last items, weighted by decay ** age and
-    averaged over those of them that have any."""
+def next_item_hits(train: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """user_id, item, score: transitions from the user's last item; and user_id of those whose last item has any."""
+    n = transitions(train).withColumnRenamed("prev", "_prev")
+    met = last_items(train).join(n, F.col("prev") == F.col("_prev")).select("user_id", F.col("next").alias("item"), F.col("n").cast("double").alias("score"))
+    return met, met.select("user_id").distinct()
+
+
+def _markov_steps(rows: DataFrame, last_k: int, decay: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The probabilities, the users' last items that have any with their weights, and the users' sums of weights."""
     w = Window.partitionBy("user_id").orderBy(*(F.desc(c) for c in USER_ORDER))
     recent = rows.withColumn("_age", F.row_number().over(w) - 1).where(F.col("_age") < last_k).select("user_id", F.col("item").alias("prev"), F.pow(F.lit(decay), F.col("_age")).alias("_w"))
     p = markov_probabilities(rows)
     recent = recent.join(p.select("prev").distinct(), "prev", "left_semi")
-    total = recent.groupBy("user_id").agg(F.sum("_w").alias("_total"))
-    hit = candidates.select("user_id", "item").join(recent, "user_id").join(p.withColumnRenamed("next", "item"), ["prev", "item"]).groupBy("user_id", "item").agg(F.sum(F.col("_w") * F.col("p")).alias("_sum"))
+    return p.withColumnRenamed("next", "item"), recent, recent.groupBy("user_id").agg(F.sum("_w").alias("_total"))
+
+
+def markov_hits(rows: DataFrame, last_k: int = 3, decay: float = 0.6) -> DataFrame:
+    """user_id, item, score as in markov_scores(), wherever it is not 0."""
+    p, recent, total = _markov_steps(rows, last_k, decay)
+    hit = recent.join(p, "prev").groupBy("user_id", "item").agg(F.sum(F.col("_w") * F.col("p")).alias("_sum"))
+    return hit.join(total, "user_id").select("user_id", "item", (F.col("_sum") / F.col("_total")).alias("score"))
+
+
+def markov_scores(candidates: DataFrame, rows: DataFrame, last_k: int = 3, decay: float = 0.6) -> DataFrame:
+    """candidates: user_id, item. Adds score: next-item probabilities from the user's last items, weighted by decay ** age and
+    averaged over those of them that have any."""
+    p, recent, total = _markov_steps(rows, last_k, decay)
+    hit = candidates.select("user_id", "item").join(recent, "user_id").join(p, ["prev", "item"]).groupBy("user_id", "item").agg(F.sum(F.col("_w") * F.col("p")).alias("_sum"))
     out = candidates.join(hit, ["user_id", "item"], "left").join(total, "user_id", "left")
     return out.select(*candidates.columns, F.coalesce(F.col("_sum") / F.col("_total"), F.lit(0.0)).alias("score"))
 

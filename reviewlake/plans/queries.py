@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.session import save, shared_dir
-from ..operators import clean, covisit, explain, features, graph, metrics, protocol, quality, ranking, sequence, signals, text
+from ..operators import catalogue, clean, covisit, explain, features, graph, metrics, protocol, quality, ranking, sequence, signals, text
 from . import recommend
 from . import tables as T
 
@@ -294,19 +294,33 @@ def _crossed(g: DataFrame) -> DataFrame:
     return g.select("user_id").distinct().crossJoin(g.select("item").distinct())
 
 
-@query(f"""WITH {G}, {NEXT}, t AS (SELECT prev, next AS item, count(*) AS n FROM nx WHERE next IS NOT NULL GROUP BY 1, 2), l AS (SELECT user_id, item AS prev FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item DESC, row_id DESC) = 1), {_HALF}
-  SELECT c.user_id, c.item, CASE WHEN l.prev IN (SELECT prev FROM t) THEN coalesce(t.n, 0) ELSE (SELECT count(*) FROM g WHERE g.item = c.item) END::DOUBLE AS score FROM c LEFT JOIN l USING (user_id) LEFT JOIN t ON t.prev = l.prev AND t.item = c.item""")
+def _whole(g: DataFrame, name: str) -> DataFrame:
+    """The 20 best items of the whole catalogue for each user under a model, to 9 digits."""
+    m = recommend.models(g)[name]
+    return r6(catalogue.best(m._replace(hits=m.hits.withColumn("score", F.round("score", 9))), g, 20).withColumn("rank", F.col("rank").cast("long")), "score")
+
+
+def _best_sql(scores: str) -> str:
+    return f" SELECT user_id, item, round(score, 6) AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS rank FROM ({scores}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) <= 20"
+
+
+#: Each model's score of every item of a catalogue {c}, from the rows of a table {g}.
+NEXT_SQL = """SELECT c.user_id, c.item, CASE WHEN l.prev IN (SELECT prev FROM t) THEN coalesce(t.n, 0) ELSE (SELECT count(*) FROM g WHERE g.item = c.item) END::DOUBLE AS score FROM c LEFT JOIN l USING (user_id) LEFT JOIN t ON t.prev = l.prev AND t.item = c.item"""
+MARKOV_SQL = """SELECT c.user_id, c.item, round(coalesce((SELECT sum(wt * p) FROM rc JOIN pr USING (prev) WHERE rc.user_id = c.user_id AND pr.item = c.item) / (SELECT sum(wt) FROM rc WHERE rc.user_id = c.user_id), 0), 9) AS score FROM c"""
+KNN_SQL = """SELECT c.user_id, c.item, round(coalesce((SELECT sum(s) FROM u JOIN sim ON sim.anchor = u.item WHERE u.user_id = c.user_id AND sim.co = c.item), 0), 9) AS score FROM c"""
+NEXT_WITH = f"""{NEXT}, t AS (SELECT prev, next AS item, count(*) AS n FROM nx WHERE next IS NOT NULL GROUP BY 1, 2), l AS (SELECT user_id, item AS prev FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item DESC, row_id DESC) = 1)"""
+MARKOV_WITH = """tm AS (SELECT prev, next, count(*) AS n FROM nx WHERE next IS NOT NULL AND prev <> next GROUP BY 1, 2), pr AS (SELECT prev, next AS item, n / (sum(n) OVER (PARTITION BY prev))::DOUBLE AS p FROM tm),
+  rc AS (SELECT user_id, item AS prev, pow(0.6::DOUBLE, age - 1) AS wt FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item DESC, row_id DESC) AS age FROM g) WHERE age <= 3 AND item IN (SELECT prev FROM pr))"""
+
+
+@query(f"WITH {G}, {NEXT_WITH}, {_HALF}" + _best_sql(NEXT_SQL))
 def next_item_scores(spark, d):
-    g = T.signals(spark, d)
-    return sequence.next_item_scores(_crossed(g), g)
+    return _whole(T.signals(spark, d), "sequential")
 
 
-@query(f"""WITH {G}, {NEXT}, t AS (SELECT prev, next, count(*) AS n FROM nx WHERE next IS NOT NULL AND prev <> next GROUP BY 1, 2), pr AS (SELECT prev, next AS item, n / (sum(n) OVER (PARTITION BY prev))::DOUBLE AS p FROM t),
-  rc AS (SELECT user_id, item AS prev, pow(0.6::DOUBLE, age - 1) AS wt FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item DESC, row_id DESC) AS age FROM g) WHERE age <= 3 AND item IN (SELECT prev FROM pr)), {_HALF}
-  SELECT c.user_id, c.item, round(coalesce((SELECT sum(wt * p) FROM rc JOIN pr USING (prev) WHERE rc.user_id = c.user_id AND pr.item = c.item) / (SELECT sum(wt) FROM rc WHERE rc.user_id = c.user_id), 0), 6) AS score FROM c""")
+@query(f"WITH {G}, {NEXT}, {MARKOV_WITH}, {_HALF}" + _best_sql(MARKOV_SQL))
 def markov_scores(spark, d):
-    g = T.signals(spark, d)
-    return r6(sequence.markov_scores(_crossed(g), g), "score")
+    return _whole(T.signals(spark, d), "markov")
 
 
 GAPS = "gp AS (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, item, row_id) AS gap, min(ts) OVER (PARTITION BY user_id) AS first FROM g), sc AS (SELECT user_id, coalesce(min(gap) FILTER (WHERE gap > 0), 1) AS scale FROM gp GROUP BY 1)"
@@ -371,10 +385,46 @@ def item_similarity(spark, d):
     return r6(covisit.item_similarity(T.signals(spark, d)), "similarity")
 
 
-@query(f"WITH {G}, {KNN}, {_HALF} SELECT c.user_id, c.item, round(coalesce((SELECT sum(s) FROM u JOIN sim ON sim.anchor = u.item WHERE u.user_id = c.user_id AND sim.co = c.item), 0), 6) AS score FROM c")
+@query(f"WITH {G}, {KNN}, {_HALF}" + _best_sql(KNN_SQL))
 def itemknn_scores(spark, d):
-    g = T.signals(spark, d)
-    return r6(covisit.itemknn_scores(_crossed(g), g), "score")
+    return _whole(T.signals(spark, d), "itemknn")
+
+
+#: Signals before the query time as training rows g, the pairs after it as gold; every model's score of each item that a user has
+#: not seen or has as gold, and the place of the gold items.
+_EVAL = f"""{G.replace("g AS (", "g0 AS (", 1)}, g AS MATERIALIZED (SELECT * FROM g0 WHERE ts < {Q}), gold AS MATERIALIZED (SELECT DISTINCT user_id, item FROM g0 WHERE ts >= {Q}), {NEXT_WITH}, {MARKOV_WITH}, {KNN},
+  c AS MATERIALIZED (SELECT user_id, item FROM (SELECT DISTINCT user_id FROM gold), (SELECT DISTINCT item FROM g) EXCEPT SELECT user_id, item FROM g UNION SELECT user_id, item FROM gold),
+  sc AS (SELECT 'sequential' AS model, * FROM ({NEXT_SQL}) UNION ALL SELECT 'markov', * FROM ({MARKOV_SQL}) UNION ALL SELECT 'itemknn', * FROM ({KNN_SQL}) UNION ALL SELECT 'popularity', user_id, item, (SELECT count(*) FROM g WHERE g.item = c.item)::DOUBLE FROM c),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY model, user_id ORDER BY score DESC, item) AS rank FROM sc), gr AS (SELECT rk.* FROM rk JOIN gold USING (user_id, item))"""
+
+
+def _models_and_gold(spark, d):
+    g = save(T.signals(spark, d), "signals")
+    train, gold = g.where(F.col("ts") < T.QUERY_TS), g.where(F.col("ts") >= T.QUERY_TS).select("user_id", "item").distinct()
+    found = {n: m._replace(hits=m.hits.withColumn("score", F.round("score", 9))) for n, m in recommend.models(train).items()}
+    return found, train, gold
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(f"WITH {_EVAL} SELECT model, user_id, item, round(score, 6) AS score, rank FROM gr")
+def catalogue_places(spark, d):
+    """The exact place of each later item among the whole catalogue, under four models."""
+    found, train, gold = _models_and_gold(spark, d)
+    return _union([r6(catalogue.gold_places(m, gold, train).select(F.lit(n).alias("model"), "user_id", "item", "score", "rank"), "score") for n, m in found.items()])
+
+
+@query(f"""WITH {_EVAL}, mu AS (SELECT model, user_id, max(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END) AS hr, count(*) FILTER (WHERE rank <= 10) / count(*)::DOUBLE AS recall, coalesce(1.0::DOUBLE / min(rank) FILTER (WHERE rank <= 10), 0) AS mrr FROM gr GROUP BY 1, 2)
+  SELECT model, count(*) AS n_users, round(avg(hr), 6)::DOUBLE AS hr_10, round(avg(recall), 6) AS recall_10, round(avg(mrr), 6) AS mrr_10 FROM mu GROUP BY 1""")
+def model_evaluation(spark, d):
+    """Four models over the whole catalogue, seen items left out: their means over users."""
+    found, train, gold = _models_and_gold(spark, d)
+    return _union([recommend.evaluate(m, train, gold, (10,)).agg(F.lit(n).alias("model"), F.count("*").alias("n_users"), *(F.round(F.avg(c), 6).alias(c) for c in ("hr_10", "recall_10", "mrr_10"))) for n, m in found.items()])
 
 
 @query()

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import by, minmax
-from ..operators import clean, covisit, metrics, protocol, ranking, sequence, signals
+from ..functions.session import save
+from ..operators import catalogue, clean, covisit, metrics, protocol, ranking, sequence, signals
+from ..operators.catalogue import SparseScores
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -46,14 +48,44 @@ def scorers(train: DataFrame, signal: DataFrame | None = None, queries: DataFram
     return out
 
 
-def evaluate(scorer: Scorer, train: DataFrame, test: DataFrame, ks: tuple[int, ...] = (5, 10, 20), most_users: int | None = None) -> DataFrame:
-    """Metrics per test user over the whole catalogue, seen items left out; most_users bounds the catalogue's copies."""
+def models(train: DataFrame) -> dict[str, SparseScores]:
+    """The methods that give most items a default score, for whole catalogues: popularity, itemknn, sequential, markov."""
+    popular = ranking.popularity(train).select(F.lit(catalogue.PLAIN).alias("base"), "item", "score")
+    flat = catalogue.flat_order(train)
+    none = train.select("user_id", "item", F.lit(0.0).alias("score")).limit(0)
+    follow, known = sequence.next_item_hits(train)
+    return {
+        "popularity": SparseScores(none, popular),
+        "itemknn": SparseScores(covisit.itemknn_hits(train), flat),
+        # Users whose last item never led on get popular items.
+        "sequential": SparseScores(follow, popular.unionByName(catalogue.flat_order(train, base="next")), known.withColumn("base", F.lit("next"))),
+        "markov": SparseScores(sequence.markov_hits(train), flat),
+    }
+
+
+def evaluate(model: SparseScores | Scorer, train: DataFrame, test: DataFrame, ks: tuple[int, ...] = (5, 10, 20), most_users: int | None = None, block_users: int = 5000) -> DataFrame:
+    """Metrics per test user over the whole catalogue, seen items left out, the user's test items always in; with most_users of
+    those users only whose hash comes first.
+
+    A SparseScores model is ranked without users times catalogue. A function that scores candidates needs them all: users are
+    dealt into blocks of about block_users, one after the other, so that no more copies of the catalogue exist at a time.
+    """
     goal = test.select("user_id", "item").distinct()
     if most_users is not None:
         keep = goal.select("user_id").distinct().orderBy(F.xxhash64("user_id"), "user_id").limit(most_users)
         goal = goal.join(keep, "user_id", "left_semi")
-    pool = ranking.candidates(goal, train, train, goal)
-    return metrics.rank_metrics(ranking.rank_by_score(scorer(pool), max(ks)), goal, ks)
+    if isinstance(model, SparseScores):
+        seen = train.select("user_id", "item").join(goal, ["user_id", "item"], "left_anti")
+        lists = catalogue.best(catalogue.with_gold(model, goal), goal, max(ks), seen)
+        return metrics.rank_metrics(lists, goal, ks)
+    blocks = -(-goal.select("user_id").distinct().count() // block_users)
+    found = None
+    for n in range(max(blocks, 1)):
+        part = goal if blocks <= 1 else goal.where(F.pmod(F.xxhash64("user_id"), F.lit(blocks)) == n)
+        rows = metrics.rank_metrics(ranking.rank_by_score(model(ranking.candidates(part, train, train, part)), max(ks)), part, ks)
+        rows = rows if blocks <= 1 else save(rows, "block")
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def evaluate_sampled(scorer: Scorer, train: DataFrame, test: DataFrame, n: int = 100, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
@@ -63,9 +95,10 @@ def evaluate_sampled(scorer: Scorer, train: DataFrame, test: DataFrame, n: int =
     return metrics.rank_metrics(ranked, pool.where("relevant").select("row_id", "item"), ks, unit="row_id")
 
 
-def evaluate_rows(train: DataFrame, test: DataFrame, scores: DataFrame, ks: list[int], sampled_ks: list[int] | None = None, n: int = 100, cumulative: bool = True) -> DataFrame:
+def evaluate_rows(train: DataFrame, test: DataFrame, scores: DataFrame | SparseScores, ks: list[int], sampled_ks: list[int] | None = None, n: int = 100, cumulative: bool = True) -> DataFrame:
     """The dual pass, per test row: pass, metric, k, value. "full" ranks among all unseen items, "sampled" against n negatives and
-    at sampled_ks too; scores: item, score, the same for all users."""
-    full = protocol.row_metrics(protocol.unseen_places(test, scores, train, cumulative), tuple(protocol.effective_ks(ks)), "full")
+    at sampled_ks too; scores: item, score, the same for all users, or a model with scores of their own."""
+    places = protocol.model_places if isinstance(scores, SparseScores) else protocol.unseen_places
+    full = protocol.row_metrics(places(test, scores, train, cumulative), tuple(protocol.effective_ks(ks)), "full")
     pool = ranking.sampled_negatives(test.select("row_id", "user_id", "item"), train, train, n)
     return full.unionByName(protocol.row_metrics(protocol.sampled_places(pool, scores), tuple(protocol.effective_ks(ks, sampled_ks, True)), "sampled"))
