@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .factors import Factors
+
 
 #: Items of one user that meet in one task.
 BLOCK = 2000
@@ -72,16 +74,25 @@ def itemknn_scores(candidates: DataFrame, rows: DataFrame) -> DataFrame:
     return candidates.join(summed, ["user_id", "item"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
-def als_scores(candidates: DataFrame, rows: DataFrame, user_ids: DataFrame, item_ids: DataFrame, factors: int = 64, seed: int = 42) -> DataFrame:
-    """candidates: user_id, item. Adds score from a factorisation of the 0/1 matrix; unknown users and items score 0.
-
-    Spark's distributed alternating least squares stands for a truncated SVD of the whole matrix, which no single machine holds.
-    """
+def _als(rows: DataFrame, user_ids: DataFrame, item_ids: DataFrame, factors: int, seed: int):
     from pyspark.ml.recommendation import ALS
 
     users = user_ids.select(F.col("id").alias("user_id"), F.col("local").cast("int").alias("_u"))
     items = item_ids.select(F.col("id").alias("item"), F.col("local").cast("int").alias("_i"))
     seen = rows.select("user_id", "item").distinct().join(users, "user_id").join(items, "item").withColumn("_one", F.lit(1.0))
-    model = ALS(rank=factors, userCol="_u", itemCol="_i", ratingCol="_one", implicitPrefs=True, seed=seed, coldStartStrategy="nan").fit(seen)
+    return ALS(rank=factors, userCol="_u", itemCol="_i", ratingCol="_one", implicitPrefs=True, seed=seed, coldStartStrategy="nan").fit(seen), users, items
+
+
+def als_factors(rows: DataFrame, user_ids: DataFrame, item_ids: DataFrame, factors: int = 64, seed: int = 42) -> Factors:
+    """The same factorisation's vectors, for whole catalogues (factor_best)."""
+    model, users, items = _als(rows, user_ids, item_ids, factors, seed)
+    vectors = lambda ids, number, found: ids.join(found.withColumnRenamed("id", number), number).select(ids.columns[0], F.col("features").cast("array<double>").alias("vector"))
+    return Factors(vectors(users, "_u", model.userFactors), vectors(items, "_i", model.itemFactors), [])
+
+
+def als_scores(candidates: DataFrame, rows: DataFrame, user_ids: DataFrame, item_ids: DataFrame, factors: int = 64, seed: int = 42) -> DataFrame:
+    """candidates: user_id, item. Adds score from a factorisation of the 0/1 matrix by Spark's alternating least squares; unknown
+    users and items score 0."""
+    model, users, items = _als(rows, user_ids, item_ids, factors, seed)
     scored = model.transform(candidates.join(users, "user_id", "left").join(items, "item", "left").na.fill(0, ["_u", "_i"]))
     return scored.select(*candidates.columns, F.coalesce(F.nanvl(F.col("prediction").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("score"))

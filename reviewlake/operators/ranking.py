@@ -174,9 +174,9 @@ def narrow_shortlist(pool: DataFrame, protect_n: int, cap: int, hits: str = "hit
     return kept
 
 
-def _packed(rows: DataFrame, key: str, vector: str, unit: bool, size: int) -> DataFrame:
-    """A row for each `size` rows of a task: keys, dim and values (the vectors one after the other; a missing one is all 0), scaled
-    to length 1 with unit."""
+def _packed(rows: DataFrame, key: str, vector: str, unit: bool, size: int, more: str | None = None) -> DataFrame:
+    """A row for each `size` rows of a task: keys, more (a number for each key, 0 without such a column), dim and values (the vectors
+    one after the other; a missing one is all 0), scaled to length 1 with unit."""
 
     def run(batches):
         for batch in batches:
@@ -190,22 +190,28 @@ def _packed(rows: DataFrame, key: str, vector: str, unit: bool, size: int) -> Da
                 if unit:
                     length = np.sqrt((x * x).sum(1, keepdims=True))
                     x = np.divide(x, length, out=np.zeros_like(x), where=length >= 1e-12)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(part.column(0).type)), pa.array([x.shape[1]], pa.int32()), pa.array([x.ravel()])], ["keys", "dim", "values"])
+                keys, extra = (pa.array([part.column(c).to_pylist()], pa.list_(part.column(c).type)) for c in (0, 2))
+                yield pa.RecordBatch.from_arrays([keys, extra, pa.array([x.shape[1]], pa.int32()), pa.array([x.ravel()])], ["keys", "more", "dim", "values"])
 
-    made = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"))
-    return made.mapInArrow(run, f"keys array<{made.schema['key'].dataType.simpleString()}>, dim int, values array<double>")
+    number = F.lit(0) if more is None else F.col(more)
+    made = rows.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector"), number.cast("long").alias("more"))
+    return made.mapInArrow(run, f"keys array<{made.schema['key'].dataType.simpleString()}>, more array<long>, dim int, values array<double>")
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", block: int = 2048) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", block: int = 2048, more: str | None = None) -> DataFrame:
     """queries: user_id, query (array); vectors: item, vector, all of one dimension. The k items with the greatest cosine or dot
-    product, ties (at 12 decimals) by item; missing vectors score 0.
+    product, ties (at 12 decimals) by item; missing vectors score 0. With `more`, a column of queries, k and so many more for each.
 
-    Both sides are packed into blocks; a pair of blocks is one product of matrices in a task, which keeps its k best per query
-    before anything is shuffled.
+    Both sides are packed into blocks; a pair of blocks is one product of matrices in a task, which keeps its best per query
+    before anything is shuffled. Items' blocks are dealt into groups, and each block of queries is sent to every group.
     """
     unit = metric == "cosine"
-    q = _packed(queries, "user_id", "query", unit, block).select(F.col("keys").alias("users"), F.col("dim").alias("qdim"), F.col("values").alias("q"))
-    v = _packed(vectors, "item", "vector", unit, block)
+    q = _packed(queries, "user_id", "query", unit, block, more).select(F.col("keys").alias("users"), "more", F.col("dim").alias("qdim"), F.col("values").alias("q"))
+    v = _packed(vectors, "item", "vector", unit, block).drop("more")
+    groups = max(1, min(4096, -(-vectors.count() // block)))
+    # The blocks' number in their tasks only deals them: any group does.
+    v = v.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
+    q = q.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def best(batches):
         for batch in batches:
@@ -214,10 +220,16 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "c
                 d = min(batch.column(c)[i].as_py() for c in ("qdim", "dim"))
                 matrix = lambda c, n: np.asarray(batch.column(c)[i].values).reshape(n, -1)[:, :d]  # noqa: E731, B023
                 scores = np.round(matrix("q", len(users)) @ matrix("values", len(items)).T, 12) if d else np.zeros((len(users), len(items)))
-                least = np.partition(scores, -k, axis=1)[:, -k] if len(items) > k else np.full(len(users), -np.inf)
+                keep = np.minimum(k + np.asarray(batch.column("more")[i].values), len(items)).astype(int)
+                least = np.full(len(users), -np.inf)
+                for n in np.unique(keep[keep < len(items)]):
+                    least[keep == n] = np.partition(scores[keep == n], -n, axis=1)[:, -n]
                 row, col = np.nonzero(scores >= least[:, None])  # ties of the last place stay; places are given below
                 yield pa.RecordBatch.from_arrays([pa.array(users[row].tolist(), batch.schema.field("users").type.value_type), pa.array(items[col].tolist(), batch.schema.field("keys").type.value_type), pa.array(scores[row, col])], ["user_id", "item", "score"])
 
     types = [df.schema[c].dataType.simpleString() for df, c in ((queries, "user_id"), (vectors, "item"))]
-    met = q.crossJoin(v).mapInArrow(best, f"user_id {types[0]}, item {types[1]}, score double")
+    met = q.join(v, "_group").drop("_group").mapInArrow(best, f"user_id {types[0]}, item {types[1]}, score double")
+    if more is not None:
+        wide = met.join(queries.select("user_id", F.col(more).alias("_more")), "user_id")
+        return top_k(wide, None, ["user_id"], [F.desc("score"), "item"]).where(F.col("rank") <= k + F.col("_more")).drop("_more")
     return top_k(met, k, ["user_id"], [F.desc("score"), "item"])

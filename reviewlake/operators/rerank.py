@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import dot, minmax
-from .ranking import top_k
+from .ranking import top_k, vector_topk
 
 
 def eligible(cases: DataFrame, texts: DataFrame, override: bool = False) -> DataFrame:
@@ -64,13 +64,32 @@ def aspect_maps(sentiment: DataFrame) -> DataFrame:
 def adjusted_scores(candidates: DataFrame, users: DataFrame, items: DataFrame, aspects: DataFrame, gammas: DataFrame) -> DataFrame:
     """candidates: user_id, item; the others: key, vector; gammas: user_id, aspect, gamma. Adds score: the dot product of the item
     with the user's vector moved by gamma along each aspect's, scaled to 0..1 within the user's candidates; 0 for unknown users."""
+    rows = candidates.join(moved_vectors(users, aspects, gammas).withColumnRenamed("vector", "_u"), "user_id", "left").join(items.select(F.col("key").alias("item"), F.col("vector").alias("_i")), "item", "left")
+    raw = rows.withColumn("_s", F.coalesce(dot(F.col("_u"), F.col("_i")), F.lit(0.0)))
+    return raw.select(*candidates.columns, minmax(F.col("_s"), Window.partitionBy("user_id")).alias("score"))
+
+
+def moved_vectors(users: DataFrame, aspects: DataFrame, gammas: DataFrame) -> DataFrame:
+    """user_id, vector: each known user's vector moved by gamma along each aspect's."""
     moved = gammas.join(aspects.select(F.col("key").alias("aspect"), F.posexplode("vector").alias("dim", "x")), "aspect").groupBy("user_id", "dim").agg(F.sum(F.col("gamma") * F.col("x")).alias("x"))
     own = users.select(F.col("key").alias("user_id"), F.posexplode("vector").alias("dim", "x")).unionByName(moved.select("user_id", "dim", "x"))
     known = own.groupBy("user_id", "dim").agg(F.sum("x").alias("x")).join(users.select(F.col("key").alias("user_id")), "user_id", "left_semi")
-    vector = known.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("_u"))
-    rows = candidates.join(vector, "user_id", "left").join(items.select(F.col("key").alias("item"), F.col("vector").alias("_i")), "item", "left")
-    raw = rows.withColumn("_s", F.coalesce(dot(F.col("_u"), F.col("_i")), F.lit(0.0)))
-    return raw.select(*candidates.columns, minmax(F.col("_s"), Window.partitionBy("user_id")).alias("score"))
+    return known.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vector"))
+
+
+def adjusted_best(asked: DataFrame, catalogue: DataFrame, users: DataFrame, items: DataFrame, aspects: DataFrame, gammas: DataFrame, k: int) -> DataFrame:
+    """user_id, item, score, rank: the k best of the whole catalogue (item) for each asked user_id, by scores as of adjusted_scores().
+
+    Vectors meet in blocks; the least raw score, which the scale needs, is the greatest one of the vectors turned round.
+    """
+    query = asked.select("user_id").distinct().join(moved_vectors(users, aspects, gammas), "user_id", "left").withColumnRenamed("vector", "query")
+    vectors = catalogue.select("item").distinct().join(items.select(F.col("key").alias("item"), "vector"), "item", "left")
+    top = vector_topk(query, vectors, k, "dot")
+    least = vector_topk(query.withColumn("query", F.transform("query", lambda x: -x)), vectors, 1, "dot").select("user_id", (-F.col("score")).alias("_low"))
+    most = top.where("rank = 1").select("user_id", F.col("score").alias("_high"))
+    wide = top.join(least, "user_id").join(most, "user_id")
+    span = F.col("_high") - F.col("_low")
+    return wide.select("user_id", "item", F.when(span < 1e-12, 0.0).otherwise((F.col("score") - F.col("_low")) / span).alias("score"), "rank")
 
 
 def token_budget(sizes: Column, cap: int = 4096, per_id: int = 18) -> Column:

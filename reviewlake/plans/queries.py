@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.session import save, shared_dir
-from ..operators import catalogue, clean, covisit, explain, features, graph, metrics, protocol, quality, ranking, sequence, signals, text
+from ..operators import catalogue, clean, covisit, explain, factors, features, graph, metrics, protocol, quality, ranking, sequence, signals, text
 from . import recommend
 from . import tables as T
 
@@ -289,11 +289,6 @@ def markov_probabilities(spark, d):
 _HALF = "c AS (SELECT u.user_id, v.item FROM (SELECT DISTINCT user_id FROM g) u, (SELECT DISTINCT item FROM g) v)"
 
 
-def _crossed(g: DataFrame) -> DataFrame:
-    """All users by the whole catalogue, for models that score everything."""
-    return g.select("user_id").distinct().crossJoin(g.select("item").distinct())
-
-
 def _whole(g: DataFrame, name: str) -> DataFrame:
     """The 20 best items of the whole catalogue for each user under a model, to 9 digits."""
     m = recommend.models(g)[name]
@@ -429,8 +424,17 @@ def model_evaluation(spark, d):
 
 @query()
 def als_scores(spark, d):
+    """The 20 best items of the whole catalogue for each user under alternating least squares with eight factors."""
+    g = T.signals(spark, d)
+    found = covisit.als_factors(g, clean.id_maps(g, column="user_id"), clean.id_maps(g), factors=8)
+    return factors.factor_best(found, g, 20).select("user_id", "item", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def svd_topk(spark, d):
+    """The 20 best items of the whole catalogue for each user under the truncated SVD with eight factors."""
     g = T.signals(spark, d)
-    return r6(covisit.als_scores(_crossed(g), g, clean.id_maps(g, column="user_id"), clean.id_maps(g), factors=8), "score")
+    return factors.factor_best(factors.truncated_svd(g, 8), g, 20).select("user_id", "item", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 # ------------------------------------------------------------------ rankings
@@ -843,14 +847,17 @@ def aspect_maps(spark, d):
 
 @query(f"""WITH {INTEREST}, vv AS (SELECT CAST(vec_id AS VARCHAR) AS key, embedding AS e FROM embeddings), mv AS (SELECT user_id, i AS dim, sum(x) AS x FROM (SELECT user_id, i, gamma * e[i] AS x FROM it JOIN vv ON vv.key = substr(aspect, 2), range(1, 65) t(i) UNION ALL SELECT key, i, e[i]::DOUBLE FROM vv, range(1, 65) t(i)) GROUP BY 1, 2),
   cc AS (SELECT u.user_id, v.item FROM (SELECT DISTINCT user_id FROM g) u, (SELECT DISTINCT item FROM g) v), sc AS (SELECT user_id, item, coalesce((SELECT sum(x * e[dim]) FROM mv, vv WHERE mv.user_id = cc.user_id AND vv.key = cc.item AND cc.user_id IN (SELECT key FROM vv)), 0) AS s FROM cc)
-  SELECT user_id, item, round(CASE WHEN max(s) OVER w - min(s) OVER w < 1e-12 THEN 0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END, 5) AS score FROM sc WINDOW w AS (PARTITION BY user_id)""")
+  SELECT user_id, item, round(CASE WHEN max(s) OVER w - min(s) OVER w < 1e-12 THEN 0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END, 5) AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(s, 12) DESC, item) AS rank
+  FROM sc WINDOW w AS (PARTITION BY user_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(s, 12) DESC, item) <= 20""")
 def adjusted_scores(spark, d):
-    from ..operators.rerank import adjusted_scores as adjusted
+    """The 20 best items of the whole catalogue for each user by vectors moved along the user's aspects."""
+    from ..operators.rerank import adjusted_best
 
     g, v = T.signals(spark, d), T.vectors(spark, d).select(F.col("item").alias("key"), "vector")
     aspects = v.where("cast(key as int) < 8").select(F.concat(F.lit("a"), "key").alias("key"), "vector")
     gammas = signals.interest_scores(g, T.queries_at(g)).select("user_id", "aspect", "gamma")
-    return adjusted(_crossed(g), v, v, aspects, gammas).select("user_id", "item", F.round("score", 5).alias("score"))
+    found = adjusted_best(g, g, v, v, aspects, gammas, 20)
+    return found.select("user_id", "item", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""WITH {G}, l AS (SELECT user_id, aspect, max(ts) AS last FROM g GROUP BY 1, 2) SELECT g.user_id, g.aspect, round(sum(abs(polarity) * exp(-0.01 * (last - ts) / 86400000000.0::DOUBLE)), 6) AS interest, last AS ts FROM g JOIN l USING (user_id, aspect) GROUP BY g.user_id, g.aspect, last""")

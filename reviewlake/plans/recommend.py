@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import by, minmax
 from ..functions.session import save
-from ..operators import catalogue, clean, covisit, metrics, protocol, ranking, sequence, signals
+from ..operators import catalogue, clean, covisit, factors, metrics, protocol, ranking, sequence, signals
 from ..operators.catalogue import SparseScores
+from ..operators.factors import Factors
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -31,10 +32,8 @@ def scorers(train: DataFrame, signal: DataFrame | None = None, queries: DataFram
 
     out: dict[str, Scorer] = {"popularity": popularity, "itemknn": lambda c: covisit.itemknn_scores(c, train), "sequential": lambda c: sequence.next_item_scores(c, train), "markov": lambda c: sequence.markov_scores(c, train)}
 
-    def factors(c: DataFrame) -> DataFrame:
-        return covisit.als_scores(c, train, clean.id_maps(train, column="user_id"), clean.id_maps(train))
-
-    out["svd"] = out["base_cf"] = factors
+    out["svd"] = out["base_cf"] = lambda c: factors.factor_scores(c, factors.truncated_svd(train))
+    out["als"] = lambda c: covisit.als_scores(c, train, clean.id_maps(train, column="user_id"), clean.id_maps(train))
     if signal is not None and queries is not None:
         weights = signals.decayed_weights(signal, queries, rate)
         sentiment = signals.item_sentiment(signal)
@@ -63,11 +62,21 @@ def models(train: DataFrame) -> dict[str, SparseScores]:
     }
 
 
-def evaluate(model: SparseScores | Scorer, train: DataFrame, test: DataFrame, ks: tuple[int, ...] = (5, 10, 20), most_users: int | None = None, block_users: int = 5000) -> DataFrame:
+def _factor_lists(model: Factors, goal: DataFrame, train: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+    """Best lists with the goal items in the running; users without a vector score 0 everywhere."""
+    known = model.users.select("user_id")
+    own = factors.factor_scores(goal.join(known, "user_id", "left_semi"), model)
+    found = factors.factor_best(model, goal, k, seen).select("user_id", "item", "score").unionByName(own).groupBy("user_id", "item").agg(F.max("score").alias("score"))
+    rest = goal.join(known, "user_id", "left_anti")
+    flat = SparseScores(own.limit(0), catalogue.flat_order(train))
+    return ranking.rank_by_score(found, k).unionByName(catalogue.best(catalogue.with_gold(flat, rest), rest, k, seen))
+
+
+def evaluate(model: SparseScores | Factors | Scorer, train: DataFrame, test: DataFrame, ks: tuple[int, ...] = (5, 10, 20), most_users: int | None = None, block_users: int = 5000) -> DataFrame:
     """Metrics per test user over the whole catalogue, seen items left out, the user's test items always in; with most_users of
     those users only whose hash comes first.
 
-    A SparseScores model is ranked without users times catalogue. A function that scores candidates needs them all: users are
+    A SparseScores model is ranked without users times catalogue, Factors by products of blocks of vectors. A function that scores candidates needs them all: users are
     dealt into blocks of about block_users, one after the other, so that no more copies of the catalogue exist at a time.
     """
     goal = test.select("user_id", "item").distinct()
@@ -78,6 +87,9 @@ def evaluate(model: SparseScores | Scorer, train: DataFrame, test: DataFrame, ks
         seen = train.select("user_id", "item").join(goal, ["user_id", "item"], "left_anti")
         lists = catalogue.best(catalogue.with_gold(model, goal), goal, max(ks), seen)
         return metrics.rank_metrics(lists, goal, ks)
+    if isinstance(model, Factors):
+        seen = train.select("user_id", "item").join(goal, ["user_id", "item"], "left_anti")
+        return metrics.rank_metrics(_factor_lists(model, goal, train, seen, max(ks)), goal, ks)
     blocks = -(-goal.select("user_id").distinct().count() // block_users)
     found = None
     for n in range(max(blocks, 1)):

@@ -104,3 +104,16 @@ def test_evaluations_of_models(spark):
     wide = recommend.evaluate_rows(train, test, found["sequential"], [5], [1], 4, cumulative=True)
     assert {(x["pass"], x.metric) for x in wide.collect()} == {(p, m) for p in ("full", "sampled") for m in ("hr", "ndcg", "mrr")}
     assert metrics.rank_metrics(catalogue.best(found["markov"], test, 5), test, (5,)).count() == test.select("user_id").distinct().count()
+
+
+def test_evaluation_of_factors(spark):
+    from reviewlake.operators import factors
+    from reviewlake.plans import recommend
+
+    r = random.Random(9)
+    rows = [(n, f"u{r.randrange(6)}", f"i{r.randrange(15)}", n) for n in range(100)] + [(100, "new", "i3", 1), (101, "u1", "unknown", 1)]
+    schema = "row_id long, user_id string, item string, ts long"
+    train, test = spark.createDataFrame(rows[:80], schema), spark.createDataFrame(rows[80:], schema)
+    model = factors.truncated_svd(train, 4)
+    a, b = (sorted(map(tuple, recommend.evaluate(m, train, test, (3, 5)).select("user_id", "hr_3", "recall_5", "mrr_5").collect())) for m in (model, lambda c: factors.factor_scores(c, model).withColumn("score", F.round("score", 9))))
+    assert a == b and len(a) == 7
