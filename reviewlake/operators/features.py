@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by, category_tokens, clamp, jaccard, name_tokens, sigmoid, zscore
+from .listwise import fit_folds, fold_of
 from .ranking import top_k
 
 # How the channels are weighted, for the plain mix and for the residual on top of the sequence score.
@@ -55,6 +54,7 @@ def ltr_features(z: DataFrame, tail_rank: int = 20) -> DataFrame:
     return z.withColumns({k: v for k, v in out.items() if not (k in z.columns)})
 
 
+# The listwise features by name, in the order of their weights.
 LTR_FEATURES = (
     "neg_log_rank", "inv_rank", "z_seq", "z_text", "z_co", "z_hist", "z_last_co", "z_cat", "z_pop", "z_markov", "z_brand", "seq_gap_r10", "z_cat_unpop",
     "z_text_tail", "z_co_tail", "z_hist_tail", "z_last_co_tail", "z_cat_tail", "z_markov_tail", "z_brand_tail", "z_cat_unpop_tail",
@@ -63,65 +63,28 @@ LTR_FEATURES = (
 
 def fit_listwise(rows: DataFrame, features: tuple[str, ...] = LTR_FEATURES, l2: float = 0.1, steps: int = 80) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(w, mean, sd) of a softmax over each user's list: rows user_id, label (gold > 0) and the features. Users without a gold
-    item are passed over. Each step sums gradients per list in the tasks; the driver sees one short row a step."""
-    mean = [F.avg(c).alias(f"m_{i}") for i, c in enumerate(features)] + [F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(features)]
-    got = rows.agg(*mean).first()
-    n = len(features)
-    mu = np.array([got[f"m_{i}"] or 0.0 for i in range(n)])
-    sd = np.array([got[f"s_{i}"] or 0.0 for i in range(n)])
-    sd[sd < 1e-9] = 1.0
-    lists = rows.groupBy("user_id").agg(F.max("label").alias("gold"), F.collect_list(F.struct("label", F.array(*features).alias("x"))).alias("rows")).where("gold > 0").select("rows").cache()
-
-    def step_of(w: np.ndarray):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            loss, grad, count = 0.0, np.zeros(n), 0
-            for batch in batches:
-                for items in batch["rows"]:
-                    x = (np.array([r["x"] for r in items], float) - mu) / sd
-                    y = np.array([r["label"] for r in items]) > 0
-                    s = x @ w
-                    e = np.exp(s - s.max())
-                    p, g = e / e.sum(), np.where(y, e, 0.0)
-                    loss -= np.log(max(g.sum() / e.sum(), 1e-12))
-                    grad += x.T @ (p - g / max(g.sum(), 1e-12))
-                    count += 1
-            yield pd.DataFrame({"loss": [loss], "grad": [grad.tolist()], "n": [count]})
-
-        total = lists.mapInPandas(run, "loss double, grad array<double>, n long")
-        sums = total.agg(F.sum("loss"), F.sum("n"), *(F.sum(F.col("grad")[i]) for i in range(n))).first()
-        count = max(sums[1] or 0, 1)
-        return (sums[0] or 0.0) / count + l2 * w @ w, np.array([x or 0.0 for x in sums[2:]]) / count + 2 * l2 * w
-
-    w = np.zeros(n)
-    w[0] = 1.0 if features[0] == "neg_log_rank" else 0.0
-    rate, (value, grad) = 0.5, step_of(w)
-    for _ in range(steps):
-        if np.abs(grad).max() < 1e-4 or rate < 1e-4:
-            break
-        new_value, new_grad = step_of(w - rate * grad)
-        if new_value < value:
-            w, value, grad, rate = w - rate * grad, new_value, new_grad, rate * 1.3
-        else:
-            rate /= 3
-    lists.unpersist()
-    return w, mu, sd
+    item are passed over. See fit_folds(); steps bounds the passes over the lists."""
+    return fit_folds(rows, features, l2=l2, passes=steps)[0]
 
 
 def apply_listwise(rows: DataFrame, w: np.ndarray, mu: np.ndarray, sd: np.ndarray, features: tuple[str, ...] = LTR_FEATURES) -> DataFrame:
     """Adds score: the standardised features times the weights."""
     if len(w) != len(features):
         raise ValueError(f"{len(w)} weights for {len(features)} features")
-    return rows.withColumn("score", sum(((F.col(c) - float(m)) / float(s) * float(v) for c, v, m, s in zip(features, w, mu, sd)), F.lit(0.0)))
+    return rows.withColumn("score", _linear(w, mu, sd, features))
+
+
+def _linear(w: np.ndarray, mu: np.ndarray, sd: np.ndarray, features: tuple[str, ...]) -> Column:
+    return sum(((F.col(c) - float(m)) / float(s) * float(v) for c, v, m, s in zip(features, w, mu, sd)), F.lit(0.0))
 
 
-def out_of_fold(rows: DataFrame, folds: int = 5, seed: int = 42, **options) -> DataFrame:
-    """Adds score, each user's from a model that has not seen the user: folds are dealt by a hash of the user."""
-    fold = F.pmod(F.xxhash64(F.lit(seed), "user_id"), F.lit(folds))
-    parts = [apply_listwise(rows.where(fold == k), *fit_listwise(rows.where(fold != k), **options)) for k in range(folds)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def out_of_fold(rows: DataFrame, folds: int = 5, seed: int = 42, features: tuple[str, ...] = LTR_FEATURES, l2: float = 0.1, steps: int = 80) -> DataFrame:
+    """Adds score, each user's from a model that has not seen the user: folds are dealt by a hash of the user, and their models are
+    fitted in the same passes."""
+    found = fit_folds(rows, features, folds, l2, steps, seed)
+    scores = [_linear(*m, features) for m in found]
+    score = F.element_at(F.array(*scores), fold_of(folds, seed) + 1) if folds > 1 else scores[0]
+    return rows.withColumn("score", score)
 
 
 def rank_penalty(rank: Column, head_n: int = 20) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.session import save, shared_dir
-from ..operators import catalogue, clean, covisit, explain, factors, features, graph, metrics, protocol, quality, ranking, sequence, signals, text
+from ..operators import boosting, catalogue, clean, covisit, explain, factors, features, graph, metrics, protocol, quality, ranking, sequence, signals, text
 from . import recommend
 from . import tables as T
 
@@ -586,7 +586,14 @@ def ltr_features(spark, d):
 @query()
 def listwise_oof(spark, d):
     rows = features.ltr_features(features.with_zscores(_channels(spark, d))).withColumn("label", (F.col("text") <= 3).cast("int"))
-    return r6(features.out_of_fold(rows, folds=2, steps=5), "score").select("user_id", "item", "score")
+    return r6(features.out_of_fold(rows, folds=2), "score").select("user_id", "item", "score")
+
+
+@query()
+def boosted_oof(spark, d):
+    """Gradient-boosted trees on the listwise features without those of the rank, each user scored by a model of the other folds."""
+    rows = save(features.ltr_features(features.with_zscores(_channels(spark, d))).withColumn("label", (F.col("text") <= 3).cast("int")), "rows")
+    return r6(boosting.boosted_out_of_fold(rows, features.LTR_FEATURES[3:], folds=2, trees=12, depth=3), "score").select("user_id", "item", "score")
 
 
 @query()
