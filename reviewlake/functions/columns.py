@@ -144,3 +144,8 @@ def iso_to_us(raw: Column) -> Column:
 def review_id(explicit: Column, user: Column, item: Column, ts: Column) -> Column:
     made = F.when(user.isNotNull() & item.isNotNull() & ts.isNotNull(), F.concat_ws("|", user, item, ts.cast("string")))
     return F.coalesce(blank_to_null(F.trim(explicit)), made, F.lit(""))
+
+
+def hash32(*parts: Column | str) -> Column:
+    """The first 32 bits of the md5 of the parts' text, joined by colons, as a number: draws that any engine can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")

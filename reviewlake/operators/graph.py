@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .catalogue import running_sums
 from .clean import id_maps
 from .sequence import day_index, node_days, time_bucket
 from .signals import interest_scores
@@ -54,6 +55,39 @@ def neighbourhood(sentiment: DataFrame, most: int = 32) -> DataFrame:
     return sentiment.select("item", "aspect", w.alias("weight")).withColumn("nth", nth).where(F.col("nth") <= most)
 
 
+def padded_adjacency(edges_: DataFrame, n_nodes: int, width: int = 32) -> DataFrame:
+    """edges: node, other, weight, ids from 1. node (0 to n_nodes), neighbours, weights and mask (arrays of `width`, filled with 0),
+    degree, cut (edges left out) and start (where the node's entries begin in the list of all kept ones).
+
+    A node keeps its `width` heaviest neighbours, the smaller id first among equals; tasks cut hot nodes' edges down to that before
+    the shuffle. Row 0 is that of padding.
+    """
+    order = Window.partitionBy("node").orderBy(F.desc("weight"), "other")
+    kept = edges_.select("node", "other", "weight").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= width)
+    lists = kept.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("nth", F.col("other").cast("long").alias("other"), F.col("weight").cast("double").alias("weight")))).alias("found"))
+    many = edges_.groupBy("node").agg(F.count("*").alias("edges"))
+    nodes_ = edges_.sparkSession.range(n_nodes + 1).withColumnRenamed("id", "node")
+    rows = nodes_.join(lists, "node", "left").join(many, "node", "left").withColumn("degree", F.coalesce(F.size("found"), F.lit(0)).cast("long"))
+    rows = rows.withColumn("degree", F.when(F.col("found").isNull(), 0).otherwise(F.col("degree")).cast("long")).withColumn("_all", F.lit(0))
+    placed = running_sums(rows, ["_all"], ["node"], "degree", "upto")
+    fill = lambda c, zero: F.concat(F.coalesce(F.transform("found", lambda e: e[c]), F.array().cast(f"array<{zero}>")), F.array_repeat(F.lit(0).cast(zero), F.lit(width) - F.col("degree").cast("int")))
+    mask = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: (i <= F.col("degree")).cast("int"))
+    return placed.select("node", fill("other", "bigint").alias("neighbours"), fill("weight", "double").alias("weights"), mask.alias("mask"), "degree", (F.coalesce("edges", F.lit(0)) - F.col("degree")).alias("cut"), (F.col("upto") - F.col("degree")).alias("start"))
+
+
+def aspect_adjacency(sentiment: DataFrame, items: DataFrame, vocabulary: DataFrame, width: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(items to aspects, aspects to items) as padded_adjacency(); weights are |score| + 0.1. items: id, local (from 1); vocabulary:
+    aspect, id (from 0). Items that have no number are left out, unknown aspects count as the one named other, if there is one."""
+    local = vocabulary.select("aspect", (F.col("id") + 1).alias("_aspect"))
+    other = F.broadcast(local.agg(F.max(F.when(F.col("aspect") == "other", F.col("_aspect"))).alias("_other")))
+    rows = sentiment.join(items.select(F.col("id").alias("item"), F.col("local").alias("_item")), "item").join(local, "aspect", "left").join(other)
+    pairs = rows.select("_item", F.coalesce("_aspect", "_other").alias("_aspect"), (F.abs("score") + 0.1).alias("weight")).where("_aspect is not null")
+    sides = []
+    for node, far, count in (("_item", "_aspect", items.count()), ("_aspect", "_item", vocabulary.count())):
+        sides.append(padded_adjacency(pairs.select(F.col(node).alias("node"), F.col(far).alias("other"), "weight"), count, width))
+    return sides[0], sides[1]
+
+
 def neighbour_mean(edges_: DataFrame, vectors: DataFrame, key: str = "item", other: str = "aspect") -> DataFrame:
     """key, vector: the weighted mean of the neighbours' vectors. Dimensions are summed apart, so no task holds a node's neighbours."""
     long = edges_.join(vectors.select(F.col("key").alias(other), F.posexplode("vector").alias("dim", "x")), other)

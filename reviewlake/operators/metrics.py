@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import save
+
 
 def ideal_dcg(n: Column, k: int) -> Column:
     """Discounted gain of min(n, k) hits in the first places."""
@@ -70,19 +74,59 @@ def scored_rank(scored: DataFrame, gold: DataFrame, seen: DataFrame | None = Non
     return gold.join(ranked.select("user_id", "item", rank.alias("rank")), ["user_id", "item"], "left")
 
 
+#: Values that an Arrow batch draws for at a time; the matrix of counts has so many rows.
+DRAWN = 2048
+
+
+def poisson_counts(keys: np.ndarray, n_bootstrap: int) -> np.ndarray:
+    """How often each value, by its 32-bit key, is in each resample: Poisson(1) draws that key and resample decide."""
+    mask = np.uint64(0xFFFFFFFF)
+    x = keys.astype(np.uint64)[:, None] ^ (np.arange(n_bootstrap, dtype=np.uint64) * np.uint64(0x9E3779B9) & mask)[None, :]
+    x = (x ^ x >> np.uint64(16)) * np.uint64(0x85EBCA6B) & mask
+    x = (x ^ x >> np.uint64(13)) * np.uint64(0xC2B2AE35) & mask
+    u = ((x ^ x >> np.uint64(16)).astype(float) + 0.5) / 4294967296.0
+    return np.searchsorted(POISSON, u, "left")
+
+
+#: The chances of at most 0, 1, ... 7 copies.
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+
+
 def _picked_means(values: DataFrame, n_bootstrap: int, seed: int) -> DataFrame:
-    """b, mean: means of bootstrap resamples of values (unit, value).
+    """b, mean: means of bootstrap resamples of values (unit, value); null values are left out.
 
-    Resampling n of n rows is drawn as a Poisson(1) number of copies of each row, from a hash of (seed, resample, unit), so no
-    resample is gathered anywhere: rows are exploded over resamples and summed in one aggregation with map-side combining.
+    Resampling n of n rows is drawn as a Poisson(1) number of copies of each row. A task multiplies its matrix of counts with its
+    values, batch by batch, and emits one row of n_bootstrap sums, so no resample exists anywhere as rows, and what is
+    shuffled does not depend on the number of values.
+    """
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "unit")), 1, 8), 16, 10).cast("long")
+
+    def run(batches):
+        sums, sizes = np.zeros(n_bootstrap), np.zeros(n_bootstrap)
+        for b in batches:
+            keys, found = np.asarray(b.column("key")), np.asarray(b.column("value"))
+            for i in range(0, len(keys), DRAWN):
+                counts = poisson_counts(keys[i : i + DRAWN], n_bootstrap)
+                sums += found[i : i + DRAWN] @ counts
+                sizes += counts.sum(0)
+        if sizes.any():
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.list_(pa.float64())) for x in (sums, sizes)], ["sums", "sizes"])
+
+    rows = values.where("value is not null").select(key.alias("key"), F.col("value").cast("double").alias("value"))
+    parts = rows.mapInArrow(run, "sums array<double>, sizes array<double>")
+    each = parts.select(F.posexplode(F.arrays_zip("sums", "sizes")).alias("b", "x"))
+    return each.groupBy("b").agg((F.sum("x.sums") / F.sum("x.sizes")).alias("mean")).where("mean is not null")
+
+
+def metric_table(rows: DataFrame) -> DataFrame:
+    """rows: user_id, metric, k, value, one for each judged row. metric, k, user_id, n, mean, n_users, user_mean.
+
+    A row for each user, with the mean of the user's rows, and one for all (user_id null), with the mean over rows and that over
+    users of their own means. Both levels come from one pass by grouping sets; it is written once, as users' means are averaged.
     """
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "b", "unit"), 11) + 0.5) / F.lit(float(2**53))
-    cut, copies, total = math.exp(-1), F.lit(0), 0.0
-    for k in range(8):
-        total += cut / math.factorial(k)
-        copies = copies + (u > total).cast("int")
-    rows = values.select("unit", "value", F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("b")).withColumn("c", copies).where("c > 0")
-    return rows.groupBy("b").agg((F.sum(F.col("c") * F.col("value")) / F.sum("c")).alias("mean"))
+    level = save(rows.groupingSets([["metric", "k", "user_id"], ["metric", "k"]], "metric", "k", "user_id").agg(F.grouping("user_id").alias("whole"), F.count("value").alias("n"), F.avg("value").alias("mean")), "levels")
+    users = level.where("whole = 0").groupBy("metric", "k").agg(F.count("*").alias("n_users"), F.avg("mean").alias("user_mean"))
+    return level.join(users.withColumn("whole", F.lit(1).cast(level.schema["whole"].dataType)), ["metric", "k", "whole"], "left").select("metric", "k", "user_id", "n", "mean", "n_users", "user_mean")
 
 
 def bootstrap_ci(values: DataFrame, n_bootstrap: int = 1000, seed: int = 42, ci: float = 0.95) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.session import save, shared_dir
-from ..operators import boosting, catalogue, clean, covisit, explain, factors, features, graph, metrics, protocol, quality, ranking, sequence, signals, text
+from ..operators import boosting, catalogue, clean, covisit, explain, factors, features, graph, metrics, protocol, quality, ranking, rounds, sequence, signals, text, training
 from . import recommend
 from . import tables as T
 
@@ -653,7 +654,7 @@ def oracle_cohorts(spark, d):
     return r6(out, "ceiling_20").select("n_users", "already", "r11_20", "helped", "hurt", "ceiling_20")
 
 
-TT = f"{G}, ab AS (SELECT user_id, avg(polarity) AS a, avg(helpful) / 100 AS b FROM g GROUP BY 1), df AS (SELECT a - b AS x FROM ab)"
+TT = f"{G}, ab AS (SELECT user_id, avg(polarity) AS a, avg(helpful) / 100 AS b FROM g GROUP BY 1), df AS (SELECT user_id AS unit, a - b AS x FROM ab)"
 
 
 def _two_runs(spark, d):
@@ -666,12 +667,21 @@ def paired_ttest(spark, d):
     return r6(metrics.paired_ttest(*_two_runs(spark, d)).drop("p_value"), "delta", "sd", "t", "low", "high")
 
 
-@query()
+def _resamples(values: str, n: int) -> str:
+    """SQL: the means m of n bootstrap resamples of (unit, value), by the draws of metrics.poisson_counts()."""
+    chances = " + ".join(f"CAST(u > {' + '.join(f'exp(-1.0::DOUBLE) / {math.factorial(i)}' for i in range(k + 1))} AS INT)" for k in range(8))
+    return f"""k0 AS (SELECT unit, value, ('0x' || substr(md5('42:' || unit), 1, 8))::UBIGINT AS key FROM ({values})), k1 AS (SELECT value, b, xor(key, (b * 2654435769 % 4294967296)::UBIGINT) AS x FROM k0, range({n}) t(b)),
+  k2 AS (SELECT value, b, xor(x, x >> 16) * 2246822507::UBIGINT % 4294967296::UBIGINT AS x FROM k1), k3 AS (SELECT value, b, xor(x, x >> 13) * 3266489909::UBIGINT % 4294967296::UBIGINT AS x FROM k2),
+  k4 AS (SELECT value, b, (xor(x, x >> 16)::DOUBLE + 0.5::DOUBLE) / 4294967296 AS u FROM k3), k5 AS (SELECT b, sum(value * c) / sum(c) AS m FROM (SELECT value, b, {chances} AS c FROM k4) GROUP BY 1), ms AS (SELECT list(m ORDER BY m) AS l FROM k5)"""
+
+
+@query(f"""WITH {TT}, {_resamples("SELECT unit, x AS value FROM df", 200)}, o AS (SELECT avg(x) AS delta FROM df)
+  SELECT round(delta, 6) AS delta, round(l[6], 6) AS low, round(l[196], 6) AS high, round(least(1.0::DOUBLE, 2.0::DOUBLE * (SELECT count(*) FROM k5 WHERE CASE WHEN delta > 0 THEN m <= 0 WHEN delta < 0 THEN m >= 0 ELSE true END) / 200), 6) AS p_value FROM o, ms""")
 def paired_bootstrap(spark, d):
     return r6(metrics.paired_bootstrap(*_two_runs(spark, d), n_bootstrap=200), "delta", "low", "high", "p_value")
 
 
-@query()
+@query(f"""WITH {G}, ub AS (SELECT user_id AS unit, avg(polarity) AS value FROM g GROUP BY 1), {_resamples("SELECT unit, value FROM ub", 200)} SELECT round((SELECT avg(value) FROM ub), 6) AS mean, round(l[6], 6) AS low, round(l[196], 6) AS high FROM ms""")
 def bootstrap_ci(spark, d):
     return r6(metrics.bootstrap_ci(_two_runs(spark, d)[0], n_bootstrap=200), "mean", "low", "high")
 
@@ -951,6 +961,39 @@ def row_metrics(spark, d):
     return r6(protocol.row_metrics(protocol.unseen_places(clean.part(s, "test"), ranking.popularity(train), train, True), (10, 20), "full"), "value")
 
 
+@query(f"""WITH {_ROWS}, v AS (SELECT user_id, m AS metric, CAST(k AS INT) AS k, CASE WHEN rank > k THEN 0.0::DOUBLE WHEN m = 'hr' THEN 1.0::DOUBLE WHEN m = 'ndcg' THEN 1 / log2(rank + 1) ELSE 1.0::DOUBLE / rank END AS value FROM rr, (SELECT unnest([10, 20]) AS k), (SELECT unnest(['hr', 'ndcg', 'mrr']) AS m)),
+  gs AS (SELECT metric, k, user_id, count(*) AS n, avg(value) AS mean FROM v GROUP BY GROUPING SETS ((metric, k, user_id), (metric, k))), us AS (SELECT metric, k, count(*) AS n_users, avg(mean) AS user_mean FROM gs WHERE user_id IS NOT NULL GROUP BY 1, 2)
+  SELECT metric, k, user_id, n, round(mean, 6) AS mean, CASE WHEN user_id IS NULL THEN n_users END AS n_users, CASE WHEN user_id IS NULL THEN round(user_mean, 6) END AS user_mean FROM gs JOIN us USING (metric, k)""")
+def metric_table(spark, d):
+    """Means per user, over rows and over users, of every metric, from one pass over the judged rows."""
+    s = save(split_of(spark, d), "split")
+    train = clean.part(s, "train")
+    places = protocol.unseen_places(clean.part(s, "test"), ranking.popularity(train), train, True)
+    wide = places.select("user_id", *metrics.single_rank_metrics(F.col("rank"), (10, 20)))
+    long = wide.unpivot(["user_id"], wide.columns[1:], "name", "value")
+    rows = long.select("user_id", F.split_part("name", F.lit("_"), F.lit(1)).alias("metric"), F.split_part("name", F.lit("_"), F.lit(2)).cast("int").alias("k"), "value")
+    return r6(metrics.metric_table(rows), "mean", "user_mean")
+
+
+@query(f"""WITH {S}, pop AS (SELECT item, count(*) AS c FROM tr GROUP BY 1), ord AS (SELECT item, row_number() OVER (ORDER BY c DESC, item) AS place FROM pop), rw AS (SELECT row_id, user_id, te.item, coalesce(place, (SELECT count(*) + 1 FROM pop)) AS place FROM te LEFT JOIN ord USING (item)),
+  sn AS (SELECT DISTINCT rw.row_id, o.place AS ahead FROM rw JOIN tr USING (user_id) JOIN ord o ON o.item = tr.item WHERE o.place < rw.place), na AS (SELECT row_id, count(*) AS n FROM sn GROUP BY 1) SELECT row_id, user_id, item, place - coalesce(n, 0) AS rank FROM rw LEFT JOIN na USING (row_id)""")
+def resumed_evaluation(spark, d):
+    """Places of the test rows, by shards of users: a first run is stopped after two of five, a second one does the rest."""
+    import uuid
+
+    from ..sources.shardlog import ShardLog
+
+    s = save(split_of(spark, d), "split")
+    train, test = clean.part(s, "train"), clean.part(s, "test")
+    order = save(ranking.popularity(train), "popularity")
+    path, config = f"{shared_dir(spark)}/logs/{uuid.uuid4().hex}", {"method": "popularity", "k": [10, 20]}
+    judge = lambda part: protocol.unseen_places(part, order, train)
+    ShardLog(spark, path, config, 5).run(test, "user_id", judge, most=2)
+    again = ShardLog(spark, path, config, 5)
+    again.run(test, "user_id", judge)
+    return again.read()
+
+
 @query()
 def dual_pass(spark, d):
     s = save(split_of(spark, d), "split")
@@ -1036,3 +1079,63 @@ def context_stage(spark, d):
     texts = text.category_profile(g, T.items(spark, d)).groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("category")), " ").alias("text"))
     boosts = covisit.coitem_scores(g, g, covisit.covisit_edges(g))
     return plan(stage1, boosts, p.select("user_id", "item", (1.0 / F.col("r2")).alias("phi")), texts, T.items(spark, d), {"phi": 1.0, "text": 0.25, "co": 0.1}).select("user_id", "item", "rank")
+
+
+# ------------------------------------------------------------------ graphs as arrays, training batches, rounds of verdicts
+def _adjacency_sql(pairs: str, nodes: str, width: int) -> str:
+    return f"""pr AS ({pairs}), nd AS (SELECT unnest(range(0, ({nodes}) + 1)) AS node), pk AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY node ORDER BY weight DESC, far) <= {width}),
+  pl AS (SELECT node, list(far ORDER BY weight DESC, far) AS l, sum(weight) AS total, count(*) AS degree FROM pk GROUP BY 1), pe AS (SELECT node, count(*) AS edges FROM pr GROUP BY 1), pj AS (SELECT node, l, coalesce(total, 0) AS total, coalesce(degree, 0) AS degree, coalesce(edges, 0) AS edges FROM nd LEFT JOIN pl USING (node) LEFT JOIN pe USING (node))
+  SELECT node, array_to_string(list_resize(coalesce(l, []), {width}, 0), ',') AS neighbours, round(total, 6) AS total, array_to_string(list_transform(range(1, {width} + 1), lambda i: CAST(i <= degree AS INT)), ',') AS mask, CAST(degree AS BIGINT) AS degree, CAST(edges - degree AS BIGINT) AS cut, CAST(sum(degree) OVER (ORDER BY node) - degree AS BIGINT) AS start FROM pj"""
+
+
+_LOCAL = "im AS (SELECT item, row_number() OVER (ORDER BY item) AS local FROM (SELECT DISTINCT item FROM g))"
+
+
+def _adjacency(spark, d, side: int, width: int) -> DataFrame:
+    g = T.signals(spark, d)
+    vocabulary = spark.createDataFrame([(f"a{n}", n) for n in range(8)], "aspect string, id int")
+    out = graph.aspect_adjacency(signals.item_sentiment(g), clean.id_maps(g), vocabulary, width)[side]
+    total = F.aggregate("weights", F.lit(0.0), lambda s, x: s + x)
+    return out.select("node", F.array_join("neighbours", ",").alias("neighbours"), F.round(total, 6).alias("total"), F.array_join("mask", ",").alias("mask"), "degree", "cut", "start")
+
+
+@query(f"WITH {G}, {SENT}, {_LOCAL}, " + _adjacency_sql("SELECT local AS node, CAST(substr(aspect, 2) AS BIGINT) + 1 AS far, abs(score) + 0.1::DOUBLE AS weight FROM e JOIN im USING (item)", "SELECT count(*) FROM im", 6))
+def padded_item_aspects(spark, d):
+    return _adjacency(spark, d, 0, 6)
+
+
+@query(f"WITH {G}, {SENT}, {_LOCAL}, " + _adjacency_sql("SELECT CAST(substr(aspect, 2) AS BIGINT) + 1 AS node, local AS far, abs(score) + 0.1::DOUBLE AS weight FROM e JOIN im USING (item)", "SELECT 8", 40))
+def padded_aspect_items(spark, d):
+    return _adjacency(spark, d, 1, 40)
+
+
+@query(f"""WITH {G}, {GAPS}, {_LOCAL}, ev AS (SELECT gp.user_id, local, CAST(round_even((ts - first) / scale::DOUBLE, 0) AS BIGINT) + 1 AS norm_ts, row_number() OVER (PARTITION BY gp.user_id ORDER BY ts DESC, gp.item DESC, row_id DESC) AS back FROM gp JOIN sc ON sc.user_id = gp.user_id JOIN im ON im.item = gp.item),
+  st AS (SELECT *, lag(local) OVER (PARTITION BY user_id ORDER BY back) AS positive FROM ev WHERE back <= 13), sp AS (SELECT *, back - 1 AS step FROM st WHERE back > 1), ni AS (SELECT count(*) AS n FROM im), sn AS (SELECT DISTINCT user_id, local FROM ev), fu AS (SELECT user_id FROM sn, ni GROUP BY user_id, n HAVING count(*) >= n),
+  dr AS (SELECT user_id, step, j, 1 + ('0x' || substr(md5('42:3:' || user_id || ':' || step || ':' || j), 1, 8))::BIGINT % n AS local FROM sp, ni, range(0, 508) t(j) WHERE user_id NOT IN (SELECT user_id FROM fu)), ng AS (SELECT user_id, step, min_by(local, j) AS negative FROM dr ANTI JOIN sn USING (user_id, local) GROUP BY 1, 2),
+  ls AS (SELECT user_id, list(local ORDER BY step DESC) AS s, list(norm_ts ORDER BY step DESC) AS t, list(positive ORDER BY step DESC) AS p, list(coalesce(negative, 0) ORDER BY step DESC) AS q FROM sp LEFT JOIN ng USING (user_id, step) GROUP BY 1),
+  od AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(md5('42:3:' || user_id), 1, 8))::BIGINT, user_id) - 1 AS place FROM ls)
+  SELECT place // 16 AS batch, place % 16 AS nth, user_id, """ + ", ".join(f"array_to_string(list_concat(list_transform(range(0, 12 - len({c})), lambda i: 0), {c}), ',') AS {n}" for c, n in (("s", "seq"), ("t", "times"), ("p", "positive"), ("q", "negative"))) + " FROM od")
+def training_batches(spark, d):
+    """The third epoch's batches of 16 users, sequences of 12."""
+    g = T.signals(spark, d)
+    out = training.training_batches(g, clean.id_maps(g), 12, 16, epoch=3)
+    return out.select("batch", "nth", "user_id", *(F.array_join(c, ",").alias(c) for c in ("seq", "times", "positive", "negative")))
+
+
+@query(f"""WITH {G}, {POOL}, lo AS (SELECT user_id, list(item ORDER BY rank) AS o, list(item ORDER BY r2) AS f, CAST(user_id AS INT) % 7 = 0 AS failed FROM pool GROUP BY 1), l0 AS (SELECT *, list_filter(o[1:3], lambda x: CAST(x AS INT) % 5 = 0) AS b0 FROM lo),
+  l1 AS (SELECT *, list_concat(list_filter(o, lambda x: NOT list_contains(b0, x)), b0) AS o1 FROM l0), l2 AS (SELECT *, list_filter(o1[1:3], lambda x: CAST(x AS INT) % 5 = 0) AS b1 FROM l1), l3 AS (SELECT *, list_concat(list_filter(o1, lambda x: NOT list_contains(b1, x)), b1) AS o2 FROM l2), l4 AS (SELECT *, list_filter(o2[1:3], lambda x: CAST(x AS INT) % 5 = 0) AS b2 FROM l3)
+  SELECT user_id, CASE WHEN failed OR len(b0) = 0 THEN 1 WHEN len(b1) = 0 THEN 2 ELSE 3 END AS rounds, CASE WHEN failed THEN 'fallback' WHEN len(b0) = 0 OR len(b1) = 0 OR len(b2) = 0 THEN 'approved' ELSE 'exhausted' END AS state, CASE WHEN failed THEN 'timeout' END AS error,
+    array_to_string(CASE WHEN failed THEN f WHEN len(b0) = 0 THEN o WHEN len(b1) = 0 THEN o1 ELSE o2 END, ',') AS list FROM l4""")
+def verdict_rounds(spark, d):
+    """Users' lists are judged by their first three items and repaired in rounds; some fail and get another list."""
+    p = save(signal_pool(spark, d), "pool")
+    listed = lambda c: F.transform(F.sort_array(F.collect_list(F.struct(c, "item"))), lambda x: x["item"])
+    rows = p.groupBy("user_id").agg(listed("rank").alias("own"), listed("r2").alias("other"))
+    bad = F.filter(F.slice("list", 1, 3), lambda x: x.cast("int") % 5 == 0)
+    none = F.lit(None).cast("string").alias("error")
+    answer = lambda r: r.select("user_id", F.col("own").alias("list"), F.when(F.col("user_id").cast("int") % 7 == 0, "timeout").alias("error"))
+    judge = lambda a: a.select("user_id", (F.size(bad) == 0).alias("approved"), F.when(F.size(bad) > 0, bad).alias("hint"))
+    repair = lambda r: r.select("user_id", F.concat(F.filter("list", lambda x: ~F.array_contains("hint", x)), "hint").alias("list"), none)
+    fallback = lambda r: r.select("user_id", F.col("other").alias("list"), none)
+    results, states = rounds.run_rounds(rows, "user_id", answer, judge, repair, fallback, budget=3)
+    return rounds.last_states(states, "user_id").join(results.select("user_id", F.array_join("list", ",").alias("list")), "user_id")
