@@ -5,39 +5,65 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 DAY_US = 86_400_000_000
+STATE = "interest double, gamma double, ts long"
 OUT = "user_id string, aspect string, interest double, gamma double, ts long"
 
 
-def decayed_interest(signals: DataFrame, rate: float = 0.01) -> DataFrame:
-    """signals: a stream of user_id, aspect, polarity, ts (microseconds). For each batch that touches a (user, aspect): its
-    interest and gamma as of its latest event.
+class DecayedSums(StatefulProcessor):
+    """Keeps two sums and the time of the latest event for each (user, aspect); with idle_ms, no longer than that after the last batch
+    that touched them."""
 
-    The state is two sums and a time. An event moves the sums on by exp(-rate * days) and adds to them; one that comes late is
-    discounted instead by its distance from the latest. So the sums equal those over all events, in any order of arrival; to
-    ask at a later time, multiply by exp(-rate * days since ts).
-    """
+    def __init__(self, rate: float, idle_ms: int | None):
+        self.rate, self.idle_ms = rate, idle_ms
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        interest, gamma, last = state.get if state.exists else (0.0, 0.0, None)
-        for pdf in frames:
-            for p, ts in zip(pdf["polarity"], pdf["ts"]):
-                ts = int(ts)
-                if last is None or ts > last:
-                    fade = 1.0 if last is None else math.exp(-rate * (ts - last) / DAY_US)
-                    interest, gamma, last, worth = interest * fade, gamma * fade, ts, 1.0
-                else:
-                    worth = math.exp(-rate * (last - ts) / DAY_US)
-                interest, gamma = interest + worth * abs(p), gamma + worth * p * abs(p)
-        state.update((interest, gamma, last))
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", STATE, self.idle_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        interest, gamma, last = self.sums.get() if self.sums.exists() else (0.0, 0.0, None)
+        for pdf in rows:
+            ts, p = pdf["ts"].to_numpy(np.int64), pdf["polarity"].to_numpy(float)
+            newest = int(ts.max()) if last is None else max(int(last), int(ts.max()))
+            fade = 1.0 if last is None else math.exp(-self.rate * (newest - last) / DAY_US)
+            worth = np.exp(-self.rate * (newest - ts) / DAY_US)
+            interest, gamma, last = interest * fade + float((worth * np.abs(p)).sum()), gamma * fade + float((worth * p * np.abs(p)).sum()), newest
+        self.sums.update((interest, gamma, last))
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield pd.DataFrame({"user_id": [key[0]], "aspect": [key[1]], "interest": [interest], "gamma": [gamma], "ts": [last]})
 
-    return signals.groupBy("user_id", "aspect").applyInPandasWithState(update, OUT, "interest double, gamma double, ts long", "update", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A key that has been idle is told off once, with sums of 0, and forgotten."""
+        self.sums.clear()
+        yield pd.DataFrame({"user_id": [key[0]], "aspect": [key[1]], "interest": [0.0], "gamma": [0.0], "ts": [None]}).astype({"ts": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def decayed_interest(signals: DataFrame, rate: float = 0.01, idle_ms: int | None = None) -> DataFrame:
+    """signals: a stream of user_id, aspect, polarity, ts (microseconds). For each batch that touches a (user, aspect): its
+    interest and gamma as of its latest event.
+
+    The state is two sums and a time. A batch moves the sums on by exp(-rate * days) and adds its events, each discounted by its
+    distance from the latest one, late ones too. So the sums equal those over all events, in any order of arrival; to ask at a
+    later time, multiply by exp(-rate * days since ts). With idle_ms (of processing time) a key that no batch has touched for that
+    long is given out once with sums of 0 and no ts, and its state goes, by a timer and by the state's own expiry; later events
+    start anew. The state lies in RocksDB, which the session is set to, so it need not fit into memory.
+    """
+    signals.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    mode = "None" if idle_ms is None else "ProcessingTime"
+    return signals.groupBy("user_id", "aspect").transformWithStateInPandas(DecayedSums(rate, idle_ms), OUT, "update", mode)
 
 
 def aspect_counts(signals: DataFrame, event_time: str = "event_time", late: str = "1 day", width: str = "1 day", slide: str | None = None) -> DataFrame:

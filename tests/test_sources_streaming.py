@@ -105,3 +105,45 @@ def test_windows(spark, tmp_path):
     assert [r.n for r in spark.table("counts").collect()] == [2] and [r.n for r in spark.table("runs").collect()] == [2]
     assert spark.table("firsts").count() == 1
     assert spark.table("counts").select(F.avg("polarity")).first()[0] == 0.5
+
+
+def _push(spark, path, n, rows):
+    spark.createDataFrame(rows, "user_id string, aspect string, polarity double, ts long").coalesce(1).write.parquet(f"{path}/data/in{n}")
+
+
+def _interest(spark, path, out, **options):
+    stream = spark.readStream.schema("user_id string, aspect string, polarity double, ts long").option("recursiveFileLookup", "true").parquet(f"{path}/data")
+
+    def keep(batch, n):
+        out.extend((r.user_id, r.aspect, round(r.interest, 9), r.ts) for r in batch.collect())
+
+    return decay.decayed_interest(stream, 0.05, **options).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{path}/cp")
+
+
+def test_interest_goes_on_after_a_restart(spark, tmp_path):
+    first, second = [], []
+    _push(spark, tmp_path, 0, [("u", "a", 1.0, 0)])
+    _interest(spark, tmp_path, first).trigger(availableNow=True).start().awaitTermination()
+    _push(spark, tmp_path, 1, [("u", "a", 1.0, 2 * DAY_US), ("u", "a", -1.0, DAY_US), ("w", "a", 0.5, 7)])
+    _interest(spark, tmp_path, second).trigger(availableNow=True).start().awaitTermination()
+    assert first == [("u", "a", 1.0, 0)]
+    assert sorted(second) == [("u", "a", round(1 + math.exp(-0.05) + math.exp(-0.1), 9), 2 * DAY_US), ("w", "a", 0.5, 7)]
+
+
+def test_idle_interest_expires(spark, tmp_path):
+    import time
+
+    out = []
+    _push(spark, tmp_path, 0, [("u", "a", 1.0, 0), ("v", "a", 1.0, 0)])
+    q = _interest(spark, tmp_path, out, idle_ms=3000).trigger(processingTime="500 milliseconds").start()
+    try:
+        end = time.time() + 90
+        while time.time() < end and sum(r[3] is None for r in out) < 2:
+            time.sleep(0.3)
+        assert sorted(out, key=str) == sorted([("u", "a", 1.0, 0), ("v", "a", 1.0, 0), ("u", "a", 0.0, None), ("v", "a", 0.0, None)], key=str)
+        _push(spark, tmp_path, 1, [("u", "a", 0.5, DAY_US)])
+        while time.time() < end and ("u", "a", 0.5, DAY_US) not in out:
+            time.sleep(0.3)
+        assert ("u", "a", 0.5, DAY_US) in out  # anew, nothing of the first event is left
+    finally:
+        q.stop()
