@@ -77,11 +77,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     busy = save(parsed.select("leaf", "content").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "busy")
     lines = save(narrow(parsed, busy, "leaf").join(busy, "leaf", "left_semi"), "lines")
     found = recurring_lines(lines, min_docs, fixed_share)
-    drops = save(lines.join(found, ["leaf", "line"], "left_semi").groupBy("content").agg(F.collect_set("pos").alias("drops")), "drops")
+    drops = save(lines.join(found, ["leaf", "line"], "left_semi").groupBy("content").agg(F.array_sort(F.collect_set("pos")).alias("drops")), "drops")
     # Only texts that lose lines are shuffled.
     maybe, never = parted(rows.withColumn("content", F.md5(F.col("text").cast("binary"))), drops, "content")
     out = maybe.join(drops, "content", "left").unionByName(never.withColumn("drops", F.lit(None).cast("array<int>")))
-    split = F.split("text", "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("drops", i)), "\n")
+    # The lines between dropped ones are taken as slices, so the work is in proportion to the lines.
+    out = out.withColumn("_lines", F.split("text", "\n")).withColumn("_n", F.size("drops"))
+    start = lambda i: F.when(i == 0, 0).otherwise(F.get("drops", i - 1) + 1)
+    end = lambda i: F.when(i == F.col("_n"), F.size("_lines")).otherwise(F.get("drops", i))
+    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.col("_n")), lambda i: F.slice("_lines", start(i) + 1, end(i) - start(i)))), "\n")
     more = [F.col("_carry").getField(c).alias(c) for c in carry]
-    return out.select("doc_id", F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept).alias("text"), F.size(split).alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).alias("n_dropped"), *more)
+    return out.select("doc_id", F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept).alias("text"), F.size("_lines").alias("n_lines"), F.coalesce("_n", F.lit(0)).alias("n_dropped"), *more)

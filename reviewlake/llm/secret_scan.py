@@ -43,28 +43,60 @@ MIN_DOCS = 20
 PARTS = "[a-z]{4,}"
 
 
+#: Code points of a block of text, for looks around a place; lengths that a running sum adds up at a time.
+BLOCK, CHUNK = 1024, 512
+
+
+def _running(lengths: str) -> Column:
+    """The running sums of an array of numbers, chunk by chunk, so that the work is in proportion to its length."""
+    grow = lambda s, x: F.struct((s["n"] + x).alias("n"), F.concat(s["all"], F.array(s["n"] + x)).alias("all"))
+    none = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("all"))
+    chunks = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int"))
+    local = F.transform(chunks, lambda c: F.aggregate(F.slice(lengths, c * CHUNK + 1, F.lit(CHUNK)), none, grow, lambda s: s["all"]))
+    joined = F.aggregate(local, F.struct(F.lit(0).alias("n"), F.array().cast("array<array<int>>").alias("all")), lambda s, x: F.struct((s["n"] + F.element_at(x, -1)).alias("n"), F.concat(s["all"], F.array(F.transform(x, lambda v: v + s["n"]))).alias("all")), lambda s: s["all"])
+    return F.flatten(joined)
+
+
 def candidates(docs: DataFrame, near: int = 48) -> DataFrame:
     """doc_id, start, starts, value, kind, left, right: a row for each distinct match of a document, at its first place.
 
     start counts code points from 0; starts has all places of the match. left and right are up to `near` code points before
     and after the first. A match of the assigned kind keeps its value only, the name being part of left. Where two patterns
     match at one place, the first in KINDS counts.
+
+    The text is cut once by the patterns: running sums of the lengths of matches and of what is between them give all places, and
+    what is around a place comes from its block of the text. So work grows with the text, however many matches it has, and what
+    is exploded and shuffled is small; equal matches of a document meet there, those of rows with equal id and text being told
+    apart by their number.
     """
     pattern = "|".join(f"(?:{p})" for p in KINDS.values())
     hits = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("all")).where(F.size("all") > 0)
-    # Matches don't overlap, so each is looked for after the end of the one before.
-    places = """aggregate(all, (1, cast(array() as array<int>)),
-        (s, m) -> (locate(m, text, s.col1) + length(m), concat(s.col2, array(locate(m, text, s.col1)))), s -> s.col2)"""
-    hits = hits.withColumn("places", F.expr(places)).select("doc_id", "text", "all", "places", F.explode(F.array_distinct("all")).alias("match"))
-    hits = hits.withColumn("places", F.transform(F.filter(F.arrays_zip(F.col("all").alias("m"), F.col("places").alias("p")), lambda x: x["m"] == F.col("match")), lambda x: x["p"]))
+    hits = hits.withColumn("gaps", F.slice(F.transform(F.split("text", pattern, -1), lambda g: F.length(g)), F.lit(1), F.size("all")))
+    hits = hits.withColumn("pieces", F.zip_with("gaps", F.transform("all", lambda m: F.length(m)), lambda g, m: g + m))
+    hits = hits.withColumn("ends", _running("pieces")).withColumn("blocks", F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+    # The text is hashed here, so that the exploded rows need not carry it.
+    hits = hits.select("doc_id", F.md5(F.col("text").cast("binary")).alias("content"), "all", "ends", "blocks")
+    block = lambda i: F.coalesce(F.get("blocks", i), F.lit(""))
+
+    def around(m: Column, end: Column) -> Column:
+        start = end - F.length(m)
+        b, e = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+        left = F.right(F.concat(F.right(block(b - 1), F.lit(near)), F.substring(block(b), F.lit(1), start % BLOCK)), F.lit(near))
+        right = F.substring(F.concat(F.substring(block(e), end % BLOCK + 1, F.lit(near)), F.substring(block(e + 1), 1, near)), 1, near)
+        return F.struct(m.alias("match"), start.alias("place"), left.alias("before"), right.alias("after"))
+
+    found = hits.select("doc_id", "content", F.explode(F.zip_with("all", "ends", around)).alias("x")).select("doc_id", "content", "x.*")
+    first = F.min(F.struct("place", "before", "after"))
+    met = found.groupBy("doc_id", "content", "match").agg(F.array_sort(F.collect_list("place")).alias("places"), first.alias("first"))
+    # Rows with equal id and text are documents of their own: each place is there as often as such a row.
+    copies = F.size("places") / F.size(F.array_distinct("places"))
+    met = met.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
     kind = reduce(lambda w, k: w.when(F.col("match").rlike(f"^(?:{KINDS[k] if k != 'long_run' else '.'})"), F.lit(k)), KINDS, F.when(F.lit(False), F.lit("")))
     value = F.when(F.col("kind") == "assigned", F.regexp_extract("match", r"[:=]\x20{0,4}[\x22']?(.*)$", 1)).otherwise(F.col("match"))
-    skip = F.length("match") - F.length("value")
-    at = F.col("places")[0] + skip
-    hits = hits.withColumn("kind", kind).withColumn("value", value).withColumn("at", at).withColumn("starts", F.transform("places", lambda p: p + skip - 1))
-    left = F.substring("text", F.greatest(F.lit(1), F.col("at") - near), F.least(F.lit(near), F.col("at") - 1))
-    right = F.substring("text", F.col("at") + F.length("value"), F.lit(near))
-    return hits.select("doc_id", (F.col("at") - 1).alias("start"), "starts", "value", "kind", left.alias("left"), right.alias("right"))
+    met = met.withColumn("kind", kind).withColumn("value", value).withColumn("skip", F.length("match") - F.length("value"))
+    left = F.right(F.concat("first.before", F.substring("match", F.lit(1), F.col("skip"))), F.lit(near))
+    starts = F.transform(F.array_distinct("places"), lambda p: p + F.col("skip"))
+    return met.select("doc_id", (F.col("first.place") + F.col("skip")).alias("start"), starts.alias("starts"), "value", "kind", left.alias("left"), F.col("first.after").alias("right"))
 
 
 def _share(pattern: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from reviewlake.llm import queries as Q
-from reviewlake.llm.line_dedup import line_dedup
+from reviewlake.llm.line_dedup import WHOLE, line_dedup
 from reviewlake.llm.mixing import mix_sources
 from reviewlake.llm.quality import score_quality
 from reviewlake.llm.secret_scan import KINDS, candidates, dictionary, labelled_findings, scan_secrets
@@ -182,3 +182,34 @@ def test_stages_take_odd_rows(spark):
     for rows in (docs.limit(0), odd):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, rows, SF).collect()
+
+
+def test_candidates_of_texts_with_many_of_them(spark):
+    """50,000 digests in one text, a third of them repeated, and rows with equal id and text."""
+    import hashlib
+    import time
+
+    many = "\n".join(f"{'é' * (n % 3)} {hashlib.sha1(str(n % 33_000).encode()).hexdigest()}  file{n}.txt" for n in range(50_000))
+    few = "\U0001f600 password=abcdefgh1 x " * 3 + "token: abcdefgh1"
+    df = spark.createDataFrame([(1, many), (2, few), (3, few), (3, few)], "doc_id long, text string")
+    start = time.time()
+    rows = candidates(df).collect()
+    assert time.time() - start < 60
+    big = [r for r in rows if r.doc_id == 1]
+    assert len(big) == 33_000 and sum(len(r.starts) for r in big) == 50_000
+    for r in big[:: 97]:
+        assert all(many[p : p + 40] == r.value for p in r.starts) and r.start == r.starts[0] == min(r.starts)
+        assert r.left == many[max(0, r.start - 48) : r.start] and r.right == many[r.start + 40 : r.start + 88]
+    small = [(r.doc_id, r.kind, r.value, tuple(r.starts), r.left, r.right) for r in rows if r.doc_id != 1]
+    want = [("assigned", "abcdefgh1", tuple(11 + 23 * n for n in range(3)), few[:11], few[20:68]), ("assigned", "abcdefgh1", (few.rindex("abc"),), few[: few.rindex("abc")][-48:], "")]
+    assert sorted(small) == sorted((i, *w) for i in (2, 3, 3) for w in want)
+
+
+def test_documents_of_very_many_lines(spark):
+    """100,000 lines, half of which go, in one document."""
+    shared = [f"shared line number {'abcdefghij'[n % 10]} of all" for n in range(10)]
+    long = "\n".join(shared[n // 2 % 10] if n % 2 else f"own {n} w{n * 7919}x q{n}" for n in range(100_000))
+    rows = [(1, long)] + [(10 + i, f"first {i} of u{i * 31}v\n" + "\n".join(shared)) for i in range(40)]
+    got = {r.doc_id: r for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), **WHOLE).collect()}
+    assert got[1].n_lines == 100_000 and got[1].text == "\n".join(x for x in long.split("\n") if x not in shared) and got[1].n_dropped == 50_000
+    assert got[10].n_dropped == 10 and "shared" not in got[10].text
