@@ -29,7 +29,9 @@ def parsed_lines(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
 
     content is the MD5 of the whole text: equal texts are one content, and so one document where documents are counted.
     """
-    lines = docs.select(F.md5(F.col("text").cast("binary")).alias("content"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # The text is hashed before its lines are exploded: no line carries it.
+    whole = docs.select(F.md5(F.col("text").cast("binary")).alias("content"), F.split("text", "\n").alias("lines"))
+    lines = whole.select("content", F.posexplode("lines").alias("pos", "line"))
     rows = lines.withColumn("line", F.btrim("line", F.lit(SPACES))).where("line <> ''")
     rows = rows.withColumn("n", F.regexp_count("line", F.lit(TOKEN_GAP)) + 1).where(F.col("n") >= min_tokens)
     # The leading tokens are all of the line before the gap after the last of them.
