@@ -62,6 +62,13 @@ def recurring_lines(lines: DataFrame, min_docs: int, fixed_share: float) -> Data
     return made.join(enough, ["leaf", "template"])
 
 
+def _mask(drops: Column) -> Column:
+    """Ascending positions as bytes, 1 at each of them and 0 before: a byte is found at once, where an array would be searched."""
+    before = lambda i: F.when(i == 0, -1).otherwise(F.get(drops, i - 1))
+    parts = F.transform(F.sequence(F.lit(0), F.size(drops) - 1), lambda i: F.concat(F.repeat(F.lit("0"), F.get(drops, i) - before(i) - 1), F.lit("1")))
+    return F.array_join(parts, "").cast("binary")
+
+
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 30, depth: int = 3, min_tokens: int = 3, fixed_share: float = 0.8, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, text, n_lines, n_dropped; text is the original text without its dropped lines.
 
@@ -79,14 +86,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     busy = save(parsed.select("leaf", "content").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "busy")
     lines = save(narrow(parsed, busy, "leaf").join(busy, "leaf", "left_semi"), "lines")
     found = recurring_lines(lines, min_docs, fixed_share)
-    drops = save(lines.join(found, ["leaf", "line"], "left_semi").groupBy("content").agg(F.array_sort(F.collect_set("pos")).alias("drops")), "drops")
+    drops = save(lines.join(found, ["leaf", "line"], "left_semi").groupBy("content").agg(F.array_sort(F.collect_set("pos")).alias("drops")).select("content", _mask(F.col("drops")).alias("drops"), F.size("drops").alias("n_dropped")), "drops")
     # Only texts that lose lines are shuffled.
     maybe, never = parted(rows.withColumn("content", F.md5(F.col("text").cast("binary"))), drops, "content")
-    out = maybe.join(drops, "content", "left").unionByName(never.withColumn("drops", F.lit(None).cast("array<int>")))
-    # The lines between dropped ones are taken as slices, so the work is in proportion to the lines.
-    out = out.withColumn("_lines", F.split("text", "\n")).withColumn("_n", F.size("drops"))
-    start = lambda i: F.when(i == 0, 0).otherwise(F.get("drops", i - 1) + 1)
-    end = lambda i: F.when(i == F.col("_n"), F.size("_lines")).otherwise(F.get("drops", i))
-    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.col("_n")), lambda i: F.slice("_lines", start(i) + 1, end(i) - start(i)))), "\n")
+    out = maybe.join(drops, "content", "left").unionByName(never.withColumns({"drops": F.lit(None).cast("binary"), "n_dropped": F.lit(None).cast("int")}))
+    out = out.withColumn("_lines", F.split("text", "\n"))
+    kept = F.array_join(F.filter("_lines", lambda x, i: F.substring("drops", i + 1, F.lit(1)) != F.lit(b"1")), "\n")
     more = [F.col("_carry").getField(c).alias(c) for c in carry]
-    return out.select("doc_id", F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept).alias("text"), F.size("_lines").alias("n_lines"), F.coalesce("_n", F.lit(0)).alias("n_dropped"), *more)
+    return out.select("doc_id", F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept).alias("text"), F.size("_lines").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).alias("n_dropped"), *more)
