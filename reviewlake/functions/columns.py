@@ -25,6 +25,7 @@ ASPECT_SYNONYMS = {
     "value for money": "value",
     "fit": "comfort",
 }
+# Fixed value: what a token is.
 TOKEN = r"[a-z0-9][a-z0-9\-\+]{1,}"
 SPACE_TRIM = " \t\n\u000b\f\r"
 

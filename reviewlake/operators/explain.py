@@ -24,6 +24,7 @@ def explanations(parts: DataFrame, weights: DataFrame, sentiment: DataFrame, sig
     top = parts.select("user_id", "item", "aspect", "part").withColumn("nth", nth).where(F.col("nth") <= drivers)
     rows = top.join(sentiment.select("item", "aspect", "e_hat", "n_support"), ["item", "aspect"], "left").join(weights.select("user_id", "aspect", "weight"), ["user_id", "aspect"], "left")
     rows = rows.join(latest_opinion(signals), ["user_id", "aspect"], "left").na.fill(0, ["e_hat", "n_support", "weight"])
+    # The sentences of claims and of the summary below, which readers of explanations expect word for word.
     fact = F.format_string("This item rates %s on %s (Ê=%.2f, %d supporting reviews, contribution %.3f)", F.when(F.col("e_hat") >= 0.5, "positively").otherwise("negatively"), "aspect", "e_hat", "n_support", "part")
     said = F.concat(F.lit("you previously expressed "), "direction", F.lit(" sentiment about "), "aspect", F.lit("; "))
     claim = F.concat(F.coalesce(said, F.lit("")), fact)

@@ -74,11 +74,13 @@ def rerank(pool: DataFrame, ranker: Callable[[str, list[str]], list[str]] | None
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank")
         items = pdf["item"].tolist()
+        known = set(items)
         try:
-            said = [i for i in dict.fromkeys(ranker(pdf["query"].iloc[0], items)) if i in set(items)]
+            said = [i for i in dict.fromkeys(ranker(pdf["query"].iloc[0], items)) if i in known]
         except Exception:  # noqa: BLE001 closed by design: any failure keeps the numeric order
             said = []
-        said += [i for i in items if i not in set(said)]
+        named = set(said)
+        said += [i for i in items if i not in named]
         return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "item": said, "rank": range(1, len(said) + 1)})
 
     return pool.select("user_id", "item", "rank", "query").groupBy("user_id").applyInPandas(order, "user_id string, item string, rank int")

@@ -203,11 +203,13 @@ def spearman(rows: DataFrame, key: str, x: str, y: str, tie: str) -> DataFrame:
 
 def upper_median(rows: DataFrame, column: str) -> DataFrame:
     """One row, median: the middle value, of two the upper; null without values. Values are counted first, so no column is gathered:
-    only the distinct values, with how many rows have each."""
+    only the distinct values, with how many rows have each, are put in order, in ranges."""
+    from .catalogue import running_sums
+
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).count()
-    upto = F.sum("count").over(Window.orderBy("value"))
     half = counts.agg(F.sum("count").alias("n")).select(F.floor(F.col("n") / 2).alias("half"))
-    return counts.withColumn("upto", upto).join(F.broadcast(half)).where("upto > half").agg(F.min("value").alias("median"))
+    upto = running_sums(counts.withColumn("_all", F.lit(0)), ["_all"], ["value"], "count", "upto")
+    return upto.join(F.broadcast(half)).where("upto > half").agg(F.min("value").alias("median"))
 
 
 def effective_ks(ks: tuple[int, ...], sampled_ks: tuple[int, ...] | None = None, n_negatives: int | None = None) -> tuple[int, ...]:

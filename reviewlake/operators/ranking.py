@@ -56,8 +56,10 @@ def sampled_negatives(tests: DataFrame, catalogue: DataFrame, seen: DataFrame, n
     that is little longer than n. Only the rows still short then rank all items by such hashes, which is in proportion to what
     their users have seen, and n.
     """
+    from .clean import numbered as place_of
+
     ids = catalogue.select("item").distinct()
-    numbered = ids.withColumn("_i", F.row_number().over(Window.orderBy("item")) - 1)
+    numbered = place_of(ids, ["item"], "_i").withColumn("_i", F.col("_i") - 1)
     size = numbered.agg(F.count("*").alias("_size"))
     draws = tests.select("row_id", "user_id", F.col("item").alias("_own"), F.explode(F.sequence(F.lit(1), F.lit(2 * n + 20))).alias("_d")).join(F.broadcast(size))
     draws = draws.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "row_id", "_d"), F.col("_size")))

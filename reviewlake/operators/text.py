@@ -14,11 +14,14 @@ from .ranking import top_k
 
 # Words that say nothing about a preference.
 STOP_WORDS = (
-    "the and for with this that from have has was were are is been being but not you your my me we our they their its a an of in on to as at by or if so it be do does did "
-    "will would can could should very just also into over after than then too all any more most some such no nor only own same other about up out off again further once "
-    "here there when where why how what which who whom i he she him her them product products item items like likes love loves want wants need needs prefer prefers use uses "
-    "using used good great really amazon"
-).split()
+    "the", "and", "for", "with", "this", "that", "from", "have", "has", "was", "were", "are", "is", "been", "being", "but", "not", "you", "your",
+    "my", "me", "we", "our", "they", "their", "its", "a", "an", "of", "in", "on", "to", "as", "at", "by", "or", "if", "so", "it", "be", "do", "does",
+    "did", "will", "would", "can", "could", "should", "very", "just", "also", "into", "over", "after", "than", "then", "too", "all", "any", "more",
+    "most", "some", "such", "no", "nor", "only", "own", "same", "other", "about", "up", "out", "off", "again", "further", "once", "here", "there",
+    "when", "where", "why", "how", "what", "which", "who", "whom", "i", "he", "she", "him", "her", "them", "product", "products", "item", "items",
+    "like", "likes", "love", "loves", "want", "wants", "need", "needs", "prefer", "prefers", "use", "uses", "using", "used", "good", "great",
+    "really", "amazon",
+)
 
 
 def preference_tokens(text: Column) -> Column:

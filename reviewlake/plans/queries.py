@@ -791,10 +791,18 @@ def category_profile(spark, d):
     return text.category_profile(T.signals(spark, d), T.items(spark, d)).select("user_id", "category", "n")
 
 
-@query("SELECT conv_id, turn, CASE WHEN text IS NOT NULL THEN 'a' END AS first FROM conversations")
+@query("SELECT conv_id, turn, length(c) AS n_note, md5(c) AS note, split_part(c, ' ', 1) AS first, split_part(c, ' ', 2) AS second FROM (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^A-Za-z0-9 ]', '', 'g') AS c FROM conversations)")
 def tolerant_json(spark, d):
-    rows = T.table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit('```json\n{"ranked_item_ids": ["a", "'), F.substring("text", 1, 5), F.lit('"')).alias("raw"))
-    return text.tolerant_json(rows, "raw").select("conv_id", "turn", F.get_json_object("json", "$.ranked_item_ids[0]").alias("first"))
+    """Answers around whole texts, a third each cut off within a code fence, with a comma too many between talk, and in order: what
+    their objects hold."""
+    clean_text = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9 ]", "")
+    rows = T.table(spark, d, "conversations").select("conv_id", "turn", clean_text.alias("c"))
+    words = F.concat(F.lit('"'), F.split_part("c", F.lit(" "), F.lit(1)), F.lit('", "'), F.split_part("c", F.lit(" "), F.lit(2)), F.lit('"'))
+    body = F.concat(F.lit('{"note": "'), F.col("c"), F.lit('", "ranked_item_ids": ['), words)
+    kind = (F.col("conv_id") + F.col("turn")) % 3
+    raw = F.when(kind == 0, F.concat(F.lit("```json\n"), body)).when(kind == 1, F.concat(F.lit("Sure, here it is: "), body, F.lit(",]} Anything else?"))).otherwise(F.concat(body, F.lit("]}\n```")))
+    found = text.tolerant_json(rows.withColumn("raw", raw), "raw").withColumn("o", F.from_json("json", "note string, ranked_item_ids array<string>"))
+    return found.select("conv_id", "turn", F.length("o.note").cast("long").alias("n_note"), F.md5("o.note").alias("note"), F.get("o.ranked_item_ids", 0).alias("first"), F.get("o.ranked_item_ids", 1).alias("second"))
 
 
 @query()
@@ -1061,7 +1069,7 @@ def select_pool(spark, d):
     return ranked(plan(p, p.select("user_id", "item", F.col("n").cast("double").alias("score")), 30))
 
 
-@query(f"WITH {S} SELECT row_id, user_id, item FROM s WHERE split = 'valid' AND user_id IN (SELECT user_id FROM tr) AND item IN (SELECT item FROM tr)")
+@query(f"WITH {S.replace(', s AS (', ', s AS MATERIALIZED (', 1)}, ku AS MATERIALIZED (SELECT DISTINCT user_id FROM tr), ki AS MATERIALIZED (SELECT DISTINCT item FROM tr) SELECT row_id, s.user_id, s.item FROM s SEMI JOIN ku ON ku.user_id = s.user_id SEMI JOIN ki ON ki.item = s.item WHERE split = 'valid'")
 def known_pairs(spark, d):
     """The validation pairs that a graph of the training rows can hold."""
     s = save(split_of(spark, d), "split")

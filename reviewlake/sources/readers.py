@@ -135,10 +135,15 @@ def import_triple_cache(rows: DataFrame) -> DataFrame:
     return rows.select("review_id", F.from_json("triples_json", TRIPLES).alias("triples"))
 
 
-def read_targets(spark: SparkSession, path: str) -> DataFrame:
-    """review_id, text; blank ids and texts left out."""
+def read_targets(spark: SparkSession, path: str, ids: DataFrame | None = None, errors: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
+    """review_id, text; blank ids and texts left out. With ids (review_id) only those; with errors (review_id, the log of a run that
+    failed for some) only those, to try them again; without those that are in done (review_id) already."""
     rows = json_lines(spark, path, "review_id string, text string, _bad string")
-    return rows.where("trim(coalesce(review_id, '')) <> '' and trim(coalesce(text, '')) <> ''")
+    rows = rows.where("trim(coalesce(review_id, '')) <> '' and trim(coalesce(text, '')) <> ''")
+    for keep in (ids, errors):
+        if keep is not None:
+            rows = rows.join(keep.select("review_id").distinct(), "review_id", "left_semi")
+    return rows if done is None else rows.join(done.select("review_id"), "review_id", "left_anti")
 
 
 def review_texts(reviews: DataFrame) -> DataFrame:
@@ -160,9 +165,24 @@ def covisit_from_json(raw: DataFrame, column: str = "value") -> DataFrame:
     return maps.select("anchor", F.explode("to").alias("co", "n"))
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """kind, key, vector: exported embeddings of any model."""
-    return spark.read.schema("kind string, key string, vector array<float>").parquet(path)
+def covisit_to_json(edges: DataFrame) -> DataFrame:
+    """anchor, co, n as rows of value, a nested map each: what covisit_from_json() reads. A row for each anchor, the others in order."""
+    to = F.map_from_entries(F.array_sort(F.collect_list(F.struct("co", "n"))))
+    return edges.groupBy("anchor").agg(to.alias("to")).select(F.to_json(F.create_map("anchor", "to")).alias("value"))
+
+
+def read_vectors(spark: SparkSession, path: str, dimensions: dict[str, int] | None = None) -> DataFrame:
+    """kind, key, vector: exported embeddings of any model. With dimensions (kind to length) the table is held against it:
+    ValueError for a kind that is missing or unknown, a vector of another length, or a key that a kind has twice."""
+    rows = spark.read.schema("kind string, key string, vector array<float>").parquet(path)
+    if dimensions is None:
+        return rows
+    keys = rows.groupBy("kind", "key").agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("low"), F.max(F.size("vector")).alias("high"))
+    found = {r.kind: r for r in keys.groupBy("kind").agg(F.max("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()}
+    wrong = sorted({str(k) for k in {*found} ^ {*dimensions}} | {str(k) for k, r in found.items() if r.n > 1 or {r.low, r.high} != {dimensions.get(k)}})
+    if wrong:
+        raise ValueError(f"{path} does not hold what was asked for: {', '.join(wrong)}")
+    return rows
 
 
 def signals_from_triples(index: DataFrame, triples: DataFrame, helpful: DataFrame | None = None) -> DataFrame:

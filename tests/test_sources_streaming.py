@@ -147,3 +147,23 @@ def test_idle_interest_expires(spark, tmp_path):
         assert ("u", "a", 0.5, DAY_US) in out  # anew, nothing of the first event is left
     finally:
         q.stop()
+
+
+def test_targets_to_try_again_and_vectors_held_against_a_manifest(spark, tmp_path):
+    import pytest
+
+    from reviewlake.sources import readers
+
+    spark.createDataFrame([("1", "a"), ("2", "b"), ("3", " "), ("4", "d")], "review_id string, text string").write.json(f"{tmp_path}/targets")
+    some = lambda *x: spark.createDataFrame([(i,) for i in x], "review_id string")
+    ids = lambda df: sorted(r.review_id for r in df.collect())
+    assert ids(readers.read_targets(spark, f"{tmp_path}/targets")) == ["1", "2", "4"]
+    assert ids(readers.read_targets(spark, f"{tmp_path}/targets", some("1", "4", "4", "9"))) == ["1", "4"]
+    assert ids(readers.read_targets(spark, f"{tmp_path}/targets", errors=some("2", "4"), done=some("4"))) == ["2"]
+    edges = spark.createDataFrame([("a", "b", 2), ("a", "c", 1), ('x"y', "a", 3)], "anchor string, co string, n long")
+    assert sorted(map(tuple, readers.covisit_from_json(readers.covisit_to_json(edges)).collect())) == sorted(map(tuple, edges.collect()))
+    spark.createDataFrame([("user", "u", [1.0, 2.0]), ("item", "i", [1.0]), ("item", "j", [2.0])], "kind string, key string, vector array<float>").write.parquet(f"{tmp_path}/v")
+    assert readers.read_vectors(spark, f"{tmp_path}/v", {"user": 2, "item": 1}).count() == 3
+    for bad in ({"user": 2}, {"user": 2, "item": 2}, {"user": 2, "item": 1, "aspect": 1}):
+        with pytest.raises(ValueError):
+            readers.read_vectors(spark, f"{tmp_path}/v", bad)
