@@ -162,16 +162,21 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected links (a, b): rows (node, component), the component being its smallest node.
 
     Labels spread along the links and then jump to their label's label, so long chains take a logarithmic number of
-    rounds. Each round is a written table; nothing is gathered on the driver but one boolean. Nodes without links don't appear.
+    steps. Two steps are a round, which is a written table and settled if its second step changed nothing; nothing is gathered
+    on the driver but that. Nodes without links don't appear.
     """
     both = save(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = save(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(max_rounds):
+
+    def step(labels: DataFrame) -> DataFrame:
         at = labels.withColumnRenamed("node", "b")
         near = both.join(at, "b").groupBy("a").agg(F.min("label").alias("near"))
         met = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("met"))
         jump = labels.select(F.col("node").alias("met"), F.col("label").alias("far"))
-        new = save(met.join(jump, "met", "left").select("node", F.col("label").alias("old"), F.least("met", F.coalesce("far", "met")).alias("label")), "labels")
+        return met.join(jump, "met", "left").select("node", F.col("label").alias("old"), F.least("met", F.coalesce("far", "met")).alias("label"))
+
+    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node")
+    for _ in range(max_rounds):
+        new = save(step(step(labels).select("node", "label")), "labels")
         labels = new.select("node", "label")
         if new.where("old <> label").isEmpty():
             return labels.withColumnRenamed("label", "component")
