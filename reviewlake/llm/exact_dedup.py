@@ -1,16 +1,18 @@
 """Exact dedup: a log-structured merge index of content digests, in DataFrame operations only.
 
-Memtables, the partitions of a batch as they are scanned, are flushed as runs of (digest, identifier, length) sorted by digest,
-without a shuffle. Each run has filters: bit maps of its digests' hashes. FANOUT runs of a level are compacted into one of the
-next, which keeps the smallest identifier of each digest and the number of its copies. A look-up asks each run's filter first and
-joins only the digests that may be in it. Hits receive byte verification: their normalised texts are compared with the one
-that stays. All copies of a hot text are compared in parts, each beside its own copy of the text that stays.
+The table arrives in BATCHES batches. Memtables, the partitions of a batch as they are scanned, are flushed as runs of (digest,
+identifier, length) sorted by digest, without a shuffle. FANOUT runs of a level are compacted into one of the next, which keeps
+the smallest identifier of each digest and the number of its copies. Each run has a filter, a bit map of its digests' hashes,
+made when it is first asked. A look-up asks each run's filter first and joins only the digests that may be in it; so does the
+search for repeats, where a compacted run gives out only what another run's filter lets pass, and what it has merged itself.
+Hits receive byte verification: their normalised texts are compared with the one that stays. All copies of a hot text are
+compared in parts, each beside its own copy of the text that stays.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import NamedTuple
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import SPACES, BitMap, bit_map, narrow, parted, probed, save, texts
 
 FANOUT = 4
+#: A compaction's worth of batches and one more, which meets the compacted run as newer rows meet older ones.
+BATCHES = FANOUT + 1
 #: So many copies of one text, or a share of 1 / MOST_PARTS of all rows if that is more, are compared in one task. So there are
 #: at most MOST_PARTS texts with several parts; these are broadcast, some 8 MB.
 PART, MOST_PARTS = 2048, 100_000
@@ -28,11 +32,17 @@ def normalised(text: Column) -> Column:
     return F.translate(text, SPACES, "")
 
 
-class Run(NamedTuple):
-    """A run of the index: entries (digest, best, n), sorted by digest, and the filter of its digests (see common.bit_map)."""
+class Run:
+    """A run of the index: entries (digest, best, n), saved, each partition sorted by digest. merged: a digest has one entry."""
 
-    entries: DataFrame
-    filter: BitMap | None
+    def __init__(self, entries: DataFrame, merged: bool):
+        self.entries, self.merged = entries, merged
+
+    @cached_property
+    def filter(self) -> BitMap | None:
+        """The filter of the run's digests, see common.bit_map()."""
+        bits = bit_map(self.entries.select("digest"), "digest")
+        return bits and BitMap(bits.bits, save(bits.pieces, "filter"))
 
 
 class DigestIndex:
@@ -42,16 +52,14 @@ class DigestIndex:
         self.fanout = fanout
         self.levels: list[list[Run]] = [[]]
 
-    def _run(self, entries: DataFrame, name: str) -> Run:
+    def _run(self, entries: DataFrame, name: str, merged: bool) -> Run:
         """Partitions are sorted where they are; their files have the least and greatest digest of each page."""
-        saved = save(entries.sortWithinPartitions("digest"), name)
-        bits = bit_map(saved.select("digest"), "digest")
-        return Run(saved, bits and BitMap(bits.bits, save(bits.pieces, f"{name}_filter")))
+        return Run(save(entries.sortWithinPartitions("digest"), name), merged)
 
     def flush(self, rows: DataFrame) -> DigestIndex:
         """rows: digest, doc_id, n_chars. A batch's memtables become a run; full levels are compacted."""
         best = F.struct((-F.col("n_chars")).alias("shorter"), F.col("doc_id"))
-        self.levels[0].append(self._run(rows.select("digest", best.alias("best"), F.lit(1).cast("long").alias("n")), "run"))
+        self.levels[0].append(self._run(rows.select("digest", best.alias("best"), F.lit(1).cast("long").alias("n")), "run", False))
         level = 0
         while len(self.levels[level]) >= self.fanout:
             self.compact(level)
@@ -63,7 +71,7 @@ class DigestIndex:
         if level + 1 == len(self.levels):
             self.levels.append([])
         merged = _union([r.entries for r in self.levels[level]]).groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-        self.levels[level + 1].append(self._run(merged, "compacted"))
+        self.levels[level + 1].append(self._run(merged, "compacted", True))
         self.levels[level] = []
         return self
 
@@ -80,11 +88,20 @@ class DigestIndex:
         return _union(found).groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
 
     def repeated(self) -> DataFrame:
-        """digest, best, n of the digests with more than one entry."""
-        entries = _union([r.entries for r in self.runs()])
-        if len(self.runs()) > 1 or self.levels[0]:
-            entries = entries.groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-        return entries.where("n > 1")
+        """digest, best, n of the digests with more than one copy. Only entries that may be in another run, by its filter, and
+        those of runs that are not merged are shuffled."""
+        runs, met, alone = self.runs(), [], []
+        for run in runs:
+            rest = run.entries
+            if run.merged:
+                for other in runs:
+                    if other is not run:
+                        maybe, rest = probed(rest, other.filter, "digest")
+                        met.append(maybe)
+            (alone if run.merged else met).append(rest)
+        if met:
+            alone.append(_union(met).groupBy("digest").agg(F.min("best").alias("best"), F.sum("n").alias("n")))
+        return _union(alone).where("n > 1")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -107,8 +124,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = texts(docs, id_col, text_col).withColumn("norm", normalised(F.col("text")))
     sha = F.sha2(F.col("norm").cast("binary"), 256)
     key = sha if digest is None else digest(F.col("norm"))
-    prints = save(rows.select("doc_id", F.char_length("text").alias("n_chars"), key.alias("digest"), *([sha.alias("text_sha256")] if digest else [])), "digests")
-    index = DigestIndex().flush(prints.select("digest", "doc_id", "n_chars")).compact()
+    # Sorted by batch within partitions, so that reading a batch skips the pages of the others.
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(BATCHES)).cast("int").alias("batch")
+    prints = rows.select("doc_id", F.char_length("text").alias("n_chars"), key.alias("digest"), *([sha.alias("text_sha256")] if digest else []), batch)
+    prints = save(prints.sortWithinPartitions("batch"), "digests")
+    index = DigestIndex()
+    for nth in range(BATCHES):
+        index.flush(prints.where(F.col("batch") == nth).select("digest", "doc_id", "n_chars"))
     repeated = save(index.repeated().select("digest", F.col("best.doc_id").alias("keep_id"), "best.shorter", "n"), "repeated")
     # A group of n copies is dealt into parts, by a hash of the row; each part has the group's entry for itself.
     part = max(PART, prints.count() // MOST_PARTS)
@@ -122,7 +144,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stays_here = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == -F.col("shorter"))
     hits = with_part(narrow(rows.select("doc_id", F.char_length("text").alias("n_chars"), "norm", key.alias("digest")), repeated, "digest"))
     hits = save(hits, "hits")
-    stay = hits.join(repeated, "digest").where(stays_here).groupBy("digest").agg(F.min("norm").alias("stay"))
+    # Only the row that stays meets its group's entry: copies of a hot text are dealt by their ids.
+    own = (F.col("h.digest") == F.col("r.digest")) & F.col("h.doc_id").eqNullSafe(F.col("r.keep_id")) & (F.col("h.n_chars") == -F.col("r.shorter"))
+    stay = hits.alias("h").join(repeated.alias("r"), own).groupBy(F.col("r.digest").alias("digest")).agg(F.min("h.norm").alias("stay"))
     stays = split.select("digest", "part").join(stay, "digest")
     if not hits.join(stays, ["digest", "part"]).where("norm <> stay").isEmpty():
         return exact_dedup(docs, id_col, text_col, lambda c: c)

@@ -74,6 +74,23 @@ def test_index_of_several_batches(spark):
     assert exact.probed(asked, index.runs()[0].filter, "digest")[0].count() < 10
 
 
+def test_query_asks_the_filters(spark, monkeypatch):
+    """The operator's own index: one compacted run, whose entries the newest batch's filter mostly holds back, and that batch."""
+    made = []
+    repeated = exact.DigestIndex.repeated
+    monkeypatch.setattr(exact.DigestIndex, "repeated", lambda self: made.append(self) or repeated(self))
+    rows = [(i, f"text {i}", None) for i in range(2000)] + [(5000 + i, f"text  {i}", None) for i in range(100)]
+    got = {r.doc_id: r.keep_id for r in exact_dedup(docs(spark, rows)).collect()}
+    assert got == {**{i: i for i in range(100, 2000)}, **{i: 5000 + i for i in range(100)}, **{5000 + i: 5000 + i for i in range(100)}}
+    (index,) = made
+    assert [len(level) for level in index.levels] == [1, 1]
+    new, old = index.runs()
+    assert old.merged and not new.merged and new.entries.count() + old.entries.agg(F.sum("n")).first()[0] == 2100
+    asked = exact.probed(old.entries, new.filter, "digest")
+    both = old.entries.join(new.entries.select("digest").distinct(), "digest", "left_semi").count()
+    assert both <= asked[0].count() < both + 20 and asked[0].count() + asked[1].count() == old.entries.count()
+
+
 def scratch_table(spark, rows, schema):
     return save(spark.createDataFrame(rows, schema), "t")
 

@@ -1,14 +1,18 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
 from reviewlake.llm import ngram_join
+from reviewlake.llm import queries as Q
 from reviewlake.llm.common import narrow, parted
 from reviewlake.llm.kernels import mix
 from reviewlake.llm.ngram_join import bands_of, close_pairs, ngram_jaccard, signatures, sketch_of
 
+SF = "/root/testdata/sf0.001"
+
 
 def shingles(text):
     words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -150,3 +154,11 @@ def test_narrow(spark):
 
 def test_empty(spark):
     assert ngram_jaccard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ngram_join_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = con.sql(Q.ORACLE_SQL["op7_ngram_jaccard"]).fetchall()
+    got = Q.op7_ngram_jaccard(spark, SF).select("doc_id", "n_shingles", "component_id")
+    assert sorted(want) == sorted(map(tuple, got.collect()))
