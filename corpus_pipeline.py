@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next one's docs. All
 but the last return the columns of documents. Stages decide by doc_id: rows that share an id share their fate, and rows
-without an id stay as they are. Texts are only shuffled where a decision concerns them.
+without an id stay as they are. Texts are only shuffled where a decision concerns them. Further columns come along through all
+stages but the last, whatever their names; null texts count as empty, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,8 +36,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines whose template recurs; n_chars follows the text."""
-    cut = line_dedup(docs, carry=("lang", "source"), **WHOLE)
-    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    # One column for all others, so that none of them clashes with a name that the operator uses.
+    held = docs.select("doc_id", "text", F.struct(F.lit(0), *(F.col(f"`{c}`") for c in others)).alias("_row"))
+    cut = line_dedup(held, carry=("_row",), **WHOLE)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.char_length("text")}
+    return cut.select(*(own.get(f.name, F.col("_row").getField(f.name)).cast(f.dataType).alias(f.name) for f in docs.schema))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +55,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = save(mix_sources(docs).where("copies <> 1 and doc_id is not null").groupBy("doc_id").agg(F.max("copies").alias("copies")), "copies")
     maybe, never = parted(docs, copies, "doc_id")
     # The same plan at every size: texts are always dealt by id here, as the table of copies grows with the corpus.
-    times = maybe.join(copies.hint("merge"), "doc_id", "left").withColumn("_nth", F.explode(F.expr("if(copies = 0, array(), sequence(1, coalesce(copies, 1)))")))
-    return never.unionByName(times.select(*docs.columns))
+    taken = copies.withColumnRenamed("copies", "_rl_copies").hint("merge")
+    times = maybe.join(taken, "doc_id", "left").withColumn("_rl_nth", F.explode(F.expr("if(_rl_copies = 0, array(), sequence(1, coalesce(_rl_copies, 1)))")))
+    return never.unionByName(times.drop("_rl_copies", "_rl_nth").select(*never.columns))
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
