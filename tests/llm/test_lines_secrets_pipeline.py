@@ -184,6 +184,23 @@ def test_stages_take_odd_rows(spark):
             stage(spark, rows, SF).collect()
 
 
+def test_stages_carry_further_columns(spark):
+    """Columns named as those that stages and operators use inside come along unchanged, also beside a very long text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    long_text = " ".join(f"word{i % 5003} and{i}" for i in range(60_000))
+    docs = docs.union(spark.createDataFrame([(10_000, long_text, "en", "s", len(long_text)), (10_000, long_text, "en", "s", len(long_text))], docs.schema))
+    names = ("copies", "_nth", "n_lines", "n_dropped", "content", "component_id", "score", "label", "_row")
+    rows = docs.withColumns({c: F.concat(F.lit(f"{c} "), "doc_id") for c in names})
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        rows = corpus_pipeline.save(stage(spark, rows, SF), "t")
+        assert rows.columns == [*docs.columns, *names]
+    # Not all of the rows are taken by the mix; those that are have what they came with.
+    got = rows.collect()
+    assert got and all(r[c] == f"{c} {r.doc_id}" for r in got for c in names)
+    scored = corpus_pipeline.quality(spark, docs.withColumns({c: F.lit(c) for c in names}), SF)
+    assert scored.columns == [*docs.columns, *names] and scored.count() > 0
+
+
 def test_candidates_of_texts_with_many_of_them(spark):
     """50,000 digests in one text, a third of them repeated, and rows with equal id and text."""
     import hashlib
