@@ -103,7 +103,7 @@ def evaluate(model: SparseScores | Factors | Scorer, train: DataFrame, test: Dat
 def evaluate_sampled(scorer: Scorer, train: DataFrame, test: DataFrame, n: int = 100, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """Metrics per test row against n sampled negatives."""
     pool = ranking.sampled_negatives(test.select("row_id", "user_id", "item"), train, train, n)
-    ranked = ranking.top_k(scorer(pool.select("row_id", "user_id", "item").distinct()), max(ks), ["row_id"], [F.desc("score"), "item"])
+    ranked = ranking.top_k(scorer(pool.select("row_id", "user_id", "item")), max(ks), ["row_id"], [F.desc("score"), "item"])
     return metrics.rank_metrics(ranked, pool.where("relevant").select("row_id", "item"), ks, unit="row_id")
 
 

@@ -364,6 +364,20 @@ def test_negatives_are_complete(spark):
     assert len({r.item for r in got if r.row_id == 2 and not r.relevant} - {"i0"}) == 25
 
 
+def test_negatives_do_not_depend_on_how_seen_items_are_met(spark, monkeypatch):
+    items = spark.createDataFrame([(f"i{k}",) for k in range(60)], "item string")
+    seen = spark.createDataFrame([(u, f"i{k}") for u, n in (("u", 30), ("v", 3), ("w", 55)) for k in range(n)], "user_id string, item string")
+    tests = spark.createDataFrame([(k, u, f"i{k % 50}") for k, u in enumerate("uvwxuvwx")], "row_id long, user_id string, item string")
+    got = []
+    for most in (4096, 10, 0):  # all users' seen items as arrays, some users', none
+        monkeypatch.setattr(ranking, "SEEN", most)
+        got.append(sorted(map(tuple, ranking.sampled_negatives(tests, items, seen, 10).collect())))
+    assert got[0] == got[1] == got[2]
+    rows_of = {k: {r[2] for r in got[0] if r[0] == k and not r[3]} for k in range(8)}
+    assert {k: len(x) for k, x in rows_of.items()} == {k: 5 if k in (2, 6) else 10 for k in range(8)}
+    assert not any(x & {f"i{j}" for j in range(30)} for k, x in rows_of.items() if k in (0, 4))
+
+
 def test_small_helpers(spark, tmp_path):
     assert metrics.effective_ks((5, 10), (1, 5), 100) == (1, 5, 10) and metrics.effective_ks((5, 10), (1,)) == (5, 10)
     rows = spark.createDataFrame([(x,) for x in (5, 1, 9, 3, None)], "x int")
