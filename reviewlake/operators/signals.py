@@ -112,14 +112,16 @@ def faithfulness(scored: DataFrame, parts: DataFrame, targets: DataFrame, cited:
 
 
 def counterfactual_probe(signals: DataFrame, queries: DataFrame, base: DataFrame, sentiment: DataFrame, inject: DataFrame, rate: float = 0.01, alpha: float = 0.5, polarity: float = -0.9) -> DataFrame:
-    """inject: user_id, aspect. A complaint about the aspect just before the query; the rank of the candidate best on it, before and after."""
+    """inject: user_id, aspect. A complaint about the aspect just before the query; the rank of the candidate best on it, before and after.
+
+    Scores that agree to nine digits are equal: the order in which terms were added must not rank them."""
     best = base.select("user_id", "item").join(inject, "user_id").join(sentiment.select("item", "aspect", "e_hat"), ["item", "aspect"], "left")
     target = best.groupBy("user_id").agg(F.max_by("item", F.struct(F.coalesce("e_hat", F.lit(0.0)), "item")).alias("target"))
     made = inject.join(queries, "user_id").select("user_id", "aspect", F.lit(polarity).alias("polarity"), (F.col("query_ts") - 1).alias("ts"))
 
     def ranks(of: DataFrame, name: str) -> DataFrame:
         scored = s_ui(base, decayed_weights(of, queries, rate), sentiment, alpha)
-        ranked = scored.withColumn(name, F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("total"), "item")))
+        ranked = scored.withColumn(name, F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc(F.round("total", 9)), "item")))
         return ranked.join(target, "user_id").where("item = target").select("user_id", "item", name)
 
     plain = signals.select("user_id", "aspect", "polarity", "ts")

@@ -192,6 +192,15 @@ def test_popular_unseen(spark):
     assert {r.row_id: r["count"] for r in neg.groupBy("row_id").count().collect()} == {1: 3, 3: 3}
 
 
+def test_probe_takes_scores_alike_to_nine_digits_as_equal(spark):
+    g = spark.createDataFrame([("u", "comfort", 1.0, 0)], "user_id string, aspect string, polarity double, ts long")
+    q = spark.createDataFrame([("u", 10)], "user_id string, query_ts long")
+    base = spark.createDataFrame([("u", "a", 0.5), ("u", "b", 0.5 + 1e-12)], "user_id string, item string, s_base double")
+    e = spark.createDataFrame([("b", "fit", 0.5)], "item string, aspect string, e_hat double")
+    r = signals.counterfactual_probe(g, q, base, e, q.select("user_id", F.lit("comfort").alias("aspect"))).first()
+    assert (r.item, r.rank_before, r.rank_after, r.moved_up) == ("b", 2, 2, False)
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([("q", i, n + 1) for n, i in enumerate("abxcd")], "user_id string, item string, rank int")
 
