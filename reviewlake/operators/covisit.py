@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import save
 from .factors import Factors
 
 
@@ -42,9 +43,13 @@ def covisit_edges(rows: DataFrame, texts: DataFrame | None = None) -> DataFrame:
 
 def coitem_scores(anchors: DataFrame, pool: DataFrame, edges: DataFrame) -> DataFrame:
     """anchors: user_id, item (repeats count); pool: user_id, item. user_id, item, score: edges from the anchors, summed and
-    divided by the user's greatest sum; only items with an edge."""
-    met = anchors.select("user_id", F.col("item").alias("anchor")).join(edges, "anchor").select("user_id", F.col("co").alias("item"), "n")
-    summed = met.join(pool.select("user_id", "item").distinct(), ["user_id", "item"], "left_semi").groupBy("user_id", "item").agg(F.sum("n").alias("n"))
+    divided by the user's greatest sum; only items with an edge.
+
+    Anchors are dealt by user, so where Spark sends the edges to every task (they are saved, so it knows their size) a user's
+    rows are summed where they are made."""
+    own = anchors.select("user_id", F.col("item").alias("anchor")).repartition("user_id").groupBy("user_id", "anchor").agg(F.count("*").alias("_times"))
+    met = own.join(save(edges, "edges"), "anchor").groupBy("user_id", F.col("co").alias("item")).agg(F.sum(F.col("n") * F.col("_times")).alias("n"))
+    summed = met.join(pool.select("user_id", "item").distinct(), ["user_id", "item"], "left_semi")
     return summed.select("user_id", "item", (F.col("n") / F.max("n").over(Window.partitionBy("user_id"))).alias("score"))
 
 
@@ -57,21 +62,16 @@ def item_similarity(rows: DataFrame) -> DataFrame:
     return other.unionByName(size.select(F.col("item").alias("anchor"), F.col("item").alias("co"), F.lit(1.0).alias("similarity")))
 
 
-def _met_items(rows: DataFrame) -> DataFrame:
-    d = rows.select("user_id", F.col("item").alias("anchor")).distinct()
-    return d.join(item_similarity(rows), "anchor").select("user_id", F.col("co").alias("item"), "similarity")
-
-
 def itemknn_hits(rows: DataFrame) -> DataFrame:
-    """user_id, item, score: the summed similarity to the user's items, wherever it is not 0."""
-    return _met_items(rows).groupBy("user_id", "item").agg(F.sum("similarity").alias("score"))
+    """user_id, item, score: the summed similarity to the user's items, wherever it is not 0. As in coitem_scores(), sums are made
+    where a user's rows are, if Spark sends the similarities to every task."""
+    d = rows.select("user_id", F.col("item").alias("anchor")).repartition("user_id").distinct()
+    return d.join(save(item_similarity(rows), "similar"), "anchor").groupBy("user_id", F.col("co").alias("item")).agg(F.sum("similarity").alias("score"))
 
 
 def itemknn_scores(candidates: DataFrame, rows: DataFrame) -> DataFrame:
     """candidates: user_id, item. Adds score: the summed similarity to the user's items; 0 for unknown users and items."""
-    met = _met_items(rows)
-    summed = met.join(candidates.select("user_id", "item").distinct(), ["user_id", "item"], "left_semi").groupBy("user_id", "item").agg(F.sum("similarity").alias("score"))
-    return candidates.join(summed, ["user_id", "item"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return candidates.join(itemknn_hits(rows), ["user_id", "item"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def _als(rows: DataFrame, user_ids: DataFrame, item_ids: DataFrame, factors: int, seed: int):
