@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.session import save, shared_dir
+from ..functions.session import save
+
+
+written = save  # k_core() has a parameter of that name
 
 
 def in_period(rows: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:
@@ -25,20 +28,17 @@ def dedup_earliest(rows: DataFrame, keys: tuple[str, ...] = ("user_id", "item"))
 def k_core(rows: DataFrame, k: int, save=None, max_rounds: int = 100) -> DataFrame:
     """Drops rows of users or items with fewer than k rows, both counted on the same state, until none is left to drop.
 
-    save: cuts the lineage of a round (a function DataFrame -> DataFrame); by default a reliable checkpoint in the folder that
-    the cluster shares.
+    save: cuts the lineage of a round (a function DataFrame -> DataFrame); by default it is written to the folder that the cluster
+    shares. What goes is written too, so that Spark knows when it is small enough for a join without a shuffle of the rows.
     """
     if k <= 1:
         return rows
-    if save is None:
-        rows.sparkSession.sparkContext.setCheckpointDir(shared_dir(rows.sparkSession))
-    keep = save or (lambda df: df.checkpoint())
+    keep = save or (lambda df: written(df, "core"))
     rows = keep(rows)
     n = rows.count()
     for _ in range(max_rounds):
-        users = rows.groupBy("user_id").count().where(F.col("count") >= k).select("user_id")
-        items = rows.groupBy("item").count().where(F.col("count") >= k).select("item")
-        rows = keep(rows.join(users, "user_id", "left_semi").join(items, "item", "left_semi"))
+        users, items = (keep(rows.groupBy(c).count().where(F.col("count") < k).select(c)) for c in ("user_id", "item"))
+        rows = keep(rows.where("user_id is not null and item is not null").join(users, "user_id", "left_anti").join(items, "item", "left_anti"))
         left = rows.count()
         if left == n:
             return rows
