@@ -16,6 +16,8 @@ from ..functions.session import save
 from .ranking import top_k
 
 PLAIN = "plain"
+#: Places of each default order that every task gets; two bases are usual.
+NEAR = 10_000
 
 
 class SparseScores(NamedTuple):
@@ -59,31 +61,46 @@ def _placed(model: SparseScores) -> DataFrame:
     return running_sums(rows, ["base"], [F.desc("score"), "item"], "_one", "place").drop("_one")
 
 
-def best(model: SparseScores, users: DataFrame, k: int, excluded: DataFrame | None = None) -> DataFrame:
-    """user_id, item, score, rank: each user's k best items of the catalogue, ties by item, without excluded ones (user_id, item).
+def best(model: SparseScores, users: DataFrame, k: int | None, excluded: DataFrame | None = None) -> DataFrame:
+    """user_id, item, score, rank: each user's k best items of the catalogue (None: all of it, in order), ties by item, without
+    excluded ones (user_id, item).
 
-    A user's defaults among them lie within the first k + (own and excluded items) places of the order. Users are joined by place with
-    just so many, so rows made are in proportion to k, hits and exclusions; the catalogue's length never enters.
+    A user's defaults among the k best lie within the first k + (own and excluded items) places of the order. Users are joined by
+    place with just so many, so rows made are in proportion to k, hits and exclusions; the catalogue's length never enters. The
+    first NEAR places, which all users share, are sent to every task; only places beyond are joined by a shuffle. Defaults,
+    own items and exclusions then meet by one shuffle by user.
     """
     users = _with_base(users.select("user_id").distinct(), model)
     hits = save(model.hits.join(users.select("user_id"), "user_id", "left_semi").select("user_id", "item", "score"), "hits")
-    off = hits.select("user_id", "item")
+    none = F.lit(None).cast("double")
+    marked = [hits.select("user_id", "item", none.alias("_plain"), F.col("score").cast("double").alias("_own"), F.lit(False).alias("_out"))]
     if excluded is not None:
-        out = excluded.select("user_id", "item").join(users.select("user_id"), "user_id", "left_semi").distinct()
-        off = off.unionByName(out).distinct()
-        hits = hits.join(out, ["user_id", "item"], "left_anti")
-    many = off.groupBy("user_id").agg(F.count("*").alias("_off"))
-    upto = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k) + F.coalesce("_off", F.lit(0))))
-    places = users.join(many, "user_id", "left").select("user_id", "base", upto.alias("place"))
-    defaults = places.join(_placed(model), ["base", "place"]).select("user_id", "item", "score").join(off, ["user_id", "item"], "left_anti")
-    return top_k(defaults.unionByName(hits), k, ["user_id"], [F.desc("score"), "item"])
+        marked.append(excluded.select("user_id", "item", none.alias("_plain"), none.alias("_own"), F.lit(True).alias("_out")))
+    if k is None:
+        marked.append(users.join(model.orders, "base").select("user_id", "item", F.col("score").alias("_plain"), none.alias("_own"), F.lit(False).alias("_out")))
+    else:
+        off = hits.select("user_id") if excluded is None else hits.select("user_id").unionAll(excluded.select("user_id"))
+        many = off.groupBy("user_id").agg(F.count("*").alias("_off"))
+        upto = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k) + F.coalesce("_off", F.lit(0))))
+        places = users.join(many, "user_id", "left").select("user_id", "base", upto.alias("place"))
+        order = save(_placed(model), "order")
+        near, far = F.col("place") <= NEAR, F.col("place") > NEAR
+        for met in (places.where(near).join(F.broadcast(order.where(near)), ["base", "place"]), places.where(far).join(order.where(far), ["base", "place"])):
+            marked.append(met.select("user_id", "item", F.col("score").alias("_plain"), none.alias("_own"), F.lit(False).alias("_out")))
+    rows = marked[0]
+    for part in marked[1:]:
+        rows = rows.unionByName(part)
+    rows = rows.repartition("user_id").groupBy("user_id", "item").agg(F.max("_plain").alias("_plain"), F.max("_own").alias("_own"), F.bool_or("_out").alias("_out"))
+    rows = rows.where("not _out and coalesce(_own, _plain) is not null").select("user_id", "item", F.coalesce("_own", "_plain").alias("score"))
+    return top_k(rows, k, ["user_id"], [F.desc("score"), "item"])
 
 
 def _completed(model: SparseScores, gold: DataFrame, missing: float) -> tuple[SparseScores, DataFrame]:
     """The model with gold items that neither the catalogue nor the hits have as hits of score `missing`; gold with base."""
     rows = _with_base(gold.select("user_id", "item").distinct(), model)
-    new = rows.join(model.orders.select("base", "item"), ["base", "item"], "left_anti").join(model.hits.select("user_id", "item"), ["user_id", "item"], "left_anti")
-    return model._replace(hits=model.hits.select("user_id", "item", "score").unionByName(new.select("user_id", "item", F.lit(missing).cast("double").alias("score")))), rows
+    hits = save(model.hits.join(gold.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "item", F.col("score").cast("double").alias("score")), "hits")
+    new = rows.join(model.orders.select("base", "item"), ["base", "item"], "left_anti").join(hits.select("user_id", "item"), ["user_id", "item"], "left_anti")
+    return model._replace(hits=hits.unionByName(save(new.select("user_id", "item", F.lit(missing).cast("double").alias("score")), "new"))), rows
 
 
 def with_gold(model: SparseScores, gold: DataFrame, missing: float = 0.0) -> SparseScores:
@@ -120,7 +137,8 @@ def gold_places(model: SparseScores, gold: DataFrame, excluded: DataFrame | None
     """
     if together:
         model, _ = _completed(model, gold, missing)
-    model = model._replace(hits=save(model.hits.join(gold.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "item", "score"), "hits"))
+    else:
+        model = model._replace(hits=save(model.hits.join(gold.select("user_id").distinct(), "user_id", "left_semi").select("user_id", "item", "score"), "hits"))
     rows = save(_with_base(score_pairs(model, gold.select("user_id", "item").distinct(), missing), model), "gold")
     users = rows.select("user_id", "base").distinct()
     ahead = defaults_ahead(model, rows)

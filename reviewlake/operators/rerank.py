@@ -77,8 +77,8 @@ def moved_vectors(users: DataFrame, aspects: DataFrame, gammas: DataFrame) -> Da
     return known.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("vector"))
 
 
-def adjusted_best(asked: DataFrame, catalogue: DataFrame, users: DataFrame, items: DataFrame, aspects: DataFrame, gammas: DataFrame, k: int) -> DataFrame:
-    """user_id, item, score, rank: the k best of the whole catalogue (item) for each asked user_id, by scores as of adjusted_scores().
+def adjusted_best(asked: DataFrame, catalogue: DataFrame, users: DataFrame, items: DataFrame, aspects: DataFrame, gammas: DataFrame, k: int | None) -> DataFrame:
+    """user_id, item, score, rank: the k best (None: all) of the whole catalogue (item) for each asked user_id, by scores as of adjusted_scores().
 
     Vectors meet in blocks; the least raw score, which the scale needs, is the greatest one of the vectors turned round.
     """

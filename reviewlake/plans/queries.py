@@ -298,13 +298,13 @@ _HALF = "c AS (SELECT u.user_id, v.item FROM (SELECT DISTINCT user_id FROM g) u,
 
 
 def _whole(g: DataFrame, name: str) -> DataFrame:
-    """The 20 best items of the whole catalogue for each user under a model, to 9 digits."""
+    """Every item of the whole catalogue for each user under a model, to 9 digits."""
     m = recommend.models(g)[name]
-    return r6(catalogue.best(m._replace(hits=m.hits.withColumn("score", F.round("score", 9))), g, 20).withColumn("rank", F.col("rank").cast("long")), "score")
+    return r6(catalogue.best(m._replace(hits=m.hits.withColumn("score", F.round("score", 9))), g, None).withColumn("rank", F.col("rank").cast("long")), "score")
 
 
-def _best_sql(scores: str) -> str:
-    return f" SELECT user_id, item, round(score, 6) AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS rank FROM ({scores}) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) <= 20"
+def _whole_sql(scores: str) -> str:
+    return f" SELECT user_id, item, round(score, 6) AS score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item) AS rank FROM ({scores})"
 
 
 #: Each model's score of every item of a catalogue {c}, from the rows of a table {g}.
@@ -316,12 +316,12 @@ MARKOV_WITH = """tm AS (SELECT prev, next, count(*) AS n FROM nx WHERE next IS N
   rc AS (SELECT user_id, item AS prev, pow(0.6::DOUBLE, age - 1) AS wt FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item DESC, row_id DESC) AS age FROM g) WHERE age <= 3 AND item IN (SELECT prev FROM pr))"""
 
 
-@query(f"WITH {G}, {NEXT_WITH}, {_HALF}" + _best_sql(NEXT_SQL))
+@query(f"WITH {G}, {NEXT_WITH}, {_HALF}" + _whole_sql(NEXT_SQL))
 def next_item_scores(spark, d):
     return _whole(T.signals(spark, d), "sequential")
 
 
-@query(f"WITH {G}, {NEXT}, {MARKOV_WITH}, {_HALF}" + _best_sql(MARKOV_SQL))
+@query(f"WITH {G}, {NEXT}, {MARKOV_WITH}, {_HALF}" + _whole_sql(MARKOV_SQL))
 def markov_scores(spark, d):
     return _whole(T.signals(spark, d), "markov")
 
@@ -388,7 +388,7 @@ def item_similarity(spark, d):
     return r6(covisit.item_similarity(T.signals(spark, d)), "similarity")
 
 
-@query(f"WITH {G}, {KNN}, {_HALF}" + _best_sql(KNN_SQL))
+@query(f"WITH {G}, {KNN}, {_HALF}" + _whole_sql(KNN_SQL))
 def itemknn_scores(spark, d):
     return _whole(T.signals(spark, d), "itemknn")
 
@@ -880,15 +880,15 @@ def aspect_maps(spark, d):
 @query(f"""WITH {INTEREST}, vv AS (SELECT CAST(vec_id AS VARCHAR) AS key, embedding AS e FROM embeddings), mv AS (SELECT user_id, i AS dim, sum(x) AS x FROM (SELECT user_id, i, gamma * e[i] AS x FROM it JOIN vv ON vv.key = substr(aspect, 2), range(1, 65) t(i) UNION ALL SELECT key, i, e[i]::DOUBLE FROM vv, range(1, 65) t(i)) GROUP BY 1, 2),
   cc AS (SELECT u.user_id, v.item FROM (SELECT DISTINCT user_id FROM g) u, (SELECT DISTINCT item FROM g) v), sc AS (SELECT user_id, item, coalesce((SELECT sum(x * e[dim]) FROM mv, vv WHERE mv.user_id = cc.user_id AND vv.key = cc.item AND cc.user_id IN (SELECT key FROM vv)), 0) AS s FROM cc)
   SELECT user_id, item, round(CASE WHEN max(s) OVER w - min(s) OVER w < 1e-12 THEN 0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) END, 5) AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(s, 12) DESC, item) AS rank
-  FROM sc WINDOW w AS (PARTITION BY user_id) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(s, 12) DESC, item) <= 20""")
+  FROM sc WINDOW w AS (PARTITION BY user_id)""")
 def adjusted_scores(spark, d):
-    """The 20 best items of the whole catalogue for each user by vectors moved along the user's aspects."""
+    """Every item of the whole catalogue for each user by vectors moved along the user's aspects."""
     from ..operators.rerank import adjusted_best
 
     g, v = T.signals(spark, d), T.vectors(spark, d).select(F.col("item").alias("key"), "vector")
     aspects = v.where("cast(key as int) < 8").select(F.concat(F.lit("a"), "key").alias("key"), "vector")
     gammas = signals.interest_scores(g, T.queries_at(g)).select("user_id", "aspect", "gamma")
-    found = adjusted_best(g, g, v, v, aspects, gammas, 20)
+    found = adjusted_best(g, g, v, v, aspects, gammas, None)
     return found.select("user_id", "item", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

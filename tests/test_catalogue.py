@@ -117,3 +117,28 @@ def test_evaluation_of_factors(spark):
     model = factors.truncated_svd(train, 4)
     a, b = (sorted(map(tuple, recommend.evaluate(m, train, test, (3, 5)).select("user_id", "hr_3", "recall_5", "mrr_5").collect())) for m in (model, lambda c: factors.factor_scores(c, model).withColumn("score", F.round("score", 9))))
     assert a == b and len(a) == 7
+
+
+@pytest.mark.parametrize("name", ["next_item_scores", "markov_scores", "itemknn_scores", "adjusted_scores"])
+def test_every_user_has_every_item(spark, name):
+    from reviewlake.plans import tables as T
+    from reviewlake.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    g = T.signals(spark, d)
+    n_items = g.select("item").distinct().count()
+    got = QUERIES[name](spark, d).groupBy("user_id").agg(F.count_distinct("item").alias("n"), F.max("rank").alias("last"))
+    assert got.where(f"n <> {n_items} or last <> {n_items}").isEmpty() and got.count() == g.select("user_id").distinct().count()
+
+
+def test_lists_beyond_the_near_places(spark, monkeypatch):
+    orders = spark.createDataFrame([("plain", f"i{k:02}", float(-(k // 3))) for k in range(30)], "base string, item string, score double")
+    hits = spark.createDataFrame([("u", "i20", 5.0), ("u", "i01", -9.0)], "user_id string, item string, score double")
+    out = spark.createDataFrame([("u", f"i{k:02}") for k in range(8)] * 2 + [("v", "i00")], "user_id string, item string")
+    users = spark.createDataFrame([("u",), ("v",)], "user_id string")
+    model, found = catalogue.SparseScores(hits, orders), []
+    for near in (10_000, 4, 0):
+        monkeypatch.setattr(catalogue, "NEAR", near)
+        found.append(sorted((r.user_id, r["rank"], r.item) for r in catalogue.best(model, users, 3, out).collect()))
+    assert found[0] == found[1] == found[2] == [("u", 1, "i20"), ("u", 2, "i08"), ("u", 3, "i09"), ("v", 1, "i01"), ("v", 2, "i02"), ("v", 3, "i03")]
+    assert catalogue.best(model, users, None, out).count() == 22 + 29
