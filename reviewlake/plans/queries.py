@@ -79,7 +79,10 @@ def split_of(spark, d) -> DataFrame:
 
 def pairs_split(spark, d) -> DataFrame:
     """The split with no more than who, what and when."""
-    rows = T.interactions(spark, d).select("user_id", "item", "ts", "row_id")
+    return _pairs_split(T.interactions(spark, d).select("user_id", "item", "ts", "row_id"))
+
+
+def _pairs_split(rows: DataFrame) -> DataFrame:
     return clean.chronological_split(clean.dedup_earliest(rows.repartition("user_id")), min_history=5)
 
 
@@ -151,8 +154,9 @@ def history_scope(spark, d):
 @query(f"""WITH {S} SELECT row_id, user_id, item FROM i WHERE user_id IN (SELECT user_id FROM tr) AND item IN (SELECT item FROM tr)
   AND ts <= (SELECT max(ts) FROM tr)""")
 def train_scope_semijoin(spark, d):
-    train = clean.part(split_of(spark, d), "train")
-    return clean.in_train_scope(T.interactions(spark, d), train).select("row_id", "user_id", "item")
+    rows = save(T.interactions(spark, d).select("user_id", "item", "ts", "row_id"), "interactions")
+    train = save(clean.part(_pairs_split(rows), "train").select("user_id", "item", "ts"), "train")  # read three times
+    return clean.in_train_scope(rows, train).select("row_id", "user_id", "item")
 
 
 @query(f"WITH {D} SELECT item AS id, row_number() OVER (ORDER BY item) AS local FROM (SELECT DISTINCT item FROM d)")
