@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import DAY_US, clamp
+from ..functions.session import save
 from .ranking import top_k
 
 USER_ORDER = ("ts", "item", "row_id")
@@ -45,7 +46,7 @@ def next_item_scores(candidates: DataFrame, train: DataFrame) -> DataFrame:
 
 def next_item_hits(train: DataFrame) -> tuple[DataFrame, DataFrame]:
     """user_id, item, score: transitions from the user's last item; and user_id of those whose last item has any."""
-    n = transitions(train).withColumnRenamed("prev", "_prev")
+    n = save(transitions(train).withColumnRenamed("prev", "_prev"), "transitions")
     met = last_items(train).join(n, F.col("prev") == F.col("_prev")).select("user_id", F.col("next").alias("item"), F.col("n").cast("double").alias("score"))
     return met, met.select("user_id").distinct()
 
@@ -54,7 +55,7 @@ def _markov_steps(rows: DataFrame, last_k: int, decay: float) -> tuple[DataFrame
     """The probabilities, the users' last items that have any with their weights, and the users' sums of weights."""
     w = Window.partitionBy("user_id").orderBy(*(F.desc(c) for c in USER_ORDER))
     recent = rows.withColumn("_age", F.row_number().over(w) - 1).where(F.col("_age") < last_k).select("user_id", F.col("item").alias("prev"), F.pow(F.lit(decay), F.col("_age")).alias("_w"))
-    p = markov_probabilities(rows)
+    p = save(markov_probabilities(rows), "probabilities")
     recent = recent.join(p.select("prev").distinct(), "prev", "left_semi")
     return p.withColumnRenamed("next", "item"), recent, recent.groupBy("user_id").agg(F.sum("_w").alias("_total"))
 
