@@ -843,9 +843,9 @@ def second_stage(spark, d):
     from .rerank import second_stage as plan
 
     g = T.signals(spark, d)
-    stage1 = signal_pool(spark, d).select("user_id", "item", "rank", (F.col("n") / 10.0).alias("score"))
+    stage1 = save(signal_pool(spark, d).select("user_id", "item", "rank", (F.col("n") / 10.0).alias("score")), "stage1")
     texts = text.category_profile(g, T.items(spark, d)).groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("category")), " ").alias("text"))
-    boosts = covisit.coitem_scores(g, g, covisit.covisit_edges(g))
+    boosts = save(covisit.coitem_scores(g, g, covisit.covisit_edges(g)), "boosts")
     return plan(stage1, boosts, texts, T.items(spark, d)).select("user_id", "item", "rank")
 
 
@@ -1093,10 +1093,10 @@ def context_stage(spark, d):
     from .rerank import context_stage as plan
 
     g = T.signals(spark, d)
-    p = signal_pool(spark, d)
+    p = save(signal_pool(spark, d), "pool")
     stage1 = p.select("user_id", "item", "rank", (F.col("n") / 10.0).alias("score"))
     texts = text.category_profile(g, T.items(spark, d)).groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_list("category")), " ").alias("text"))
-    boosts = covisit.coitem_scores(g, g, covisit.covisit_edges(g))
+    boosts = save(covisit.coitem_scores(g, g, covisit.covisit_edges(g)), "boosts")
     return plan(stage1, boosts, p.select("user_id", "item", (1.0 / F.col("r2")).alias("phi")), texts, T.items(spark, d), {"phi": 1.0, "text": 0.25, "co": 0.1}).select("user_id", "item", "rank")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import mix_vectors
+from ..functions.session import save
 from ..operators import features, ranking, text
 
 
@@ -17,13 +18,13 @@ def second_stage(stage1: DataFrame, boosts: DataFrame, texts: DataFrame, meta: D
     its first top_n items beyond max_drop, keep their list.
     """
     pool = features.boosted(stage1.where(F.col("rank") <= pool_k), boosts, scale)
-    words = texts.where("trim(coalesce(text, '')) <> ''").select("user_id", text.preference_tokens(F.col("text")).alias("query_tokens"))
+    words = save(texts.where("trim(coalesce(text, '')) <> ''").select("user_id", text.preference_tokens(F.col("text")).alias("query_tokens")), "words")
     known = text.with_item_tokens(meta).select("item", "item_tokens")
     empty = F.array().cast("array<string>")
     rows = pool.join(words, "user_id").join(known, "item", "left").withColumn("item_tokens", F.coalesce("item_tokens", empty))
-    scored = features.lexical_scores(rows).select("user_id", "item", "rank", "score", "hits")
+    scored = save(features.lexical_scores(rows).select("user_id", "item", "rank", "score", "hits"), "scored")
     picks = features.lexical_picks(scored, promote_k, protect_n + promote_k)
-    merged = ranking.merge_ranking(ranking.promote_swap(scored, picks, promote_k, protect_n), stage1.join(words.select("user_id"), "user_id", "left_semi"), pool_k)
+    merged = save(ranking.merge_ranking(ranking.promote_swap(scored, picks, promote_k, protect_n), stage1.join(words.select("user_id"), "user_id", "left_semi"), pool_k), "merged")
     good = ranking.guardrail(stage1, merged, top_n, max_drop).where("ok").select("user_id")
     plain = stage1.join(good, "user_id", "left_anti").select("user_id", "item", F.col("rank").cast("int").alias("rank"))
     return merged.join(good, "user_id", "left_semi").unionByName(plain)
@@ -37,15 +38,15 @@ def context_stage(stage1: DataFrame, boosts: DataFrame, phi: DataFrame, texts: D
     first stage after it. Users without a text, or whose list fails the guardrail, keep the first stage's list.
     """
     pool = features.boosted(stage1.where(F.col("rank") <= pool_k), boosts, scale)
-    words = texts.where("trim(coalesce(text, '')) <> ''").select("user_id", text.preference_tokens(F.col("text")).alias("query_tokens"))
+    words = save(texts.where("trim(coalesce(text, '')) <> ''").select("user_id", text.preference_tokens(F.col("text")).alias("query_tokens")), "words")
     known = text.with_item_tokens(meta).select("item", "item_tokens")
     rows = pool.join(words, "user_id").join(known, "item", "left").withColumn("item_tokens", F.coalesce("item_tokens", F.array().cast("array<string>")))
     rows = features.lexical_scores(rows).join(phi.select("user_id", "item", "phi"), ["user_id", "item"], "left").join(boosts.select("user_id", "item", F.col("score").alias("co")), ["user_id", "item"], "left")
-    rows = rows.select("user_id", "item", "rank", "hits", F.col("text_score").alias("text"), F.coalesce("phi", F.lit(0.0)).alias("phi"), F.coalesce("co", F.lit(0.0)).alias("co"))
+    rows = save(rows.select("user_id", "item", "rank", "hits", F.col("text_score").alias("text"), F.coalesce("phi", F.lit(0.0)).alias("phi"), F.coalesce("co", F.lit(0.0)).alias("co")), "rows")
     window = features.weighted_window(rows, weights, cap).select("user_id", "item", "rank")
     front = window if rerank is None else rerank(window)
     own = stage1.join(words.select("user_id"), "user_id", "left_semi")
-    merged = ranking.merge_ranking(ranking.reorder_head(rows.select("user_id", "item", "rank"), front, 2**30), own, pool_k)
+    merged = save(ranking.merge_ranking(ranking.reorder_head(rows.select("user_id", "item", "rank"), front, 2**30), own, pool_k), "merged")
     return guarded(stage1, merged, top_n, max_drop)
 
 
