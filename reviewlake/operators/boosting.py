@@ -13,6 +13,8 @@ from .listwise import fold_of
 
 #: Grown trees that are still applied on the fly before the rows' raw scores are written anew.
 KEEP = 10
+#: So many rows, or a few more, are a block, which a task sums up at once.
+SLICE = 1 << 15
 
 
 class Tree:
@@ -66,6 +68,19 @@ def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, l2: float, least: in
     return at // gain.shape[1], at % gain.shape[1]
 
 
+def slices(batches):
+    """The rows of small batches in batches of SLICE rows or so, as a histogram costs the same for few rows as for many."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= SLICE:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def cuts_of(rows: DataFrame, features: tuple[str, ...], bins: int) -> list[np.ndarray]:
     """At most bins - 1 ascending numbers per feature between its values, near its quantiles."""
     shares = [i / bins for i in range(1, bins)]
@@ -96,19 +111,28 @@ def fit_forests(rows: DataFrame, features: tuple[str, ...], folds: int = 5, tree
         base.append(float(np.log(pos_weight * up / down)) if up and down else (12.0 if up else -12.0))
     forests = [Forest(cuts, b) for b in base]
 
-    def first(batches):
+    def block(fold: np.ndarray, y: np.ndarray, bins: np.ndarray, raw: np.ndarray) -> pa.RecordBatch:
+        cells = (np.ascontiguousarray(v, t).tobytes() for v, t in ((fold, np.int32), (y, bool), (bins, np.int16), (raw, float)))
+        return pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], ["n", "fold", "y", "bins", "raw"])
+
+    def blocks(batches):
         for b in batches:
-            if b.num_rows:
-                x = binned(matrix(b, "x"), cuts).astype(np.int16)
-                raw = np.tile(base, b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column("fold"), b.column("y"), _lists(x, pa.int16()), _lists(raw.reshape(b.num_rows, -1), pa.float64())], ["fold", "y", "bins", "raw"])
+            for i in range(b.num_rows):
+                n = b.column("n")[i].as_py()
+                yield tuple(np.frombuffer(b.column(c)[i].as_py() or b"", t).reshape(n, *wide) for c, t, wide in (("fold", np.int32, ()), ("y", bool, ()), ("bins", np.int16, (nf,)), ("raw", float, (folds,))))
 
-    schema = "fold int, y boolean, bins array<smallint>, raw array<double>"
+    def first(batches):
+        for b in slices(batches):
+            x, n = binned(matrix(b, "x"), cuts), b.num_rows
+            yield block(np.asarray(b.column("fold")), np.asarray(b.column("y").to_numpy(False), bool), x, np.tile(base, (n, 1)))
+
+    # A row has the folds, labels, bins and raw scores of SLICE rows as bytes: each pass reads them all, and they need no conversion.
+    schema = "n int, fold binary, y binary, bins binary, raw binary"
     table = save(made.mapInArrow(first, schema), "binned")
     written = 0
 
-    def advanced(b: pa.RecordBatch, bins: np.ndarray, since: int, upto: int) -> np.ndarray:
-        raw = matrix(b, "raw").copy()
+    def advanced(raw: np.ndarray, bins: np.ndarray, since: int, upto: int) -> np.ndarray:
+        raw = raw.copy()
         for k in range(folds):
             for t in forests[k].trees[since:upto]:
                 raw[:, k] += t.value[t.nodes(bins)]
@@ -120,10 +144,8 @@ def fit_forests(rows: DataFrame, features: tuple[str, ...], folds: int = 5, tree
             since, upto = written, nth
 
             def again(batches, since=since, upto=upto):
-                for b in batches:
-                    if b.num_rows:
-                        bins = matrix(b, "bins", int)
-                        yield pa.RecordBatch.from_arrays([b.column("fold"), b.column("y"), b.column("bins"), _lists(advanced(b, bins, since, upto), pa.float64())], ["fold", "y", "bins", "raw"])
+                for fold, y, bins, raw in blocks(batches):
+                    yield block(fold, y, bins, advanced(raw, bins, since, upto))
 
             table, written = save(table.mapInArrow(again, schema), "binned"), nth
         open_nodes = [{0} for _ in range(folds)]
@@ -133,20 +155,20 @@ def fit_forests(rows: DataFrame, features: tuple[str, ...], folds: int = 5, tree
             low, many = 2**level - 1, 2**level
 
             def histograms(batches, since=written, upto=nth, low=low, many=many, growing=growing, open_nodes=open_nodes):
-                sums = np.zeros((3, folds * many * nf * wide))
-                for b in batches:
-                    if not b.num_rows:
-                        continue
-                    bins, fold, y = matrix(b, "bins", int), np.asarray(b.column("fold")), np.asarray(b.column("y").to_numpy(False), bool)
-                    raw = advanced(b, bins, since, upto)
+                sums = np.zeros((3, folds, nf, many * wide))
+                for fold, y, bins, raw in blocks(batches):
+                    raw = advanced(raw, bins, since, upto)
                     for k in range(folds):
                         at = growing[k].nodes(bins)
                         use = np.flatnonzero((fold != own[k]) & np.isin(at, list(open_nodes[k])))
                         p, w = 1 / (1 + np.exp(-raw[use, k])), np.where(y[use], pos_weight, 1.0)
+                        g, h, cell, mine = w * (p - y[use]), w * p * (1 - p), (at[use] - low) * wide, bins[use]
                         for f in range(nf):
-                            key = ((k * many + at[use] - low) * nf + f) * wide + bins[use, f]
-                            for i, v in enumerate((w * (p - y[use]), w * p * (1 - p), None)):
-                                sums[i] += np.bincount(key, v, sums.shape[1])
+                            key = cell + mine[:, f]
+                            for i, v in enumerate((g, h, None)):
+                                sums[i, k, f] += np.bincount(key, v, many * wide)
+                # From fold, feature, node, bin to fold, node, feature, bin.
+                sums = sums.reshape(3, folds, nf, many, wide).swapaxes(2, 3).reshape(3, -1)
                 hit = np.flatnonzero(sums[2])
                 yield pa.RecordBatch.from_arrays([pa.array(hit), *(pa.array(s[hit]) for s in sums)], ["at", "g", "h", "n"])
 
@@ -172,10 +194,6 @@ def fit_forests(rows: DataFrame, features: tuple[str, ...], folds: int = 5, tree
     return forests
 
 
-def _lists(x: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), kind))
-
-
 def boosted_out_of_fold(rows: DataFrame, features: tuple[str, ...], folds: int = 5, seed: int = 42, **options) -> DataFrame:
     """rows with score: P(label > 0) by the forest that has not seen the row's user; one fold scores what it was fitted on."""
     forests = fit_forests(rows, features, folds, seed=seed, **options)

@@ -133,3 +133,11 @@ def test_boosting_of_odd_tables(spark):
     one = boosting.boosted_out_of_fold(df.withColumn("label", F.lit(1)), NAMES, 2, trees=2).select("score").distinct().collect()
     assert all(r.score > 0.99 for r in one)
     assert boosting.boosted_out_of_fold(df, NAMES, 2, trees=2).select("score").where("score is null or score < 0 or score > 1").count() == 0
+
+
+def test_boosting_saves_blocks_of_rows(spark, monkeypatch):
+    saved, save = [], boosting.save
+    monkeypatch.setattr(boosting, "save", lambda df, name: saved.append(save(df, name)) or saved[-1])
+    df = frame(spark, users=30).repartition(2)
+    boosting.fit_forests(df, NAMES[:3], 2, trees=1, depth=1, least=5)
+    assert 1 <= saved[0].count() <= 2 and saved[0].agg(F.sum("n")).first()[0] == df.count()
