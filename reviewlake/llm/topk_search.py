@@ -9,9 +9,11 @@ Search: postings lie in blocks of few neighbouring documents, a long one being a
 block of documents can reach at most the sum of these maxima over a query's terms. The cursor of a query moves through a shard in the order of
 documents to the next pivot, a block whose bound reaches the k-th best score so far; the blocks before it are skipped and none of
 their documents is scored. Bounds are made for many queries at once: the maxima of frequent terms are a matrix, so their part is
-a product of matrices, and rarer terms add theirs block by block. The k-th best score is carried from shard to shard of a task,
-and each shard starts with the blocks that promise most, so it is high from the start; one shard in LEADS is searched before the
-others, whose search starts from the k-th best score there. What tasks return has the exact k best, and so their merge is exact.
+a product of matrices, and rarer terms add theirs block by block. A long document is a block of its own, so its bound is its score
+but for the rounding: k such bounds give a query its first floor before anything is scored. Pivots of many queries are scored in
+one pass. The k-th best score is carried from shard to shard of a task, and each shard starts with the blocks that promise most,
+so it is high from the start; one shard in LEADS is searched before the others, whose search starts from the k-th best score
+there. What tasks return has the exact k best, and so their merge is exact.
 """
 
 from __future__ import annotations
@@ -31,13 +33,15 @@ K1, B = 1.2, 0.75
 BLOCK = 512
 #: Terms in a share of 1 / FREQUENT of a shard's documents have their maxima in the matrix; so many queries share a product.
 FREQUENT, TOGETHER = 32, 128
+#: So many postings are scored in one go, whichever queries they are scored for.
+SCORED = 1 << 19
 #: Scores are rounded to 9 places, so sums that differ by their rounding only are ties; bounds have that much to spare.
 ROUND = 1e-9
 SHARD_DOCS, SHARD_BYTES = 4096, 16 << 20
 #: One shard in so many is searched first; what it has raises the bar for all others.
 LEADS = 8
 #: Queries are sent to the executors in blocks of so many bytes, a longer query being a block of its own.
-QUERY_BYTES = 8 << 20
+QUERY_BYTES = 24 << 20
 #: A shard is a row of some MB, so row groups are cut by size and not only looked at every 100 rows.
 _FILES = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "4"}
 
@@ -118,9 +122,11 @@ class Shard:
         size = np.bincount(doc, minlength=len(self.ids))
         self.by_doc = np.r_[0, np.cumsum(size)]
         shut = self.by_doc[:-1] // BLOCK
-        shut = np.r_[True, (shut[1:] != shut[:-1]) | (size[1:] > BLOCK // 2)]
+        long = size > BLOCK // 2
+        shut = np.r_[True, (shut[1:] != shut[:-1]) | long[1:] | long[:-1]]
         self.edge = np.r_[np.flatnonzero(shut), len(size)]  # where each block of documents starts
         self.n_blocks = len(self.edge) - 1
+        self.alone = np.flatnonzero(np.diff(self.edge) == 1)  # blocks of one document
         block = (np.cumsum(shut) - 1).astype(np.uint16)[doc]
         new = np.ones(len(block), bool)
         new[1:] = block[1:] != block[:-1]
@@ -142,7 +148,7 @@ class Shard:
         self.doc_term = np.repeat(np.arange(len(self.terms), dtype=np.int32), count)[order]
         self.doc_impact = impact[order]
         self.weight = np.zeros(len(self.terms))
-        self.skipped = self.scored = 0  # blocks of documents
+        self.skipped = self.scored = 0  # blocks of documents, for each query
 
     def bounds(self, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
         """query, terms, weights: the terms (indexes into self.terms) of n queries. What each block can reach, a row per query."""
@@ -155,48 +161,94 @@ class Shard:
         at = places(self.of[terms[rare]], sizes)
         cell = np.repeat(query[rare] * self.n_blocks, sizes) + self.block[at]
         listed = np.bincount(cell, np.repeat(weights[rare], sizes) * self.top[at], n * self.n_blocks).reshape(n, self.n_blocks)
-        return (w @ self.maxima + listed) * self.slack + ROUND
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, bound: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray], floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-        """One query: its terms and their weights, and what its blocks can reach. best: the ids and scores of the k best documents
-        of other shards, best first; floor: a score that k documents elsewhere reach. The k best of best and of this shard's
-        documents that reach the floor, by score, then id; only scores over 0 count."""
-
-        def least() -> float:
-            return max(1e-12, floor, best[1][k - 1] if len(best[1]) >= k else 0.0)
-
-        def score(blocks: np.ndarray) -> None:
-            nonlocal best
-            docs = places(self.edge[blocks], self.edge[blocks + 1] - self.edge[blocks])
-            sizes = self.by_doc[docs + 1] - self.by_doc[docs]
-            at = places(self.by_doc[docs], sizes)
-            sums = np.bincount(np.repeat(np.arange(len(docs)), sizes), self.weight[self.doc_term[at]] * self.doc_impact[at], len(docs)).round(9)
-            hit = np.flatnonzero(sums >= least())
-            if len(hit):
-                ids, scores = np.r_[best[0], self.ids[docs[hit]]], np.r_[best[1], sums[hit]]
-                first = np.lexsort((ids, -scores))[:k]
-                best = ids[first], scores[first]
+        reach = listed + w @ self.maxima
+        reach *= self.slack
+        reach += ROUND
+        return reach
+
+    def scores(self, query: np.ndarray, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query, blocks: pairs, by query; terms and weights of query q: ends[q] to ends[q + 1]. Of each document of each pair's
+        block: the query, the document and its score."""
+        many = self.edge[blocks + 1] - self.edge[blocks]
+        docs = places(self.edge[blocks], many)
+        sizes = self.by_doc[docs + 1] - self.by_doc[docs]
+        start = self.by_doc[self.edge[blocks]]
+        size = self.by_doc[self.edge[blocks + 1]] - start
+        at = places(start, size)
+        term, part = self.doc_term[at], np.empty(len(at))
+        first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+        cut = np.r_[0, np.cumsum(size)][np.r_[first, len(query)]].tolist()
+        for q, i, j in zip(query[first].tolist(), cut[:-1], cut[1:]):
+            own = terms[ends[q] : ends[q + 1]]
+            self.weight[own] = weights[ends[q] : ends[q + 1]]
+            part[i:j] = self.weight[term[i:j]]
+            self.weight[own] = 0
+        some = np.flatnonzero(part)
+        sums = np.bincount(np.repeat(np.arange(len(docs)), sizes)[some], part[some] * self.doc_impact[at[some]], len(docs)).round(9)
+        return np.repeat(query, many), docs, sums
+
+    def search_all(self, terms: np.ndarray, weights: np.ndarray, ends: np.ndarray, bound: np.ndarray, k: int, best: list[tuple[np.ndarray, np.ndarray]], floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Many queries: the terms and weights of query q are those from ends[q] to ends[q + 1], a row of bound has what its blocks
+        can reach. best: for each query the ids and scores of the k best documents of other shards, best first; floor: scores
+        that k documents elsewhere reach. The k best of best and of this shard's documents that reach the floor, by score, then
+        id; only scores over 0 count.
+
+        Pivots of all queries are scored together, in steps: what a step finds raises the k-th best scores for the next one."""
+        best = list(best)
+        least = np.array([max(1e-12, f, b[1][k - 1] if len(b[1]) >= k else 0.0) for f, b in zip(floor, best)])
+
+        def score(query: np.ndarray, blocks: np.ndarray) -> None:
             self.scored += len(blocks)
-
-        left = np.flatnonzero(bound >= max(least(), 2 * ROUND))
-        self.skipped += self.n_blocks - len(left)
-        if not len(left):
-            return best
-        self.weight[terms] = weights
-        if len(left) > 2 * k:
-            first = np.argpartition(-bound[left], k)[:k]
-            score(left[first])
-            left = np.delete(left, first)
+            done = np.cumsum(self.by_doc[self.edge[blocks + 1]] - self.by_doc[self.edge[blocks]])
+            i = 0
+            while i < len(blocks):
+                j = max(i + 1, int(np.searchsorted(done, (done[i - 1] if i else 0) + SCORED, "right")))
+                of, docs, sums = self.scores(query[i:j], blocks[i:j], terms, weights, ends)
+                hit = np.flatnonzero(sums >= least[of])
+                of, ids, sums = of[hit], self.ids[docs[hit]], sums[hit]
+                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else []
+                for q, x, y in zip(of[first].tolist(), first, np.r_[first[1:], len(of)]):
+                    some, high = np.concatenate((best[q][0], ids[x:y])), np.concatenate((best[q][1], sums[x:y]))
+                    order = np.lexsort((some, -high))[:k]
+                    best[q] = some[order], high[order]
+                    if len(order) == k:
+                        least[q] = max(least[q], high[order[-1]])
+                i = j
+
+        left = bound >= np.maximum(least, 2 * ROUND)[:, None]
+        many = np.flatnonzero(np.count_nonzero(left, axis=1) > 2 * k)
+        if len(many) and len(self.alone) >= k:
+            # What a document alone in its block can reach is its score, but for the slack: k such scores are a floor unscored.
+            alone = np.partition(bound[np.ix_(many, self.alone)], -k, axis=1)[:, -k]
+            least[many] = np.maximum(least[many], (alone - ROUND) * (2 - self.slack) / self.slack - ROUND)
+            left[many] = bound[many] >= np.maximum(least[many], 2 * ROUND)[:, None]
+            many = many[np.count_nonzero(left[many], axis=1) > 2 * k]
+        self.skipped += left.size - np.count_nonzero(left)
+        # Where many blocks are left, those that promise most come first, and most of the others are then skipped.
+        if len(many):
+            first = np.argpartition(-bound[many], k, axis=1)[:, :k]
+            score(np.repeat(many, k), first.ravel())
+            left[np.repeat(many, k), first.ravel()] = False
+        query, blocks = np.nonzero(left)
+        reach = bound[query, blocks]
+        if len(many):
+            order = np.lexsort((-reach, query))
+            query, blocks, reach = query[order], blocks[order], reach[order]
         step = 32
-        while len(left):
-            pivots = left[bound[left] >= least()]
-            self.skipped += len(left) - len(pivots)
-            score(pivots[:step])
+        while len(query):
+            pivot = reach >= least[query]
+            self.skipped += len(query) - np.count_nonzero(pivot)
+            query, blocks, reach = query[pivot], blocks[pivot], reach[pivot]
+            now = np.arange(len(query)) - np.searchsorted(query, query) < step
+            score(query[now], blocks[now])
             # A few pivots are taken at once, and more and more, as the k-th best rises ever more slowly.
-            left, step = pivots[step:], 2 * step
-        self.weight[terms] = 0
+            query, blocks, reach, step = query[~now], blocks[~now], reach[~now], 2 * step
         return best
 
+    def search(self, terms: np.ndarray, weights: np.ndarray, bound: np.ndarray, k: int, best: tuple[np.ndarray, np.ndarray], floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """search_all() for one query."""
+        return self.search_all(terms, weights, np.array([0, len(terms)]), bound[None], k, [best], np.array([floor]))[0]
+
 
 def _query_terms(queries: DataFrame) -> DataFrame:
     def run(batches):
@@ -246,7 +298,7 @@ def _searched(index: DataFrame, queries: bytes, k: int, mean: float, floors: dic
     def run(batches):
         queries, floors = block.value
         ids, edge, words, idf, nth, count = unpacked(queries, np.int64, np.int64, np.uint64, np.float64, np.uint32, np.uint32)
-        floor = [floors.get(q, 0.0) for q in ids.tolist()]
+        floor = np.array([floors.get(q, 0.0) for q in ids.tolist()])
         best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
         for batch in batches:
             for terms, postings in zip(batch.column("terms"), batch.column("postings")):
@@ -264,9 +316,7 @@ def _searched(index: DataFrame, queries: bytes, k: int, mean: float, floors: dic
                     at, weights = where[own], idf[own] * count[span][has]
                     bound = shard.bounds(query, at, weights, q1 - q0)
                     ends = np.searchsorted(query, np.arange(q1 - q0 + 1))
-                    for q, i, j in zip(range(q0, q1), ends[:-1], ends[1:]):
-                        if i < j:
-                            best[q] = shard.search(at[i:j], weights[i:j], bound[q - q0], k, best[q], floor[q])
+                    best[q0:q1] = shard.search_all(at, weights, ends, bound, k, best[q0:q1], floor[q0:q1])
         sizes = [len(b[0]) for b in best]
         if sum(sizes):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], ["query_id", "doc_id", "score"])
