@@ -34,14 +34,14 @@ BLOCK = 512
 #: Terms in a share of 1 / FREQUENT of a shard's documents have their maxima in the matrix; so many queries share a product.
 FREQUENT, TOGETHER = 32, 128
 #: So many postings are scored in one go, whichever queries they are scored for.
-SCORED = 1 << 19
+SCORED = 1 << 18
 #: Scores are rounded to 9 places, so sums that differ by their rounding only are ties; bounds have that much to spare.
 ROUND = 1e-9
 SHARD_DOCS, SHARD_BYTES = 4096, 16 << 20
 #: One shard in so many is searched first; what it has raises the bar for all others.
 LEADS = 8
 #: Queries are sent to the executors in blocks of so many bytes, a longer query being a block of its own.
-QUERY_BYTES = 24 << 20
+QUERY_BYTES = 16 << 20
 #: A shard is a row of some MB, so row groups are cut by size and not only looked at every 100 rows.
 _FILES = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "4"}
 
