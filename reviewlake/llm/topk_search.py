@@ -9,11 +9,12 @@ Search: postings lie in blocks of few neighbouring documents, a long one being a
 block of documents can reach at most the sum of these maxima over a query's terms. The cursor of a query moves through a shard in the order of
 documents to the next pivot, a block whose bound reaches the k-th best score so far; the blocks before it are skipped and none of
 their documents is scored. Bounds are made for many queries at once: the maxima of frequent terms are a matrix, so their part is
-a product of matrices, and rarer terms add theirs block by block. A long document is a block of its own, so its bound is its score
-but for the rounding: k such bounds give a query its first floor before anything is scored. Pivots of many queries are scored in
-one pass. The k-th best score is carried from shard to shard of a task, and each shard starts with the blocks that promise most,
-so it is high from the start; one shard in LEADS is searched before the others, whose search starts from the k-th best score
-there. What tasks return has the exact k best, and so their merge is exact.
+a product of matrices, and rarer terms add theirs block by block. Documents of a shard and queries of a block lie by kind, as
+languages are: each kind of documents has a matrix of its own, of which queries of another kind ask few terms. A long document is a
+block of its own, so its bound is its score but for the rounding: k such bounds give a query its first floor before anything is
+scored. Pivots of many queries are scored in one pass. The k-th best score is carried from shard to shard of a task, and each shard
+starts with the blocks that promise most, so it is high from the start; some shards are searched before the others, whose search
+starts from the k-th best score there. What tasks return has the exact k best, and so their merge is exact.
 """
 
 from __future__ import annotations
@@ -30,18 +31,22 @@ from .kernels import counts_of, flat, signed, slices, word_hashes
 K1, B = 1.2, 0.75
 #: A block has neighbouring documents of so many postings in all, a longer one being a block of its own. Block maxima say little
 #: about long queries unless blocks are small: of blocks of 64 documents nine in ten can reach the ten best, of this size one in 1,000.
-BLOCK = 512
-#: Terms in a share of 1 / FREQUENT of a shard's documents have their maxima in the matrix; so many queries share a product.
-FREQUENT, TOGETHER = 32, 128
+BLOCK = 384
+#: Terms in a share of 1 / FREQUENT of a kind's blocks, and in 8 at least, have their maxima in its matrix; so many queries share a
+#: product, and so many the sums over rarer terms, whose lists are filled up to a multiple of WIDTH, so fewer places are computed.
+FREQUENT, TOGETHER, LISTED, WIDTH = 16, 256, 32, 8
+#: Kinds are told apart by so many most frequent terms; a kind is split if it has twice KIND texts and its first axis explains SPLIT of
+#: how they differ, LEAST_KIND being on either side.
+KIND_TERMS, KIND, SPLIT, LEAST_KIND = 512, 256, 0.1, 64
 #: So many postings are scored in one go, whichever queries they are scored for.
 SCORED = 1 << 18
 #: Scores are rounded to 9 places, so sums that differ by their rounding only are ties; bounds have that much to spare.
 ROUND = 1e-9
 SHARD_DOCS, SHARD_BYTES = 4096, 16 << 20
-#: One shard in so many is searched first; what it has raises the bar for all others.
-LEADS = 8
-#: Queries are sent to the executors in blocks of so many bytes, a longer query being a block of its own.
-QUERY_BYTES = 16 << 20
+#: One shard in LEADS is searched first, but some MOST_LEADS at most; what it has raises the bar for all others.
+LEADS, MOST_LEADS = 8, 32
+#: Queries are packed in blocks of so many bytes, a longer query being a block of its own; the index is read once for PASS blocks.
+QUERY_BYTES, PASS = 16 << 20, 6
 #: A shard is a row of some MB, so row groups are cut by size and not only looked at every 100 rows.
 _FILES = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "4"}
 
@@ -75,8 +80,41 @@ def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def kinds(term: np.ndarray, text: np.ndarray, n: int) -> list[np.ndarray]:
+    """term, text: which terms (small integers) each of n texts has. The texts by kind, as languages are: those of a kind share many of
+    the frequent terms. A group is split where its first principal axis changes sign. Results don't depend on kinds, only the work does."""
+    out, todo = [], [np.arange(n)]
+    if n >= 2 * KIND and len(term):
+        many = np.bincount(term)
+        top = np.argpartition(-many, KIND_TERMS)[:KIND_TERMS] if len(many) > KIND_TERMS else np.arange(len(many))
+        place = np.full(len(many), -1, np.int32)
+        place[top] = np.arange(len(top))
+        has = np.flatnonzero(place[term] >= 0)
+        x = np.zeros((n, len(top)), np.float32)
+        x[text[has], place[term[has]]] = 1
+        x /= np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None]
+    while todo:
+        own = todo.pop()
+        if len(own) >= 2 * KIND and len(term):
+            some = x[own[:: len(own) // KIND]]
+            mean = some.mean(axis=0)
+            some -= mean
+            axis = some[np.argmax(np.einsum("ij,ij->i", some, some))]
+            for _ in range(8):
+                axis = some.T @ (some @ axis)
+                axis /= max(float(np.linalg.norm(axis)), 1e-30)
+            side = x[own] @ axis > mean @ axis
+            differ = float(np.square(some).sum())
+            if LEAST_KIND <= np.count_nonzero(side) <= len(own) - LEAST_KIND and float(np.square(some @ axis).sum()) >= SPLIT * differ:
+                todo += [own[side], own[~side]]
+                continue
+        out.append(own)
+    return out
+
+
 def build_index(rows: DataFrame, name: str) -> DataFrame:
-    """rows: doc_id, text. A saved table of shards, a row each: lead, docs, words (totals), terms and postings (packed arrays)."""
+    """rows: doc_id, text. A saved table of shards, a row each: nth, docs, words (totals), kinds (where each kind's documents start), terms
+    and postings (packed arrays). A shard's documents lie by kind, and within it by their number of terms."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -85,13 +123,24 @@ def build_index(rows: DataFrame, name: str) -> DataFrame:
 
         def close():
             term, doc, tf, length, ids = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(term, kind="stable")  # documents stay in order within a term
-            term = term[order]
-            first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
+            order = np.argsort(term, kind="stable")
+            term, doc, tf = term[order], doc[order], tf[order]
+            new = np.ones(len(term), bool)
+            new[1:] = term[1:] != term[:-1]
+            first, nr = np.flatnonzero(new), np.cumsum(new) - 1
+            terms_of = np.bincount(doc, minlength=len(ids))
+            own = [x[np.argsort(terms_of[x], kind="stable")] for x in kinds(nr, doc, len(ids))]
+            starts = np.cumsum([0] + [len(x) for x in own[:-1]]).astype(np.int32)
+            own = np.concatenate(own)
+            rank = np.empty(len(own), np.uint16)
+            rank[own] = np.arange(len(own))
+            doc = rank[doc]
+            order = np.argsort((nr << 16) | doc)
             terms = packed(term[first], np.diff(np.r_[first, len(term)]).astype(np.uint16))
+            postings = packed(doc[order], tf[order], length[own], ids[own])
             return pa.RecordBatch.from_arrays(
-                [pa.array([nth % LEADS == 0]), pa.array([len(ids)]), pa.array([int(length.sum())]), pa.array([terms], pa.binary()), pa.array([packed(doc[order], tf[order], length, ids)], pa.binary())],
-                ["lead", "docs", "words", "terms", "postings"],
+                [pa.array([nth]), pa.array([len(ids)]), pa.array([int(length.sum())]), pa.array([starts], pa.list_(pa.int32())), pa.array([terms], pa.binary()), pa.array([postings], pa.binary())],
+                ["nth", "docs", "words", "kinds", "terms", "postings"],
             )
 
         for part in slices(batches, limit=1 << 20):
@@ -107,13 +156,13 @@ def build_index(rows: DataFrame, name: str) -> DataFrame:
         if held:
             yield close()
 
-    return save(rows.mapInArrow(run, "lead boolean, docs long, words long, terms binary, postings binary"), name, _FILES)
+    return save(rows.mapInArrow(run, "nth long, docs long, words long, kinds array<int>, terms binary, postings binary"), name, _FILES)
 
 
 class Shard:
-    """A shard in memory: block maxima of the frequent terms as a matrix and of the others in lists, and the terms of each document."""
+    """A shard in memory: block maxima of each kind's frequent terms as a matrix and of the others in lists, and the terms of each document."""
 
-    def __init__(self, terms: bytes, postings: bytes, mean: float):
+    def __init__(self, terms: bytes, postings: bytes, mean: float, kinds=(0,)):
         self.terms, count = unpacked(terms, np.uint64, np.uint16)
         doc, tf, length, self.ids = unpacked(postings, np.uint16, np.uint32, np.uint32, np.int64)
         start = np.r_[0, np.cumsum(count, dtype=np.int64)]
@@ -124,26 +173,44 @@ class Shard:
         shut = self.by_doc[:-1] // BLOCK
         long = size > BLOCK // 2
         shut = np.r_[True, (shut[1:] != shut[:-1]) | long[1:] | long[:-1]]
+        shut[list(kinds)] = True
         self.edge = np.r_[np.flatnonzero(shut), len(size)]  # where each block of documents starts
         self.n_blocks = len(self.edge) - 1
         self.alone = np.flatnonzero(np.diff(self.edge) == 1)  # blocks of one document
-        block = (np.cumsum(shut) - 1).astype(np.uint16)[doc]
+        of_doc = (np.cumsum(shut) - 1).astype(np.uint16)
+        block = of_doc[doc]
         new = np.ones(len(block), bool)
         new[1:] = block[1:] != block[:-1]
         new[start[:-1]] = True
         at = np.flatnonzero(new)
-        self.block = block[at]  # of each block of postings the documents it is about
-        self.top = (np.maximum.reduceat(impact, at) if len(at) else np.zeros(0)).astype(np.float32)
-        self.of = np.searchsorted(at, start)  # a term's blocks of postings
-        often = np.flatnonzero(count.astype(np.int64) * FREQUENT >= len(self.ids))
-        self.row = np.full(len(self.terms), -1, np.int32)
-        self.row[often] = np.arange(len(often))
-        sizes = self.of[often + 1] - self.of[often]
-        some = places(self.of[often], sizes)
-        self.maxima = np.zeros((len(often), self.n_blocks), np.float32)
-        self.maxima[np.repeat(np.arange(len(often)), sizes), self.block[some]] = self.top[some]
+        block = block[at]  # of each block of postings the documents it is about
+        top = (np.maximum.reduceat(impact, at) if len(at) else np.zeros(0)).astype(np.float32)
+        of = np.searchsorted(at, start)  # a term's blocks of postings
+        self.kind = np.r_[of_doc[list(kinds)], self.n_blocks].astype(np.int64)  # where each kind's blocks start
+        least = np.maximum(8, -(-np.diff(self.kind) // FREQUENT))
+        kind = np.repeat(np.arange(len(least), dtype=np.int32), np.diff(self.kind))[block]
+        often = np.flatnonzero(np.diff(of) >= least.min())
+        self.nr = np.full(len(self.terms), -1, np.int32)  # of terms that have a row in a matrix
+        self.nr[often] = np.arange(len(often))
+        nr = np.repeat(self.nr, np.diff(of))
+        cell = np.where(nr < 0, -1, nr * len(least) + kind)
+        in_matrix = np.bincount(cell + 1, minlength=len(often) * len(least) + 1)[1:].reshape(len(often), len(least)) >= least
+        held = np.r_[False, in_matrix.ravel()][cell + 1]
+        self.maxima, self.row = [], np.full((len(least), len(often)), -1, np.int32)
+        for k, (i, j) in enumerate(zip(self.kind[:-1], self.kind[1:])):
+            own = np.flatnonzero(in_matrix[:, k])
+            self.row[k, own] = np.arange(len(own))
+            some = np.flatnonzero(held & (kind == k))
+            self.maxima.append(np.zeros((len(own), j - i), np.float32))
+            self.maxima[-1][self.row[k, nr[some]], block[some] - i] = top[some]
+        listed = np.flatnonzero(~held)
+        sizes = np.diff(np.searchsorted(listed, of))
+        self.of = np.r_[0, np.cumsum(-(-sizes // WIDTH))]  # a term's lines of WIDTH blocks of postings
+        at = places(self.of[:-1] * WIDTH, sizes)
+        self.block, self.top = np.zeros((self.of[-1], WIDTH), np.int32), np.zeros((self.of[-1], WIDTH), np.float32)
+        self.block.ravel()[at], self.top.ravel()[at] = block[listed], top[listed]
         # Sums of so many positive numbers of 24 bits are right up to this factor.
-        self.slack = 1 + (len(often) + 4096) * 2.0**-23
+        self.slack = 1 + (max(len(m) for m in self.maxima) + 4096) * 2.0**-23
         order = np.argsort(doc, kind="stable")  # terms stay in order within a document, so equal texts have equal sums
         self.doc_term = np.repeat(np.arange(len(self.terms), dtype=np.int32), count)[order]
         self.doc_impact = impact[order]
@@ -151,19 +218,38 @@ class Shard:
         self.skipped = self.scored = 0  # blocks of documents, for each query
 
     def bounds(self, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-        """query, terms, weights: the terms (indexes into self.terms) of n queries. What each block can reach, a row per query."""
-        row = self.row[terms]
-        often = row >= 0
-        w = np.zeros((n, len(self.maxima)), np.float32)
-        w[query[often], row[often]] = weights[often]
-        rare = ~often
-        sizes = self.of[terms[rare] + 1] - self.of[terms[rare]]
-        at = places(self.of[terms[rare]], sizes)
-        cell = np.repeat(query[rare] * self.n_blocks, sizes) + self.block[at]
-        listed = np.bincount(cell, np.repeat(weights[rare], sizes) * self.top[at], n * self.n_blocks).reshape(n, self.n_blocks)
-        reach = listed + w @ self.maxima
-        reach *= self.slack
-        reach += ROUND
+        """query, terms, weights: the terms (indexes into self.terms) of n queries, by query. What each block can reach, a row per query."""
+        reach = np.empty((n, self.n_blocks), np.float32)
+        start = self.of[terms]
+        sizes = self.of[terms + 1] - start
+        listed = np.flatnonzero(sizes)
+        of, start, sizes, w = query[listed], start[listed], sizes[listed], weights[listed].astype(np.float32)
+        cut = np.searchsorted(of, np.arange(0, n + LISTED, LISTED))
+        for q, i, j in zip(range(0, n, LISTED), cut[:-1], cut[1:]):
+            at, many = places(start[i:j], sizes[i:j]), min(n - q, LISTED)
+            cell, part = self.block.take(at, axis=0), self.top.take(at, axis=0)
+            cell += np.repeat((of[i:j] - q).astype(np.int32) * np.int32(self.n_blocks), sizes[i:j])[:, None]
+            part *= np.repeat(w[i:j], sizes[i:j])[:, None]
+            reach[q : q + many] = np.bincount(cell.ravel(), part.ravel(), many * self.n_blocks).reshape(many, -1)
+        nr = self.nr[terms]
+        some = np.flatnonzero(nr >= 0)
+        of, nr, weights = query[some], nr[some], weights[some]
+        for rows, maxima, i, j in zip(self.row, self.maxima, self.kind[:-1], self.kind[1:]):
+            row = rows[nr]
+            own = np.flatnonzero(row >= 0)
+            row = row[own]
+            asked = np.flatnonzero(np.bincount(row, minlength=len(maxima)))
+            if not len(asked):
+                continue
+            if 4 * len(asked) < 3 * len(maxima):  # queries of another kind have few of the terms
+                at = np.empty(len(maxima), np.int32)
+                at[asked] = np.arange(len(asked))
+                row, maxima = at[row], maxima[asked]
+            w = np.zeros((n, len(maxima)), np.float32)
+            w[of[own], row] = weights[own]
+            reach[:, i:j] += w @ maxima
+        reach *= np.float32(self.slack)
+        reach += np.float32(ROUND)
         return reach
 
     def scores(self, query: np.ndarray, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,13 +301,14 @@ class Shard:
                         least[q] = max(least[q], high[order[-1]])
                 i = j
 
-        left = bound >= np.maximum(least, 2 * ROUND)[:, None]
+        reached = lambda rows: bound[rows] >= (np.maximum(least[rows], 2 * ROUND) * (1 - 2.0**-22)).astype(np.float32)[:, None]
+        left = reached(slice(None))
         many = np.flatnonzero(np.count_nonzero(left, axis=1) > 2 * k)
         if len(many) and len(self.alone) >= k:
             # What a document alone in its block can reach is its score, but for the slack: k such scores are a floor unscored.
             alone = np.partition(bound[np.ix_(many, self.alone)], -k, axis=1)[:, -k]
             least[many] = np.maximum(least[many], (alone - ROUND) * (2 - self.slack) / self.slack - ROUND)
-            left[many] = bound[many] >= np.maximum(least[many], 2 * ROUND)[:, None]
+            left[many] = reached(many)
             many = many[np.count_nonzero(left[many], axis=1) > 2 * k]
         self.skipped += left.size - np.count_nonzero(left)
         # Where many blocks are left, those that promise most come first, and most of the others are then skipped.
@@ -229,7 +316,7 @@ class Shard:
             first = np.argpartition(-bound[many], k, axis=1)[:, :k]
             score(np.repeat(many, k), first.ravel())
             left[np.repeat(many, k), first.ravel()] = False
-        query, blocks = np.nonzero(left)
+        query, blocks = np.divmod(np.flatnonzero(left), self.n_blocks)
         reach = bound[query, blocks]
         if len(many):
             order = np.lexsort((-reach, query))
@@ -272,7 +359,8 @@ def _shard_terms(index: DataFrame) -> DataFrame:
 
 
 def _query_blocks(weighed: DataFrame) -> tuple[DataFrame, int]:
-    """weighed: query_id, term, n, idf. A saved table (block, queries): queries packed, about QUERY_BYTES a block; and their number."""
+    """weighed: query_id, term, n, idf. A saved table (block, queries): queries packed, about QUERY_BYTES a block; and their number.
+    A block's queries lie by kind, as those of a kind meet the same matrices."""
     sizes = weighed.groupBy("query_id").agg((F.count("*") * 24).alias("size")).withColumn("all", F.lit(0)).withColumn("order", F.xxhash64("query_id"))
     sizes = save(sizes, "query_sizes")
     dealt = running_start(sizes, ["all"], "order", ["query_id"], "size", sizes.count(), "start").select("query_id", F.floor(F.col("start") / QUERY_BYTES).alias("block"))
@@ -280,48 +368,55 @@ def _query_blocks(weighed: DataFrame) -> tuple[DataFrame, int]:
 
     def pack(table: pa.Table) -> pa.Table:
         q, t, n, idf = (np.asarray(table.column(c)) for c in ("query_id", "term", "n", "idf"))
-        order = np.lexsort((t.view(np.uint64), q))
-        q, t, n, idf = q[order], t[order].view(np.uint64), n[order], idf[order]
-        ids, first = np.unique(q, return_index=True)
-        words, some, nth = np.unique(t, return_index=True, return_inverse=True)
-        raw = packed(ids, np.r_[first, len(q)].astype(np.int64), words, idf[some].astype(float), nth.astype(np.uint32), n.astype(np.uint32))
+        ids, q = np.unique(q, return_inverse=True)
+        words, some, nth = np.unique(t.view(np.uint64), return_index=True, return_inverse=True)
+        own = np.concatenate(kinds(nth, q, len(ids)))
+        rank = np.empty(len(own), np.int64)
+        rank[own] = np.arange(len(own))
+        q = rank[q]
+        order = np.lexsort((nth, q))
+        raw = packed(ids[own], np.searchsorted(q[order], np.arange(len(own) + 1)).astype(np.int64), words, idf[some].astype(float), nth[order].astype(np.uint32), n[order].astype(np.uint32))
         return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "queries": pa.array([raw], pa.binary())})
 
     blocks = weighed.join(dealt, "query_id").groupBy("block").applyInArrow(pack, "block long, queries binary")
     return save(blocks, "query_blocks", _FILES), 0 if last is None else last + 1
 
 
-def _searched(index: DataFrame, queries: bytes, k: int, mean: float, floors: dict[int, float]) -> DataFrame:
-    """query_id, doc_id, score: for each query of a block the k best documents of each task's shards that reach its floor."""
-    block = index.sparkSession.sparkContext.broadcast((queries, floors))
+def _searched(index: DataFrame, queries: list[bytes], k: int, mean: float, floors: dict[int, float]) -> DataFrame:
+    """query_id, doc_id, score: for each query of some blocks the k best documents of each task's shards that reach its floor."""
+    blocks = index.sparkSession.sparkContext.broadcast((queries, floors))
 
     def run(batches):
-        queries, floors = block.value
-        ids, edge, words, idf, nth, count = unpacked(queries, np.int64, np.int64, np.uint64, np.float64, np.uint32, np.uint32)
-        floor = np.array([floors.get(q, 0.0) for q in ids.tolist()])
-        best = [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
-        for batch in batches:
-            for terms, postings in zip(batch.column("terms"), batch.column("postings")):
-                shard = Shard(terms.as_py(), postings.as_py(), mean)
-                where = np.searchsorted(shard.terms, words)
-                there = np.zeros(len(words), bool)
-                inside = where < len(shard.terms)
-                there[inside] = shard.terms[where[inside]] == words[inside]
+        queries, floors = blocks.value
+        asked = [unpacked(x, np.int64, np.int64, np.uint64, np.float64, np.uint32, np.uint32) for x in queries]
+        floor = [np.array([floors.get(q, 0.0) for q in ids.tolist()]) for ids, *_ in asked]
+        best = [[(np.zeros(0, np.int64), np.zeros(0))] * len(ids) for ids, *_ in asked]
+
+        def search_shard(starts, terms, postings):  # a shard goes before the next one is made
+            shard = Shard(terms.as_py(), postings.as_py(), mean, starts.as_py())
+            for (ids, edge, words, idf, nth, count), low, high in zip(asked, floor, best):
+                where = np.minimum(np.searchsorted(shard.terms, words), max(0, len(shard.terms) - 1)).astype(np.int32)
+                where[shard.terms[where] != words if len(shard.terms) else slice(None)] = -1
                 for q0 in range(0, len(ids), TOGETHER):
                     q1 = min(len(ids), q0 + TOGETHER)
                     span = slice(edge[q0], edge[q1])
-                    has = there[nth[span]]
-                    own = nth[span][has]
+                    at = where[nth[span]]
+                    has = np.flatnonzero(at >= 0)
+                    at, weights = at[has], idf[nth[span][has]] * count[span][has]
                     query = np.repeat(np.arange(q1 - q0), np.diff(edge[q0 : q1 + 1]))[has]
-                    at, weights = where[own], idf[own] * count[span][has]
                     bound = shard.bounds(query, at, weights, q1 - q0)
                     ends = np.searchsorted(query, np.arange(q1 - q0 + 1))
-                    best[q0:q1] = shard.search_all(at, weights, ends, bound, k, best[q0:q1], floor[q0:q1])
-        sizes = [len(b[0]) for b in best]
-        if sum(sizes):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([b[0] for b in best])), pa.array(np.concatenate([b[1] for b in best]))], ["query_id", "doc_id", "score"])
+                    high[q0:q1] = shard.search_all(at, weights, ends, bound, k, high[q0:q1], low[q0:q1])
+
+        for batch in batches:
+            for row in zip(batch.column("kinds"), batch.column("terms"), batch.column("postings")):
+                search_shard(*row)
+        for (ids, *_), high in zip(asked, best):
+            sizes = [len(b[0]) for b in high]
+            if sum(sizes):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate([b[0] for b in high])), pa.array(np.concatenate([b[1] for b in high]))], ["query_id", "doc_id", "score"])
 
-    return index.select("terms", "postings").mapInArrow(run, "query_id long, doc_id long, score double")
+    return index.select("kinds", "terms", "postings").mapInArrow(run, "query_id long, doc_id long, score double")
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -339,12 +434,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     docs and of queries. Documents that share an id are results each. Of queries that share one, the least text asks. A text of
     any length is indexed and asked with whole; a long one is a shard, or a block of queries, of its own.
 
-    Queries meet the index in blocks of QUERY_BYTES: a block is broadcast, with a number per query, and the index is read once for each.
+    Queries meet the index in passes of PASS blocks of QUERY_BYTES: these are broadcast, with a number per query, and the index is read
+    once for each pass.
     """
     rows = texts(docs, id_col, text_col).where("doc_id is not null")
     asked = texts(queries, id_col, text_col).where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
     index = build_index(rows, "shards")
-    n_docs, n_words = (x or 0 for x in index.agg(F.sum("docs"), F.sum("words")).first())
+    n_docs, n_words, n_shards = (x or 0 for x in index.agg(F.sum("docs"), F.sum("words"), F.count("*")).first())
+    lead = F.col("nth") % max(LEADS, n_shards // MOST_LEADS) == 0
     mean = max(n_words, 1) / max(n_docs, 1)
     terms = save(_query_terms(asked), "query_terms")
     wanted = save(terms.select("term").distinct(), "wanted")
@@ -352,10 +449,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     weighed = save(terms.join(df, "term").select("query_id", "term", "n", F.log(1 + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "weighed")
     blocks, n_blocks = _query_blocks(weighed)
     out = docs.sparkSession.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    for b in range(n_blocks):
-        queries = bytes(blocks.where(F.col("block") == b).first()["queries"])
-        leads = save(_best(_searched(index.where("lead"), queries, k, mean, {}), k), f"leads{b}")
+    for b in range(0, n_blocks, PASS):
+        queries = [bytes(blocks.where(F.col("block") == i).first()["queries"]) for i in range(b, min(n_blocks, b + PASS))]
+        leads = save(_best(_searched(index.where(lead), queries, k, mean, {}), k), f"leads{b}")
         floors = dict(map(tuple, leads.where(F.col("rank") == k).select("query_id", "score").toPandas().itertuples(index=False)))
-        found = leads.select("query_id", "doc_id", "score").unionByName(_searched(index.where("not lead"), queries, k, mean, floors))
-        out = out.unionByName(save(_best(found, k), f"found{b}") if n_blocks > 1 else _best(found, k))
+        found = leads.select("query_id", "doc_id", "score").unionByName(_searched(index.where(~lead), queries, k, mean, floors))
+        out = out.unionByName(save(_best(found, k), f"found{b}") if n_blocks > PASS else _best(found, k))
     return out

@@ -136,3 +136,53 @@ def test_same_rows_as_sql(spark):
 
     sf = "/root/testdata/sf0.001"
     assert difference(spark, connect(sf), sf, Q.op1_bm25_search, Q.ORACLE_SQL["op1_bm25_search"]) is None
+
+
+def two_languages(n, seed):
+    rng = np.random.default_rng(seed)
+    words = [" ".join(f"{'ab'[i % 2]}{x}" for x in (1500 * rng.random(int(rng.integers(20, 200))) ** 2).astype(int)) + " both" for i in range(n)]
+    return list(enumerate(words))
+
+
+def test_kinds_meet_little():
+    # Languages by turns: a query's product of matrices has the blocks of its own language only, each with its own frequent terms.
+    docs, k = two_languages(1400, 11), 5
+    term, doc, tf, length = topk_search.term_counts(*flat(pa.array([t for _, t in docs])))
+    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+    nr = np.searchsorted(first, np.arange(len(term)), "right") - 1
+    found = topk_search.kinds(nr, doc, len(docs))
+    assert sorted(len(set(x % 2)) for x in found) == [1] * len(found) and len(found) > 1
+    assert sorted(np.concatenate(found).tolist()) == list(range(len(docs)))
+    own = np.concatenate(found)
+    rank = np.argsort(own)
+    order = np.lexsort((rank[doc], nr))
+    ends = np.cumsum([0] + [len(x) for x in found[:-1]])
+    df = np.diff(np.r_[first, len(term)])
+    postings = topk_search.packed(rank[doc][order].astype(np.uint16), tf[order].astype(np.uint32), length[own].astype(np.uint32), own)
+    shard = topk_search.Shard(topk_search.packed(term[first], df.astype(np.uint16)), postings, length.mean(), ends.tolist())
+    assert sum(m.size for m in shard.maxima) < 0.6 * max(len(m) for m in shard.maxima) * len(found) * shard.n_blocks
+    asked = range(0, 300, 3)
+    cells = [np.flatnonzero(doc == q) for q in asked]
+    at, query = nr[np.concatenate(cells)], np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    weights = tf[np.concatenate(cells)] * np.log(1 + (len(docs) - df[at] + 0.5) / (df[at] + 0.5))
+    bound = shard.bounds(query, at, weights, len(cells))
+    got = shard.search_all(at, weights, np.searchsorted(query, np.arange(len(cells) + 1)), bound, k, [(np.zeros(0, np.int64), np.zeros(0))] * len(cells), np.zeros(len(cells)))
+    for q in range(len(cells)):
+        dense = np.zeros(len(docs))
+        for t, w in zip(at[query == q], weights[query == q]):
+            s = slice(first[t], first[t] + df[t])
+            dense[doc[s]] += w * tf[s] * 2.2 / (tf[s] + 1.2 * (0.25 + 0.75 * length[doc[s]] / length.mean()))
+        want = np.lexsort((np.arange(len(docs)), -dense.round(9)))[:k]
+        assert got[q][0].tolist() == want.tolist() and (bound[q].repeat(np.diff(shard.edge)) >= dense[own]).all()
+
+
+def test_index_is_read_once_for_many_query_blocks(spark, monkeypatch):
+    docs = two_languages(1300, 13)
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    passes, searched = [], topk_search._searched
+    monkeypatch.setattr(topk_search, "_searched", lambda index, queries, *a: passes.append(len(queries)) or searched(index, queries, *a))
+    monkeypatch.setattr(topk_search, "QUERY_BYTES", 10_000)
+    got = [tuple(r) for r in search(df, df.where("doc_id % 50 = 0"), k=4).collect()]
+    want = brute(docs, [d for d in docs if d[0] % 50 == 0], 4)
+    assert sorted((q, r, i) for q, r, i, _ in got) == [(q, r, i) for q, r, i, _ in want]
+    assert 1 < max(passes) <= topk_search.PASS and len(passes) == 2
