@@ -214,7 +214,7 @@ class Shard:
         order = np.argsort(doc, kind="stable")  # terms stay in order within a document, so equal texts have equal sums
         self.doc_term = np.repeat(np.arange(len(self.terms), dtype=np.int32), count)[order]
         self.doc_impact = impact[order]
-        self.weight = np.zeros(len(self.terms))
+        self.asked, self.weight = np.zeros(len(self.terms), bool), np.zeros(len(self.terms))
         self.skipped = self.scored = 0  # blocks of documents, for each query
 
     def bounds(self, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
@@ -257,20 +257,25 @@ class Shard:
         block: the query, the document and its score."""
         many = self.edge[blocks + 1] - self.edge[blocks]
         docs = places(self.edge[blocks], many)
-        sizes = self.by_doc[docs + 1] - self.by_doc[docs]
         start = self.by_doc[self.edge[blocks]]
         size = self.by_doc[self.edge[blocks + 1]] - start
-        at = places(start, size)
-        term, part = self.doc_term[at], np.empty(len(at))
+        ends_of, term = np.cumsum(size), np.concatenate([self.doc_term[i:j] for i, j in zip(start.tolist(), (start + size).tolist())])
         first = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
-        cut = np.r_[0, np.cumsum(size)][np.r_[first, len(query)]].tolist()
+        cut = np.r_[0, ends_of][np.r_[first, len(query)]].tolist()
+        some, part = [], []
         for q, i, j in zip(query[first].tolist(), cut[:-1], cut[1:]):
-            own = terms[ends[q] : ends[q + 1]]
+            own, here = terms[ends[q] : ends[q + 1]], term[i:j]
+            self.asked[own] = True
+            hit = np.flatnonzero(self.asked[here])  # few of a long document's terms
+            self.asked[own] = False
             self.weight[own] = weights[ends[q] : ends[q + 1]]
-            part[i:j] = self.weight[term[i:j]]
-            self.weight[own] = 0
-        some = np.flatnonzero(part)
-        sums = np.bincount(np.repeat(np.arange(len(docs)), sizes)[some], part[some] * self.doc_impact[at[some]], len(docs)).round(9)
+            some.append(hit + i)
+            part.append(self.weight[here[hit]])
+        some, part = np.concatenate(some), np.concatenate(part)
+        block = np.searchsorted(ends_of, some, "right")
+        part *= self.doc_impact[(start - ends_of + size)[block] + some]
+        doc = np.searchsorted(np.cumsum(self.by_doc[docs + 1] - self.by_doc[docs]), some, "right")
+        sums = np.bincount(doc, part, len(docs)).round(9)
         return np.repeat(query, many), docs, sums
 
     def search_all(self, terms: np.ndarray, weights: np.ndarray, ends: np.ndarray, bound: np.ndarray, k: int, best: list[tuple[np.ndarray, np.ndarray]], floor: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
